@@ -6,6 +6,7 @@ import importlib
 
 #: module, query, name of its SQL (None: tested against brute force)
 _QUERIES = [
+    ("substrings", "op1_substring_dedup", "SQL"),
     ("warc", "op4_warc_roundtrip", "SQL"),
     ("chat", "op5_chat_format", "SQL"),
 ]
