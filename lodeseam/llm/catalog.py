@@ -8,6 +8,8 @@ import importlib
 _QUERIES = [
     ("substrings", "op1_substring_dedup", "SQL"),
     ("warc", "op4_warc_roundtrip", "SQL"),
+    ("decontaminate", "op7_decontaminate", "SQL"),
+    ("packing", "op8_pack", None),
     ("chat", "op5_chat_format", "SQL"),
 ]
 

@@ -8,6 +8,7 @@ hashes of word windows) that several operators build on.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -44,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lodeseam-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage.
 
@@ -231,3 +240,22 @@ def unpack_sorted(data: bytes) -> np.ndarray:
         planes[1:size] = np.frombuffer(zlib.decompress(data[13 + n :]), np.uint8).reshape(size - 1, n)
     gaps = planes.T.copy().view(np.uint64)[:, 0]
     return np.cumsum(gaps.astype(np.int64)) + first
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """A batch in runs of rows whose texts hold about ``most`` bytes (at least one row), so that work arrays stay small."""
+    _, offsets = binary_parts(batch.column(column))
+    n, at = batch.num_rows, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after another."""
+    total = int(counts.sum())
+    if total == 0:
+        return np.zeros(0, np.int64)
+    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    return np.arange(total, dtype=np.int64) + shift

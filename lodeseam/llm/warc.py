@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, scratch, table
 
 BLOCK = 1 << 20
 _EPOCH = "1970-01-01T00:00:00Z"
@@ -208,7 +208,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     manifest = write_archives(plan_records(table(spark, sf_dir, "pages")), folder)
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
