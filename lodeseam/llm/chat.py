@@ -62,34 +62,33 @@ def branch_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         .join(known, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_p")), "left")
         .select("tree", "node", F.col("_p").alias("up"), "total", F.lit(1).cast("long").alias("depth"))
     )
-    levels, open_before = [cut(links)], None
+    #: jumps[k]: nodes that have an ancestor 2**k links up; state: every node's farthest known ancestor and what lies before it
+    state, jumps, open_before = cut(links), [], None
     while True:
-        last = levels[-1]
-        still = last.where(F.col("up").isNotNull()).count()
+        open_rows = state.where(F.col("up").isNotNull())
+        still = open_rows.count()
         if still == 0 or still == open_before:
             break
         open_before = still
-        far = last.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_s"), F.col("depth").alias("_d"))
-        levels.append(
-            cut(
-                last.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left").select(
-                    "tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
-                )
-            )
+        jumps.append(open_rows.select("tree", "node", "up"))
+        far = state.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_s"), F.col("depth").alias("_d"))
+        moved = open_rows.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n"))).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_s")).alias("total"), (F.col("depth") + F.col("_d")).alias("depth")
         )
+        state = cut(state.where(F.col("up").isNull()).unionByName(moved))
     parents = links.where(F.col("up").isNotNull()).select(F.col("tree").alias("_t"), F.col("up").alias("_u")).distinct()
-    leaves = levels[-1].where(F.col("up").isNull()).join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_u")), "left_anti")
+    leaves = state.where(F.col("up").isNull()).join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_u")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     leaves = leaves.withColumn("branch_rank", F.row_number().over(order))
     if branches is not None:
         leaves = leaves.where(F.col("branch_rank") <= branches)
     path = leaves.select("tree", F.col("node").alias("leaf"), "node", "branch_rank", F.col("total").alias("branch_score"))
-    for level in reversed(levels[:-1]):
-        jump = level.where(F.col("up").isNotNull()).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
+    for jump in reversed(jumps):
+        jump = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         path = path.join(jump, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left").select(
             "tree", "leaf", "branch_rank", "branch_score", F.explode(F.when(F.col("up").isNull(), F.array("node")).otherwise(F.array("node", "up"))).alias("node")
         )
-    depth = levels[-1].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "depth")
+    depth = state.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "depth")
     return path.join(depth, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n"))).drop("_t", "_n")
 
 
