@@ -7,6 +7,7 @@ import importlib
 #: module, query, name of its SQL (None: tested against brute force)
 _QUERIES = [
     ("substrings", "op1_substring_dedup", "SQL"),
+    ("quality", "op3_quality", None),
     ("warc", "op4_warc_roundtrip", "SQL"),
     ("decontaminate", "op7_decontaminate", "SQL"),
     ("packing", "op8_pack", None),
