@@ -9,6 +9,7 @@ _QUERIES = [
     ("substrings", "op1_substring_dedup", "SQL"),
     ("quality", "op3_quality", None),
     ("warc", "op4_warc_roundtrip", "SQL"),
+    ("neighbours", "op6_nearest", None),
     ("decontaminate", "op7_decontaminate", "SQL"),
     ("packing", "op8_pack", None),
     ("chat", "op5_chat_format", "SQL"),
