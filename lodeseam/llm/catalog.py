@@ -12,6 +12,7 @@ _QUERIES = [
     ("neighbours", "op6_nearest", None),
     ("decontaminate", "op7_decontaminate", "SQL"),
     ("packing", "op8_pack", None),
+    ("order_minhash", "op9_near_duplicates", None),
     ("chat", "op5_chat_format", "SQL"),
 ]
 
