@@ -28,7 +28,6 @@ table gives no piece.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -38,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_parts, ranges, scratch, slices, table, width
+from .common import NOT_SPACE, Words, ranges, scratch, slices, table, width
 
 WINDOW, GRID, END_ID = 4096, 16, 2
 BUCKETS = 64
 #: Words that a worker remembers at once; a word that was forgotten is encoded again.
-REMEMBERED = 600_000
+REMEMBERED = 1_600_000
 _PUNCTUATION = b",.;:!?%$&*#()[]{}\"-/\\+=_~^`@"
 _MARK = "<|"
 
@@ -57,9 +56,11 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids of texts, by way of their words.
 
-    The tokenizer drops white space and never joins across it.  A word's ASCII
-    punctuation at its end is a token run of its own after a letter, and ASCII
-    letters are lower-cased anyway; so stems are encoded once.
+    The tokenizer drops white space and never joins across it, so that the ids
+    of a text are those of its words.  Words seen before are found by their
+    64-bit identity in sorted arrays.  A new word's ASCII punctuation at its end
+    is a token run of its own after a letter, and ASCII letters are lower-cased
+    anyway; so only stems are encoded, many at a time.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,65 +68,94 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.stems: dict[bytes, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.stems: dict[bytes, list[int]] = {}
-        self.pool, self.at, self.size = [], [0], []
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, parts: list[bytes]) -> None:
-        for p, e in zip(parts, self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            self.stems[p] = e.ids
+        """Fills ``stems``.  A text of letters is one run, which ends with its one word-end token."""
+        texts = [p.decode() for p in parts]
+        plain = [t for t in texts if t.isalpha()]
+        odd = [t for t in texts if not t.isalpha()]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group) or cuts[-1] != len(ids):  # some letter decomposes
+                odd += group
+                continue
+            for t, lo, hi in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                self.stems[t.encode()] = ids[lo:hi].tobytes()
+        for t, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            self.stems[t.encode()] = np.array(e.ids, np.uint32).tobytes()
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         stem = word.rstrip(_PUNCTUATION)
-        if not stem or b"<" in word or not (last := stem[-4:].decode(errors="replace")[-1]).isalpha() or last == "�":
+        # the last letter must stay one in lower case, which a dotted capital I does not
+        if not stem or b"<" in word or not (stem[-1:].isalpha() if stem[-1] < 128 else stem.decode()[-1].lower()[-1].isalpha()):
             return (word,)
         head = stem.lower() if stem.isascii() else stem
         return (head, word[len(stem) :]) if len(stem) < len(word) else (head,)
 
-    def _learn(self, words: set[bytes]) -> None:
-        split = {w: self._parts(w) for w in words}
-        self._encode([p for p in {p for parts in split.values() for p in parts} if p not in self.stems])
-        for w, parts in split.items():
-            self.number[w] = len(self.size)
-            ids = list(itertools.chain.from_iterable(self.stems[p] for p in parts))
-            self.pool += ids
-            self.size.append(len(ids))
-            self.at.append(len(self.pool))
-
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, without any special token."""
-        words = [t.split() for t in texts]
-        flat = list(itertools.chain.from_iterable(words))
-        fresh = set(flat).difference(self.number)
-        if len(self.number) + len(fresh) > REMEMBERED:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        split = [self._parts(w) for w in words]
+        if len(self.stems) > REMEMBERED // 4:
+            self.stems.clear()
+        self._encode([p for p in {p for parts in split for p in parts} if p not in self.stems])
+        coded = [self.stems[parts[0]] if len(parts) == 1 else self.stems[parts[0]] + self.stems[parts[1]] for parts in split]
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), np.uint32)])
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+
+    def batch(self, column) -> list[np.ndarray]:
+        """Ids of each text of a column, without any special token."""
+        w = Words(column, NOT_SPACE)
+        own, at, number = np.unique(w.ids(), return_index=True, return_inverse=True)
+        k = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool)
+        inside = k < len(self.keys)
+        known[inside] = self.keys[k[inside]] == own[inside]
+        if len(self.keys) + (~known).sum() > REMEMBERED:
             self.forget()
-            fresh = set(flat)
-        if fresh:
-            self._learn(fresh)
-        if fresh or not hasattr(self, "arrays"):
-            self.arrays = np.array(self.pool, np.uint32), np.array(self.at, np.int64), np.array(self.size, np.int64)
-        pool, at, size = self.arrays
-        number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        ids = pool[ranges(at[number], size[number])]
-        per_word = np.concatenate([[0], np.cumsum(size[number])])
-        cuts = per_word[np.cumsum([0] + [len(w) for w in words])]
+            known[:] = False
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            raw = w.raw.tobytes()
+            self._learn(own[fresh], [raw[a:b] for a, b in zip(w.start[at[fresh]].tolist(), w.end[at[fresh]].tolist(), strict=True)])
+        k = np.searchsorted(self.keys, own)[number]
+        size = self.size[k]
+        ids = self.pool[ranges(self.at[k], size)]
+        cuts = np.concatenate([[0], np.cumsum(size)])[w.first]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer file, kept from task to task with the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, row_no, n_tokens, ids (little-endian uint32, or uint16 if all fit), written to the shared folder."""
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        known = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                raw, offsets = binary_parts(batch.column("text"))
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.batch([raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])]
+            for batch in slices(whole, "text"):
+                ids = [np.append(x, np.uint32(end_id)) for x in known.batch(batch.column("text"))]
                 packed = [(x.astype(np.uint16) if x.max() < 1 << 16 else x).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
