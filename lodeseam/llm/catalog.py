@@ -7,6 +7,7 @@ import importlib
 #: module, query, name of its SQL (None: tested against brute force)
 _QUERIES = [
     ("substrings", "op1_substring_dedup", "SQL"),
+    ("lines", "op2_line_dedup", None),
     ("quality", "op3_quality", None),
     ("warc", "op4_warc_roundtrip", "SQL"),
     ("neighbours", "op6_nearest", None),
