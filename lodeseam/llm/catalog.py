@@ -14,12 +14,19 @@ _QUERIES = [
     ("decontaminate", "op7_decontaminate", "SQL"),
     ("packing", "op8_pack", None),
     ("order_minhash", "op9_near_duplicates", None),
+    ("token_counts", "op10_token_counts", None),
     ("chat", "op5_chat_format", "SQL"),
 ]
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for module, name, _ in _QUERIES}
+    return {"pipeline": _pipeline} | {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for module, name, _ in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

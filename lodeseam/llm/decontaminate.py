@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ALNUM, Words, ranges, slices, table, window_hash
 
@@ -138,13 +139,11 @@ def _index(docs: DataFrame, windows: pa.Table) -> dict:
     return {"groups": groups, "items": items, "item_at": item_at}
 
 
-_HITS = "doc_id long, text string, spans binary, items array<string>"
-_OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.binary()), ("items", pa.list_(pa.string()))])
-
-
 def _search(docs: DataFrame, index: dict) -> DataFrame:
     """Adds a block's hits to each row: spans (document word, length as int64 pairs) and items."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
+    schema = docs.schema
+    own = [c for c in schema.names if c not in ("spans", "items")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, items, item_at = (sent.value[k] for k in ("groups", "items", "item_at"))
@@ -182,18 +181,18 @@ def _search(docs: DataFrame, index: dict) -> DataFrame:
                         spans[r] += pairs[lo:hi].tobytes()
                         seen = np.unique(win[lo:hi])
                         names[r] = sorted(set(names[r]).union(items[ranges(item_at[seen], item_at[seen + 1] - item_at[seen])]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string()), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))], [*own, "spans", "items"])
 
-    return docs.mapInArrow(scan, _HITS)
+    return docs.select(*own, "spans", "items").mapInArrow(scan, StructType([*(schema[c] for c in own), schema["spans"], schema["items"]]))
 
 
-def find_items(docs: DataFrame, items: DataFrame, size: int = SIZE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, text, spans, items: which item windows occur in each document, and where."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def find_items(docs: DataFrame, items: DataFrame, size: int = SIZE, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns ``keep`` (text among them), spans, items: which item windows occur in each document, and where."""
+    docs = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in keep))
     windows = item_windows(items, size)
     blocks = max(1, -(-windows.count() // block_rows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks)))
-    found = docs.select("doc_id", "text", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
+    found = docs.select(*keep, F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block, rows in sorted(tuple(r) for r in windows.groupBy("block").count().collect()):
         if rows > 2 * block_rows:  # hashing doesn't deal them out evenly, but never so badly
             raise RuntimeError("an index block holds more than twice the rows it was planned for")
