@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops and repeated edges do no harm; rows with a null end are ignored.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    edges = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))  # computed once, used twice below
     alone = edges.where("a = b").select("a").distinct()
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
