@@ -43,9 +43,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def layout(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, first block of each text and the end): texts in whole blocks, two at least, zeros between them."""
+    """(bytes, first block of each text and the end): texts in whole blocks, two at least, and a block of zeros after each, so that no filter sees two texts."""
     sizes = np.diff(offsets)
-    blocks = np.maximum(2, -(-(sizes + WIDTH - 1) // BLOCK))
+    blocks = np.maximum(2, -(-(sizes + WIDTH - 1) // BLOCK)) + 1
     first = np.concatenate([[0], np.cumsum(blocks)])
     out = np.zeros(first[-1] * BLOCK + WIDTH, np.uint8)
     out[ranges(first[:-1] * BLOCK, sizes)] = raw
@@ -94,9 +94,9 @@ class Network:
                 z += tables[k][codes[lo + 2 * k : hi + 2 * k]]
             blocks[a:b] = z.reshape(b - a, BLOCK, FILTERS).max(1)
         keep = np.ones(first[-1], bool)
-        keep[first[1:] - 1] = False  # a chunk begins at each block but a text's last
+        keep[first[1:] - 1] = keep[first[1:] - 2] = False  # a chunk begins at each block but a text's last, and the zeros
         chunks = np.maximum(blocks, np.append(blocks[1:], blocks[:1], 0))[keep]
-        return 1 / (1 + np.exp(-self.combine(chunks, first[:-1] - np.arange(len(first) - 1)).astype(np.float64)))
+        return 1 / (1 + np.exp(-self.combine(chunks, first[:-1] - 2 * np.arange(len(first) - 1)).astype(np.float64)))
 
     def gradients(self, chunks: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean weighted cross entropy; chunks: bytes (n, CHUNK), documents beginning at ``at``."""
@@ -173,7 +173,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
                 data, first = layout(*binary_parts(batch.column("text")))
                 out = []
                 for a, b in zip(first[:-1], first[1:], strict=True):
-                    n = b - a - 1
+                    n = b - a - 2
                     starts = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(np.int64)) + a
                     out.append(data[np.minimum(starts[:, None] * BLOCK + np.arange(CHUNK), len(data) - 1)].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
