@@ -90,7 +90,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
-                        out = fs.open_output_stream(f"{root}/{name}")
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     member = packer.compress(_record(row[0], row[1], row[2].encode(), row[3], row[4])) + packer.flush()
                     out.write(member)
@@ -188,7 +188,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, expected in zip(batch.column("archive").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
                 rows, total = [], 0
-                with fs.open_input_stream(f"{root}/{name}") as stream:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for at, pieces in _members(stream):
                         try:
                             rows.append(_parse(pieces))
