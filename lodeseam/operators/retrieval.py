@@ -67,19 +67,25 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 def bm25(rows: DataFrame, keys: list[str], text: str, query: str, analyse=tokens) -> DataFrame:
     """keys, score of every row with a query term.
 
-    Scans the text once: lengths and the query's term counts come from the token
-    array, without an exploded index; df of the terms and the corpus size are one
-    aggregate, joined back as a single row.
+    Lengths and the query's term counts come from the token array, without an exploded
+    index; df of the terms and the corpus size are one aggregate, joined back as a
+    single row.  Rows that don't even hold a term as a substring are not split.  The
+    last filter is on the score, which needs that row: Catalyst would push one on the
+    counts below the projection, and split the text once per term.
     """
     spark = rows.sparkSession
     terms = spark.range(1).select(F.explode(F.array_distinct(analyse(F.lit(query)))).alias("t")).agg(F.sort_array(F.collect_list("t")).alias("t")).first()["t"]
-    words = rows.select(*keys, analyse(F.col(text)).alias("_w"))
-    tf = [_occurrences("_w", t) for t in terms]
-    counted = words.select(*keys, F.size("_w").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    joined = counted.where(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(terms))), F.lit(False))).crossJoin(F.broadcast(stats))  # one row
-    parts = [_bm25_term(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))]
-    return joined.select(*keys, reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))
+
+    def counted(part: DataFrame) -> DataFrame:
+        words = part.select(*keys, analyse(F.col(text)).alias("_w"))
+        return words.select(*keys, F.size("_w").alias("dl"), *(_occurrences("_w", t).alias(f"tf{i}") for i, t in enumerate(terms)))
+
+    n = range(len(terms))
+    stats = counted(rows).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in n))
+    some = rows.where(reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(t)) for t in terms), F.lit(False))) if analyse is tokens else rows
+    parts = [_bm25_term(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("avgdl")) for i in n]
+    scored = counted(some).crossJoin(F.broadcast(stats)).select(*keys, reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))  # one row
+    return scored.where(F.col("score") > 0)
 
 
 def _occurrences(words: str, term: str) -> Column:
