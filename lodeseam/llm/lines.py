@@ -3,24 +3,27 @@
 A line is normalised to its words: runs of letters, digits and non-ASCII
 characters, A-Z in lower case, every digit 0.  Lines of fewer than ``MIN_WORDS``
 words (headings, brackets, blank lines) are always kept.  Two lines are alike if
-their 64-bit SimHashes over words differ in at most ``BITS`` bits and the edit
-similarity of their normalised characters is at least ``LEAST``.  Of each connected
-group of like lines the first occurrence, by (doc_id, line number), is kept.
-
-1. Equal normalised lines are one class (128-bit digest), known by its first
-   occurrence; minima are aggregated before the shuffle.
-2. Pigeonhole: of five blocks of a SimHash, values that differ in three bits share
-   two.  For each of the ten choices of two blocks, distinct values are dealt
-   by these blocks' bits and compared within buckets.  A hot line is one value
-   there.  A small bucket gives all its pairs, a larger one a spanning forest,
-   found by search, so that its output is linear in its values.
-3. Classes of linked or equal values are verified by alignment of their texts.
-4. Components of verified links give each class the occurrence to keep; what is
-   removed, one row per document that loses lines, joins the documents.
-
-A forest link that fails the edit check could in principle hide a like pair of the
-same bucket; failed links' buckets are therefore searched again, pair by pair,
-between the values that the verified links left apart.
+their 64-bit SimHashes over words (each occurrence of a word is a feature of its
+own, so that one frequent word does not decide) differ in at most ``BITS`` bits
+and the edit similarity of their words, 1 - edits / words of the longer one, is at
+least ``LEAST``.  Of each connected group of like lines the first occurrence, by
+(doc_id, line number), is kept.
+
+1. Classes.  A batch of documents keeps the first of its equal lines (128-bit
+   digest) and sends it to the digest's shard; later ones are lost already.  The
+   shard finds each class's first occurrence; the rest are lost.  A hot line is
+   one message per batch.
+2. Pigeonhole.  Of five blocks of a SimHash, values that differ in three bits
+   share two.  For each of the ten choices of two blocks, classes are dealt by
+   these blocks' bits and compared within buckets.  A small bucket gives all its
+   pairs; a large one a spanning forest, found by search, so that its output is
+   linear in its values.
+3. Linked classes are verified by banded alignment of their words.
+4. Where a link fails that may stand for others (a forest's, or one between
+   values that several classes share), the classes of the components that it
+   should have joined are compared again pair by pair, so that none is missed.
+5. Components of verified links give each class the occurrence to keep.  What
+   is lost, one row per document that loses lines, joins the documents.
 
 Odd input: null text: no lines; null doc_id: kept whole, and compared with none;
 rows that repeat a doc_id are ordered by a hash of their text, and identical rows
@@ -76,15 +79,28 @@ class Lines:
         self.first = np.searchsorted(w.start, np.append(self.start, len(w.raw)))
         self.counts = np.diff(self.first)
 
-    def normal(self, line: int) -> bytes:
-        w, (a, b) = self.words, (self.first[line], self.first[line + 1])
-        return b" ".join(self.raw[s:e].tobytes() for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))
+
+def occurrences(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Word identities, labelled with how often the word came before in its run."""
+    counts = np.diff(first)
+    own = ids[first[0] : first[-1]] + np.repeat(np.arange(len(counts), dtype=np.uint64) * _U(0x9E3779B97F4A7C15), counts)
+    order = np.argsort(own, kind="stable")
+    again = np.flatnonzero(own[order][1:] == own[order][:-1]) + 1
+    nth = np.zeros(len(own), np.uint64)
+    if len(again):
+        run = np.append(True, np.diff(again) > 1)
+        at = np.flatnonzero(run)
+        nth[order[again]] = (np.arange(len(again)) - np.repeat(at, np.diff(np.append(at, len(again)))) + 1).astype(np.uint64)
+    out = ids.copy()
+    out[first[0] : first[-1]] = mix(ids[first[0] : first[-1]] + nth * _U(0xE7037ED1A0B428DB))
+    return out
 
 
 def simhash(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of word identities [first[i], first[i + 1])."""
+    """64-bit SimHash of each run [first[i], first[i + 1]) over its words, each occurrence a feature of its own."""
     n = len(first) - 1
     counts = np.diff(first)
+    ids = occurrences(ids, first)
     parts = -(-counts // 255)
     whole = np.flatnonzero(parts)
     if not len(whole):
@@ -113,152 +129,245 @@ def _digest(ids: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     return mix(total[first[1:] - first[0]] - total[first[:-1] - first[0]] + n.astype(np.uint64) * _U(salt | 1))
 
 
-_LINE = "doc_id long, row long, line int, hi long, lo long, sim long"
+def _packed(shard: np.ndarray, shards: int, columns: list[np.ndarray]) -> list[tuple]:
+    """(shard, bytes of each column) for every shard that gets rows."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    columns = [c[order] for c in columns]
+    return [(s, *(c[lo:hi].tobytes() for c in columns)) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+
+
+def _batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
+
+def _first_of_equal(hi, lo, doc, row, line) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of the first occurrence of each digest, indexes of the others at other places)."""
+    order = np.lexsort((line, row, doc, lo, hi))
+    new = np.append(True, (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1]))[: len(order)]
+    first = order[new]
+    head = first[np.cumsum(new) - 1] if len(first) else order
+    elsewhere = (doc[order] != doc[head]) | (row[order] != row[head]) | (line[order] != line[head])
+    return first, order[elsewhere]
 
 
-def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, row (a hash of the text), line, digest (hi, lo), sim of each line that takes part."""
+_SENT = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("hi", "lo", "sim", "doc", "row", "line"))]
+_OCCURRENCE = pa.schema([("lost", pa.bool_()), ("sim", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def line_classes(docs: DataFrame, min_words: int, shards: int) -> DataFrame:
+    """lost, sim, doc_id, row, line: one row per class (its first occurrence), and one per lost occurrence."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            parts = []
             for batch in slices(whole, "text"):
                 ls = Lines(batch.column("text"))
                 ids = ls.words.ids()
                 keep = ls.counts >= min_words
-                sim, hi, lo = simhash(ids, ls.first), _digest(ids, ls.first, 17), _digest(ids, ls.first, 91)
-                doc, row = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(doc[ls.text[keep]]), pa.array(row[ls.text[keep]]), pa.array(ls.number[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (hi, lo, sim))], ["doc_id", "row", "line", "hi", "lo", "sim"])
-
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _LINE)
-
-
-def _near_pairs(values: np.ndarray, key: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between values of equal key that differ in at most BITS bits: all pairs of small buckets, forests of others."""
+                doc, row = batch.column("doc_id").to_numpy()[ls.text], batch.column("row").to_numpy()[ls.text]
+                parts.append([x[keep] for x in (_digest(ids, ls.first, 17), _digest(ids, ls.first, 91), simhash(ids, ls.first), doc, row, ls.number.astype(np.int32))])
+            if not parts:
+                continue
+            hi, lo, sim, doc, row, line = (np.concatenate(c) for c in zip(*parts, strict=True))
+            first, rest = _first_of_equal(hi, lo, doc, row, line)
+            # lost ones are passed on without a digest
+            for i, place, columns in ((first, hi, (hi, lo, sim, doc, row, line)), (rest, doc.view(np.uint64), (doc, row, line))):
+                out = _packed((mix(place[i]) % _U(shards)).astype(np.int32), shards, [c[i] for c in columns])
+                if out:
+                    yield _batch([(s, *[b""] * (6 - len(r)), *r) for s, *r in out], _SENT)
+
+    def group(rows: pa.Table) -> pa.Table:
+        kept, lost = [], []
+        for hi, lo, sim, doc, row, line in zip(*(rows.column(f.name).to_pylist() for f in _SENT[1:]), strict=True):
+            place = [np.frombuffer(doc, np.int64), np.frombuffer(row, np.int64), np.frombuffer(line, np.int32)]
+            kept.append([np.frombuffer(x, np.uint64) for x in (hi, lo, sim)] + place) if hi else lost.append(place)
+        out = []
+        if kept:
+            hi, lo, sim, doc, row, line = (np.concatenate(c) for c in zip(*kept, strict=True))
+            first, rest = _first_of_equal(hi, lo, doc, row, line)
+            out.append((np.zeros(len(first), bool), sim[first].view(np.int64), doc[first], row[first], line[first]))
+            lost.append([doc[rest], row[rest], line[rest]])
+        doc, row, line = (np.concatenate(c) for c in zip(*lost, strict=True))
+        out.append((np.ones(len(doc), bool), np.zeros(len(doc), np.int64), doc, row, line))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=_OCCURRENCE)
+
+    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return named.mapInArrow(send, "shard int, hi binary, lo binary, sim binary, doc binary, row binary, line binary").groupBy("shard").applyInArrow(group, "lost boolean, sim long, doc_id long, row long, line int")
+
+
+def _near_pairs(values: np.ndarray, key: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of values of equal key that differ in at most BITS bits, and whether they are a forest's: all pairs of small buckets, forests of others."""
     order = np.argsort(key, kind="stable")
-    values, key = values[order], key[order]
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
     n = np.diff(np.append(at, len(key)))
-    one, two = [], []
+    one, two, forest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+
+    def add(a: np.ndarray, b: np.ndarray, flag: bool) -> None:
+        one.append(a)
+        two.append(b)
+        forest.append(np.full(len(a), flag))
+
     for size in np.unique(n[(n > 1) & (n <= small)]):
-        rows = at[n == size]
         i, j = np.triu_indices(size, 1)
-        a, b = values[rows[:, None] + i].ravel(), values[rows[:, None] + j].ravel()
-        near = np.bitwise_count(a ^ b) <= BITS
-        one.append(a[near])
-        two.append(b[near])
+        starts = at[n == size]
+        for lo in range(0, len(starts), 1 << 14):
+            rows = starts[lo : lo + (1 << 14), None]
+            a, b = order[(rows + i).ravel()], order[(rows + j).ravel()]
+            near = np.bitwise_count(values[a] ^ values[b]) <= BITS
+            add(a[near], b[near], False)
     for lo, size in zip(at[n > small], n[n > small], strict=True):
-        rest = values[lo : lo + size]
-        queue: list[np.uint64] = []
+        rest, queue = order[lo : lo + size], []
         while queue or len(rest):
             if queue:
                 seed = queue.pop()
             else:
                 seed, rest = rest[0], rest[1:]
-            near = np.bitwise_count(rest ^ seed) <= BITS
-            found = rest[near]
-            one.append(np.full(len(found), seed))
-            two.append(found)
-            queue += found.tolist()
-            queue = [_U(q) for q in queue]
+            near = np.bitwise_count(values[rest] ^ values[seed]) <= BITS
+            add(np.full(near.sum(), seed), rest[near], True)
+            queue += rest[near].tolist()
             rest = rest[~near]
-    empty = [np.zeros(0, np.uint64)]
-    return np.concatenate(one or empty), np.concatenate(two or empty)
+    return np.concatenate(one), np.concatenate(two), np.concatenate(forest)
+
 
+_KEYED = [pa.field("shard", pa.int32()), pa.field("t", pa.int32()), *(pa.field(c, pa.binary()) for c in ("sim", "id", "root"))]
 
-def near_values(sims: DataFrame, shards: int, small: int = _SMALL) -> DataFrame:
-    """(s, t): links between distinct SimHashes (sim) that differ in at most BITS bits; see the module's text."""
+
+def _dealt(classes: DataFrame, shards: int) -> DataFrame:
+    """id, sim, root of classes, packed, once for each choice of blocks, dealt by their bits."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("sim").to_numpy().view(np.uint64)
+            v, ids = batch.column("sim").to_numpy().view(np.uint64), batch.column("id").to_numpy()
+            root = [batch.column("root").to_numpy()] if "root" in batch.schema.names else []
             out = []
             for t, (a, b) in enumerate(_TABLES):
                 place = (mix((v & _U(_MASKS[a] | _MASKS[b])) + _U(t)) % _U(shards)).astype(np.int32)
-                order = np.argsort(place, kind="stable")
-                cuts = np.searchsorted(place[order], np.arange(shards + 1))
-                out += [(s, t, v[order[lo:hi]].tobytes()) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)] if out else [pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["shard", "t", "data"])
+                out += [(s, t, *x, *[b""] * (1 - len(root))) for s, *x in _packed(place, shards, [v, ids, *root])]
+            if out:
+                yield _batch(out, _KEYED)
+
+    return classes.mapInArrow(send, "shard int, t int, sim binary, id binary, root binary").groupBy("shard")
+
+
+def crossing_links(classes: DataFrame, shards: int) -> DataFrame:
+    """(a, b, forest = false), a < b: all links between classes (id, sim, root) of different roots; memory is linear in a bucket."""
 
     def link(rows: pa.Table) -> pa.Table:
-        by: dict[int, list[np.ndarray]] = {}
-        for t, data in zip(rows.column("t").to_pylist(), rows.column("data").to_pylist(), strict=True):
-            by.setdefault(t, []).append(np.frombuffer(data, np.uint64))
-        pairs = []
+        by: dict[int, list] = {}
+        for t, *packed in zip(*(rows.column(c).to_pylist() for c in ("t", "sim", "id", "root")), strict=True):
+            by.setdefault(t, []).append([np.frombuffer(x, np.uint64 if i == 0 else np.int64) for i, x in enumerate(packed)])
+        found = [np.zeros((0, 2), np.int64)]
         for t, parts in by.items():
+            v, ids, root = (np.concatenate(c) for c in zip(*parts, strict=True))
             a, b = _TABLES[t]
-            v = np.concatenate(parts)
-            x, y = _near_pairs(v, v & _U(_MASKS[a] | _MASKS[b]), small)
-            pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
-        return pa.table({"s": pa.array(pairs[:, 0].copy().view(np.int64)), "t": pa.array(pairs[:, 1].copy().view(np.int64))})
+            key = v & _U(_MASKS[a] | _MASKS[b])
+            order = np.argsort(key, kind="stable")
+            v, ids, root, key = v[order], ids[order], root[order], key[order]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
+                names, sizes = np.unique(root[lo:hi], return_counts=True)
+                if len(names) == 1:
+                    continue
+                most = names[sizes.argmax()]
+                for i in np.flatnonzero(root[lo:hi] != most) + lo:
+                    other = (root[lo:hi] == most) | (np.arange(lo, hi) > i) & (root[lo:hi] != root[i])
+                    j = np.flatnonzero(other & (np.bitwise_count(v[lo:hi] ^ v[i]) <= BITS)) + lo
+                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "forest": np.zeros(len(pairs), bool)})
+
+    return _dealt(classes.select("id", "sim", "root"), shards).applyInArrow(link, "a long, b long, forest boolean").distinct()
+
+
+def near_links(classes: DataFrame, shards: int, small: int = _SMALL) -> DataFrame:
+    """(a, b, forest), a < b: links between classes (id, sim) whose SimHashes differ in at most BITS bits; forest: it may stand for others."""
 
-    return sims.mapInArrow(send, "shard int, t int, data binary").groupBy("shard").applyInArrow(link, "s long, t long").distinct()
+    def link(rows: pa.Table) -> pa.Table:
+        by: dict[int, list] = {}
+        for t, sim, ids in zip(*(rows.column(c).to_pylist() for c in ("t", "sim", "id")), strict=True):
+            by.setdefault(t, []).append((np.frombuffer(sim, np.uint64), np.frombuffer(ids, np.int64)))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for t, parts in by.items():
+            v, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((ids, v))
+            v, ids = v[order], ids[order]
+            at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+            n = np.diff(np.append(at, len(v)))
+            if t == 0:  # equal values, which meet in every table; towards other values the least id stands for all
+                for size in np.unique(n[(n > 1) & (n <= small)]):
+                    i, j = np.triu_indices(size, 1)
+                    rows_ = at[n == size][:, None]
+                    found.append((ids[(rows_ + i).ravel()], ids[(rows_ + j).ravel()], np.ones(len(rows_) * len(i), bool)))
+                for lo, size in zip(at[n > small], n[n > small], strict=True):
+                    found.append((np.full(size - 1, ids[lo]), ids[lo + 1 : lo + size], np.ones(size - 1, bool)))
+            a, b = _TABLES[t]
+            i, j, forest = _near_pairs(v[at], v[at] & _U(_MASKS[a] | _MASKS[b]), small)
+            found.append((ids[at][i], ids[at][j], forest | (n[i] > 1) | (n[j] > 1)))
+        x, y, forest = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "forest": forest})
+
+    return _dealt(classes.select("id", "sim"), shards).applyInArrow(link, "a long, b long, forest boolean").groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
 
 
-def _verified(edges: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """edges (a, b: struct doc_id, row, line) and ok: whether the lines' edit similarity is at least ``least``."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    wanted = cut(ends.groupBy("n.doc_id", "n.row").agg(F.sort_array(F.collect_list("n.line")).alias("lines")))
-    few = (wanted.agg(F.sum(F.size("lines") + 6)).first()[0] or 0) <= 1_000_000  # 4 bytes each
-    texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "lines").dropDuplicates(["doc_id", "row"])
+def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """a, b, forest and ok: whether the lines' edit similarity is at least ``least``."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut(classes.join(ends, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines")))
+    few = (wanted.agg(F.sum(F.size("lines") + 3)).first()[0] or 0) <= 1_000_000  # 16 bytes each
+    texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"]).select("text", "lines")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 ls = Lines(batch.column("text"))
-                out = [(d, r, n, ls.normal(int(first) + n)) for d, r, first, lines in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), ls.first_line[:-1], batch.column("lines").to_pylist(), strict=True) for n in lines]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "row", "line", "normal"])
-
-    normal = texts.mapInArrow(extract, "doc_id long, row long, line int, normal binary").select(F.struct("doc_id", "row", "line").alias("n"), "normal")
-    both = edges.join(normal.select(F.col("n").alias("b"), F.col("normal").alias("nb")), "b").join(normal.select(F.col("n").alias("a"), F.col("normal").alias("na")), "a")
+                ids = (ls.words.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
+                out = []
+                for first, lines in zip(ls.first_line[:-1].tolist(), batch.column("lines").to_pylist(), strict=True):
+                    for x in lines:
+                        n = first + x["line"]
+                        out.append((x["id"], ids[ls.first[n] : ls.first[n + 1]].tobytes()))
+                yield _batch(out, [pa.field("id", pa.int64()), pa.field("words", pa.binary())])
+
+    words = texts.mapInArrow(extract, "id long, words binary").dropDuplicates(["id"])
+    left = edges.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    both = left.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "forest", "wa", "wb")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
-                most = int(max(len(x), len(y)) * (1 - least) + 1e-9)
-                ok.append(alignment_distance(*(np.frombuffer(v, np.uint8).astype(np.uint32) for v in (x, y)), most) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    node = "struct<doc_id:long,row:long,line:int>"
-    return both.select("a", "b", "na", "nb").mapInArrow(align, f"a {node}, b {node}, ok boolean")
-
+            for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
+                most = int(max(len(x), len(y)) // 4 * (1 - least) + 1e-9)
+                ok.append(alignment_distance(x, y, most) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "forest")] + [pa.array(ok, pa.bool_())], ["a", "b", "forest", "ok"])
 
-def _class_edges(links: DataFrame, heads: DataFrame) -> DataFrame:
-    """Links between SimHashes as links between the first occurrences of their values."""
-    return links.join(heads.select(F.col("sim").alias("s"), F.col("head").alias("a")), "s").join(heads.select(F.col("sim").alias("t"), F.col("head").alias("b")), "t").select("a", "b")
+    return both.mapInArrow(align, "a long, b long, forest boolean, ok boolean")
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAST) -> DataFrame:
+def lost_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, row, lines: numbers, from 0, of the lines that each document loses. docs: doc_id, row, text."""
-    rows = cut(line_rows(docs, min_words))
-    occurrence = F.struct("doc_id", "row", "line")
-    classes = cut(rows.groupBy("hi", "lo").agg(F.min(occurrence).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")))
-    heads = classes.groupBy("sim").agg(F.min("first").alias("head"), F.count("*").alias("classes"))
-    spark = docs.sparkSession
-    sims = classes.select("sim").distinct()
-    shards = max(width(spark), -(-classes.count() * len(_TABLES) // (1 << 22)))
-    links = cut(near_values(sims, shards))
-    same = classes.join(heads.where("classes > 1"), "sim").where("first <> head").select(F.col("head").alias("a"), F.col("first").alias("b"))
-    tried = cut(_verified(_class_edges(links, heads).unionByName(same), docs, least))
+    wide = width(docs.sparkSession)
+    rows = cut(line_classes(docs, min_words, wide).withColumn("id", F.monotonically_increasing_id()))
+    classes = rows.where("NOT lost").select("id", "sim", "doc_id", "row", "line")
+    shards = max(wide, -(-classes.count() * len(_TABLES) // (1 << 22)))
+    tried = cut(_verified(cut(near_links(classes, shards)), classes, docs, least))
     good = tried.where("ok").select("a", "b")
     found = components(good)
-    if tried.where("NOT ok").limit(1).count():
-        # values near a failed link, pair by pair, unless they are in one component already
-        failed = tried.where("NOT ok").select(F.explode(F.array("a", "b")).alias("first")).distinct()
-        doubtful = classes.join(failed, "first", "left_semi").select(F.col("sim").alias("s")).distinct()
-        around = links.join(doubtful, "s").select("s", "t").unionByName(links.join(doubtful.select(F.col("s").alias("t")), "t").select("s", "t"))
-        sims = around.select(F.explode(F.array("s", "t")).alias("sim")).unionByName(doubtful.select(F.col("s").alias("sim"))).distinct()
-        every = near_values(sims, shards, small=1 << 14).unionByName(sims.select(F.col("sim").alias("s"), F.col("sim").alias("t")))
-        member = classes.join(sims, "sim", "left_semi").select("sim", "first").join(found.withColumnRenamed("node", "first"), "first", "left").select("sim", "first", F.coalesce("root", "first").alias("root"))
-        again = every.join(member.select(F.col("sim").alias("s"), F.col("first").alias("a"), F.col("root").alias("ra")), "s").join(member.select(F.col("sim").alias("t"), F.col("first").alias("b"), F.col("root").alias("rb")), "t")
-        again = again.where("ra <> rb AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = cut(_verified(again, docs, least)).where("ok").select("a", "b")
+    failed = tried.where("forest AND NOT ok")
+    if failed.limit(1).count():
+        rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "sim", F.coalesce("root", "id").alias("root"))
+        ends = failed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        doubtful = cut(rooted.join(rooted.join(ends, "id").select("root").distinct(), "root", "left_semi"))
+        apart = crossing_links(doubtful, shards)
+        more = cut(_verified(cut(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti")), classes, docs, least)).where("ok").select("a", "b")
         if more.limit(1).count():
             found = components(good.unionByName(more))
-    kept = classes.join(found.withColumnRenamed("node", "first"), "first", "left").where("n > 1 OR (root IS NOT NULL AND root <> first)").select("hi", "lo", F.coalesce("root", "first").alias("keep"))
-    lost = rows.join(kept, ["hi", "lo"]).where(F.struct("doc_id", "row", "line") != F.col("keep"))
-    return lost.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    grouped = classes.join(found.withColumnRenamed("node", "id"), "id").select("root", F.struct("doc_id", "row", "line").alias("at"))
+    keep = grouped.groupBy("root").agg(F.min("at").alias("keep"))
+    later = grouped.join(keep, "root").where("at <> keep").select("at.*")
+    lost = rows.where("lost").select("doc_id", "row", "line").unionByName(later)
+    return lost.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAST) -> DataFrame:
@@ -267,7 +376,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAS
     docs = docs.withColumn("row", F.xxhash64("text")) if "row" not in fields else docs.withColumnRenamed("row", "_row_").withColumn("row", F.xxhash64("text"))
     own = [c for c in docs.schema.names if c not in ("row", "text")]
     judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("string").alias("text"))
-    lost = duplicate_lines(judged, min_words, least).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_text"), "lines")
+    lost = lost_lines(judged, min_words, least).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_text"), "lines")
     joined = docs.select(F.col("text").cast("string").alias("text"), F.struct(*own).alias("own"), "row").join(lost, (F.col("own.doc_id").cast("long") == F.col("_doc")) & (F.col("row") == F.col("_text")), "left").select("own", "text", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,7 +170,13 @@ def test_lines_on_odd_documents(spark):
 def test_simhash_is_the_majority_of_bits():
     ids = common.mix(np.arange(1, 900, dtype=np.uint64))
     first = np.array([0, 3, 3, 10, 899])
-    want = [sum(1 << b for b in range(64) if 2 * int(((ids[a:z] >> np.uint64(b)) & np.uint64(1)).sum()) > z - a) for a, z in zip(first[:-1], first[1:])]
+    ids[5], ids[9], ids[700] = ids[4], ids[4], ids[699]
+    seen, labelled = {}, ids.copy()
+    for i in range(len(ids)):
+        k = (int(np.searchsorted(first, i, "right")), int(ids[i]))
+        labelled[i] = common.mix(ids[i : i + 1] + np.array([seen.get(k, 0)], np.uint64) * np.uint64(0xE7037ED1A0B428DB))[0]
+        seen[k] = seen.get(k, 0) + 1
+    want = [sum(1 << b for b in range(64) if 2 * int(((labelled[a:z] >> np.uint64(b)) & np.uint64(1)).sum()) > z - a) for a, z in zip(first[:-1], first[1:])]
     assert lines.simhash(ids, first).tolist() == want
 
 
