@@ -20,6 +20,8 @@ from ..sources import filesystem, testcases
 from .store import Store, append_meta, metas, now
 
 _POSTINGS = schemas.StructType([*schemas._s("doc_id"), schemas.StructField("chunk_ix", schemas.IntegerType()), schemas.StructField("dl", schemas.IntegerType()), *schemas._s("token"), schemas.StructField("tf", schemas.LongType())])
+_FREQUENCIES = schemas.StructType([*schemas._s("token"), schemas.StructField("df", schemas.LongType())])
+_STATS = schemas.StructType([schemas.StructField("n", schemas.LongType()), schemas.StructField("avgdl", schemas.DoubleType())])
 
 
 class SearchError(RuntimeError):
@@ -127,8 +129,10 @@ class Engine:
                 rewritten = todo.select("doc_id").unionByName(away).distinct()
                 kept = self._chunks(profile).limit(0) if rebuild else self._chunks(profile).join(rewritten, "doc_id", "left_anti")
                 written = self.store.write(f"chunks/{self.generation}/{profile}", kept.unionByName(fresh))
-                postings = R.postings(written, ["doc_id", "chunk_ix"], "text", self.analyse)
-                self.store.write(f"postings/{self.generation}/{profile}", postings.repartitionByRange("token").sortWithinPartitions("token"))
+                by_token = lambda df: df.repartitionByRange("token").sortWithinPartitions("token")  # noqa: E731  so that a query skips row groups
+                postings = self.store.write(f"postings/{self.generation}/{profile}", by_token(R.postings(written, ["doc_id", "chunk_ix"], "text", self.analyse)))
+                self.store.write(f"frequencies/{self.generation}/{profile}", by_token(R.document_frequencies(postings)))
+                self.store.write(f"stats/{self.generation}/{profile}", R.corpus_stats(written, "text", self.analyse))
                 counts = written.join(todo.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
                 row = lambda d, status: d.select("doc_id", F.lit(self.generation).alias("generation_id"), F.lit(profile).alias("embedding_profile_id"), F.lit(status).alias("status"), "chunk_count", "indexed_content_hash", "indexed_markdown_path", F.lit(now()).alias("embedded_at"), F.lit(now()).alias("updated_at"))
                 done = todo.join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.col("content_hash").alias("indexed_content_hash"), F.col("markdown_path").alias("indexed_markdown_path"))
@@ -149,10 +153,9 @@ class Engine:
     def _hits(self, profile: str, query: str, mode: R.Mode, n: int, threshold: float) -> DataFrame:
         keys, chunks = ["doc_id", "chunk_ix"], self._chunks(profile)
         terms = [r.t for r in self.spark.range(1).select(F.explode(F.array_distinct(self.analyse(F.lit(query)))).alias("t")).collect()]
-        postings = self._postings(profile)
-        lengths = postings.select(*keys, "dl").distinct()
-        stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        keyword = R.bm25_from_index(postings, stats, R.document_frequencies(postings), keys, terms)
+        stats = self.store.table(f"stats/{self.generation}/{profile}", _STATS)
+        frequencies = self.store.table(f"frequencies/{self.generation}/{profile}", _FREQUENCIES)
+        keyword = R.bm25_from_index(self._postings(profile), stats, frequencies, keys, terms)
         vector = None
         if mode is not R.Mode.KEYWORD:
             try:

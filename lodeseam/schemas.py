@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 
 def _s(*names: str) -> list[StructField]:

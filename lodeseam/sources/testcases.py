@@ -92,6 +92,41 @@ def links_union(issues: Column, web: Column) -> Column:
     return F.concat(F.coalesce(a, empty), F.coalesce(b, empty))
 
 
+_STEP = "struct<index:bigint,description:string,testData:string,expectedResult:string,customFields:string>"
+_CASE = f"""struct<id:bigint,key:string,name:string,folder:struct<id:bigint,name:string>,status:struct<id:bigint,name:string>,priority:struct<id:bigint,name:string>,owner:string,
+objective:string,precondition:string,labels:array<string>,testScript:struct<type:string,steps:array<{_STEP}>,text:string>,createdOn:string,updatedOn:string>"""
+
+
+def _steps(steps: Column) -> Column:
+    fields = lambda s: F.from_json(s["customFields"], "map<string,string>")
+    return F.transform(steps, lambda s: F.struct(s["index"].alias("index"), s["description"].alias("description"), s["testData"].alias("test_data"), s["expectedResult"].alias("expected_result"), fields(s).alias("custom_fields")))
+
+
+def parse_cases(raw: DataFrame, steps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """Test cases (schemas.TEST_CASES) from JSON values as the service sends them.
+
+    raw: value; steps: key, value (a page's wrapped step) for cases whose steps are not
+    inline; links: key, value (issueLinks, webLinks).  Cases without either keep none.
+    """
+    owner = owner_text(F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.owner", "variant")))
+    out = raw.select(F.from_json("value", _CASE).alias("c"), owner.alias("owner_id")).where("c.key IS NOT NULL").select("c.*", "owner_id")
+    if steps is not None:
+        wrapped = steps.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.from_json("value", f"struct<inline:{_STEP}>")).alias("_w"))
+        out = out.join(wrapped, F.col("key") == F.col("_k"), "left").drop("_k")
+    else:
+        out = out.withColumn("_w", F.lit(None).cast(f"array<struct<inline:{_STEP}>>"))
+    if links is not None:
+        parsed = links.select(F.col("key").alias("_lk"), F.from_json("value", "struct<issueLinks:array<struct<target:struct<issueKey:string>>>,webLinks:array<struct<url:string>>>").alias("_l"))
+        out = out.join(parsed, F.col("key") == F.col("_lk"), "left").drop("_lk").withColumn("_links", links_union(F.col("_l.issueLinks"), F.col("_l.webLinks")))
+    else:
+        out = out.withColumn("_links", F.lit(None).cast("array<struct<issue_key:string,url:string>>"))
+    return out.select(
+        "id", "key", "name", "folder", "status", "priority", F.col("owner_id").alias("owner"), "objective", "precondition", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
+        _steps(F.coalesce("testScript.steps", inline_steps(F.col("_w")))).alias("steps"), F.col("testScript.text").alias("script_text"), F.col("testScript").isNotNull().alias("has_script"), F.col("_links").alias("links"),
+        F.col("createdOn").alias("created_on"), F.col("updatedOn").alias("updated_on"),
+    )
+
+
 def named(cases: DataFrame, statuses: DataFrame, priorities: DataFrame, paths: DataFrame) -> DataFrame:
     """Adds status_name, priority_name (the inline name, or by id, or Unknown) and folder_path (or ``(unfiled)``)."""
     s = F.broadcast(statuses.select(F.col("id").alias("_sid"), F.col("name").alias("_sname")))

@@ -164,6 +164,21 @@ def test_pages_follow_next():
     assert list(testcases.pages(lambda u: replies[u.replace("b/b/", "b/")], "b", "x")) == [1, 2, 3]
 
 
+def test_cases_from_json(spark):
+    values = [
+        {"id": 1, "key": "K-1", "name": "n", "folder": {"id": 3}, "owner": {"accountId": "acc"}, "labels": ["l"], "testScript": {"type": "steps", "steps": [{"index": 1, "description": "d", "customFields": {"a": "x", "n": 3}}]}, "createdOn": "c"},
+        {"id": 2, "key": "K-2", "name": "m", "owner": "me", "testScript": None}, {"id": 3, "key": "K-3", "name": "o", "owner": 5, "testScript": {"type": "plain", "text": "t"}}, {"nothing": 1},
+    ]
+    raw = spark.createDataFrame([(json.dumps(v),) for v in values], "value string")
+    steps = spark.createDataFrame([("K-2", json.dumps({"inline": {"index": 2, "testData": "t"}})), ("K-2", json.dumps({"inline": None}))], "key string, value string")
+    links = spark.createDataFrame([("K-1", json.dumps({"issueLinks": [{"target": {"issueKey": "J-1"}}, {"target": None}], "webLinks": [{"url": "u"}]}))], "key string, value string")
+    got = {r.key: r for r in testcases.parse_cases(raw, steps, links).collect()}
+    assert set(got) == {"K-1", "K-2", "K-3"} and [got[k].owner for k in sorted(got)] == ["acc", "me", None]
+    assert got["K-1"].steps[0].custom_fields == {"a": "x", "n": "3"} and [(x.issue_key, x.url) for x in got["K-1"].links] == [("J-1", None), (None, "u")]
+    assert [s.test_data for s in got["K-2"].steps] == ["t"] and not got["K-2"].has_script and got["K-3"].script_text == "t"
+    assert testcases.parse_cases(raw).schema.fieldNames() == [f.name for f in schemas.TEST_CASES.fields]
+
+
 def test_owner_and_unions(spark):
     df = spark.createDataFrame([('"me"',), ('{"accountId":"a"}',), ("3",), (None,)], "o string")
     assert [r[0] for r in df.select(testcases.owner_text(F.col("o"))).collect()] == ["me", "a", None, None]
