@@ -7,6 +7,8 @@ hashes of word windows) that several operators build on.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -129,7 +131,7 @@ class _Powers:
 
 
 #: Long inputs are hashed in pieces of so many positions, so that power tables stay small.
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_WBASE)
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -242,7 +244,14 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.astype(np.int64)) + first
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def tidy() -> None:
+    """Gives freed work memory back to the system: workers are reused, and one executor runs several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """A batch in runs of rows whose texts hold about ``most`` bytes (at least one row), so that work arrays stay small."""
     _, offsets = binary_parts(batch.column(column))
     n, at = batch.num_rows, 0
@@ -250,6 +259,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    tidy()
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

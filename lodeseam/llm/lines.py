@@ -380,7 +380,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAS
     joined = docs.select(F.col("text").cast("string").alias("text"), F.struct(*own).alias("own"), "row").join(lost, (F.col("own.doc_id").cast("long") == F.col("_doc")) & (F.col("row") == F.col("_text")), "left").select("own", "text", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts, total, removed = [], [], []
             for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 parts = text.split("\n") if text is not None else []

@@ -74,8 +74,8 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.pool = np.zeros(0, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
 
     def _encode(self, parts: list[bytes]) -> None:
         """Fills ``stems``.  A text of letters is one run, which ends with its one word-end token."""
@@ -105,15 +105,15 @@ class WordEncoder:
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         split = [self._parts(w) for w in words]
-        if len(self.stems) > REMEMBERED // 4:
+        if len(self.stems) > REMEMBERED // 16:
             self.stems.clear()
         self._encode([p for p in {p for parts in split for p in parts} if p not in self.stems])
         coded = [self.stems[parts[0]] if len(parts) == 1 else self.stems[parts[0]] + self.stems[parts[1]] for parts in split]
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), np.uint32)])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), np.uint32).astype(self.pool.dtype)])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at.astype(np.uint32)), np.insert(self.size, where, size.astype(np.uint32))
 
     def batch(self, column) -> list[np.ndarray]:
         """Ids of each text of a column, without any special token."""
@@ -131,8 +131,8 @@ class WordEncoder:
             raw = w.raw.tobytes()
             self._learn(own[fresh], [raw[a:b] for a, b in zip(w.start[at[fresh]].tolist(), w.end[at[fresh]].tolist(), strict=True)])
         k = np.searchsorted(self.keys, own)[number]
-        size = self.size[k]
-        ids = self.pool[ranges(self.at[k], size)]
+        size = self.size[k].astype(np.int64)
+        ids = self.pool[ranges(self.at[k].astype(np.int64), size)].astype(np.uint32)
         cuts = np.concatenate([[0], np.cumsum(size)])[w.first]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, binary_parts, pack_sorted, table, text_bytes, unpack_sorted, width, window_hash
+from .common import NOT_SPACE, Words, binary_parts, pack_sorted, table, text_bytes, tidy, unpack_sorted, width, window_hash
 
 SIZE = 13
 #: Text bytes that a block is planned for, windows that a shard is planned for, log2 of cells in a row of its sketch.
@@ -143,6 +143,7 @@ def repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def sketch(rows: pa.Table) -> pa.Table:
         block = _Block(rows, size, shard_bits)
         blk = rows.column("blk")[0].as_py()
+        tidy()
         sent = block.sent_cells()
         cuts = [_by_shard(cells, shards) for cells, _ in sent]
         out = []
@@ -248,6 +249,7 @@ def repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
             kept = b" ".join(words)
             sums.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept.decode())
+        tidy()
         return pa.table([rows.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums), pa.array(texts)], schema=result)
 
     cells = dealt.groupBy("blk").applyInArrow(sketch, _MSG_DDL)
