@@ -1,28 +1,30 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line dedup: shared runs of words, lossless bounds, edit similarity, connected groups.
 
 A line is normalised to its words: runs of letters, digits and non-ASCII
 characters, A-Z in lower case, every digit 0.  Lines of fewer than ``MIN_WORDS``
-words (headings, brackets, blank lines) are always kept.  Two lines are alike if
-their 64-bit SimHashes over words (each occurrence of a word is a feature of its
-own, so that one frequent word does not decide) differ in at most ``BITS`` bits
-and the edit similarity of their words, 1 - edits / words of the longer one, is at
-least ``LEAST``.  Of each connected group of like lines the first occurrence, by
+words (brackets, blank lines) are always kept.  Two lines are alike if the edit
+similarity of their words, 1 - edits / words of the longer one, is at least
+``LEAST``.  Of each connected group of like lines the first occurrence, by
 (doc_id, line number), is kept.
 
 1. Classes.  A batch of documents keeps the first of its equal lines (128-bit
    digest) and sends it to the digest's shard; later ones are lost already.  The
    shard finds each class's first occurrence; the rest are lost.  A hot line is
    one message per batch.
-2. Pigeonhole.  Of five blocks of a SimHash, values that differ in three bits
-   share two.  For each of the ten choices of two blocks, classes are dealt by
-   these blocks' bits and compared within buckets.  A small bucket gives all its
-   pairs; a large one a spanning forest, found by search, so that its output is
-   linear in its values.
-3. Linked classes are verified by banded alignment of their words.
-4. Where a link fails that may stand for others (a forest's, or one between
-   values that several classes share), the classes of the components that it
-   should have joined are compared again pair by pair, so that none is missed.
-5. Components of verified links give each class the occurrence to keep.  What
+2. Keys.  One edit leaves a half of a line whole: up to nine words, halves are
+   keys.  From eight words runs of three are, the ``KEYS`` with the least hashes:
+   of like lines of up to 18 words none is missed; longer ones at similarity
+   0.8 agree in about a third of their runs (a quarter, if the edits are spread evenly), so
+   that about one such pair in 1000 (100) shares no key, and fewer above it.
+3. Classes are dealt by key and compared within buckets by what can't exclude
+   like lines: word counts, and the parities of their words' hashes (an edit changes
+   two at most).  A small bucket gives all its pairs; a large one a spanning
+   forest, found by search, so that its output is linear in its classes.
+4. Linked classes are verified by banded alignment of their words.
+5. Where a forest's link fails, which may stand for others, the classes of the
+   components that it should have joined are compared again pair by pair, so
+   that none is missed.
+6. Components of verified links give each class the occurrence to keep.  What
    is lost, one row per document that loses lines, joins the documents.
 
 Odd input: null text: no lines; null doc_id: kept whole, and compared with none;
@@ -33,7 +35,6 @@ are treated alike; a very long line is compared whole; an empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,13 @@ from .common import ALNUM, LOWER, Words, cut, mix, slices, table, width, window_
 from .components import components
 from .order_minhash import alignment_distance
 
-MIN_WORDS, BITS, LEAST = 5, 3, 0.8
-_EDGES = (0, 13, 26, 39, 52, 64)
-_TABLES = list(combinations(range(5), 2))
-_MASKS = [((1 << b) - (1 << a)) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
+MIN_WORDS, LEAST = 5, 0.8
+#: SimHashes of like lines may differ in any number of bits: they don't decide.
+BITS = 64
+#: Keys of a line, at most, and words in a run.
+KEYS, RUN = 16, 3
+#: Parity bits of a signature, whose lowest bits hold the number of words.
+_PARITIES, _COUNT = 116, 12
 #: Buckets up to this size give all pairs.
 _SMALL = 32
 
@@ -121,6 +125,62 @@ def simhash(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(lines, 2): parities of the words' hashes, and the number of words (at most 4095) in the lowest bits."""
+    n, most = np.diff(first), (1 << _COUNT) - 1
+    out = np.zeros((len(n), 2), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        place = mix(ids[first[0] : first[-1]] + _U(5)) % _U(_PARITIES) + _U(_COUNT)
+        bit = _U(1) << (place & _U(63))
+        for c in range(2):
+            out[some, c] = np.bitwise_xor.reduceat(np.where(place >> _U(6) == c, bit, _U(0)), first[:-1][some] - first[0])
+    out[:, 0] |= np.minimum(n, most).astype(np.uint64)
+    return out
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """False where signatures show that lines are not alike."""
+    most = (1 << _COUNT) - 1
+    n, m = (np.asarray(x[..., 0] & _U(most)).astype(np.int64) for x in (a, b))
+    longer, shorter = np.maximum(n, m), np.minimum(n, m)
+    edits = (longer * (1 - least) + 1e-9).astype(np.int64)
+    x = a ^ b
+    differ = np.bitwise_count(x[..., 0] >> _U(_COUNT)).astype(np.int64) + np.bitwise_count(x[..., 1])
+    return (longer == most) | (longer - shorter <= edits) & (differ <= 2 * edits)
+
+
+def line_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(lines, KEYS) 32-bit keys, zeros where there are fewer: like lines share one."""
+    n = np.diff(first)
+    out = np.zeros((len(n), KEYS), np.uint32)
+    used = np.zeros(len(n), np.int64)
+    short = np.flatnonzero((n >= 4) & (n <= 9))
+    for size in np.unique(n[short]):
+        rows = short[n[short] == size]
+        words = ids[first[rows][:, None] + np.arange(size)]
+        for h in sorted({int(size) // 2, (int(size) + 1) // 2}):
+            for side, part in enumerate((words[:, :h], words[:, size - h :])):
+                total = np.full(len(rows), 2 * h + side + 1, np.uint64)
+                for k in range(h):
+                    total = mix(total + part[:, k])
+                out[rows, used[rows]] = (total | _U(1)).astype(np.uint32)
+                used[rows] += 1
+    owner = np.repeat(np.arange(len(n)), n)
+    runs = window_hash(ids[first[0] : first[-1]], RUN)
+    if not len(runs):
+        return out
+    line = owner[: len(runs)]
+    fine = np.flatnonzero((line == owner[RUN - 1 :]) & (n[line] >= 8))
+    both = np.sort(line[fine].astype(np.uint64) << _U(32) | runs[fine] >> _U(32) | _U(1))
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    line = (both >> _U(32)).astype(np.int64)
+    rank = np.arange(len(line)) - np.searchsorted(line, line) + used[line]
+    keep = rank < KEYS
+    out[line[keep], rank[keep]] = both[keep].astype(np.uint32)
+    return out
+
+
 def _digest(ids: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit digest of each run, by summing position-dependent word hashes."""
     n = np.diff(first)
@@ -142,6 +202,12 @@ def _batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
 
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """One binary value of each row."""
+    size = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
 def _first_of_equal(hi, lo, doc, row, line) -> tuple[np.ndarray, np.ndarray]:
     """(indexes of the first occurrence of each digest, indexes of the others at other places)."""
     order = np.lexsort((line, row, doc, lo, hi))
@@ -152,12 +218,12 @@ def _first_of_equal(hi, lo, doc, row, line) -> tuple[np.ndarray, np.ndarray]:
     return first, order[elsewhere]
 
 
-_SENT = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("hi", "lo", "sim", "doc", "row", "line"))]
-_OCCURRENCE = pa.schema([("lost", pa.bool_()), ("sim", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32())])
+_SENT = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("hi", "lo", "sig", "keys", "doc", "row", "line"))]
+_OCCURRENCE = pa.schema([("lost", pa.bool_()), ("sig", pa.binary()), ("keys", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32())])
 
 
 def line_classes(docs: DataFrame, min_words: int, shards: int) -> DataFrame:
-    """lost, sim, doc_id, row, line: one row per class (its first occurrence), and one per lost occurrence."""
+    """lost, sig, keys, doc_id, row, line: one row per class (its first occurrence), and one per lost occurrence."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,38 +233,39 @@ def line_classes(docs: DataFrame, min_words: int, shards: int) -> DataFrame:
                 ids = ls.words.ids()
                 keep = ls.counts >= min_words
                 doc, row = batch.column("doc_id").to_numpy()[ls.text], batch.column("row").to_numpy()[ls.text]
-                parts.append([x[keep] for x in (_digest(ids, ls.first, 17), _digest(ids, ls.first, 91), simhash(ids, ls.first), doc, row, ls.number.astype(np.int32))])
+                parts.append([x[keep] for x in (_digest(ids, ls.first, 17), _digest(ids, ls.first, 91), signatures(ids, ls.first), line_keys(ids, ls.first), doc, row, ls.number.astype(np.int32))])
             if not parts:
                 continue
-            hi, lo, sim, doc, row, line = (np.concatenate(c) for c in zip(*parts, strict=True))
+            hi, lo, sig, keys, doc, row, line = (np.concatenate(c) for c in zip(*parts, strict=True))
             first, rest = _first_of_equal(hi, lo, doc, row, line)
             # lost ones are passed on without a digest
-            for i, place, columns in ((first, hi, (hi, lo, sim, doc, row, line)), (rest, doc.view(np.uint64), (doc, row, line))):
+            for i, place, columns in ((first, hi, (hi, lo, sig, keys, doc, row, line)), (rest, doc.view(np.uint64), (doc, row, line))):
                 out = _packed((mix(place[i]) % _U(shards)).astype(np.int32), shards, [c[i] for c in columns])
                 if out:
-                    yield _batch([(s, *[b""] * (6 - len(r)), *r) for s, *r in out], _SENT)
+                    yield _batch([(s, *[b""] * (7 - len(r)), *r) for s, *r in out], _SENT)
 
     def group(rows: pa.Table) -> pa.Table:
         kept, lost = [], []
-        for hi, lo, sim, doc, row, line in zip(*(rows.column(f.name).to_pylist() for f in _SENT[1:]), strict=True):
+        for hi, lo, sig, keys, doc, row, line in zip(*(rows.column(f.name).to_pylist() for f in _SENT[1:]), strict=True):
             place = [np.frombuffer(doc, np.int64), np.frombuffer(row, np.int64), np.frombuffer(line, np.int32)]
-            kept.append([np.frombuffer(x, np.uint64) for x in (hi, lo, sim)] + place) if hi else lost.append(place)
+            kept.append([np.frombuffer(hi, np.uint64), np.frombuffer(lo, np.uint64), np.frombuffer(sig, np.uint64).reshape(-1, 2), np.frombuffer(keys, np.uint32).reshape(-1, KEYS), *place]) if hi else lost.append(place)
         out = []
         if kept:
-            hi, lo, sim, doc, row, line = (np.concatenate(c) for c in zip(*kept, strict=True))
+            hi, lo, sig, keys, doc, row, line = (np.concatenate(c) for c in zip(*kept, strict=True))
             first, rest = _first_of_equal(hi, lo, doc, row, line)
-            out.append((np.zeros(len(first), bool), sim[first].view(np.int64), doc[first], row[first], line[first]))
+            out.append(pa.table([np.zeros(len(first), bool), _blobs(sig[first]), _blobs(keys[first]), doc[first], row[first], line[first]], schema=_OCCURRENCE))
             lost.append([doc[rest], row[rest], line[rest]])
         doc, row, line = (np.concatenate(c) for c in zip(*lost, strict=True))
-        out.append((np.ones(len(doc), bool), np.zeros(len(doc), np.int64), doc, row, line))
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=_OCCURRENCE)
+        none = pa.nulls(len(doc), pa.binary())
+        out.append(pa.table([np.ones(len(doc), bool), none, none, doc, row, line], schema=_OCCURRENCE))
+        return pa.concat_tables(out)
 
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return named.mapInArrow(send, "shard int, hi binary, lo binary, sim binary, doc binary, row binary, line binary").groupBy("shard").applyInArrow(group, "lost boolean, sim long, doc_id long, row long, line int")
+    return named.mapInArrow(send, "shard int, hi binary, lo binary, sig binary, keys binary, doc binary, row binary, line binary").groupBy("shard").applyInArrow(group, "lost boolean, sig binary, keys binary, doc_id long, row long, line int")
 
 
 def _near_pairs(values: np.ndarray, key: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of values of equal key that differ in at most BITS bits, and whether they are a forest's: all pairs of small buckets, forests of others."""
+    """Index pairs of signatures of equal key that may be alike, and whether they are a forest's: all pairs of small buckets, forests of others."""
     order = np.argsort(key, kind="stable")
     at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
     n = np.diff(np.append(at, len(key)))
@@ -215,7 +282,7 @@ def _near_pairs(values: np.ndarray, key: np.ndarray, small: int) -> tuple[np.nda
         for lo in range(0, len(starts), 1 << 14):
             rows = starts[lo : lo + (1 << 14), None]
             a, b = order[(rows + i).ravel()], order[(rows + j).ravel()]
-            near = np.bitwise_count(values[a] ^ values[b]) <= BITS
+            near = may_be_alike(values[a], values[b])
             add(a[near], b[near], False)
     for lo, size in zip(at[n > small], n[n > small], strict=True):
         rest, queue = order[lo : lo + size], []
@@ -224,97 +291,88 @@ def _near_pairs(values: np.ndarray, key: np.ndarray, small: int) -> tuple[np.nda
                 seed = queue.pop()
             else:
                 seed, rest = rest[0], rest[1:]
-            near = np.bitwise_count(values[rest] ^ values[seed]) <= BITS
+            near = may_be_alike(values[rest], values[seed])
             add(np.full(near.sum(), seed), rest[near], True)
             queue += rest[near].tolist()
             rest = rest[~near]
     return np.concatenate(one), np.concatenate(two), np.concatenate(forest)
 
 
-_KEYED = [pa.field("shard", pa.int32()), pa.field("t", pa.int32()), *(pa.field(c, pa.binary()) for c in ("sim", "id", "root"))]
+_KEYED = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("key", "sig", "id", "root"))]
 
 
 def _dealt(classes: DataFrame, shards: int) -> DataFrame:
-    """id, sim, root of classes, packed, once for each choice of blocks, dealt by their bits."""
+    """key, sig, id, root of classes, packed, once for each key, dealt by it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, ids = batch.column("sim").to_numpy().view(np.uint64), batch.column("id").to_numpy()
-            root = [batch.column("root").to_numpy()] if "root" in batch.schema.names else []
-            out = []
-            for t, (a, b) in enumerate(_TABLES):
-                place = (mix((v & _U(_MASKS[a] | _MASKS[b])) + _U(t)) % _U(shards)).astype(np.int32)
-                out += [(s, t, *x, *[b""] * (1 - len(root))) for s, *x in _packed(place, shards, [v, ids, *root])]
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, 2)
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32).reshape(len(sig), -1)
+            columns = [sig, batch.column("id").to_numpy()] + ([batch.column("root").to_numpy()] if "root" in batch.schema.names else [])
+            i, j = np.nonzero(keys)
+            key = keys[i, j]
+            place = (mix(key.astype(np.uint64)) % _U(shards)).astype(np.int32)
+            out = [(s, *x, *[b""] * (4 - len(x))) for s, *x in _packed(place, shards, [key, *(c[i] for c in columns)])]
             if out:
                 yield _batch(out, _KEYED)
 
-    return classes.mapInArrow(send, "shard int, t int, sim binary, id binary, root binary").groupBy("shard")
+    return classes.mapInArrow(send, "shard int, key binary, sig binary, id binary, root binary").groupBy("shard")
+
+
+def _received(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of a shard that share their key with another class, in order of key and id."""
+    types = {"key": np.uint32, "sig": np.uint64, "id": np.int64, "root": np.int64}
+    key, *columns = (np.frombuffer(b"".join(rows.column(c).to_pylist()), types[c]) for c in ("key", *names))
+    columns = [c.reshape(-1, 2) if n == "sig" else c for n, c in zip(names, columns, strict=True)]
+    order = np.lexsort((columns[names.index("id")], key))
+    equal = np.append(False, key[order][1:] == key[order][:-1])[: len(key)]
+    order = order[equal | np.append(equal[1:], False)[: len(key)]]
+    return [key[order], *(c[order] for c in columns)]
 
 
 def crossing_links(classes: DataFrame, shards: int) -> DataFrame:
-    """(a, b, forest = false), a < b: all links between classes (id, sim, root) of different roots; memory is linear in a bucket."""
+    """(a, b, forest = false), a < b: all links between classes (id, sig, keys, root) of different roots; memory is linear in a bucket."""
 
     def link(rows: pa.Table) -> pa.Table:
-        by: dict[int, list] = {}
-        for t, *packed in zip(*(rows.column(c).to_pylist() for c in ("t", "sim", "id", "root")), strict=True):
-            by.setdefault(t, []).append([np.frombuffer(x, np.uint64 if i == 0 else np.int64) for i, x in enumerate(packed)])
+        key, v, ids, root = _received(rows, "sig", "id", "root")
         found = [np.zeros((0, 2), np.int64)]
-        for t, parts in by.items():
-            v, ids, root = (np.concatenate(c) for c in zip(*parts, strict=True))
-            a, b = _TABLES[t]
-            key = v & _U(_MASKS[a] | _MASKS[b])
-            order = np.argsort(key, kind="stable")
-            v, ids, root, key = v[order], ids[order], root[order], key[order]
-            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-            for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
-                names, sizes = np.unique(root[lo:hi], return_counts=True)
-                if len(names) == 1:
-                    continue
-                most = names[sizes.argmax()]
-                for i in np.flatnonzero(root[lo:hi] != most) + lo:
-                    other = (root[lo:hi] == most) | (np.arange(lo, hi) > i) & (root[lo:hi] != root[i])
-                    j = np.flatnonzero(other & (np.bitwise_count(v[lo:hi] ^ v[i]) <= BITS)) + lo
-                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
+            names, sizes = np.unique(root[lo:hi], return_counts=True)
+            if len(names) == 1:
+                continue
+            most = names[sizes.argmax()]
+            for i in np.flatnonzero(root[lo:hi] != most) + lo:
+                other = (root[lo:hi] == most) | (np.arange(lo, hi) > i) & (root[lo:hi] != root[i])
+                j = np.flatnonzero(other & may_be_alike(v[lo:hi], v[i])) + lo
+                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "forest": np.zeros(len(pairs), bool)})
 
-    return _dealt(classes.select("id", "sim", "root"), shards).applyInArrow(link, "a long, b long, forest boolean").distinct()
+    return _dealt(classes.select("id", "sig", "keys", "root"), shards).applyInArrow(link, "a long, b long, forest boolean").distinct()
 
 
 def near_links(classes: DataFrame, shards: int, small: int = _SMALL) -> DataFrame:
-    """(a, b, forest), a < b: links between classes (id, sim) whose SimHashes differ in at most BITS bits; forest: it may stand for others."""
+    """(a, b, forest), a < b: links between classes (id, sig, keys) that share a key and may be alike; forest: it may stand for others."""
 
     def link(rows: pa.Table) -> pa.Table:
-        by: dict[int, list] = {}
-        for t, sim, ids in zip(*(rows.column(c).to_pylist() for c in ("t", "sim", "id")), strict=True):
-            by.setdefault(t, []).append((np.frombuffer(sim, np.uint64), np.frombuffer(ids, np.int64)))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
-        for t, parts in by.items():
-            v, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((ids, v))
-            v, ids = v[order], ids[order]
-            at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
-            n = np.diff(np.append(at, len(v)))
-            if t == 0:  # equal values, which meet in every table; towards other values the least id stands for all
-                for size in np.unique(n[(n > 1) & (n <= small)]):
-                    i, j = np.triu_indices(size, 1)
-                    rows_ = at[n == size][:, None]
-                    found.append((ids[(rows_ + i).ravel()], ids[(rows_ + j).ravel()], np.ones(len(rows_) * len(i), bool)))
-                for lo, size in zip(at[n > small], n[n > small], strict=True):
-                    found.append((np.full(size - 1, ids[lo]), ids[lo + 1 : lo + size], np.ones(size - 1, bool)))
-            a, b = _TABLES[t]
-            i, j, forest = _near_pairs(v[at], v[at] & _U(_MASKS[a] | _MASKS[b]), small)
-            found.append((ids[at][i], ids[at][j], forest | (n[i] > 1) | (n[j] > 1)))
-        x, y, forest = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "forest": forest})
-
-    return _dealt(classes.select("id", "sim"), shards).applyInArrow(link, "a long, b long, forest boolean").groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
+        key, v, ids = _received(rows, "sig", "id")
+        i, j, forest = _near_pairs(v, key, small)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        order = np.lexsort((~forest, b, a))
+        a, b, forest = a[order], b[order], forest[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return pa.table({"a": a[new], "b": b[new], "forest": forest[new]})
+
+    return _dealt(classes.select("id", "sig", "keys"), shards).applyInArrow(link, "a long, b long, forest boolean").groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
 
 
 def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """a, b, forest and ok: whether the lines' edit similarity is at least ``least``."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut(classes.join(ends, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines")))
+    wanted = cut(classes.select("id", "doc_id", "row", "line").join(ends, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines")))
     few = (wanted.agg(F.sum(F.size("lines") + 3)).first()[0] or 0) <= 1_000_000  # 16 bytes each
     texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"]).select("text", "lines")
 
@@ -349,14 +407,14 @@ def lost_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAST
     """doc_id, row, lines: numbers, from 0, of the lines that each document loses. docs: doc_id, row, text."""
     wide = width(docs.sparkSession)
     rows = cut(line_classes(docs, min_words, wide).withColumn("id", F.monotonically_increasing_id()))
-    classes = rows.where("NOT lost").select("id", "sim", "doc_id", "row", "line")
-    shards = max(wide, -(-classes.count() * len(_TABLES) // (1 << 22)))
+    classes = rows.where("NOT lost").select("id", "sig", "keys", "doc_id", "row", "line")
+    shards = max(wide, -(-classes.count() * KEYS // (1 << 22)))
     tried = cut(_verified(cut(near_links(classes, shards)), classes, docs, least))
     good = tried.where("ok").select("a", "b")
     found = components(good)
     failed = tried.where("forest AND NOT ok")
     if failed.limit(1).count():
-        rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "sim", F.coalesce("root", "id").alias("root"))
+        rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", "keys", F.coalesce("root", "id").alias("root"))
         ends = failed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         doubtful = cut(rooted.join(rooted.join(ends, "id").select("root").distinct(), "root", "left_semi"))
         apart = crossing_links(doubtful, shards)

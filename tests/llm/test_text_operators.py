@@ -152,6 +152,56 @@ def test_lines_in_large_buckets_lose_no_link(spark, monkeypatch):
     assert got == brute_lines(rows)
 
 
+def like_lines(texts, least=0.8):
+    """Keys, signatures, SimHashes and words of the distinct lines, and all pairs (i, j) whose word similarity is at least ``least``."""
+    ls = lines.Lines(pa.array(texts))
+    ids = ls.words.ids()
+    some = np.flatnonzero(ls.counts > 0)
+    some = some[np.unique(lines._digest(ids, ls.first, 17)[some], return_index=True)[1]]
+    some = some[np.argsort(ls.counts[some], kind="stable")]
+    keys, sigs = lines.line_keys(ids, ls.first)[some], lines.signatures(ids, ls.first)[some]
+    n, words = ls.counts[some], [(ids[ls.first[i] : ls.first[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32) for i in some]
+    pairs = []
+    for i in range(len(n)):
+        # a line of other words is farther than the bound on parities, which test_signatures checks
+        for j in np.flatnonzero(lines.may_be_alike(sigs[i + 1 :], sigs[i])) + i + 1:
+            most = int(max(n[i], n[j]) * (1 - least) + 1e-9)
+            if order_minhash.alignment_distance(words[i], words[j], most) <= most:
+                pairs.append((i, j))
+    return keys, pairs
+
+
+def test_like_lines_share_a_key(spark):
+    keys, pairs = like_lines([r.text for r in common.table(spark, SF, "documents").collect()])
+    assert len(pairs) > 10 and all(set(keys[i][keys[i] > 0].tolist()) & set(keys[j][keys[j] > 0].tolist()) for i, j in pairs)
+
+
+def test_signatures_never_exclude_like_lines():
+    r = random.Random(6)
+    for n in (5, 9, 10, 40, 200, 5000):
+        base = [f"w{r.randrange(400)}" for _ in range(n)]
+        for _ in range(20):
+            w = base[:]
+            for _ in range(n // 5):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], [f"v{r.randrange(90)}"], [f"v{r.randrange(90)}"]])
+            ls = lines.Lines(pa.array([" ".join(base), " ".join(w)]))
+            a, b = lines.signatures(ls.words.ids(), ls.first)
+            assert lines.may_be_alike(a, b)
+
+
+def test_lines_at_the_threshold_are_linked(spark):
+    """A fifth of the words replaced, evenly spread, or a frequent word more often: alike, whatever SimHash says."""
+    rows = []
+    for i, n in enumerate((5, 7, 9, 10, 12, 15, 17, 20, 22, 40, 120, 700)):
+        base = [f"w{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+        w = ["other" + x if k % 5 == 2 else x for k, x in enumerate(base)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join([*base[:2], "other", *base[3:]] if n < 10 else w))]
+    rows += [(1000, "so " * 20 + "it was"), (1001, "so " * 22 + "it was"), (1002, "nothing of this has been said before today")]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert [d for d, n in sorted(got.items()) if not n] == sorted([10 * i for i in range(12)] + [1000, 1002])
+
+
 def test_lines_on_odd_documents(spark):
     docs = odd_documents(spark)
     out = lines.dedup_lines(docs)
