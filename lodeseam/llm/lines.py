@@ -2,7 +2,7 @@
 
 A line is normalised to its words: runs of letters, digits and non-ASCII
 characters, A-Z in lower case, every digit 0.  Lines of fewer than ``MIN_WORDS``
-words (brackets, blank lines) are always kept.  Two lines are alike if the edit
+words (brackets and blank lines have none) are always kept.  Two lines are alike if the edit
 similarity of their words, 1 - edits / words of the longer one, is at least
 ``LEAST``.  Of each connected group of like lines the first occurrence, by
 (doc_id, line number), is kept.
@@ -45,7 +45,7 @@ from .common import ALNUM, LOWER, Words, cut, mix, slices, table, width, window_
 from .components import components
 from .order_minhash import alignment_distance
 
-MIN_WORDS, LEAST = 5, 0.8
+MIN_WORDS, LEAST = 1, 0.8
 #: SimHashes of like lines may differ in any number of bits: they don't decide.
 BITS = 64
 #: Keys of a line, at most, and words in a run.
@@ -339,7 +339,7 @@ def crossing_links(classes: DataFrame, shards: int) -> DataFrame:
         key, v, ids, root = _received(rows, "sig", "id", "root")
         found = [np.zeros((0, 2), np.int64)]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
+        for lo, hi in zip(at, np.append(at, len(key))[1:], strict=True):
             names, sizes = np.unique(root[lo:hi], return_counts=True)
             if len(names) == 1:
                 continue

@@ -202,6 +202,12 @@ def test_lines_at_the_threshold_are_linked(spark):
     assert [d for d, n in sorted(got.items()) if not n] == sorted([10 * i for i in range(12)] + [1000, 1002])
 
 
+def test_short_lines_are_compared(spark):
+    rows = [(1, "Chapter one\n}\n\nsee also:\nin all this"), (2, "CHAPTER ONE\n}\n\nSee also\nin all that"), (3, "chapter\n{\n\nsee  also\nall this")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "}\n\nin all that", 3: "chapter\n{\n\nall this"}
+
+
 def test_lines_on_odd_documents(spark):
     docs = odd_documents(spark)
     out = lines.dedup_lines(docs)
