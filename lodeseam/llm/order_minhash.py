@@ -21,7 +21,13 @@ document.  Two documents are near copies if their word edit similarity,
 4. Linked pairs are verified by alignment: the bit-parallel edit distance in
    a band around the diagonal, which doubles until the distance fits or the
    similarity can't reach the threshold.
-5. Connected components of verified links are the groups.
+5. Where a link fails, its ends' components are searched again: members of equal
+   buckets that the verified links left apart are compared pair by pair, by what can't
+   exclude near copies (word counts and parities of word hashes, of which an
+   edit changes two at most), and what remains is verified too, so that the
+   groups are those of all pairs within buckets.  Double keys are left out there:
+   who shares one shares two single keys.
+6. Connected components of verified links are the groups.
 
 Odd input: null text: no words; documents without words are no copies of each
 other; fewer than five words: only equal word sequences match; null doc_id: kept
@@ -42,6 +48,8 @@ from .common import ALNUM, Words, cut, mix, slices, table, width, window_hash
 from .components import components
 
 SHINGLE, HASHES, LEAST = 5, 48, 0.8
+#: 64-bit words of a document's signature.
+PARITIES = 16
 
 _U = np.uint64
 
@@ -86,6 +94,30 @@ def sketch(w: Words, ids: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     return keys
 
 
+def parities(w: Words, ids: np.ndarray) -> np.ndarray:
+    """(texts, PARITIES): one bit for each value of a word hash, set where an odd number of words has it."""
+    n, bits = len(w.counts), 64 * PARITIES
+    place = (mix(ids + _U(5)) % _U(bits)).astype(np.int64)
+    out = np.zeros((n, PARITIES), np.uint64)
+    for a in range(0, n, 1000):
+        b = min(n, a + 1000)
+        lo, hi = w.first[a], w.first[b]
+        odd = np.bincount((w.doc[lo:hi] - a).astype(np.int64) * bits + place[lo:hi], minlength=(b - a) * bits) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, bits), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def may_be_copies(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """False where parities (a, b) or word counts (n, m) show that the similarity is below ``least``."""
+    longer, shorter = np.maximum(n, m), np.minimum(n, m)
+    edits = (longer * (1 - least) + 1e-9).astype(np.int64)
+    out = longer - shorter <= edits
+    at = np.flatnonzero(out)
+    differ = np.bitwise_count(a[at] ^ b).sum(1, dtype=np.int64)
+    out[at] = differ <= 2 * edits[at]
+    return out
+
+
 def alignment_distance(a: bytes | np.ndarray, b: bytes | np.ndarray, most: int) -> int:
     """Word edit distance of two sequences of uint32 word identities, or most + 1 if it is larger."""
     a, b = (np.frombuffer(v, np.uint32) if isinstance(v, bytes) else v for v in (a, b))
@@ -173,12 +205,12 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-_SKETCH = "doc_id long, digest binary, n_words long, keys binary"
+_SKETCH = "doc_id long, digest binary, n_words long, keys binary, parities binary"
 _MSG = pa.schema([("shard", pa.int32()), ("links", pa.bool_()), ("one", pa.binary()), ("two", pa.binary())])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, n_words, keys of every row with a doc_id."""
+    """doc_id, digest of the words, n_words, keys, parities of every row with a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -189,7 +221,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 digests = []
                 for lo, hi in zip(w.first[:-1], w.first[1:], strict=True):
                     digests.append(b"".join(window_hash(ids[lo:hi], hi - lo, salt).tobytes() for salt in (0, 99)) if hi > lo else b"")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(w.counts, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "digest", "n_words", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(w.counts, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([p.tobytes() for p in parities(w, ids)], pa.binary())], ["doc_id", "digest", "n_words", "keys", "parities"])
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, _SKETCH)
 
@@ -230,6 +262,55 @@ def candidate_links(reps: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
 
 
+_APART = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("key", "doc_id", "root", "n_words", "parities"))])
+
+
+def crossing_pairs(reps: DataFrame, shards: int, least: float = LEAST) -> DataFrame:
+    """(a, b) with a < b: documents of different roots that share a bucket and may be copies. reps: doc_id, root, n_words, keys, parities; memory is linear in a bucket and its pairs found."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                k = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                i, j = np.nonzero(k)
+                if not len(i):
+                    continue
+                key = k[i, j]
+                place = (mix(key) % _U(shards)).astype(np.int32)
+                order = np.argsort(place, kind="stable")
+                at = np.searchsorted(place[order], np.arange(shards + 1))
+                bits = np.frombuffer(b"".join(batch.column("parities").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                columns = [key[order], *(c[i[order]] for c in (*(batch.column(c).to_numpy() for c in ("doc_id", "root", "n_words")), bits))]
+                out = [(s, *(c[lo:hi].tobytes() for c in columns)) for s, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if lo < hi]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _APART.types, strict=True)], schema=_APART)
+
+    def link(rows: pa.Table) -> pa.Table:
+        key, ids, root, n, bits = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in zip(_APART.names[1:], (np.uint64, np.int64, np.int64, np.int64, np.uint64), strict=True))
+        bits = bits.reshape(-1, PARITIES)
+        order = np.lexsort((n, key))
+        key, ids, root, n = key[order], ids[order], root[order], n[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        found = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(at, np.append(at, len(key))[1:], strict=True):
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            for i in range(lo, hi - 1):
+                # in order of word counts: who is too long for one is so for all after it
+                to = lo + int(np.searchsorted(n[lo:hi], n[i] / least + 1e-6, "right"))
+                j = np.flatnonzero(root[i + 1 : to] != root[i]) + i + 1
+                if len(j):
+                    j = j[may_be_copies(bits[order[j]], n[j], bits[order[i]], n[i], least)]
+                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+            if len(found) > 1 << 14:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+    sent = reps.select("doc_id", "root", "n_words", "keys", "parities").mapInArrow(send, "shard int, key binary, doc_id binary, root binary, n_words binary, parities binary")
+    return sent.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, similarity) of the pairs whose edit similarity is at least ``least``."""
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -271,13 +352,22 @@ def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     worded = rows.where("n_words > 0")
     classes = worded.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     member = worded.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-    reps = worded.join(classes.select(F.col("digest").alias("d"), "class_id"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("class_id"))).select("doc_id", "keys")
+    reps = worded.join(classes.select(F.col("digest").alias("d"), "class_id"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("class_id"))).select("doc_id", "n_words", "keys", "parities")
     shards = max(width(spark), -(-rows.count() * 2 * HASHES // (1 << 22)))
     pairs = cut(candidate_links(reps, shards))
-    links = verify(pairs, docs, least).select("a", "b")
+    links = cut(verify(pairs, docs, least).select("a", "b"))
     # a doc_id that repeats may be in several classes, which it links
     links = links.unionByName(member.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b"))
     found = components(links)
+    failed = cut(pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if failed.limit(1).count():
+        # a row of a repeated doc_id may be the representative of more than one class; each is compared
+        rooted = reps.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        doubtful = rooted.join(rooted.join(failed, "doc_id").select("root").distinct(), "root", "left_semi")
+        apart = crossing_pairs(doubtful, shards, least).join(pairs, ["a", "b"], "left_anti")
+        more = cut(verify(cut(apart), docs, least).select("a", "b"))
+        if more.limit(1).count():
+            found = components(links.unionByName(more))
     grouped = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).join(found.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     grouped = grouped.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"))
     bare = rows.select("doc_id").distinct().join(grouped.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))

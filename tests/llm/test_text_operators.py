@@ -381,6 +381,34 @@ def test_near_groups_of_edited_copies(spark):
     assert all(x.kept == (d == x.group_id) for d, x in got.items())
 
 
+def test_near_groups_across_a_common_passage(spark):
+    """Copies whose buckets are headed by a third document with the same passage are compared with each other."""
+    passage, rows = prose(600, 140), []
+    for i in range(60):
+        own = prose(700 + i, 60).split()
+        copy = own[:]
+        for k in range(3, 60, 6):
+            copy[k] = "changed" + copy[k]
+        rows += [(i, passage + " " + " ".join(own)), (1000 + i, passage + " " + " ".join(copy))]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r.group_id for r in order_minhash.near_groups(docs).collect()}
+    assert got == {d: d % 1000 for d, _ in rows}
+
+
+def test_parities_never_exclude_near_copies():
+    r = random.Random(6)
+    for n in (5, 40, 900, 4000):
+        base = [f"w{r.randrange(900)}" for _ in range(n)]
+        for _ in range(10):
+            w = base[:]
+            for _ in range(n // 5):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], [f"v{r.randrange(90)}"], [f"v{r.randrange(90)}"]])
+            x = common.Words(pa.array([" ".join(base), " ".join(w)]), common.ALNUM)
+            a, b = order_minhash.parities(x, x.ids())
+            assert order_minhash.may_be_copies(a[None], np.array([n]), b, np.array(len(w)))[0]
+
+
 def test_near_groups_on_odd_documents(spark):
     got = order_minhash.near_groups(odd_documents(spark)).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
