@@ -7,13 +7,15 @@
 2. Every vector is rotated by one random orthogonal matrix and assigned to a
    list.  Large lists are dealt into several units, and queries into blocks,
    so that no unit grows with the table.
-3. Every query is compared with the whole sample; its k best there are found
-   already, and the worst of them is a floor that no neighbour can be below.
+3. A query probes as many lists, and more if these hold too few vectors for k.
+   The sample only sets a floor: the score of its (k + ``SPARE``)-th best among the
+   probed lists' members, which the scan is to find again.
 4. In each probed unit, rotated vectors are scanned in blocks of columns.  After
    each block a hypothesis test abandons a candidate: with u dimensions seen, the
    rest of the product has a standard deviation of |q_rest| |x_rest| / sqrt(D - u)
    under a random rotation, and if the partial product plus ``Z`` of these stays
-   below the floor, it can't be a neighbour but by rare chance.  Survivors are
+   below the floor, it can't be a neighbour but by rare chance; of a candidate along the
+   query, whose rest has its cosine too, that much more is allowed (``_rest``).  Survivors are
    scored exactly, in double precision, on the original vectors.
 5. What reaches the floor, few rows per query, is ranked.
 
@@ -40,6 +42,8 @@ from .common import cut, table, width
 
 K, TARGET, Z = 20, 0.97, 3.5
 SAMPLE_BYTES, UNIT, COLUMNS = 8 << 20, 2048, 16
+#: How many more than k are to reach the floor, as the scan may abandon one by chance.
+SPARE = 4
 MOST_LISTS = 8192
 
 
@@ -77,6 +81,7 @@ class Index:
             centres[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
         self.centres = centres
         self.probes = self._tune(draw) if n > 1 else 1
+        self.own = self.assign(sample)
 
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -101,21 +106,27 @@ class Index:
         need = np.sort(np.take_along_axis(rank, self.assign(self.sample)[best], 1).ravel())
         return int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) + 1
 
-    def first_found(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Each query's k best within the sample, its own row left out: floor (-inf if there are fewer), ids, scores."""
-        floors, found, scores = [np.zeros(0)], [], []
+    def probed(self, q: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(queries, lists): whether a query probes a list; sizes: vectors in each list."""
+        order = self.probe_order(q)
+        before = np.cumsum(sizes[order], 1) - sizes[order]
+        out = np.zeros(order.shape, bool)
+        # k and the query itself
+        np.put_along_axis(out, order, (np.arange(order.shape[1]) < self.probes) | (before < self.k + 1), 1)
+        return out
+
+    def floors(self, ids: np.ndarray, q: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """Score of each query's (k + SPARE)-th best of the sample within its lists, its own row left out; -inf if there are fewer."""
+        out, k = [np.zeros(0)], self.k + SPARE
         for a in range(0, len(q), 256):
             part = q[a : a + 256]
+            if len(self.ids) < k:
+                out.append(np.full(len(part), -np.inf))
+                continue
             s = part @ self.sample.T
-            s[ids[a : a + 256, None] == self.ids[None]] = -np.inf
-            k = min(self.k, s.shape[1])
-            best = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(part), 0), np.int64)
-            real = np.isfinite(np.take_along_axis(s, best, 1))
-            exact = np.einsum("qd,qkd->qk", part, self.sample[best])
-            floors.append(np.where(real.sum(1) == self.k, exact.min(1, initial=np.inf), -np.inf))
-            found += [self.ids[r[ok]] for r, ok in zip(best, real, strict=True)]
-            scores += [e[ok] for e, ok in zip(exact, real, strict=True)]
-        return np.concatenate(floors), found, scores
+            s[(ids[a : a + 256, None] == self.ids[None]) | ~probed[a : a + 256][:, self.own]] = -np.inf
+            out.append(-np.partition(-s, k - 1, 1)[:, k - 1])
+        return np.concatenate(out)
 
 
 def _suffix_norms(rotated: np.ndarray, columns: int) -> np.ndarray:
@@ -124,6 +135,12 @@ def _suffix_norms(rotated: np.ndarray, columns: int) -> np.ndarray:
     return np.sqrt(np.maximum(0, squares[:, ::-1].cumsum(1)[:, ::-1] - squares))
 
 
+def _rest(floor: np.ndarray, norms: np.ndarray, left: int, z: float) -> np.ndarray:
+    """Greatest cosine of what remains of a neighbour at the floor: about its whole cosine and ``z`` - 1.5 deviations, ``z`` around 0 at least, 1 at most."""
+    c = np.clip(np.where(norms > 0, floor / np.where(norms > 0, norms, 1), 0), 0, 1)
+    return np.minimum(1, np.maximum(z / np.sqrt(max(1, left)), c + (z - 1.5) * np.sqrt((1 - c * c) / max(1, left))))
+
+
 def scan(q: np.ndarray, floor: np.ndarray, x: np.ndarray, rotation: np.ndarray, columns: int = COLUMNS, z: float = Z) -> tuple[np.ndarray, np.ndarray, float]:
     """(query, candidate) index pairs that no test abandoned, and the share of multiplications done."""
     dim = x.shape[1]
@@ -133,19 +150,19 @@ def scan(q: np.ndarray, floor: np.ndarray, x: np.ndarray, rotation: np.ndarray,
     partial = rq[:, :seen] @ rx[:, :seen].T
     done = float(partial.size * seen)
     slack = np.abs(floor) * 1e-9 + 1e-12
-    bound = z * nq[:, :1] * nx[:, 0][None] / np.sqrt(max(1, dim - seen))
+    whole = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+    bound = nq[:, :1] * nx[:, 0][None] * _rest(floor[:, None], whole, dim - seen, z)
     i, j = np.nonzero(partial + bound >= (floor - slack)[:, None])
     p = partial[i, j]
     for b in range(1, nq.shape[1]):
         lo, hi = b * columns, min(dim, (b + 1) * columns)
         p = p + np.einsum("pd,pd->p", rq[i, lo:hi], rx[j, lo:hi])
         done += len(p) * (hi - lo)
-        keep = p + z * nq[i, b] * nx[j, b] / np.sqrt(max(1, dim - hi)) >= floor[i] - slack[i]
+        keep = p + nq[i, b] * nx[j, b] * _rest(floor[i], whole[i, j], dim - hi, z) >= floor[i] - slack[i]
         i, j, p = i[keep], j[keep], p[keep]
     return i, j, done / max(1, partial.size * dim)
 
 
-_SEEDS = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -169,6 +186,9 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, eve
     searched = rows.withColumn("copy", among_equals).where(F.col("copy") <= k + 1).select("vec_id", "v")
     assigned = cut(searched.mapInArrow(assign, "vec_id long, v array<double>, list int"))
     units = assigned.groupBy("list").count().select(F.col("list").alias("l"), F.ceil(F.col("count") / F.lit(UNIT)).cast("int").alias("units"))
+    sizes = np.zeros(len(index.centres), np.int64)
+    for r in assigned.groupBy("list").count().collect():  # one row per list
+        sizes[r["list"]] = r["count"]
     units = F.broadcast(units)  # one row per list, MOST_LISTS at most
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     base = assigned.join(units, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("vec_id"), "units").cast("int").alias("unit"), "vec_id", "v", spread)
@@ -178,12 +198,12 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, eve
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 q, ids = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy()
-                lists = sent.value.probe_order(q)[:, : sent.value.probes]
-                floor, found, scores = sent.value.first_found(ids, q)
-                seeds = [[{"id": i, "score": x} for i, x in zip(a.tolist(), c.tolist(), strict=True)] for a, c in zip(found, scores, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(floor), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array(seeds, _SEEDS)], ["vec_id", "v", "floor", "lists", "seeds"])
+                probed = sent.value.probed(q, sizes)
+                floor = sent.value.floors(ids, q, probed)
+                lists = [np.flatnonzero(p).astype(np.int32) for p in probed]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(floor), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "floor", "lists"])
 
-    aimed = cut(asked.mapInArrow(aim, "vec_id long, v array<double>, floor double, lists array<int>, seeds array<struct<id:long,score:double>>"))
+    aimed = cut(asked.mapInArrow(aim, "vec_id long, v array<double>, floor double, lists array<int>"))
     probes = aimed.select("vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode("lists").alias("list"))
     probes = probes.join(units, F.col("list") == F.col("l")).select("list", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), "block", "vec_id", "v", "floor")
 
@@ -212,8 +232,6 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, eve
     keys = ("list", "unit", "block")
     n_parts = width(spark)
     found = probes.repartition(n_parts, *keys).groupBy(*keys).cogroup(base.repartition(n_parts, *keys).groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    seeds = aimed.select(F.col("vec_id").alias("query_id"), F.explode("seeds").alias("s")).select("query_id", F.col("s.id").alias("vec_id"), "s.score")
-    found = found.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

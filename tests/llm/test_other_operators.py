@@ -182,6 +182,21 @@ def test_a_scan_abandons_candidates_but_keeps_those_near():
     assert share < 0.75 and sum(p in kept for p in near) >= 0.97 * len(near)
 
 
+def test_neighbours_come_from_probed_lists_alone():
+    """The sample sets floors below k members of the probed lists, and gives no rows."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(2000, 16))
+    index = neighbours.Index(np.arange(2000), x, 2000, 20)
+    index.probes = 1
+    probed = index.probed(x[:50], np.bincount(index.own, minlength=len(index.centres)))
+    floor = index.floors(np.arange(50), x[:50], probed)
+    assert not hasattr(index, "first_found") and not probed.all(1).any()
+    for i in range(50):
+        inside = np.flatnonzero(probed[i][index.own])
+        above = [j for j in inside if j != i and x[j] @ x[i] >= floor[i] - 1e-9]
+        assert len(above) == min(len(inside) - 1, 20 + neighbours.SPARE) or floor[i] == -np.inf and len(inside) > 20
+
+
 def test_odd_vectors(spark):
     v = lambda *x: [float(a) for a in x]
     rows = [(0, v(1, 0)), (20, v(0, 1)), (1, v(1, 0)), (2, v(2, 0)), (3, v(0, 0)), (4, None), (5, [1.0, None]), (6, v(float("nan"), 1)), (7, v(float("inf"), 1)), (8, v(1, 2, 3)), (None, v(1, 1)), (9, v(1, 0)), (9, v(1, 0)), (40, v(0, 0)), (-20, v(-1, 0)), (10, [])]
