@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -132,8 +133,10 @@ class _Powers:
 
 #: Long inputs are hashed in pieces of so many positions, so that power tables stay small.
 _PIECE = 1 << 18
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WBASE)
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+_WORDS = _Powers(_WBASE)
+#: The lowest k bytes of eight, by k.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG_WORD = 256
 
 
 def _classes(members: list[tuple[int, int]]) -> np.ndarray:
@@ -178,21 +181,34 @@ class Words:
         self.doc = np.repeat(np.arange(n, dtype=np.int32), self.counts)
 
     def ids(self) -> np.ndarray:
-        """64-bit identity of each word's bytes."""
-        raw, start, end = self.raw, self.start, self.end
-        out = np.empty(len(start), np.uint64)
-        a = 0
-        while a < len(start):
-            lo = start[a]
-            b = max(a + 1, int(np.searchsorted(end, lo + _PIECE, "right")))
-            hi = end[b - 1]
-            up, down = _BYTES.get(int(hi - lo) + 1)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(_BYTE_VALUE[raw[lo:hi]] * up[:-1], out=total[1:])
-            s = start[a:b] - lo
-            out[a:b] = (total[end[a:b] - lo] - total[s]) * down[s]
-            a = b
-        return mix(out + (end - start).astype(np.uint64))
+        """64-bit identity of each word's bytes.
+
+        A word is read eight bytes at a time; each piece is mixed with its place,
+        and the sum of the pieces is mixed with the length.  Words of up to eight
+        bytes and equal length therefore never share an identity; beyond
+        ``_LONG_WORD`` bytes a word is digested as a whole.
+        """
+        start, size = self.start, self.end - self.start
+        raw = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        out = mix(eight[start] & _LOW_BYTES[np.minimum(size, 8)])
+        rows = np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+        at = 8
+        while len(rows):
+            left = size[rows] - at
+            out[rows] += mix((eight[start[rows] + at] & _LOW_BYTES[np.minimum(left, 8)]) + _U(at * _BASE & 0xFFFFFFFFFFFFFFFF))
+            rows, at = rows[left > 8], at + 8
+        for i in np.flatnonzero(size > _LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.raw[start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return mix(out + size.astype(np.uint64))
+
+
+def run_digest(ids: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit digest of each run [first[i], first[i + 1]) of word identities: the sum of its words, each mixed with its place."""
+    n = np.diff(first)
+    place = np.arange(first[-1] - first[0], dtype=np.uint64) - np.repeat((first[:-1] - first[0]).astype(np.uint64), n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids[first[0] : first[-1]] + mix(place + _U(salt))))])
+    return mix(total[first[1:] - first[0]] - total[first[:-1] - first[0]] + n.astype(np.uint64) * _U(salt | 1))
 
 
 def window_hash(ids: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
