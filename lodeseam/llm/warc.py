@@ -16,6 +16,8 @@ Rows that tie for the smallest id are all responses, and so are all records
 with a null id whose payload has no other id.  Payloads are compared by SHA-256
 and length.
 
+Every archive begins with a warcinfo record; record ids are unique, whatever the page_ids.
+
 Odd input: null payload: empty; null url: empty; null ids are kept as null;
 repeated rows give repeated records; an empty table gives no archive.
 """
@@ -33,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import cut, scratch, slices, table
 
 BLOCK = 1 << 20
 _EPOCH = "1970-01-01T00:00:00Z"
@@ -44,28 +46,40 @@ def _store(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null: a response)."""
+    """page_id, url, payload, digest, refers_to (null: a response).
+
+    Which records revisit which is decided on ids, digests and sizes alone.  Payloads
+    join the decision by (digest, page_id), so that the copies of one payload are
+    spread over all tasks, and only where some payload has copies.
+    """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = (
-        rows.where(F.octet_length("payload") >= min_revisit)
-        .groupBy(F.col("digest").alias("_d"))
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-        .where("copies > 1 AND first_id IS NOT NULL")
-        .drop("copies")
-    )
-    other = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return rows.join(first, F.col("digest") == F.col("_d"), "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("first_id")).alias("refers_to"))
-
-
-def _record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
-    """The bytes of one record: WARC header, HTTP header, and a response's body."""
+    names = rows.where(F.octet_length("payload") >= min_revisit).select("page_id", "digest")
+    first = names.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
+    first = cut(first.select(F.col("digest").alias("_f"), "first_id"))
+    if not first.limit(1).count():
+        return rows.withColumn("refers_to", F.lit(None).cast("long"))
+    later = names.join(first, F.col("digest") == F.col("_f")).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    later = later.select(F.col("digest").alias("_d"), F.col("page_id").alias("_p"), F.col("first_id").cast("long").alias("refers_to")).distinct()
+    return rows.join(later, (F.col("digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+
+
+def _name(page_id) -> str:
+    return "none" if page_id is None else str(page_id)
+
+
+def _record(page_id, url: str, payload: bytes, digest: str, refers_to, serial: str) -> bytes:
+    """The bytes of one record: WARC header, HTTP header, and a response's body.
+
+    ``serial`` tells records of equal page_ids apart; a revisit names the page it
+    refers to, and its payload by the digest.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{_name(page_id)}:{serial}>",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Date: {_EPOCH}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -74,7 +88,14 @@ def _record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[2:2] = [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head[2:2] = [f"WARC-Refers-To: <urn:page:{_name(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _info(name: str) -> bytes:
+    """An archive's first record, which says what it is."""
+    block = f"software: lodeseam\r\nformat: WARC File Format 1.1\r\nfilename: {name}\r\n".encode()
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name[:32]}>", f"WARC-Date: {_EPOCH}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -85,16 +106,25 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         name = f"{uuid.uuid4().hex}.warc.gz"
         fs, root = _store(folder)
         out, n, size = None, 0, 0
+
+        def add(record: bytes) -> None:
+            nonlocal size
+            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+            member = packer.compress(record) + packer.flush()
+            out.write(member)
+            size += len(member)
+
         try:
-            for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+            for batch in (part for whole in batches for part in slices(whole, "payload")):
+                columns = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]
+                for i in range(batch.num_rows):
                     if out is None:
                         fs.create_dir(root, recursive=True)
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    member = packer.compress(_record(row[0], row[1], row[2].encode(), row[3], row[4])) + packer.flush()
-                    out.write(member)
-                    n, size = n + 1, size + len(member)
+                        add(_info(name))
+                    page, url, payload, digest, refers_to = (c[i] for c in columns)
+                    add(_record(page.as_py(), url.as_py(), payload.as_buffer().to_pybytes(), digest.as_py(), refers_to.as_py(), f"{name[:32]}:{n}"))
+                    n += 1
         finally:
             if out is not None:
                 out.close()
@@ -131,8 +161,8 @@ def _members(stream) -> Iterator[tuple[int, Iterator[bytes]]]:
         yield at, inflate()
 
 
-def _parse(pieces: Iterator[bytes]) -> dict:
-    """One record from the inflated pieces of its member; header bytes are buffered, the body is only digested."""
+def _parse(pieces: Iterator[bytes]) -> dict | None:
+    """One record from the inflated pieces of its member, null for a warcinfo; header bytes are buffered, the body is only digested."""
     data = b""
     while b"\r\n\r\n" not in data:
         piece = next(pieces, None)
@@ -169,11 +199,13 @@ def _parse(pieces: Iterator[bytes]) -> dict:
         raise BadRecord("a record must end with two line breaks and nothing more")
     if fields["WARC-Block-Digest"] != f"sha256:{block.hexdigest()}":
         raise BadRecord("the block's digest differs")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     stated = int(next(x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")))
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if kind == "response" and (digest != body.hexdigest() or stated != body_bytes):
         raise BadRecord("the payload's digest or length differs")
-    name = lambda k: int(v) if (v := fields.get(k, "")[len("<urn:page:") : -1]) else None
+    name = lambda k: int(v) if (v := fields.get(k, "<urn:page:none>")[len("<urn:page:") : -1].split(":")[0]) != "none" else None
     return {"page_id": name("WARC-Record-ID"), "url": fields.get("WARC-Target-URI", ""), "payload_bytes": stated, "payload_digest": digest, "record_type": kind, "refers_to": name("WARC-Refers-To")}
 
 
@@ -191,9 +223,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for at, pieces in _members(stream):
                         try:
-                            rows.append(_parse(pieces))
+                            record = _parse(pieces)
                         except (BadRecord, zlib.error, KeyError, ValueError) as e:
                             raise BadRecord(f"{name} at byte {at}: {e}") from e
+                        if record is None:
+                            continue
+                        rows.append(record)
                         total += 1
                         if len(rows) == 5000:
                             yield pa.RecordBatch.from_pylist(rows, _FIELDS)
