@@ -1,4 +1,4 @@
-"""``python -m lodeseam``: sync, index, search, topics, books, profiles, connectors, doctor, migrate, instructions, import, serve."""
+"""``python -m lodeseam``: sync, index, search, topics, books, profiles, connectors, doctor, migrate, instructions, tour, import, serve."""
 
 from __future__ import annotations
 
@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     doctor.add_argument("--strict", action="store_true")
     imported = sub.add_parser("import")
     imported.add_argument("path")
+    sub.add_parser("tour").add_argument("topic", nargs="?")
     serve = sub.add_parser("serve")
     serve.add_argument("--check", action="store_true")
     for name in ("bootstrap", "books", "profiles", "connectors", "migrate", "instructions"):
@@ -39,8 +40,31 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Help by topic; each is printed as it stands.
+TOUR = {
+    "getting-started": "Write ~/.lodeseam/config.yaml with a profile and a connector, run `sync`, then `search QUERY`. `doctor` tells what is missing.",
+    "concepts": "Connectors give envelopes; sync merges them into versioned tables. Each classification is routed to an embedding profile, which has an index of its own. A search asks every profile that is ready and ranks what they find.",
+    "config": "home, profiles (id, provider, endpoint, model, locality), default_profile, routing (classification: profile), connectors (id, type, enabled, ...), generation, top_k, threshold, chunk_size, chunk_overlap, buckets. LODESEAM_HOME, LODESEAM_CONFIG, LODESEAM_TOP_K and LODESEAM_THRESHOLD override.",
+    "use-cases": "Search notes and books by words, by meaning or both; serve the tools to an assistant over lines of JSON-RPC; keep a corpus current with a streamed landing folder.",
+    "troubleshooting": "`doctor --strict` fails if nothing can be served. An outdated index: `index --force`. Pending migrations: `migrate`. An unreachable embedder: hybrid search falls back to words.",
+}
+
+
+def tour(topic: str | None) -> int:
+    if topic is None:
+        print("\n".join(["Topics:", *(f"- {t}" for t in sorted(TOUR))]))
+    elif topic.strip() not in TOUR:
+        print(f"unknown topic '{topic.strip()}'; one of: {', '.join(sorted(TOUR))}", file=sys.stderr)
+        return 1
+    else:
+        print(TOUR[topic.strip()])
+    return 0
+
+
 def main(argv: list[str] | None = None, engine=None) -> int:
     args = _parser().parse_args(argv)
+    if args.command == "tour":
+        return tour(args.topic)
     if engine is None:
         from pyspark.sql import SparkSession
 
@@ -87,13 +111,17 @@ def main(argv: list[str] | None = None, engine=None) -> int:
 
             show(engine.ingest(import_document(engine.spark, args.path)))
         case "serve":
-            issues = {r.profile_id: r.issue for r in engine.readiness().collect() if r.issue}
+            report = engine.startup()
             if args.check:
-                show({"ready": len(issues) < len(engine.by_id), "issues": issues})
-                return int(len(issues) >= len(engine.by_id))
-            from .serve.jsonrpc import Server
+                show({"ready": report["queryable_profiles"] > 0} | report)
+                return int(not report["queryable_profiles"])
+            from .serve.jsonrpc import NotReady, Server
 
-            Server(engine).serve()
+            try:
+                Server(engine).serve()
+            except NotReady as e:
+                print(e, file=sys.stderr)
+                return 1
     return 0
 
 

@@ -38,6 +38,8 @@ class Config:
     threshold: float = 0.3
     chunk_size: int = 3000
     chunk_overlap: int = 200
+    #: Buckets of the store's tables; of an existing table its own number counts.
+    buckets: int = 64
 
     def __post_init__(self) -> None:
         known = {p.id: p for p in self.profiles}

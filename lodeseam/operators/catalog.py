@@ -25,11 +25,12 @@ def browse_topics(documents: DataFrame, classification: str | None = None) -> Da
 
 
 def list_books(routed: DataFrame, state: DataFrame) -> DataFrame:
-    """doc_id, title, chunk_count of live books by title; no known count is 0."""
+    """doc_id, title, chunk_count and, if documents have paths, file of live books by title; no known count is 0."""
     counts = state.where("status = 'indexed' AND chunk_count >= 0").select(F.col("doc_id").alias("_doc"), F.col("embedding_profile_id").alias("_profile"), "chunk_count")
     books = routed.where("NOT coalesce(deleted, false) AND doc_type = 'book'")
     joined = books.join(counts, (F.col("doc_id") == F.col("_doc")) & (F.col("embedding_profile_id") == F.col("_profile")), "left")
-    return joined.select("doc_id", "title", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count")).orderBy("title", "doc_id")
+    file = [F.col("markdown_path").alias("file")] if "markdown_path" in routed.columns else []
+    return joined.select("doc_id", "title", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), *file).orderBy("title", "doc_id")
 
 
 def counts_by_type(documents: DataFrame) -> DataFrame:

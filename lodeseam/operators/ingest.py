@@ -81,21 +81,35 @@ def counters(acted: DataFrame) -> DataFrame:
     )
 
 
+def changing(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """doc_id of the batch's documents that end otherwise than they are stored, in anything but times and paths; bodies are compared by their hash."""
+    columns = [c for c in stored.columns if c not in ("doc_id", "created_at", "updated_at", "markdown_path", "markdown") and c in batch.columns]
+    last = batch.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct(F.col("seq").cast("long").alias("_seq"), *columns)).alias("_last"))
+    joined = last.join(stored.select("doc_id", *columns), F.col("_id") == F.col("doc_id"), "left")
+    same = reduce(lambda a, b: a & b, (F.col(f"_last.{c}").eqNullSafe(F.col(c)) for c in columns), F.col("doc_id").isNotNull())
+    return joined.where(~same).select(F.col("_id").alias("doc_id"))
+
+
 def merge(stored: DataFrame, batch: DataFrame, now: Column, key: str = "doc_id") -> DataFrame:
     """The stored rows after the batch: the last row of each key wins, created_at and markdown_path stay as they were first.
 
-    One shuffle by key over the union; no row is looked up one by one.
+    A batch's rows are reduced to the last of each key and its first path by one
+    aggregate.  Stored rows of other keys pass through an anti-join on the batch's
+    keys, which needs no sort of bodies and no shuffle while the keys are few; the
+    rows replaced lend only created_at and markdown_path.  Sequence numbers order the
+    rows of a batch among themselves, and may be of any sign.
     """
     columns = [c for c in stored.columns if c not in ("created_at", "updated_at")]
-    new = batch.select(*columns, F.col("seq").cast("long").alias("_seq"), now.alias("created_at"), now.alias("updated_at"))
-    old = stored.select(*columns, F.lit(-1).cast("long").alias("_seq"), "created_at", "updated_at")
-    own = Window.partitionBy(key)
-    both = old.unionByName(new)
-    first = own.orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = both.withColumn("_n", F.row_number().over(own.orderBy(F.desc("_seq")))).withColumn("created_at", F.first("created_at").over(first))
+    row = F.struct(F.col("seq").cast("long").alias("_seq"), *columns)
+    new = batch.groupBy(F.col(key).alias("_key")).agg(F.max(row).alias("_last"), *([F.min(F.struct(F.col("seq").cast("long").alias("_seq"), "markdown_path")).alias("_first")] if "markdown_path" in columns else []))
+    old = stored.select(F.col(key).alias("_old"), F.col("created_at").alias("_created"), *([F.col("markdown_path").alias("_path")] if "markdown_path" in columns else []))
+    new = new.join(old, F.col("_key") == F.col("_old"), "left")
+    kept = {c: F.col(f"_last.{c}") for c in columns} | {"created_at": F.coalesce("_created", now), "updated_at": now}
     if "markdown_path" in columns:
-        rows = rows.withColumn("markdown_path", F.first("markdown_path").over(first))
-    return rows.where("_n = 1").select(*stored.columns)
+        kept["markdown_path"] = F.when(F.col("_old").isNotNull(), F.col("_path")).otherwise(F.col("_first.markdown_path"))
+    fresh = new.select(*(kept[c].alias(c) for c in stored.columns))
+    rest = stored.join(batch.select(F.col(key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_anti")
+    return rest.select(*stored.columns).unionByName(fresh)
 
 
 def upsert(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

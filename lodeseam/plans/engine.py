@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +22,12 @@ from ..operators import retrieval as R
 from ..sources import filesystem, testcases
 from .store import Store, append_meta, metas, now
 
+#: doc_id is the bucket's key in all of them; frequencies and sizes are partial, per bucket, and added up by queries.
 _POSTINGS = schemas.StructType([*schemas._s("doc_id"), schemas.StructField("chunk_ix", schemas.IntegerType()), schemas.StructField("dl", schemas.IntegerType()), *schemas._s("token"), schemas.StructField("tf", schemas.LongType())])
 _FREQUENCIES = schemas.StructType([*schemas._s("token"), schemas.StructField("df", schemas.LongType())])
-_STATS = schemas.StructType([schemas.StructField("n", schemas.LongType()), schemas.StructField("avgdl", schemas.DoubleType())])
+_SIZES = schemas.StructType([schemas.StructField("n", schemas.LongType()), schemas.StructField("tokens", schemas.LongType())])
+#: What a search takes from a profile whose embedder answers with no vector.
+_SKIPPED = "the embedder returned an empty vector"
 
 
 class SearchError(RuntimeError):
@@ -30,7 +36,7 @@ class SearchError(RuntimeError):
 
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, embedder: Callable[[str], Callable] | None = None, stemmed: bool = True) -> None:
-        self.spark, self.config, self.store = spark, config, Store(spark, config.home)
+        self.spark, self.config, self.store = spark, config, Store(spark, config.home, config.buckets)
         self.by_id = {p.id: p for p in config.profiles}
         self.embedder = embedder or (lambda profile: service(self.by_id[profile].endpoint, self.by_id[profile].model))
         self.analyse = analysed if stemmed else tokens
@@ -59,17 +65,33 @@ class Engine:
 
     # --- ingest --------------------------------------------------------------
 
-    def ingest(self, envelopes: DataFrame, dry_run: bool = False) -> dict:
-        """Merges envelopes (with seq) into the documents; returns counters."""
-        stored = self.documents()
-        batch = ingest.flatten(envelopes)
-        acted = ingest.actions(batch, stored.select("doc_id", "content_hash", "deleted"), dry_run)
-        report = ingest.counters(acted).first().asDict()
-        if not dry_run and report["processed"]:
-            merged = self.store.write("documents", ingest.merge(stored, batch, F.lit(now())))
-            blobs = merged.where("NOT deleted").select(F.col("markdown_path").alias("path"), F.octet_length("markdown").cast("long").alias("size_bytes"), F.col("content_hash").alias("checksum"))
-            self.store.write("blobs", blobs)
-        return report
+    def ingest(self, envelopes: DataFrame, dry_run: bool = False, plugin: str | None = None) -> dict:
+        """Merges envelopes (with seq) into the documents; returns counters.
+
+        An envelope that breaks a rule fails the whole batch before anything is
+        written.  Only the buckets of documents that change are replaced.
+        """
+        envelopes = envelopes.persist()
+        try:
+            broken = ingest.validation_error(plugin if plugin is not None else F.col("source.plugin_id"))
+            first = envelopes.select(F.col("document.doc_id").alias("id"), broken.alias("rule")).where("rule IS NOT NULL").orderBy("id", "rule").limit(1).collect()
+            if first:
+                raise ValueError(f"envelope '{first[0]['id']}' breaks rule '{first[0]['rule']}'")
+            batch = ingest.flatten(envelopes)
+            stored = self.store.table("documents", buckets=self.store.touched("documents", batch.select("doc_id")))
+            report = ingest.counters(ingest.actions(batch, stored.select("doc_id", "content_hash", "deleted"), dry_run)).first().asDict()
+            changing = ingest.changing(batch, stored).persist()
+            touched = [] if dry_run else self.store.touched("documents", changing)
+            if touched:
+                bucket = self.store.bucket_of("documents")
+                batch, stored = batch.join(changing, "doc_id", "left_semi"), self.store.table("documents", buckets=touched)
+                merged = self.store.write("documents", ingest.merge(stored, batch, F.lit(now())), bucket, touched)
+                blobs = merged.where("NOT deleted").select("doc_id", F.col("markdown_path").alias("path"), F.octet_length("markdown").cast("long").alias("size_bytes"), F.col("content_hash").alias("checksum"))
+                self.store.write("blobs", blobs, bucket, touched)
+            changing.unpersist()
+            return report
+        finally:
+            envelopes.unpersist()
 
     def connector(self, spec: dict) -> DataFrame:
         """The envelopes of one configured connector."""
@@ -77,9 +99,12 @@ class Engine:
         if kind == "filesystem":
             return filesystem.envelopes(self.spark, spec["root"], exclude=spec.get("exclude", []), extensions=tuple(spec.get("extensions", filesystem.TEXT_EXTENSIONS)), enrich=spec.get("enrich_diagrams", True), **shared)
         if kind == "testcases":
-            read = lambda name, schema: self.spark.read.schema(schema).json(f"{spec['landing']}/{name}")
-            ref = schemas._REF
-            return testcases.envelopes(read("cases", schemas.TEST_CASES), read("folders", schemas.FOLDERS), read("statuses", ref), read("priorities", ref), spec["project"], spec.get("folder_path"), **shared)
+            if "landing" in spec:
+                read = lambda name, schema: self.spark.read.schema(schema).json(f"{spec['landing']}/{name}")
+                tables = read("cases", schemas.TEST_CASES), read("folders", schemas.FOLDERS), read("statuses", schemas._REF), read("priorities", schemas._REF)
+            else:
+                tables = testcases.fetch(self.spark, spec["base_url"], testcases.token_of(spec), spec["project"], spec.get("include_steps", True), spec.get("include_links", True))
+            return testcases.envelopes(*tables, spec["project"], spec.get("folder_path"), **shared)
         raise ValueError(f"unknown connector type '{kind}'")
 
     def sync(self, wanted: list[str] | None = None, include_disabled: bool = False, dry_run: bool = False, fail_fast: bool = False, index: bool = True) -> dict:
@@ -89,7 +114,7 @@ class Engine:
         for spec in chosen:
             report["run"] += 1
             try:
-                report["ingest"][spec["id"]] = self.ingest(self.connector(spec), dry_run)
+                report["ingest"][spec["id"]] = self.ingest(self.connector(spec), dry_run, {"filesystem": filesystem.PLUGIN, "testcases": testcases.PLUGIN}.get(spec["type"]))
                 report["succeeded"] += 1
             except Exception as e:  # noqa: BLE001  a connector's failure is reported and does not stop the others
                 report["failed"] += 1
@@ -108,68 +133,102 @@ class Engine:
         return self.store.table(f"postings/{self.generation}/{profile}", _POSTINGS)
 
     def index(self, force: bool = False) -> dict:
-        """Chunks, embeds and indexes what changed; each profile is one plan over its documents."""
+        """Chunks, embeds and indexes what changed.
+
+        Each profile is one plan over its changed documents; chunks, postings and
+        their partial sums are replaced only in the buckets of these documents.
+        """
         routed = reconcile.route(self.documents(), self.policy(), self.config.default_profile)
         state = self.state()
         gone = reconcile.stale(state, routed).persist()
         total = {"indexed": 0, "skipped": 0, "deleted": 0, "chunks": 0}
-        new_state = []
-        for profile in sorted(self.by_id):
-            meta = self.store.read_json(f"indexes/{self.generation}/{profile}/index_meta.json")
-            rebuild = force or (meta is not None and meta.get("schema_version") != reconcile.INDEX_SCHEMA)
-            mine = routed.where((F.col("embedding_profile_id") == profile) & ~F.coalesce("deleted", F.lit(False)))
-            todo = reconcile.changed(mine, state, rebuild).select("doc_id", "content_hash", "markdown_path", "markdown").persist()
-            away = gone.where(F.col("embedding_profile_id") == profile).select("doc_id")
-            n_todo, n_away, n_all = todo.count(), away.count(), mine.count()
-            total["skipped"] += n_all - n_todo
-            total["deleted"] += n_away
-            if n_todo or n_away:
-                parts = chunk_documents(todo.select("doc_id", "markdown"), "markdown", self.config.chunk_size, self.config.chunk_overlap)
-                fresh = parts.select("doc_id", "chunk_ix", F.col("chunk_text").alias("text")).withColumn("vector", embed_column(F.col("text"), self.embedder(profile)))
-                rewritten = todo.select("doc_id").unionByName(away).distinct()
-                kept = self._chunks(profile).limit(0) if rebuild else self._chunks(profile).join(rewritten, "doc_id", "left_anti")
-                written = self.store.write(f"chunks/{self.generation}/{profile}", kept.unionByName(fresh))
-                by_token = lambda df: df.repartitionByRange("token").sortWithinPartitions("token")  # noqa: E731  so that a query skips row groups
-                postings = self.store.write(f"postings/{self.generation}/{profile}", by_token(R.postings(written, ["doc_id", "chunk_ix"], "text", self.analyse)))
-                self.store.write(f"frequencies/{self.generation}/{profile}", by_token(R.document_frequencies(postings)))
-                self.store.write(f"stats/{self.generation}/{profile}", R.corpus_stats(written, "text", self.analyse))
-                counts = written.join(todo.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
-                row = lambda d, status: d.select("doc_id", F.lit(self.generation).alias("generation_id"), F.lit(profile).alias("embedding_profile_id"), F.lit(status).alias("status"), "chunk_count", "indexed_content_hash", "indexed_markdown_path", F.lit(now()).alias("embedded_at"), F.lit(now()).alias("updated_at"))
-                done = todo.join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.col("content_hash").alias("indexed_content_hash"), F.col("markdown_path").alias("indexed_markdown_path"))
-                left = gone.where(F.col("embedding_profile_id") == profile).select("doc_id", F.lit(None).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("indexed_content_hash"), F.col("delete_path").alias("indexed_markdown_path"))
-                left = left.join(todo.select("doc_id"), "doc_id", "left_anti")
-                new_state += [row(done, "indexed"), row(left, "deleted")]
-                n_chunks = written.join(todo.select("doc_id"), "doc_id", "left_semi").count()
-                total["indexed"] += n_todo
-                total["chunks"] += n_chunks
-                append_meta(self.store, profile, self.generation, self.by_id[profile].model, chunk_count=n_chunks, file_count=n_all)
-        if new_state:
-            rows = reduce(lambda a, b: a.unionByName(b), new_state)
-            self.store.write("index_state", ingest.upsert(self.store.table("index_state"), rows, ["doc_id", "generation_id", "embedding_profile_id"]))
+        new_state, held = [], [gone]
+        try:
+            for profile in sorted(self.by_id):
+                meta = self.store.read_json(f"indexes/{self.generation}/{profile}/index_meta.json")
+                rebuild = force or (meta is not None and meta.get("schema_version") != reconcile.INDEX_SCHEMA)
+                mine = routed.where((F.col("embedding_profile_id") == profile) & ~F.coalesce("deleted", F.lit(False)))
+                todo = reconcile.changed(mine, state, rebuild).select("doc_id", "content_hash", "markdown_path", "markdown").persist()
+                away = gone.where(F.col("embedding_profile_id") == profile)
+                held.append(todo)
+                n_todo, n_away, n_all = todo.count(), away.count(), mine.count()
+                total["skipped"] += n_all - n_todo
+                total["deleted"] += n_away
+                if n_todo or n_away:
+                    n_chunks = self._index_profile(profile, todo.drop("content_hash", "markdown_path"), away.select("doc_id"), rebuild)
+                    new_state += self._states(profile, todo, away)
+                    total["indexed"] += n_todo
+                    total["chunks"] += n_chunks
+                    append_meta(self.store, profile, self.generation, self.by_id[profile].model, chunk_count=n_chunks, file_count=n_all)
+            if new_state:
+                rows = reduce(lambda a, b: a.unionByName(b), new_state)
+                touched = self.store.touched("index_state", rows.select("doc_id"))
+                stored = self.store.table("index_state", buckets=touched)
+                self.store.write("index_state", ingest.upsert(stored, rows, ["doc_id", "generation_id", "embedding_profile_id"]), self.store.bucket_of("index_state"), touched)
+        finally:
+            for frame in held:
+                frame.unpersist()
         return total
 
+    def _index_profile(self, profile: str, todo: DataFrame, away: DataFrame, rebuild: bool) -> int:
+        """Replaces the buckets of the documents to index (doc_id, markdown) or to remove; returns the chunks of the former."""
+        name = f"chunks/{self.generation}/{profile}"
+        parts = chunk_documents(todo, "markdown", self.config.chunk_size, self.config.chunk_overlap)
+        fresh = parts.select("doc_id", "chunk_ix", F.col("chunk_text").alias("text")).withColumn("vector", embed_column(F.col("text"), self.embedder(profile)))
+        rewritten = todo.select("doc_id").unionByName(away).distinct()
+        touched = None if rebuild else self.store.touched(name, rewritten)
+        kept = self._chunks(profile).limit(0) if rebuild else self.store.table(name, schemas.CHUNKS, touched).join(rewritten, "doc_id", "left_anti")
+        bucket = self.store.bucket_of(name)
+        written = self.store.write(name, kept.unionByName(fresh), bucket, touched)
+        # within a bucket in the order of tokens, so that a query skips row groups
+        by_token = lambda df: df.repartition("_b").sortWithinPartitions("_b", "token")
+        keys = ["doc_id", "chunk_ix"]
+        index = R.postings(written, keys, "text", self.analyse)
+        postings = self.store.write(f"postings/{self.generation}/{profile}", by_token(index.withColumn("_b", bucket)).drop("_b"), bucket, touched)
+        by_bucket = F.col("_b")
+        frequencies = postings.groupBy(bucket.alias("_b"), "token").agg(F.count("*").alias("df"))
+        self.store.write(f"frequencies/{self.generation}/{profile}", by_token(frequencies), by_bucket, touched)
+        lengths = written.select(bucket.alias("_b"), *keys).join(postings.groupBy(*keys).agg(F.first("dl").alias("dl")), keys, "left")
+        sizes = lengths.groupBy("_b").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+        self.store.write(f"sizes/{self.generation}/{profile}", sizes, by_bucket, touched)
+        return written.join(todo.select("doc_id"), "doc_id", "left_semi").count()
+
+    def _states(self, profile: str, todo: DataFrame, away: DataFrame) -> list[DataFrame]:
+        """Index-state rows of the documents just indexed and of those removed; a blank document is indexed with no chunk."""
+        at, chunks = now(), self._chunks(profile)
+        counts = chunks.join(todo.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+        row = lambda d, status: d.select("doc_id", F.lit(self.generation).alias("generation_id"), F.lit(profile).alias("embedding_profile_id"), F.lit(status).alias("status"), "chunk_count", "indexed_content_hash", "indexed_markdown_path", F.lit(at).alias("embedded_at"), F.lit(at).alias("updated_at"))
+        done = todo.join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.col("content_hash").alias("indexed_content_hash"), F.col("markdown_path").alias("indexed_markdown_path"))
+        left = away.select("doc_id", F.lit(None).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("indexed_content_hash"), F.col("delete_path").alias("indexed_markdown_path"))
+        return [row(done, "indexed"), row(left.join(todo.select("doc_id"), "doc_id", "left_anti"), "deleted")]
+
     # --- search --------------------------------------------------------------
 
     def _hits(self, profile: str, query: str, mode: R.Mode, n: int, threshold: float) -> DataFrame:
         keys, chunks = ["doc_id", "chunk_ix"], self._chunks(profile)
         terms = [r.t for r in self.spark.range(1).select(F.explode(F.array_distinct(self.analyse(F.lit(query)))).alias("t")).collect()]
-        stats = self.store.table(f"stats/{self.generation}/{profile}", _STATS)
-        frequencies = self.store.table(f"frequencies/{self.generation}/{profile}", _FREQUENCIES)
+        sizes = self.store.table(f"sizes/{self.generation}/{profile}", _SIZES)
+        stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+        frequencies = self.store.table(f"frequencies/{self.generation}/{profile}", _FREQUENCIES).where(F.col("token").isin(terms)).groupBy("token").agg(F.sum("df").alias("df"))
         keyword = R.bm25_from_index(self._postings(profile), stats, frequencies, keys, terms)
         vector = None
         if mode is not R.Mode.KEYWORD:
             try:
-                vector = self.embedder(profile)([query])[0]
+                vectors = self.embedder(profile)([query])
             except Exception:  # noqa: BLE001  hybrid falls back to keyword search
                 if mode is R.Mode.SEMANTIC:
                     raise
+            else:
+                if not len(vectors) or not len(vectors[0]):
+                    raise SearchError(_SKIPPED)
+                vector = vectors[0]
         if mode is R.Mode.SEMANTIC:
             found = R.top(R.semantic(chunks, keys, "vector", vector), keys, n).where(F.col("score") >= threshold)
         elif vector is None:
             found = R.top(keyword, keys, n)
         else:
             found = R.top(R.fuse(keyword, R.semantic(chunks, keys, "vector", vector), keys, n), keys, n)
-        return chunks.select(*keys, "text").join(F.broadcast(found), keys).select("doc_id", "text", R.rounded(F.col("score")).alias("score"))
+        return chunks.select(*keys, "text").join(F.broadcast(found), keys).select("doc_id", "text", R.rounded(F.col("score")).alias("score"))  # n rows at most
 
     def search(self, query: str, where: R.SearchFilter | None = None, group_by_doc: bool = False, limit: int | None = None, mode: R.Mode | str = R.Mode.HYBRID) -> list[dict]:
         """Results as dictionaries, best first; filters apply after the candidates are fetched."""
@@ -178,19 +237,20 @@ class Engine:
         ready = [r.profile_id for r in self.readiness().where("queryable").collect()]
         n, hits, errors = R.candidates(self.config.top_k, limit), [], {}
         for profile in ready:
-            try:
-                found = self._hits(profile, query, mode, n, self.config.threshold).persist()
-                found.count()
+            found = self._hits_or_error(profile, query, mode, n, errors)
+            if found is not None:
                 hits.append(found)
-            except Exception as e:  # noqa: BLE001  one profile's failure is its own
-                errors[profile] = str(e)
         if not hits:
             raise SearchError(f"no profile could be searched: {errors or 'none is ready'}")
-        rows = R.attach(reduce(lambda a, b: a.unionByName(b), hits), self.documents(), where)
-        rows = rows.select("doc_id", "title", "doc_type", "classification", F.coalesce("uri", "markdown_path").alias("file"), "text", "score", "frontmatter_json")
-        out = R.document_results(rows, limit) if group_by_doc else R.chunk_results(rows, limit)
+        try:
+            rows = R.attach(reduce(lambda a, b: a.unionByName(b), hits), self.documents(), where)
+            rows = rows.select("doc_id", "title", "doc_type", "classification", F.coalesce("uri", "markdown_path").alias("file"), "text", "score", "frontmatter_json")
+            found = (R.document_results(rows, limit) if group_by_doc else R.chunk_results(rows, limit)).collect()
+        finally:
+            for frame in hits:
+                frame.unpersist()
         results = []
-        for r in out.collect():
+        for r in found:
             d = r.asDict() | {"search_mode": mode.value}
             extra = d.pop("frontmatter_json")
             if group_by_doc:
@@ -199,8 +259,21 @@ class Engine:
             results.append(d)
         return results
 
-    def search_books(self, query: str, **options) -> list[dict]:
-        return self.search(query, R.SearchFilter(doc_type="book"), group_by_doc=False, **options)
+    def _hits_or_error(self, profile: str, query: str, mode: R.Mode, n: int, errors: dict[str, str]) -> DataFrame | None:
+        """A profile's candidates, computed and cached, or null and what went wrong; one profile's failure is its own."""
+        frame = None
+        try:
+            frame = self._hits(profile, query, mode, n, self.config.threshold).persist()
+            frame.count()
+        except Exception as e:  # noqa: BLE001
+            errors[profile] = str(e)
+            if frame is not None:
+                frame.unpersist()
+            return None
+        return frame
+
+    def search_books(self, query: str, where: R.SearchFilter | None = None, group_by_doc: bool = False, **options) -> list[dict]:
+        return self.search(query, replace(where or R.SearchFilter(), doc_type="book"), group_by_doc=group_by_doc, **options)
 
     def search_library(self, query: str, **options) -> list[dict]:
         return self.search(query, **options)
@@ -212,7 +285,50 @@ class Engine:
     def topics(self, classification: str | None = None) -> list[dict]:
         return [r.asDict() for r in catalog.browse_topics(self.documents(), classification).collect()]
 
+    def startup(self) -> dict:
+        """Whether anything can be served: active generation, profiles that can be queried, and the issues of the others."""
+        rows = self.readiness().collect()
+        issues = [f"{r.profile_id}: {r.issue}" for r in rows if not r.queryable]
+        return {"active_generation": self.generation, "total_profiles": len(rows), "queryable_profiles": sum(r.queryable for r in rows), "issues": issues}
+
     def doctor(self) -> dict:
-        ready = {r.profile_id: r.issue for r in self.readiness().collect()}
+        """Health of configuration, connectors, migrations, embedders, indexes and serving; nothing of it raises."""
         migrations = {r.component: r.status for r in reconcile.migration_status(self.store.versions()).collect()}
-        return {"documents": self.documents().count(), "profiles": ready, "migrations": migrations, "serve_ready": any(v is None for v in ready.values())}
+        profiles = {}
+        for p in sorted(self.by_id):
+            meta = self.store.read_json(f"indexes/{self.generation}/{p}/index_meta.json") or {}
+            try:
+                self.embedder(p)(["ping"])
+                embedder = "ok"
+            except Exception as e:  # noqa: BLE001
+                embedder = f"unreachable: {e}"
+            profiles[p] = {"embedder": embedder, "model": self.by_id[p].model} | {k: meta.get(k) for k in ("schema_version", "embedding_model", "file_count", "chunk_count")}
+        issues = {r.profile_id: r.issue for r in self.readiness().collect()}
+        startup = self.startup()
+        connectors = [{"id": c["id"], "type": c.get("type"), "enabled": c.get("enabled", True), "issues": found, "status": "warn" if found else "ok"} for c in self.config.connectors for found in [connector_issues(c)]]
+        return {
+            "home": self.config.home, "active_generation": self.generation, "documents": self.documents().count(), "connectors": connectors, "migrations": migrations, "up_to_date": all(s == "ok" for s in migrations.values()),
+            "profiles": {p: issues.get(p) for p in profiles}, "indexes": profiles, "serving": startup, "serve_ready": startup["queryable_profiles"] > 0,
+        }
+
+
+def connector_issues(spec: dict) -> list[str]:
+    """What would keep a configured connector from running here."""
+    kind, found = spec.get("type"), []
+    if kind == "filesystem":
+        root = spec.get("root")
+        if not root:
+            found.append("root is not configured")
+        elif "://" not in root and not os.path.exists(root):
+            found.append(f"root {root} does not exist")
+        wanted = {e.lower() for e in spec.get("extensions", [])}
+        for extensions, tools in ((filesystem.PDF, ("docling",)), (filesystem.PANDOC, ("pandoc",)), (filesystem.SLIDES, ("markitdown", "pandoc"))):
+            if wanted & set(extensions) and not any(shutil.which(t) for t in tools):
+                found.append(f"{' or '.join(tools)} not found (needed for {', '.join(sorted(wanted & set(extensions)))})")
+    elif kind == "testcases":
+        found += [f"{k} is not configured" for k in (("project",) if "landing" in spec else ("project", "base_url")) if not spec.get(k)]
+        if "landing" not in spec and not testcases.token_of(spec):
+            found.append("no API token: set token, or token_env and that variable")
+    else:
+        found.append(f"unknown connector type '{kind}'")
+    return found

@@ -647,14 +647,18 @@ def lookup_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
-    """The k nearest of the vectors whose id is divisible by 100, with their relevance: the same label."""
+    """The k nearest of the vectors whose id is divisible by 100, with their relevance (the same label) and n_rel, all that are relevant.
+
+    The relevant are counted by label, not in pairs; and as the rank is the only
+    window, each task keeps its own k best of a query before anything is shuffled.
+    """
     e = _table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
+    counts = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n_rel"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql")).join(counts, "ql", "left")
     d = F.aggregate(F.zip_with("embedding", "qv", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), d.alias("d"))
-    n_rel = F.sum("rel").over(Window.partitionBy("query"))
+    pairs = e.join(q, F.col("vec_id") != F.col("query")).select("query", "n_rel", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), d.alias("d"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))
-    return pairs.withColumn("n_rel", n_rel).withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 _EVAL = "p AS (SELECT q.vec_id AS query, e.vec_id, CAST(e.label = q.label AS INT) AS rel, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS d FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), j AS (SELECT *, sum(rel) OVER (PARTITION BY query) AS n_rel, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM p QUALIFY rank <= 10)"

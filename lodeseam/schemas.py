@@ -28,7 +28,7 @@ DOCUMENTS = StructType(
     ]
 )
 
-BLOBS = StructType([*_s("path"), StructField("size_bytes", LongType()), *_s("checksum")])
+BLOBS = StructType([*_s("doc_id", "path"), StructField("size_bytes", LongType()), *_s("checksum")])
 
 INDEX_STATE = StructType([*_s("doc_id", "generation_id", "embedding_profile_id", "status"), StructField("chunk_count", LongType()), *_s("indexed_content_hash", "indexed_markdown_path", "embedded_at", "updated_at")])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import shutil
 import subprocess
@@ -19,7 +20,8 @@ from ..functions.text import content_hash, default_title
 
 PLUGIN = "filesystem"
 TEXT_EXTENSIONS = (".md", ".markdown", ".txt")
-CONVERTED = (".pdf", ".epub", ".docx", ".pptx")
+PDF, PANDOC, SLIDES = (".pdf",), (".epub", ".docx"), (".pptx",)
+CONVERTED = PDF + PANDOC + SLIDES
 
 
 def glob_regex(pattern: str) -> str | None:
@@ -63,6 +65,21 @@ def _any_matches(paths: Column, regex: str) -> Column:
     return F.exists(paths, lambda p: p.rlike(regex))
 
 
+def canonical_root(spark: SparkSession, root: str) -> str:
+    """One spelling of a folder, whichever way it is written: without scheme for local files, ``.``, ``..`` and links resolved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    text = full.toString()
+    return os.path.realpath(full.toUri().getPath()) if text.startswith("file:") else text.rstrip("/")
+
+
+def skipped(spark: SparkSession, root: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS, exclude: list[str] = ()) -> DataFrame:
+    """rel_path, reason of files that give no envelope though their kind is wanted."""
+    rows = discover(spark, root, extensions, exclude)
+    reason = F.when(F.col("ext").isin(*CONVERTED), F.when(_converted(F.col("ext"), F.col("content")).isNull(), F.lit("no converter reads it"))).when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit("not UTF-8"))
+    return rows.select("rel_path", reason.alias("reason")).where("reason IS NOT NULL").orderBy("rel_path")
+
+
 def discover(spark: SparkSession, root: str, extensions: tuple[str, ...], exclude: list[str] = ()) -> DataFrame:
     """rel_path, ext, modified, content of the files under a folder, read by Spark (any store it knows)."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -107,12 +124,15 @@ def _converted(ext: Column, content: Column) -> Column:
 
 
 def envelopes(spark: SparkSession, root: str, classification: str = "internal", doc_type: str = "note", extensions: tuple[str, ...] = TEXT_EXTENSIONS, exclude: list[str] = (), enrich: bool = True) -> DataFrame:
-    """Envelopes (schemas.ENVELOPE and seq) of the folder's files, in order of their paths.
+    """Envelopes (schemas.ENVELOPE and seq) of the folder's files.
 
-    Files that are not UTF-8, or that no installed converter reads, are left out.
+    Every file is a document of its own, so that seq, which orders rows of one
+    document, is 0.  Files that are not UTF-8, or that no installed converter reads,
+    are left out; ``skipped`` lists them.
     """
     files = discover(spark, root, extensions, exclude)
-    source_id = F.substring(F.sha2(F.lit(str(root).rstrip("/")), 256), 1, 12)
+    root = canonical_root(spark, root)
+    source_id = F.substring(F.sha2(F.lit(root), 256), 1, 12)
     office = [e for e in extensions if e in CONVERTED]
     raw = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     text = F.when(F.col("ext").isin(*office), _converted(F.col("ext"), F.col("content"))).otherwise(raw) if office else raw
@@ -120,14 +140,14 @@ def envelopes(spark: SparkSession, root: str, classification: str = "internal",
     body = enrich_column(F.col("body")) if enrich else F.col("body")
     rows = rows.withColumn("markdown", body)
     stem = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    when = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.coalesce("modified", F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     instance = F.concat_ws(":", F.lit(PLUGIN), source_id)
     out = rows.select(
         F.lit(1).alias("schema_version"),
-        F.struct(F.lit(PLUGIN).alias("plugin_id"), instance.alias("connector_instance"), F.col("rel_path").alias("external_id"), F.concat(F.lit("file://"), F.lit(str(root).rstrip("/") + "/"), F.col("rel_path")).alias("uri")).alias("source"),
+        F.struct(F.lit(PLUGIN).alias("plugin_id"), instance.alias("connector_instance"), F.col("rel_path").alias("external_id"), F.concat(F.lit("file://"), F.lit(root.rstrip("/") + "/"), F.col("rel_path")).alias("uri")).alias("source"),
         F.struct(F.concat_ws(":", F.lit(PLUGIN), source_id, F.col("rel_path")).alias("doc_id"), default_title(stem).alias("title"), F.col("markdown"), content_hash(F.col("markdown")).alias("content_hash"), when.alias("source_updated_at"), F.lit(False).alias("deleted")).alias("document"),
         F.struct(F.lit(doc_type).alias("doc_type"), F.lit(classification).alias("classification"), F.col("tags"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("array<string>").alias("acl_tags"), F.col("frontmatter_json")).alias("metadata"),
-        F.xxhash64("rel_path").alias("seq"),
+        F.lit(0).cast("long").alias("seq"),
     )
     return out
 

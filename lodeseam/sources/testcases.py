@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -37,7 +38,11 @@ def _fetch(url: str, token: str) -> dict:
 
 
 class RestSource(DataSource):
-    """``spark.read.format("rest_pages")`` with options base, token, paths (``;`` between them): path, value (JSON)."""
+    """``spark.read.format("rest_pages")`` with options base, token, paths (``;`` between them): path, value (JSON).
+
+    Option ``whole``: a path is one object rather than pages of values.  Option
+    ``lenient``: a path that can't be fetched has no values.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -53,22 +58,74 @@ class RestSource(DataSource):
 class _RestReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.base, self.token, self.paths = options["base"], options.get("token", ""), options["paths"].split(";")
+        self.whole, self.lenient = options.get("whole") == "true", options.get("lenient") == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for value in pages(lambda url: _fetch(url, self.token), self.base, partition.value):
-            yield partition.value, json.dumps(value)
+        fetch = lambda url: _fetch(url, self.token)
+        try:
+            values = iter([fetch(f"{self.base.rstrip('/')}/{partition.value.lstrip('/')}")]) if self.whole else pages(fetch, self.base, partition.value)
+            for value in values:
+                yield partition.value, json.dumps(value)
+        except OSError:
+            if not self.lenient:
+                raise
 
 
-def read_pages(spark: SparkSession, base: str, token: str, paths: list[str]) -> DataFrame:
+def read_pages(spark: SparkSession, base: str, token: str, paths: list[str], whole: bool = False, lenient: bool = False) -> DataFrame:
     spark.dataSource.register(RestSource)
-    return spark.read.format("rest_pages").option("base", base).option("token", token).option("paths", ";".join(paths)).load()
+    reader = spark.read.format("rest_pages").option("base", base).option("token", token).option("paths", ";".join(paths))
+    return reader.option("whole", str(whole).lower()).option("lenient", str(lenient).lower()).load()
+
+
+def token_of(spec: dict) -> str:
+    """The connector's token: given as such, or by the name of an environment variable."""
+    return (spec.get("token") or os.environ.get(spec.get("token_env") or "", "") or "").strip()
+
+
+def _listing(kind: str, project: str) -> str:
+    queries = {"folders": "folderType=TEST_CASE&", "statuses": "statusType=TEST_CASE&"}
+    return f"{kind}?{queries.get(kind, '')}projectKey={urllib.parse.quote(project)}&maxResults={PAGE}"
+
 
+def _per_case(spark: SparkSession, cases: DataFrame, base: str, token: str, tail: str, whole: bool) -> DataFrame:
+    """key, value of a request for each case; executors fetch, as many at once as there are tasks.  A request that fails gives no row."""
 
-def case_path(project: str) -> str:
-    return f"testcases?projectKey={urllib.parse.quote(project)}&maxResults={PAGE}"
+    def run(batches):
+        import pandas as pd
+
+        fetch = lambda url: _fetch(url, token)
+        for batch in batches:
+            for key in batch["key"]:
+                path = f"testcases/{urllib.parse.quote(key)}/{tail}"
+                try:
+                    values = [fetch(f"{base.rstrip('/')}/{path}")] if whole else list(pages(fetch, base, path))
+                except OSError:
+                    continue
+                yield pd.DataFrame({"key": [key] * len(values), "value": [json.dumps(v) for v in values]}, dtype=object)
+
+    return cases.mapInPandas(run, "key string, value string")
+
+
+def fetch(spark: SparkSession, base: str, token: str, project: str, include_steps: bool = True, include_links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cases, folders, statuses, priorities) of a project from the service.
+
+    Steps are asked for only where a case has none inline, links for every case;
+    cases, statuses and priorities whose lookup fails keep what is known without it.
+    """
+    raw = read_pages(spark, base, token, [_listing("testcases", project)]).select("value").persist()
+    bare = raw.select(F.get_json_object("value", "$.key").alias("key"), F.get_json_object("value", "$.testScript.steps").alias("inline")).where("key IS NOT NULL")
+    steps = _per_case(spark, bare.where("inline IS NULL").select("key"), base, token, f"teststeps?maxResults={PAGE}", False) if include_steps else None
+    links = _per_case(spark, bare.select("key"), base, token, "links", True) if include_links else None
+    cases = parse_cases(raw, steps, links)
+    if not include_steps:
+        cases = cases.withColumn("steps", F.lit(None).cast(cases.schema["steps"].dataType))
+    ref = "id long, name string"
+    named_rows = lambda kind, lenient: read_pages(spark, base, token, [_listing(kind, project)], lenient=lenient).select(F.from_json("value", ref).alias("r")).select("r.*")
+    folders = read_pages(spark, base, token, [_listing("folders", project)]).select(F.from_json("value", "id long, name string, parentId long").alias("r")).select("r.id", "r.name", F.col("r.parentId").alias("parent_id"))
+    return cases, folders, named_rows("statuses", True), named_rows("priorities", True)
 
 
 def owner_text(owner: Column) -> Column:
@@ -197,5 +254,5 @@ def envelopes(cases: DataFrame, folders: DataFrame, statuses: DataFrame, priorit
         F.struct(F.lit(PLUGIN).alias("plugin_id"), F.lit(f"{PLUGIN}:{project}").alias("connector_instance"), F.col("key").alias("external_id"), none.alias("uri")).alias("source"),
         F.struct(F.concat(F.lit(f"{PLUGIN}:{project}:"), "key").alias("doc_id"), "title", "markdown", content_hash(F.col("markdown")).alias("content_hash"), F.coalesce("updated_on", "created_on", F.lit("1970-01-01T00:00:00Z")).alias("source_updated_at"), F.lit(False).alias("deleted")).alias("document"),
         F.struct(F.lit(doc_type).alias("doc_type"), F.lit(classification).alias("classification"), tags.alias("tags"), none.alias("language"), F.lit(None).cast("array<string>").alias("acl_tags"), none.alias("frontmatter_json")).alias("metadata"),
-        F.xxhash64("key").alias("seq"),
+        F.lit(0).cast("long").alias("seq"),
     )

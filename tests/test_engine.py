@@ -1,5 +1,8 @@
+import http.server
 import io
 import json
+import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from lodeseam.functions.embedding import hashed
 from lodeseam.operators import folders, ingest
 from lodeseam.operators import retrieval as R
 from lodeseam.plans.engine import Engine, SearchError
+from lodeseam.plans.store import LostPointer
 from lodeseam.serve.jsonrpc import Server
 from lodeseam.sources import filesystem, testcases
 from lodeseam.streaming import ingest as stream
@@ -30,7 +34,7 @@ def library(tmp_path):
 
 @pytest.fixture
 def engine(spark, tmp_path, library):
-    config = Config(home=str(tmp_path / "home"), profiles=[Profile("p1", model="m"), Profile("p2", model="m")], routing={"public": "p2"}, threshold=0.0, connectors=[{"id": "files", "type": "filesystem", "root": str(library), "exclude": ["*.csv"]}])
+    config = Config(home=str(tmp_path / "home"), profiles=[Profile("p1", model="m"), Profile("p2", model="m")], routing={"public": "p2"}, threshold=0.0, buckets=4, connectors=[{"id": "files", "type": "filesystem", "root": str(library), "exclude": ["*.csv"]}])
     return Engine(spark, config, embedder=lambda p: hashed(16))
 
 
@@ -96,22 +100,123 @@ def test_served_tools_and_commands(engine, capsys):
     engine.sync()
     server = Server(engine)
     call = lambda tool, **a: server.handle({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": a}})
-    assert json.loads(call("search_library", query="mill", search_mode="KEYWORD")["result"]["content"][0]["text"])["total"] == 2
-    assert call("search_library", query="mill", search_mode="fuzzy")["error"]["code"] == -32602
+    assert json.loads(call("search_library", query="mill", mode="KEYWORD")["result"]["content"][0]["text"])["total_results"] == 2
+    assert call("search_library", query="mill", mode="fuzzy")["error"]["code"] == -32602
     assert call("search_library", query="mill", path_includes="x")["error"]["code"] == -32602
     assert call("search_library", query="mill", since="yesterday")["error"]["code"] == -32602
-    assert json.loads(call("browse_topics")["result"]["content"][0]["text"])["total"] == 2
+    assert json.loads(call("browse_topics")["result"]["content"][0]["text"])["total_topics"] == 2
     assert server.handle({"id": 2, "method": "nope"})["error"]["code"] == -32601
     assert server.handle({"method": "notifications/cancelled"}) is None
     assert len(server.handle({"id": 3, "method": "tools/list"})["result"]["tools"]) == 4
+    limit = server.handle({"id": 3, "method": "tools/list"})["result"]["tools"][0]["inputSchema"]["properties"]["limit"]
+    assert (limit["default"], limit["minimum"], limit["maximum"]) == (25, 1, 50)
+    text = lambda tool, **a: json.loads(call(tool, **a)["result"]["content"][0]["text"])
+    assert text("search_books", query="mill", mode="keyword")["results"] == [] and text("search_library", query="mill", limit=1, group_by_doc=False)["total_results"] == 1
+    [row] = text("search_library", query="mill", mode="keyword", path_excludes=["two"])["results"]
+    assert row["title"] == "one note" and row["search_mode"] == "keyword"
+    engine.ingest(filesystem.import_document(engine.spark, "a/The Mill.pdf", "A mill on the river."))
+    engine.index()
+    [book] = text("list_books")["books"]
+    assert book["title"] == "The Mill" and book["chunks"] == 1 and book["file"].endswith(".md")
+    assert [r["doc_type"] for r in text("search_books", query="mill", frontmatter={})["results"]] == ["book"]
+    assert call("nothing")["result"]["isError"]
     out = io.StringIO()
     server.serve(["{bad", '{"id": 4, "method": "ping"}'], out)
     assert [json.loads(x).get("error", {}).get("code") for x in out.getvalue().splitlines()] == [-32700, None]
     assert main(["search", "mill", "--mode", "keyword", "--limit", "1"], engine) == 0
     assert len(json.loads(capsys.readouterr().out)) == 1
+    assert main(["tour"], engine) == 0 and main(["tour", "concepts"], engine) == 0 and main(["tour", "none"], engine) == 1
     assert main(["serve", "--check"], engine) == 0 and main(["doctor"], engine) == 0 and main(["instructions"], engine) == 0
 
 
+def test_serving_needs_a_ready_profile(engine):
+    assert main(["serve"], engine) == 1 and main(["serve", "--check"], engine) == 1
+    report = engine.doctor()
+    assert not report["serve_ready"] and report["serving"]["queryable_profiles"] == 0 and len(report["serving"]["issues"]) == 2
+    assert [c["status"] for c in report["connectors"]] == ["ok"] and report["up_to_date"]
+    engine.config.connectors += [{"id": "x", "type": "filesystem", "root": "/no/where"}, {"id": "y", "type": "testcases"}, {"id": "z"}]
+    assert [len(c["issues"]) for c in engine.doctor()["connectors"]] == [0, 1, 3, 1]
+
+
+def test_every_update_is_kept(spark, engine, library):
+    """All documents change, whatever the sign of their hashes and sequence numbers."""
+    for i in range(40):
+        (library / f"n{i}.md").write_text(f"text {i}\n")
+    assert engine.sync(index=False)["ingest"]["files"]["written"] == 43
+    for i in range(40):
+        (library / f"n{i}.md").write_text(f"other text {i}\n")
+    assert engine.sync(index=False)["ingest"]["files"]["written"] == 40
+    texts = {r.external_id: r.markdown for r in engine.documents().collect()}
+    assert all(texts[f"n{i}.md"] == f"other text {i}\n" for i in range(40)) and len(texts) == 43
+    assert engine.sync(index=False)["ingest"]["files"]["written"] == 0
+
+
+def test_merge_orders_signed_numbers(spark):
+    columns = "doc_id string, markdown string, markdown_path string, created_at string, updated_at string"
+    stored = spark.createDataFrame([(str(i), "old", f"p{i}", "t0", "t0") for i in range(40)] + [("kept", "old", None, "t0", "t0")], columns)
+    batch = spark.createDataFrame([(str(i), f"new{k}", f"q{k}", s) for i in range(45) for k, s in enumerate((-5, -2, 3 if i % 2 else -1))], "doc_id string, markdown string, markdown_path string, seq long")
+    got = {r.doc_id: r for r in ingest.merge(stored, batch, F.lit("t1")).collect()}
+    assert len(got) == 46 and all(got[str(i)].markdown == "new2" for i in range(45))
+    assert got["3"].markdown_path == "p3" and got["3"].created_at == "t0" and got["3"].updated_at == "t1"
+    assert got["44"].markdown_path == "q0" and got["44"].created_at == "t1" and got["kept"].updated_at == "t0"
+
+
+def test_a_broken_envelope_fails_the_batch(spark, engine):
+    engine.sync(index=False)
+    row = lambda i, h: (1, ("s", "s", "e", None), (i, "t", "x", h, "2024-01-01T00:00:00Z", False), ("note", "internal", None, None, None, None))
+    bad = spark.createDataFrame([row("a", "sha256:" + "0" * 64), row("b", "none")], schemas.ENVELOPE).withColumn("seq", F.lit(0))
+    with pytest.raises(ValueError, match="'b' breaks rule 'content_hash'"):
+        engine.ingest(bad)
+    assert engine.documents().count() == 3
+
+
+def test_a_crash_while_writing_loses_nothing(engine, library, monkeypatch):
+    engine.sync()
+    before = engine.store.pointer("documents")
+    monkeypatch.setattr(type(engine.store), "_replace", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    (library / "three.txt").write_text("changed\n")
+    assert engine.sync()["failed"] == 1
+    monkeypatch.undo()
+    assert engine.store.pointer("documents") == before and engine.documents().count() == 3
+    assert engine.sync()["ingest"]["files"]["written"] == 1 and engine.documents().count() == 3
+    (library.parent / "home" / "tables" / "documents.json").unlink()
+    with pytest.raises(LostPointer):
+        engine.documents()
+
+
+def test_one_change_replaces_one_bucket(engine, library):
+    engine.sync()
+    names = ["documents", "index_state", *(f"{kind}/{engine.generation}/p1" for kind in ("chunks", "postings", "frequencies", "sizes"))]
+    before = {n: engine.store.pointer(n)["parts"] for n in names}
+    (library / "three.txt").write_text("Now a waterfall.\n")
+    engine.sync()
+    for n in names:
+        after = engine.store.pointer(n)
+        assert sum(before[n].get(b) != p for b, p in after["parts"].items()) == 1, n
+        assert len(after["retired"]) == 1 and engine.store.exists(after["retired"][0][0])
+    whole = R.postings(engine._chunks("p1"), ["doc_id", "chunk_ix"], "text", engine.analyse)
+    assert {tuple(r) for r in R.document_frequencies(whole).collect()} == {(r.token, r.df) for r in engine.store.table(names[4], whole.sparkSession.createDataFrame([], "token string, df long").schema).groupBy("token").agg(F.sum("df").alias("df")).collect()}
+
+
+def test_an_empty_vector_skips_the_profile(engine):
+    engine.sync()
+    engine.embedder = lambda p: lambda texts: [[]]
+    with pytest.raises(SearchError, match="empty vector"):
+        engine.search("mill", mode="hybrid")
+    assert engine.search("mill", mode="keyword")
+
+
+def test_migrations_are_backed_up(spark, engine):
+    engine.sync(index=False)
+    manifest = engine.store.read_json("manifest.json")
+    engine.store.write_json("manifest.json", manifest | {"versions": {"index": 1, "canonical": 9}, "files": [], "indexed_at": "x"})
+    engine.store.bootstrap(engine.generation)
+    new = engine.store.read_json("manifest.json")
+    assert "files" not in new and new["versions"]["canonical"] == 9 and new["versions"]["index"] == manifest["versions"]["index"] and new["migrations"][-1]["component"]
+    [folder] = [f for f in (Path(engine.config.home) / "backups").iterdir()]
+    assert {f.name for f in folder.iterdir() if f.suffix == ".json" and not f.name.startswith(".")} == {"manifest.json", "documents.json", "blobs.json"}
+
+
 def test_filters_and_modes(spark):
     assert [R.Mode.parse(m) for m in ("hybrid", "HYBRID", "Semantic")] == [R.Mode.HYBRID, R.Mode.HYBRID, R.Mode.SEMANTIC]
     with pytest.raises(ValueError, match="fuzzy"):
@@ -137,6 +242,9 @@ def test_folders(spark):
     ids = lambda i: sorted(r.id for r in folders.subtree(rows, i).collect())
     assert ids(1) == [1, 2, 3] and ids(3) == [3] and ids(42) == [42] and ids(6) == [6, 7]
     assert [r.id for r in folders.find_by_path(rows, "/a/b").collect()] == [2]
+    deep = spark.createDataFrame([(i, f"n{i}", i - 1 if i else None) for i in range(320)], schemas.FOLDERS)
+    paths = {r.id: r.path for r in folders.folder_paths(deep).collect()}
+    assert paths[319] == "".join(f"/n{i}" for i in range(320)) and folders.subtree(deep, 20).count() == 300
 
 
 def test_test_cases(spark):
@@ -179,6 +287,43 @@ def test_cases_from_json(spark):
     assert testcases.parse_cases(raw).schema.fieldNames() == [f.name for f in schemas.TEST_CASES.fields]
 
 
+def test_cases_from_the_service(spark, engine):
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            kind = self.path.split("?")[0].removeprefix("/v2/")
+            page = lambda *values, **more: {"values": list(values), "isLast": True} | more
+            reply = {
+                "testcases": page({"id": 1, "key": "K-1", "name": "one", "folder": {"id": 3}, "status": {"id": 5}, "testScript": {"type": "steps", "steps": [{"index": 1, "description": "inline"}]}}, isLast=False, next="testcases2"),
+                "testcases2": page({"id": 2, "key": "K-2", "name": "two", "folder": {"id": 9}}), "folders": page({"id": 3, "name": "Leaf", "parentId": 1}, {"id": 1, "name": "Root", "parentId": None}),
+                "statuses": page({"id": 5, "name": "Draft"}), "testcases/K-2/teststeps": page({"inline": {"index": 1, "description": "fetched"}}), "testcases/K-1/links": {"issueLinks": [{"target": {"issueKey": "J-1"}}], "webLinks": []},
+            }.get(kind)
+            self.send_response(200 if reply is not None and self.headers["Authorization"] == "Bearer secret" else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spec = {"id": "cases", "type": "testcases", "base_url": f"http://127.0.0.1:{server.server_port}/v2/", "token": "secret", "project": "K"}
+        engine.config.connectors = [spec]
+        report = engine.sync(index=False)
+        assert report["errors"] == {} and report["ingest"]["cases"]["written"] == 2
+        docs = {r.external_id: r.markdown for r in engine.documents().collect()}
+        assert "status: Draft" in docs["K-1"] and "folder: /Root/Leaf" in docs["K-1"] and "inline" in docs["K-1"] and "issue: J-1" in docs["K-1"]
+        assert "fetched" in docs["K-2"] and "priority: Unknown" in docs["K-2"] and not any("K-1/teststeps" in a for a in asked)
+        assert [r.source.external_id for r in engine.connector(spec | {"folder_path": "/root"}).collect()] == ["K-1"]
+        with pytest.raises(Exception, match="404"):
+            engine.connector(spec | {"token": "wrong"}).collect()
+    finally:
+        server.shutdown()
+
+
 def test_owner_and_unions(spark):
     df = spark.createDataFrame([('"me"',), ('{"accountId":"a"}',), ("3",), (None,)], "o string")
     assert [r[0] for r in df.select(testcases.owner_text(F.col("o"))).collect()] == ["me", "a", None, None]
