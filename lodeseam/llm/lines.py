@@ -7,25 +7,18 @@ similarity of their words, 1 - edits / words of the longer one, is at least
 ``LEAST``.  Of each connected group of like lines the first occurrence, by
 (doc_id, line number), is kept.
 
-1. Classes.  A batch of documents keeps the first of its equal lines (128-bit
-   digest) and sends it to the digest's shard; later ones are lost already.  The
-   shard finds each class's first occurrence; the rest are lost.  A hot line is
-   one message per batch.
-2. Keys.  One edit leaves a half of a line whole: up to nine words, halves are
-   keys.  From eight words runs of three are, the ``KEYS`` with the least hashes:
-   of like lines of up to 18 words none is missed; longer ones at similarity
-   0.8 agree in about a third of their runs (a quarter, if the edits are spread evenly), so
-   that about one such pair in 1000 (100) shares no key, and fewer above it.
-3. Classes are dealt by key and compared within buckets by what can't exclude
-   like lines: word counts, and the parities of their words' hashes (an edit changes
-   two at most).  A small bucket gives all its pairs; a large one a spanning
-   forest, found by search, so that its output is linear in its classes.
-4. Linked classes are verified by banded alignment of their words.
-5. Where a forest's link fails, which may stand for others, the classes of the
-   components that it should have joined are compared again pair by pair, so
-   that none is missed.
-6. Components of verified links give each class the occurrence to keep.  What
-   is lost, one row per document that loses lines, joins the documents.
+Keys are not blocks of SimHash bits, as these can't hold the threshold: like lines
+at 0.8 differ in a fifth of the bits, and blocks few enough to survive that are
+shared by unlike lines too.  The pigeonholes are parts of the line itself: one edit
+leaves one of its halves whole, so that up to nine words halves are keys; from
+eight words on runs of three words are, the ``KEYS`` with the least hashes.  Of like
+lines of up to 18 words none is missed; longer ones at similarity 0.8 agree in about
+a third of their runs (a quarter, if the edits are spread evenly), so that about one
+such pair in 1000 (100) shares no key, and fewer above it.
+
+How classes of equal lines, links within buckets and their components are found is
+described in ``likeness``.  What is lost, one row per document that loses lines,
+joins the documents.
 
 Odd input: null text: no lines; null doc_id: kept whole, and compared with none;
 rows that repeat a doc_id are ordered by a hash of their text, and identical rows
@@ -41,24 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Words, cut, mix, slices, table, width, window_hash
-from .components import components
-from .order_minhash import alignment_distance
+from .common import ALNUM, LOWER, Words, cut, mix, run_digest, slices, table, text_bytes, window_hash
+from .likeness import Batch, classes, like_components, signatures, stored
 
 MIN_WORDS, LEAST = 1, 0.8
-#: SimHashes of like lines may differ in any number of bits: they don't decide.
-BITS = 64
 #: Keys of a line, at most, and words in a run.
 KEYS, RUN = 16, 3
-#: Parity bits of a signature, whose lowest bits hold the number of words.
-_PARITIES, _COUNT = 116, 12
-#: Buckets up to this size give all pairs.
-_SMALL = 32
+#: Sizes up to which a join's side is broadcast: pairs of lines to align, bytes of lost line numbers.
+FEW_PAIRS, FEW_BYTES = 500_000, 32 << 20
 
 _U = np.uint64
 _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
+#: Bits of a key; lines whose runs are chosen at once have a number of the other bits.
+_KEY = 44
 
 
 class Lines:
@@ -75,86 +64,16 @@ class Lines:
         owner = np.concatenate([np.arange(len(w.offsets) - 1), np.searchsorted(w.offsets, ends, "right") - 1])
         order = np.lexsort((starts, owner))
         self.start, self.text = starts[order], owner[order]
-        self.stop = np.append(self.start[1:] - 1, len(w.raw))
-        last = np.append(self.text[1:] != self.text[:-1], True)[: len(self.text)]
-        self.stop[last] = w.offsets[1:]
         self.first_line = np.searchsorted(self.text, np.arange(len(w.offsets)))
         self.number = np.arange(len(self.text)) - self.first_line[self.text]
         self.first = np.searchsorted(w.start, np.append(self.start, len(w.raw)))
         self.counts = np.diff(self.first)
 
 
-def occurrences(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Word identities, labelled with how often the word came before in its run."""
-    counts = np.diff(first)
-    own = ids[first[0] : first[-1]] + np.repeat(np.arange(len(counts), dtype=np.uint64) * _U(0x9E3779B97F4A7C15), counts)
-    order = np.argsort(own, kind="stable")
-    again = np.flatnonzero(own[order][1:] == own[order][:-1]) + 1
-    nth = np.zeros(len(own), np.uint64)
-    if len(again):
-        run = np.append(True, np.diff(again) > 1)
-        at = np.flatnonzero(run)
-        nth[order[again]] = (np.arange(len(again)) - np.repeat(at, np.diff(np.append(at, len(again)))) + 1).astype(np.uint64)
-    out = ids.copy()
-    out[first[0] : first[-1]] = mix(ids[first[0] : first[-1]] + nth * _U(0xE7037ED1A0B428DB))
-    return out
-
-
-def simhash(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run [first[i], first[i + 1]) over its words, each occurrence a feature of its own."""
-    n = len(first) - 1
-    counts = np.diff(first)
-    ids = occurrences(ids, first)
-    parts = -(-counts // 255)
-    whole = np.flatnonzero(parts)
-    if not len(whole):
-        return np.zeros(n, np.uint64)
-    # counters of one byte hold for 255 words; longer lines are summed from parts
-    at = np.repeat(first[:-1], parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    ends = np.minimum(at + 255, np.repeat(first[1:], parts))
-    flat = np.stack([at, ends], 1).ravel()
-    padded = np.append(ids, _U(0))
-    lanes = []
-    for b in range(8):
-        values = _SPREAD[(padded >> _U(8 * b)).astype(np.uint8)]
-        lanes.append(np.add.reduceat(values, flat)[::2].copy().view(np.uint8).reshape(-1, 8))
-    ones = np.add.reduceat(np.concatenate(lanes, 1).astype(np.int32), (np.cumsum(parts) - parts)[whole], 0)
-    bits = (2 * ones > counts[whole, None]).astype(np.uint8)
-    out = np.zeros(n, np.uint64)
-    out[whole] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
-def signatures(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(lines, 2): parities of the words' hashes, and the number of words (at most 4095) in the lowest bits."""
-    n, most = np.diff(first), (1 << _COUNT) - 1
-    out = np.zeros((len(n), 2), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        place = mix(ids[first[0] : first[-1]] + _U(5)) % _U(_PARITIES) + _U(_COUNT)
-        bit = _U(1) << (place & _U(63))
-        for c in range(2):
-            out[some, c] = np.bitwise_xor.reduceat(np.where(place >> _U(6) == c, bit, _U(0)), first[:-1][some] - first[0])
-    out[:, 0] |= np.minimum(n, most).astype(np.uint64)
-    return out
-
-
-def may_be_alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """False where signatures show that lines are not alike."""
-    most = (1 << _COUNT) - 1
-    n, m = (np.asarray(x[..., 0] & _U(most)).astype(np.int64) for x in (a, b))
-    longer, shorter = np.maximum(n, m), np.minimum(n, m)
-    edits = (longer * (1 - least) + 1e-9).astype(np.int64)
-    x = a ^ b
-    differ = np.bitwise_count(x[..., 0] >> _U(_COUNT)).astype(np.int64) + np.bitwise_count(x[..., 1])
-    return (longer == most) | (longer - shorter <= edits) & (differ <= 2 * edits)
-
-
-def line_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(lines, KEYS) 32-bit keys, zeros where there are fewer: like lines share one."""
+def line_keys(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many keys each run of word identities has, all keys): like lines share one."""
     n = np.diff(first)
-    out = np.zeros((len(n), KEYS), np.uint32)
-    used = np.zeros(len(n), np.int64)
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     short = np.flatnonzero((n >= 4) & (n <= 9))
     for size in np.unique(n[short]):
         rows = short[n[short] == size]
@@ -164,264 +83,78 @@ def line_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
                 total = np.full(len(rows), 2 * h + side + 1, np.uint64)
                 for k in range(h):
                     total = mix(total + part[:, k])
-                out[rows, used[rows]] = (total | _U(1)).astype(np.uint32)
-                used[rows] += 1
-    owner = np.repeat(np.arange(len(n)), n)
+                lines.append(rows)
+                keys.append(total >> _U(64 - _KEY))
     runs = window_hash(ids[first[0] : first[-1]], RUN)
-    if not len(runs):
-        return out
-    line = owner[: len(runs)]
-    fine = np.flatnonzero((line == owner[RUN - 1 :]) & (n[line] >= 8))
-    both = np.sort(line[fine].astype(np.uint64) << _U(32) | runs[fine] >> _U(32) | _U(1))
-    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
-    line = (both >> _U(32)).astype(np.int64)
-    rank = np.arange(len(line)) - np.searchsorted(line, line) + used[line]
-    keep = rank < KEYS
-    out[line[keep], rank[keep]] = both[keep].astype(np.uint32)
-    return out
-
-
-def _digest(ids: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit digest of each run, by summing position-dependent word hashes."""
-    n = np.diff(first)
-    place = np.arange(first[-1] - first[0], dtype=np.uint64) - np.repeat((first[:-1] - first[0]).astype(np.uint64), n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids[first[0] : first[-1]] + mix(place + _U(salt))))])
-    return mix(total[first[1:] - first[0]] - total[first[:-1] - first[0]] + n.astype(np.uint64) * _U(salt | 1))
-
-
-def _packed(shard: np.ndarray, shards: int, columns: list[np.ndarray]) -> list[tuple]:
-    """(shard, bytes of each column) for every shard that gets rows."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    columns = [c[order] for c in columns]
-    return [(s, *(c[lo:hi].tobytes() for c in columns)) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
-
-
-def _batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
-
-
-def _blobs(rows: np.ndarray) -> pa.Array:
-    """One binary value of each row."""
-    size = rows.shape[1] * rows.itemsize
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-
-
-def _first_of_equal(hi, lo, doc, row, line) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes of the first occurrence of each digest, indexes of the others at other places)."""
-    order = np.lexsort((line, row, doc, lo, hi))
-    new = np.append(True, (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1]))[: len(order)]
-    first = order[new]
-    head = first[np.cumsum(new) - 1] if len(first) else order
-    elsewhere = (doc[order] != doc[head]) | (row[order] != row[head]) | (line[order] != line[head])
-    return first, order[elsewhere]
-
-
-_SENT = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("hi", "lo", "sig", "keys", "doc", "row", "line"))]
-_OCCURRENCE = pa.schema([("lost", pa.bool_()), ("sig", pa.binary()), ("keys", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32())])
-
-
-def line_classes(docs: DataFrame, min_words: int, shards: int) -> DataFrame:
-    """lost, sig, keys, doc_id, row, line: one row per class (its first occurrence), and one per lost occurrence."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            parts = []
-            for batch in slices(whole, "text"):
-                ls = Lines(batch.column("text"))
-                ids = ls.words.ids()
-                keep = ls.counts >= min_words
-                doc, row = batch.column("doc_id").to_numpy()[ls.text], batch.column("row").to_numpy()[ls.text]
-                parts.append([x[keep] for x in (_digest(ids, ls.first, 17), _digest(ids, ls.first, 91), signatures(ids, ls.first), line_keys(ids, ls.first), doc, row, ls.number.astype(np.int32))])
-            if not parts:
-                continue
-            hi, lo, sig, keys, doc, row, line = (np.concatenate(c) for c in zip(*parts, strict=True))
-            first, rest = _first_of_equal(hi, lo, doc, row, line)
-            # lost ones are passed on without a digest
-            for i, place, columns in ((first, hi, (hi, lo, sig, keys, doc, row, line)), (rest, doc.view(np.uint64), (doc, row, line))):
-                out = _packed((mix(place[i]) % _U(shards)).astype(np.int32), shards, [c[i] for c in columns])
-                if out:
-                    yield _batch([(s, *[b""] * (7 - len(r)), *r) for s, *r in out], _SENT)
-
-    def group(rows: pa.Table) -> pa.Table:
-        kept, lost = [], []
-        for hi, lo, sig, keys, doc, row, line in zip(*(rows.column(f.name).to_pylist() for f in _SENT[1:]), strict=True):
-            place = [np.frombuffer(doc, np.int64), np.frombuffer(row, np.int64), np.frombuffer(line, np.int32)]
-            kept.append([np.frombuffer(hi, np.uint64), np.frombuffer(lo, np.uint64), np.frombuffer(sig, np.uint64).reshape(-1, 2), np.frombuffer(keys, np.uint32).reshape(-1, KEYS), *place]) if hi else lost.append(place)
-        out = []
-        if kept:
-            hi, lo, sig, keys, doc, row, line = (np.concatenate(c) for c in zip(*kept, strict=True))
-            first, rest = _first_of_equal(hi, lo, doc, row, line)
-            out.append(pa.table([np.zeros(len(first), bool), _blobs(sig[first]), _blobs(keys[first]), doc[first], row[first], line[first]], schema=_OCCURRENCE))
-            lost.append([doc[rest], row[rest], line[rest]])
-        doc, row, line = (np.concatenate(c) for c in zip(*lost, strict=True))
-        none = pa.nulls(len(doc), pa.binary())
-        out.append(pa.table([np.ones(len(doc), bool), none, none, doc, row, line], schema=_OCCURRENCE))
-        return pa.concat_tables(out)
-
-    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return named.mapInArrow(send, "shard int, hi binary, lo binary, sig binary, keys binary, doc binary, row binary, line binary").groupBy("shard").applyInArrow(group, "lost boolean, sig binary, keys binary, doc_id long, row long, line int")
-
-
-def _near_pairs(values: np.ndarray, key: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of signatures of equal key that may be alike, and whether they are a forest's: all pairs of small buckets, forests of others."""
-    order = np.argsort(key, kind="stable")
-    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
-    n = np.diff(np.append(at, len(key)))
-    one, two, forest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-
-    def add(a: np.ndarray, b: np.ndarray, flag: bool) -> None:
-        one.append(a)
-        two.append(b)
-        forest.append(np.full(len(a), flag))
-
-    for size in np.unique(n[(n > 1) & (n <= small)]):
-        i, j = np.triu_indices(size, 1)
-        starts = at[n == size]
-        for lo in range(0, len(starts), 1 << 14):
-            rows = starts[lo : lo + (1 << 14), None]
-            a, b = order[(rows + i).ravel()], order[(rows + j).ravel()]
-            near = may_be_alike(values[a], values[b])
-            add(a[near], b[near], False)
-    for lo, size in zip(at[n > small], n[n > small], strict=True):
-        rest, queue = order[lo : lo + size], []
-        while queue or len(rest):
-            if queue:
-                seed = queue.pop()
-            else:
-                seed, rest = rest[0], rest[1:]
-            near = may_be_alike(values[rest], values[seed])
-            add(np.full(near.sum(), seed), rest[near], True)
-            queue += rest[near].tolist()
-            rest = rest[~near]
-    return np.concatenate(one), np.concatenate(two), np.concatenate(forest)
-
-
-_KEYED = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("key", "sig", "id", "root"))]
-
-
-def _dealt(classes: DataFrame, shards: int) -> DataFrame:
-    """key, sig, id, root of classes, packed, once for each key, dealt by it."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, 2)
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32).reshape(len(sig), -1)
-            columns = [sig, batch.column("id").to_numpy()] + ([batch.column("root").to_numpy()] if "root" in batch.schema.names else [])
-            i, j = np.nonzero(keys)
-            key = keys[i, j]
-            place = (mix(key.astype(np.uint64)) % _U(shards)).astype(np.int32)
-            out = [(s, *x, *[b""] * (4 - len(x))) for s, *x in _packed(place, shards, [key, *(c[i] for c in columns)])]
-            if out:
-                yield _batch(out, _KEYED)
-
-    return classes.mapInArrow(send, "shard int, key binary, sig binary, id binary, root binary").groupBy("shard")
-
-
-def _received(rows: pa.Table, *names: str) -> list[np.ndarray]:
-    """Columns of a shard that share their key with another class, in order of key and id."""
-    types = {"key": np.uint32, "sig": np.uint64, "id": np.int64, "root": np.int64}
-    key, *columns = (np.frombuffer(b"".join(rows.column(c).to_pylist()), types[c]) for c in ("key", *names))
-    columns = [c.reshape(-1, 2) if n == "sig" else c for n, c in zip(names, columns, strict=True)]
-    order = np.lexsort((columns[names.index("id")], key))
-    equal = np.append(False, key[order][1:] == key[order][:-1])[: len(key)]
-    order = order[equal | np.append(equal[1:], False)[: len(key)]]
-    return [key[order], *(c[order] for c in columns)]
-
-
-def crossing_links(classes: DataFrame, shards: int) -> DataFrame:
-    """(a, b, forest = false), a < b: all links between classes (id, sig, keys, root) of different roots; memory is linear in a bucket."""
-
-    def link(rows: pa.Table) -> pa.Table:
-        key, v, ids, root = _received(rows, "sig", "id", "root")
-        found = [np.zeros((0, 2), np.int64)]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        for lo, hi in zip(at, np.append(at, len(key))[1:], strict=True):
-            names, sizes = np.unique(root[lo:hi], return_counts=True)
-            if len(names) == 1:
-                continue
-            most = names[sizes.argmax()]
-            for i in np.flatnonzero(root[lo:hi] != most) + lo:
-                other = (root[lo:hi] == most) | (np.arange(lo, hi) > i) & (root[lo:hi] != root[i])
-                j = np.flatnonzero(other & may_be_alike(v[lo:hi], v[i])) + lo
-                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "forest": np.zeros(len(pairs), bool)})
-
-    return _dealt(classes.select("id", "sig", "keys", "root"), shards).applyInArrow(link, "a long, b long, forest boolean").distinct()
-
-
-def near_links(classes: DataFrame, shards: int, small: int = _SMALL) -> DataFrame:
-    """(a, b, forest), a < b: links between classes (id, sig, keys) that share a key and may be alike; forest: it may stand for others."""
-
-    def link(rows: pa.Table) -> pa.Table:
-        key, v, ids = _received(rows, "sig", "id")
-        i, j, forest = _near_pairs(v, key, small)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        order = np.lexsort((~forest, b, a))
-        a, b, forest = a[order], b[order], forest[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-        return pa.table({"a": a[new], "b": b[new], "forest": forest[new]})
-
-    return _dealt(classes.select("id", "sig", "keys"), shards).applyInArrow(link, "a long, b long, forest boolean").groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
-
-
-def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """a, b, forest and ok: whether the lines' edit similarity is at least ``least``."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut(classes.select("id", "doc_id", "row", "line").join(ends, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines")))
-    few = (wanted.agg(F.sum(F.size("lines") + 3)).first()[0] or 0) <= 1_000_000  # 16 bytes each
-    texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"]).select("text", "lines")
+    long = np.flatnonzero(n >= 8)
+    for a in range(0, len(long), 1 << 20):
+        rows = long[a : a + (1 << 20)]
+        many = n[rows] - RUN + 1
+        owner = np.repeat(np.arange(len(rows)), many)
+        at = np.repeat(first[rows] - first[0] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.sort(owner.astype(np.uint64) << _U(_KEY) | runs[at] >> _U(64 - _KEY))
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+        owner = (both >> _U(_KEY)).astype(np.int64)
+        least = np.arange(len(owner)) - np.searchsorted(owner, owner) < KEYS
+        lines.append(rows[owner[least]])
+        keys.append(both[least] & _U((1 << _KEY) - 1))
+    line, key = np.concatenate(lines), np.concatenate(keys)
+    return np.bincount(line, minlength=len(n)).astype(np.uint8), key[np.argsort(line, kind="stable")]
+
+
+def line_batch(batch: pa.RecordBatch, min_words: int) -> Batch:
+    """Lines of at least ``min_words`` words. batch: doc_id, row, text."""
+    ls = Lines(batch.column("text"))
+    ids = ls.words.ids()
+    some = np.flatnonzero(ls.counts > 0)
+    first = np.append(ls.first[:-1][some], ls.first[-1])  # lines without words take no room
+    many, keys = line_keys(ids, first)
+    doc, row = (batch.column(c).to_numpy()[ls.text[some]] for c in ("doc_id", "row"))
+    all_lines = Batch(run_digest(ids, first, 17), run_digest(ids, first, 91), ls.counts[some].astype(np.int32), signatures(ids, first), many, keys, doc, row, ls.number[some].astype(np.int32))
+    return all_lines if min_words <= 1 else all_lines.take(np.flatnonzero(all_lines.n >= min_words))
+
+
+def _line_words(docs: DataFrame, places: DataFrame):
+    """What ``like_components`` fetches: the words of the lines of pairs, read from their documents."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(picked: list[tuple]) -> pa.RecordBatch:
+            text, side, a, b = (list(c) for c in zip(*picked, strict=True))
+            w = Words(pa.array(text, pa.large_binary()), ALNUM)
+            w.raw = _FOLD[w.raw]
+            ids = (w.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(side, pa.bool_()), pa.array([ids[lo:hi].tobytes() for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["a", "b", "side", "words"])
+
         for whole in batches:
-            for batch in slices(whole, "text"):
-                ls = Lines(batch.column("text"))
-                ids = (ls.words.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
-                out = []
-                for first, lines in zip(ls.first_line[:-1].tolist(), batch.column("lines").to_pylist(), strict=True):
-                    for x in lines:
-                        n = first + x["line"]
-                        out.append((x["id"], ids[ls.first[n] : ls.first[n + 1]].tobytes()))
-                yield _batch(out, [pa.field("id", pa.int64()), pa.field("words", pa.binary())])
-
-    words = texts.mapInArrow(extract, "id long, words binary").dropDuplicates(["id"])
-    left = edges.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    both = left.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "forest", "wa", "wb")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
-                most = int(max(len(x), len(y)) // 4 * (1 - least) + 1e-9)
-                ok.append(alignment_distance(x, y, most) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "forest")] + [pa.array(ok, pa.bool_())], ["a", "b", "forest", "ok"])
-
-    return both.mapInArrow(align, "a long, b long, forest boolean, ok boolean")
+            picked, size = [], 0
+            for text, lines in zip(whole.column("text"), whole.column("lines"), strict=True):
+                parts = text.as_py().encode().split(b"\n")
+                for x in lines.as_py():
+                    picked.append((parts[x["line"]], x["side"], x["a"], x["b"]))
+                    size += len(parts[x["line"]])
+                    if size > 1 << 20:
+                        yield flush(picked)
+                        picked, size = [], 0
+            if picked:
+                yield flush(picked)
+
+    def fetch(pairs: DataFrame, n: int) -> DataFrame:
+        end = lambda c, side: F.struct(F.col(c).alias("id"), "a", "b", F.lit(side).alias("side"))
+        ends = pairs.select(F.explode(F.array(end("a", False), end("b", True))).alias("e")).select("e.*")
+        wanted = ends.join(places, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "side", "a", "b")).alias("lines"))
+        texts = docs.join(F.broadcast(cut(wanted)) if n <= FEW_PAIRS else wanted, ["doc_id", "row"]).select("text", "lines")
+        return texts.mapInArrow(extract, "a long, b long, side boolean, words binary")
+
+    return fetch
 
 
 def lost_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, row, lines: numbers, from 0, of the lines that each document loses. docs: doc_id, row, text."""
-    wide = width(docs.sparkSession)
-    rows = cut(line_classes(docs, min_words, wide).withColumn("id", F.monotonically_increasing_id()))
-    classes = rows.where("NOT lost").select("id", "sig", "keys", "doc_id", "row", "line")
-    shards = max(wide, -(-classes.count() * KEYS // (1 << 22)))
-    tried = cut(_verified(cut(near_links(classes, shards)), classes, docs, least))
-    good = tried.where("ok").select("a", "b")
-    found = components(good)
-    failed = tried.where("forest AND NOT ok")
-    if failed.limit(1).count():
-        rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", "keys", F.coalesce("root", "id").alias("root"))
-        ends = failed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        doubtful = cut(rooted.join(rooted.join(ends, "id").select("root").distinct(), "root", "left_semi"))
-        apart = crossing_links(doubtful, shards)
-        more = cut(_verified(cut(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti")), classes, docs, least)).where("ok").select("a", "b")
-        if more.limit(1).count():
-            found = components(good.unionByName(more))
-    grouped = classes.join(found.withColumnRenamed("node", "id"), "id").select("root", F.struct("doc_id", "row", "line").alias("at"))
+    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = stored(classes(named, lambda whole: [line_batch(part, min_words) for part in slices(whole, "text")], text_bytes(named, "text"), 1 / 16), "lines")
+    first = rows.where("NOT lost")
+    found = like_components(first.select("id", "n", "sig", "keys"), _line_words(named, first.select("id", "doc_id", "row", "line")), least)
+    grouped = first.join(found.withColumnRenamed("node", "id"), "id").select("root", F.struct("doc_id", "row", "line").alias("at"))
     keep = grouped.groupBy("root").agg(F.min("at").alias("keep"))
     later = grouped.join(keep, "root").where("at <> keep").select("at.*")
     lost = rows.where("lost").select("doc_id", "row", "line").unionByName(later)
@@ -434,7 +167,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAS
     docs = docs.withColumn("row", F.xxhash64("text")) if "row" not in fields else docs.withColumnRenamed("row", "_row_").withColumn("row", F.xxhash64("text"))
     own = [c for c in docs.schema.names if c not in ("row", "text")]
     judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("string").alias("text"))
-    lost = lost_lines(judged, min_words, least).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_text"), "lines")
+    lost = stored(lost_lines(judged, min_words, least).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_text"), "lines"), "lost")
+    size = lost.agg(F.sum(F.size("lines") * 4 + 64)).first()[0] or 0
+    lost = F.broadcast(lost) if size <= FEW_BYTES else lost
     joined = docs.select(F.col("text").cast("string").alias("text"), F.struct(*own).alias("own"), "row").join(lost, (F.col("own.doc_id").cast("long") == F.col("_doc")) & (F.col("row") == F.col("_text")), "left").select("own", "text", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

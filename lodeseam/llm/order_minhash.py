@@ -5,29 +5,18 @@ k-mers are runs of five words, labelled with their occurrence number in the
 document.  Two documents are near copies if their word edit similarity,
 1 - edits / words of the longer one, is at least 0.8.
 
-1. Documents of the same words are one class, represented by the least doc_id
-   (grouped by a 128-bit digest, with partial aggregation).  What follows sees
-   representatives only.
+1. Documents of the same words are one class, represented by the least doc_id.
+   What follows sees representatives only.
 2. Each of ``HASHES`` hash functions samples the two labelled k-mers with the
    least values and keeps them in text order: that pair is a key.  Documents
    agree in a key the likelier the smaller their edit distance; at similarity
-   0.8 with edits spread evenly about 85 in 100 pairs share a key, at 0.85 it is 98.
-3. Keys are grouped without gathering a bucket: a block of documents links the
-   members of a bucket to its least member there and sends only that one to
-   the key's shard, which links the blocks' least members to the least of all.
-   Neighbouring keys, two at once, are grouped alike; their buckets are smaller
-   and tell apart what one common passage has brought together, so that a
-   document turned away by the head of one bucket meets the heads of others.
-4. Linked pairs are verified by alignment: the bit-parallel edit distance in
-   a band around the diagonal, which doubles until the distance fits or the
-   similarity can't reach the threshold.
-5. Where a link fails, its ends' components are searched again: members of equal
-   buckets that the verified links left apart are compared pair by pair, by what can't
-   exclude near copies (word counts and parities of word hashes, of which an
-   edit changes two at most), and what remains is verified too, so that the
-   groups are those of all pairs within buckets.  Double keys are left out there:
-   who shares one shares two single keys.
-6. Connected components of verified links are the groups.
+   0.8 with edits at random places more than 9 in 10 pairs share a key, at 0.85
+   nearly all.  (Edits that hit every fifth word leave no common run of five.)
+3. Keys that only one class has are dropped by a sketch; classes are dealt by the
+   others, linked within buckets and verified by alignment, and where a link
+   fails its components are searched again, so that the groups are those of all
+   pairs within buckets (see ``likeness``).
+4. Connected components of verified links are the groups.
 
 Odd input: null text: no words; documents without words are no copies of each
 other; fewer than five words: only equal word sequences match; null doc_id: kept
@@ -44,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, cut, mix, slices, table, width, window_hash
-from .components import components
+from .common import ALNUM, Words, cut, mix, run_digest, slices, table, text_bytes, window_hash
+from .likeness import KEY_BITS, Batch, classes, like_components, signatures, stored
 
-SHINGLE, HASHES, LEAST = 5, 48, 0.8
-#: 64-bit words of a document's signature.
-PARITIES = 16
+SHINGLE, HASHES, LEAST = 5, 64, 0.8
+#: Pairs up to which the ends to align are broadcast.
+FEW_PAIRS = 250_000
 
 _U = np.uint64
 
@@ -94,283 +83,59 @@ def sketch(w: Words, ids: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     return keys
 
 
-def parities(w: Words, ids: np.ndarray) -> np.ndarray:
-    """(texts, PARITIES): one bit for each value of a word hash, set where an odd number of words has it."""
-    n, bits = len(w.counts), 64 * PARITIES
-    place = (mix(ids + _U(5)) % _U(bits)).astype(np.int64)
-    out = np.zeros((n, PARITIES), np.uint64)
-    for a in range(0, n, 1000):
-        b = min(n, a + 1000)
-        lo, hi = w.first[a], w.first[b]
-        odd = np.bincount((w.doc[lo:hi] - a).astype(np.int64) * bits + place[lo:hi], minlength=(b - a) * bits) & 1
-        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, bits), axis=1, bitorder="little").view(np.uint64)
-    return out
+def document_batch(batch: pa.RecordBatch) -> Batch:
+    """Documents with words. batch: doc_id, row, text."""
+    w = Words(batch.column("text"), ALNUM, lower=True)
+    ids = w.ids()
+    keys = sketch(w, ids)
+    some = np.flatnonzero(w.counts > 0)
+    first = np.append(w.first[:-1][some], w.first[-1])
+    have = keys[some, 0] != 0
+    doc, row = (batch.column(c).to_numpy()[some] for c in ("doc_id", "row"))
+    return Batch(run_digest(ids, first, 17), run_digest(ids, first, 91), w.counts[some].astype(np.int32), signatures(ids, first), np.where(have, keys.shape[1], 0).astype(np.uint8), keys[some][have].ravel() >> _U(64 - KEY_BITS), doc, row, np.zeros(len(some), np.int32))
 
 
-def may_be_copies(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """False where parities (a, b) or word counts (n, m) show that the similarity is below ``least``."""
-    longer, shorter = np.maximum(n, m), np.minimum(n, m)
-    edits = (longer * (1 - least) + 1e-9).astype(np.int64)
-    out = longer - shorter <= edits
-    at = np.flatnonzero(out)
-    differ = np.bitwise_count(a[at] ^ b).sum(1, dtype=np.int64)
-    out[at] = differ <= 2 * edits[at]
-    return out
+def _document_words(docs: DataFrame, places: DataFrame):
+    """What ``like_components`` fetches: the words of the documents of pairs."""
 
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 19)):
+            w = Words(batch.column("text"), ALNUM, lower=True)
+            ids = (w.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
+            for ends, lo, hi in zip(batch.column("ends").to_pylist(), w.first[:-1], w.first[1:], strict=True):
+                words = ids[lo:hi].tobytes()
+                for at in range(0, len(ends), step := max(1, (4 << 20) // (len(words) + 1))):
+                    part = ends[at : at + step]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in part], pa.int64()), pa.array([x["b"] for x in part], pa.int64()), pa.array([x["side"] for x in part], pa.bool_()), pa.array([words] * len(part), pa.binary())], ["a", "b", "side", "words"])
 
-def alignment_distance(a: bytes | np.ndarray, b: bytes | np.ndarray, most: int) -> int:
-    """Word edit distance of two sequences of uint32 word identities, or most + 1 if it is larger."""
-    a, b = (np.frombuffer(v, np.uint32) if isinstance(v, bytes) else v for v in (a, b))
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) == 0:
-        return len(b) if len(b) <= most else most + 1
-    band = min(most, max(8, len(b) - len(a)))
-    pattern, text = a.tolist(), b.tolist()
-    masks: dict[int, int] = {}
-    for i, v in enumerate(pattern):
-        masks[v] = masks.get(v, 0) | 1 << i
-    while True:
-        d = _banded(masks, len(pattern), text, band)
-        if d <= band or band >= most:
-            return d if d <= most else most + 1
-        band = min(most, 2 * band)
+    def fetch(pairs: DataFrame, n: int) -> DataFrame:
+        end = lambda c, side: F.struct(F.col(c).alias("id"), "a", "b", F.lit(side).alias("side"))
+        ends = pairs.select(F.explode(F.array(end("a", False), end("b", True))).alias("e")).select("e.*")
+        wanted = ends.join(places, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("side", "a", "b")).alias("ends"))
+        texts = docs.join(F.broadcast(cut(wanted)) if n <= FEW_PAIRS else wanted, ["doc_id", "row"]).select("text", "ends")
+        return texts.mapInArrow(extract, "a long, b long, side boolean, words binary")
 
-
-def _banded(masks: dict[int, int], m: int, text: list[int], k: int) -> int:
-    """Edit distance through cells at most ``k`` off the diagonal; exact if it is at most ``k``.
-
-    Vertical differences of the rows j - k to j + k of column j are two integers;
-    bit 0 is row j - k.  The score follows the window's last row down to row m,
-    and then row m along the text.  A band beyond the pattern is the whole of it.
-    """
-    if k >= m:
-        plus, minus, full, score = (1 << m) - 1, 0, (1 << m) - 1, m
-        for v in text:
-            x = masks.get(v, 0)
-            d0 = (((x & plus) + plus) ^ plus) | x | minus
-            hp = (minus | ~(d0 | plus)) & full
-            hn = plus & d0
-            score += (hp >> (m - 1) & 1) - (hn >> (m - 1) & 1)
-            hp = (hp << 1 | 1) & full
-            plus = ((hn << 1) | ~(d0 | hp)) & full
-            minus = d0 & hp
-        return score
-    size = 2 * k + 1
-    full = (1 << size) - 1
-    plus, minus, score, shift = full >> k << k, 0, k, -k
-    for j, v in enumerate(text, 1):
-        x = masks.get(v, 0)
-        x = (x >> shift if shift >= 0 else x << -shift) & full
-        d0 = ((((x & plus) + plus) ^ plus) | x | minus) & full
-        hp = minus | ~(d0 | plus) & full
-        hn = d0 & plus
-        beyond = j - (m - k)
-        if beyond <= 0:
-            score += 1 - (d0 >> (size - 1) & 1)
-        else:
-            score += (hp >> (size - 1 - beyond) & 1) - (hn >> (size - 1 - beyond) & 1)
-        plus = hn | ~(d0 >> 1 | hp) & full
-        minus = d0 >> 1 & hp
-        shift += 1
-    return score
-
-
-def _pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, least id of each, and the links of other ids to it: least, other)."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    head = ids[new][np.cumsum(new) - 1] if len(keys) else ids
-    other = head != ids
-    return keys[new], ids[new], head[other], ids[other]
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a):
-        return a, b
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return a[new], b[new]
-
-
-_SKETCH = "doc_id long, digest binary, n_words long, keys binary, parities binary"
-_MSG = pa.schema([("shard", pa.int32()), ("links", pa.bool_()), ("one", pa.binary()), ("two", pa.binary())])
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, n_words, keys, parities of every row with a doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = Words(batch.column("text"), ALNUM, lower=True)
-                ids = w.ids()
-                keys = sketch(w, ids)
-                digests = []
-                for lo, hi in zip(w.first[:-1], w.first[1:], strict=True):
-                    digests.append(b"".join(window_hash(ids[lo:hi], hi - lo, salt).tobytes() for salt in (0, 99)) if hi > lo else b"")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(w.counts, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([p.tobytes() for p in parities(w, ids)], pa.binary())], ["doc_id", "digest", "n_words", "keys", "parities"])
-
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, _SKETCH)
-
-
-def candidate_links(reps: DataFrame, shards: int) -> DataFrame:
-    """(a, b) with a < b: documents that share a bucket, linked to the least of it. reps: doc_id, keys."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            ids = batch.column("doc_id").to_numpy()
-            some = k[:, 0] != 0
-            k, ids = k[some], ids[some]
-            if not len(ids):
-                continue
-            double = mix(k * _U(31) + np.roll(k, -1, 1))
-            keys, heads, one, two = _pairs(np.concatenate([k.ravel(), double.ravel()]), np.repeat(np.concatenate([ids, ids]), k.shape[1]))
-            one, two = _distinct(one, two)
-            out = []
-            for links, x, y, place in ((False, keys, heads, mix(keys)), (True, one, two, mix(one.astype(np.uint64) * _U(3) + two.astype(np.uint64)))):
-                place = (place % _U(shards)).astype(np.int32)
-                order = np.argsort(place, kind="stable")
-                at = np.searchsorted(place[order], np.arange(shards + 1))
-                x, y = x[order], y[order]
-                out += [(s, links, x[lo:hi].tobytes(), y[lo:hi].tobytes()) for s, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if lo < hi]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MSG.types, strict=True)], schema=_MSG)
-
-    def link(rows: pa.Table) -> pa.Table:
-        parts = {flag: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for flag in (False, True)}
-        for links, one, two in zip(*(rows.column(c).to_pylist() for c in ("links", "one", "two")), strict=True):
-            parts[links][0].append(np.frombuffer(one, np.int64 if links else np.uint64))
-            parts[links][1].append(np.frombuffer(two, np.int64))
-        _, _, one, two = _pairs(np.concatenate(parts[False][0]), np.concatenate(parts[False][1]))
-        a, b = _distinct(np.concatenate([one, *parts[True][0][1:]]).astype(np.int64), np.concatenate([two, *parts[True][1][1:]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    sent = reps.select("doc_id", "keys").mapInArrow(send, "shard int, links boolean, one binary, two binary")
-    return sent.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
-
-
-_APART = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("key", "doc_id", "root", "n_words", "parities"))])
-
-
-def crossing_pairs(reps: DataFrame, shards: int, least: float = LEAST) -> DataFrame:
-    """(a, b) with a < b: documents of different roots that share a bucket and may be copies. reps: doc_id, root, n_words, keys, parities; memory is linear in a bucket and its pairs found."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                k = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                i, j = np.nonzero(k)
-                if not len(i):
-                    continue
-                key = k[i, j]
-                place = (mix(key) % _U(shards)).astype(np.int32)
-                order = np.argsort(place, kind="stable")
-                at = np.searchsorted(place[order], np.arange(shards + 1))
-                bits = np.frombuffer(b"".join(batch.column("parities").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                columns = [key[order], *(c[i[order]] for c in (*(batch.column(c).to_numpy() for c in ("doc_id", "root", "n_words")), bits))]
-                out = [(s, *(c[lo:hi].tobytes() for c in columns)) for s, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if lo < hi]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _APART.types, strict=True)], schema=_APART)
-
-    def link(rows: pa.Table) -> pa.Table:
-        key, ids, root, n, bits = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in zip(_APART.names[1:], (np.uint64, np.int64, np.int64, np.int64, np.uint64), strict=True))
-        bits = bits.reshape(-1, PARITIES)
-        order = np.lexsort((n, key))
-        key, ids, root, n = key[order], ids[order], root[order], n[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        found = [np.zeros((0, 2), np.int64)]
-        for lo, hi in zip(at, np.append(at, len(key))[1:], strict=True):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            for i in range(lo, hi - 1):
-                # in order of word counts: who is too long for one is so for all after it
-                to = lo + int(np.searchsorted(n[lo:hi], n[i] / least + 1e-6, "right"))
-                j = np.flatnonzero(root[i + 1 : to] != root[i]) + i + 1
-                if len(j):
-                    j = j[may_be_copies(bits[order[j]], n[j], bits[order[i]], n[i], least)]
-                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-            if len(found) > 1 << 14:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
-
-    sent = reps.select("doc_id", "root", "n_words", "keys", "parities").mapInArrow(send, "shard int, key binary, doc_id binary, root binary, n_words binary, parities binary")
-    return sent.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
-
-
-def verify(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, similarity) of the pairs whose edit similarity is at least ``least``."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ends.count() <= 500_000  # 8 bytes each
-    texts = docs.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
-
-    def word_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = Words(batch.column("text"), ALNUM, lower=True)
-                ids = (w.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids[lo:hi].tobytes() for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["doc_id", "words"])
-
-    words = texts.select("doc_id", "text").mapInArrow(word_ids, "doc_id long, words binary")
-    left = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a")
-    both = left.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "wa", "wb")), strict=True):
-                x, y = x.as_py(), y.as_py()
-                longest = max(len(x), len(y)) // 4
-                most = int(longest * (1 - least) + 1e-9)
-                d = alignment_distance(x, y, most)
-                if d <= most and longest:
-                    out.append((a.as_py(), b.as_py(), 1 - d / longest))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "similarity"])
-
-    return both.mapInArrow(align, "a long, b long, similarity double")
+    return fetch
 
 
 def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (least doc_id of the same words), group_id (least doc_id of the near-copy group), kept: one row per doc_id, and one for each null."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(sketches(docs))
-    worded = rows.where("n_words > 0")
-    classes = worded.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    member = worded.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-    reps = worded.join(classes.select(F.col("digest").alias("d"), "class_id"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("class_id"))).select("doc_id", "n_words", "keys", "parities")
-    shards = max(width(spark), -(-rows.count() * 2 * HASHES // (1 << 22)))
-    pairs = cut(candidate_links(reps, shards))
-    links = cut(verify(pairs, docs, least).select("a", "b"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+    named = docs.where("doc_id IS NOT NULL")
+    rows = stored(classes(named.where("text IS NOT NULL"), lambda whole: [document_batch(part) for part in slices(whole, "text")], text_bytes(named, "text"), HASHES / 1500), "documents")
+    first = rows.where("NOT lost")
+    known = rows.where("id IS NOT NULL").select("doc_id", "row", "id", F.col("rep_doc").alias("class_id"))
+    dropped = rows.where("id IS NULL").select("doc_id", "rep_doc", "rep_row")
+    reps = known.select(F.col("doc_id").alias("rep_doc"), F.col("row").alias("rep_row"), "id", "class_id")
+    member = stored(known.select("doc_id", "id", "class_id").unionByName(dropped.join(reps, ["rep_doc", "rep_row"]).select("doc_id", "id", "class_id")).distinct(), "members")
     # a doc_id that repeats may be in several classes, which it links
-    links = links.unionByName(member.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b"))
-    found = components(links)
-    failed = cut(pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    if failed.limit(1).count():
-        # a row of a repeated doc_id may be the representative of more than one class; each is compared
-        rooted = reps.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        doubtful = rooted.join(rooted.join(failed, "doc_id").select("root").distinct(), "root", "left_semi")
-        apart = crossing_pairs(doubtful, shards, least).join(pairs, ["a", "b"], "left_anti")
-        more = cut(verify(cut(apart), docs, least).select("a", "b"))
-        if more.limit(1).count():
-            found = components(links.unionByName(more))
-    grouped = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).join(found.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
-    grouped = grouped.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"))
-    bare = rows.select("doc_id").distinct().join(grouped.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_most")).where("a <> _most").select("doc_id", "a")
+    same = several.join(member, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
+    found = like_components(first.select("id", "n", "sig", "keys"), _document_words(named, first.select("id", "doc_id", "row")), least, same)
+    rooted = first.select("id", "doc_id").join(found.withColumnRenamed("node", "id"), "id")
+    groups = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select(F.col("id").alias("_id"), "group_id")
+    grouped = member.join(groups, F.col("id") == F.col("_id"), "left").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("group_id", "class_id")).alias("group_id"))
+    bare = named.select("doc_id").distinct().join(grouped.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
     null = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("group_id"))
     return grouped.unionByName(bare).unionByName(null).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
 

@@ -2,13 +2,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseam.llm import common, decontaminate, lines, order_minhash, packing, substrings, token_counts
+from lodeseam.llm import common, decontaminate, likeness, lines, order_minhash, packing, substrings, token_counts
 
 from .edge import no_documents, odd_documents, prose
 
@@ -93,8 +94,7 @@ def brute_lines(rows, least=0.8):
             if len(words) >= lines.MIN_WORDS:
                 place.setdefault(tuple(words), []).append((d, n))
     keys = sorted(place, key=lambda k: place[k][0])
-    w = common.Words(pa.array([b" ".join(k) for k in keys], pa.binary()), common.ALNUM)
-    sims, root = lines.simhash(w.ids(), w.first[: len(keys) + 1]), list(range(len(keys)))
+    root, bags = list(range(len(keys))), [Counter(k) for k in keys]
 
     def find(i):
         while root[i] != i:
@@ -103,7 +103,8 @@ def brute_lines(rows, least=0.8):
 
     for i in range(len(keys)):
         for j in range(i):
-            if (int(sims[i]) ^ int(sims[j])).bit_count() <= lines.BITS and distance(keys[i], keys[j]) <= int(max(len(keys[i]), len(keys[j])) * (1 - least) + 1e-9):
+            most = int(max(len(keys[i]), len(keys[j])) * (1 - least) + 1e-9)
+            if abs(len(keys[i]) - len(keys[j])) <= most and (bags[i] - bags[j]).total() <= most and distance(keys[i], keys[j]) <= most:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     gone = {o for i, k in enumerate(keys) for o in place[k] if o != place[keys[find(i)]][0]}
@@ -135,59 +136,115 @@ def test_lines_of_variants(spark):
     assert got == brute_lines(rows)
 
 
-def test_lines_in_large_buckets_lose_no_link(spark, monkeypatch):
-    """Buckets over the limit give forests; what a failed link hid is found again."""
-    rows = [(i, v) for i, v in enumerate([*variants(21, 50), *variants(22, 30, 12)])]
-    # lines with the same words in another order have the same SimHash, but are not alike
-    r = random.Random(4)
-    for i in range(12):
-        w = prose(33, 16).split()
+def permuted(seed, n, words=16):
+    """Lines of the same words in other orders, of which the two of a pair are alike and others mostly not: links that signatures allow fail."""
+    r = random.Random(seed)
+    for i in range(n):
+        w = prose(33, words).split()
         r.shuffle(w)
-        rows.append((200 + 3 * i, " ".join(w)))
+        yield " ".join(w)
         w[3] = w[3] + "x" if i % 2 else w[3]
-        rows.append((201 + 3 * i, " ".join(w)))
-    monkeypatch.setattr(lines, "_SMALL", 2)
-    monkeypatch.setattr(lines.near_links, "__defaults__", (2,))
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_lines_in_large_buckets_lose_no_link(spark, monkeypatch, hot):
+    """Forests' failed links are found again in rounds; buckets over the limit are dealt into cells."""
+    monkeypatch.setattr(likeness, "HOT", hot)
+    monkeypatch.setattr(likeness, "PART", 3)
+    monkeypatch.setattr(likeness, "FIRST", 1)
+    monkeypatch.setattr(likeness, "MORE", 2)
+    rows = [(i, v) for i, v in enumerate([*variants(21, 50), *variants(22, 30, 12)])]
+    passage = prose(34, 9)
+    rows += [(200 + i, passage + " " + v) for i, v in enumerate(permuted(4, 12))]
+    rows += [(300 + i, passage + " " + " ".join(prose(500, 20 + i % 3).split()[::-1][i % 5 :])) for i in range(20)]
     got = {x.doc_id: x.text for x in lines.dedup_lines(docs_of(spark, rows)).collect()}
     assert got == brute_lines(rows)
 
 
-def like_lines(texts, least=0.8):
-    """Keys, signatures, SimHashes and words of the distinct lines, and all pairs (i, j) whose word similarity is at least ``least``."""
-    ls = lines.Lines(pa.array(texts))
-    ids = ls.words.ids()
-    some = np.flatnonzero(ls.counts > 0)
-    some = some[np.unique(lines._digest(ids, ls.first, 17)[some], return_index=True)[1]]
-    some = some[np.argsort(ls.counts[some], kind="stable")]
-    keys, sigs = lines.line_keys(ids, ls.first)[some], lines.signatures(ids, ls.first)[some]
-    n, words = ls.counts[some], [(ids[ls.first[i] : ls.first[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32) for i in some]
-    pairs = []
-    for i in range(len(n)):
-        # a line of other words is farther than the bound on parities, which test_signatures checks
-        for j in np.flatnonzero(lines.may_be_alike(sigs[i + 1 :], sigs[i])) + i + 1:
-            most = int(max(n[i], n[j]) * (1 - least) + 1e-9)
-            if order_minhash.alignment_distance(words[i], words[j], most) <= most:
-                pairs.append((i, j))
-    return keys, pairs
+def test_forests_span_what_signatures_allow():
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a", "b", "c", "d", "e", "f", "g", "h"]) + str(r.randrange(3)) for _ in range(n)) for n in (6, 6, 7, 30, 31, 100, 101, 500, 510) for _ in range(9)]
+    w = common.Words(pa.array(texts), common.ALNUM)
+    ids, n = w.ids(), w.counts
+    sigs = likeness.Signatures(likeness.signatures(ids, w.first), n, 0.8)
+    idx = np.full((3, 40), -1)
+    idx[0, :40], idx[1, :11], idx[2, :30] = np.arange(40), np.arange(40, 51), np.arange(51, 81)
+    i, j = likeness.spanning_forest(sigs, idx)
+
+    def parts(pairs):
+        root = list(range(len(texts)))
 
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
 
-def test_like_lines_share_a_key(spark):
-    keys, pairs = like_lines([r.text for r in common.table(spark, SF, "documents").collect()])
-    assert len(pairs) > 10 and all(set(keys[i][keys[i] > 0].tolist()) & set(keys[j][keys[j] > 0].tolist()) for i, j in pairs)
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(len(texts))]
 
+    every = [(a, b) for row in idx for a in row[row >= 0] for b in row[row >= 0] if a < b and sigs.weight(np.array([a]), np.array([b]))[0] < likeness._NONE]
+    assert parts(zip(i.tolist(), j.tolist())) == parts(every) and len(i) == len(texts) - len(set(parts(every)))
 
-def test_signatures_never_exclude_like_lines():
+
+def test_many_alignments_at_once():
+    r, pairs, most, want = random.Random(1), [], [], []
+    for _ in range(400):
+        a = [r.randint(0, r.choice([2, 6, 50])) for _ in range(r.choice([0, 1, 20, 60, 700]))]
+        b = a[:]
+        for _ in range(r.randint(0, 14)):
+            k = r.random()
+            if k < 0.4 and b:
+                b[r.randrange(len(b))] = r.randint(0, 9)
+            elif k < 0.7 and b:
+                del b[r.randrange(len(b))]
+            else:
+                b.insert(r.randint(0, len(b)), r.randint(0, 9))
+        m = int(max(len(a), len(b)) * r.choice([0.02, 0.2, 0.5]))
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+        most.append(m)
+        want.append(likeness.alignment_distance(*pairs[-1], m) <= m if len(a) > 100 else distance(a, b) <= m)
+    assert likeness.within(pairs, np.array(most)).tolist() == want
+
+
+def test_like_lines_share_a_key():
+    """Recall against all pairs by plain edit distance, in bands of similarity and length; edits fall anywhere."""
+    r, total, found = random.Random(12), Counter(), Counter()
+    for n in (5, 8, 10, 15, 20, 30, 50):
+        for share in (0.2, 0.1, 0.05):
+            edits = int(n * share + 1e-9)
+            for k in range(40 if edits else 0):
+                base = prose(1000 * n + k, n).split()
+                w = base[:]
+                for i in r.sample(range(n), edits):
+                    w[i] = "changed" + w[i]
+                x = common.Words(pa.array([" ".join(base), " ".join(w)]), common.ALNUM)
+                many, keys = lines.line_keys(x.ids(), x.first)
+                total[n, share] += 1
+                found[n, share] += bool(set(keys[: many[0]].tolist()) & set(keys[many[0] :].tolist()))
+    assert all(found[k] == total[k] for k in total if k[0] <= 18) and all(found[k] >= 0.95 * total[k] for k in total)
+
+
+def test_like_lines_of_a_corpus_are_found(spark):
+    """On real lines of 4 to 60 words, components equal those of all pairs."""
+    rows = [(r.doc_id, "\n".join(x for x in r.text.split("\n") if 4 <= len(x.split()) <= 60)[:4000]) for r in common.table(spark, SF, "documents").collect()]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_signatures_never_exclude_like_sequences():
     r = random.Random(6)
-    for n in (5, 9, 10, 40, 200, 5000):
+    for n in (5, 9, 10, 40, 80, 85, 200, 400, 430, 5000):
         base = [f"w{r.randrange(400)}" for _ in range(n)]
         for _ in range(20):
             w = base[:]
             for _ in range(n // 5):
                 k = r.randrange(len(w))
                 w[k : k + 1] = r.choice([[], [f"v{r.randrange(90)}"], [f"v{r.randrange(90)}"]])
-            ls = lines.Lines(pa.array([" ".join(base), " ".join(w)]))
-            a, b = lines.signatures(ls.words.ids(), ls.first)
-            assert lines.may_be_alike(a, b)
+            x = common.Words(pa.array([" ".join(base), " ".join(w)]), common.ALNUM)
+            sigs = likeness.Signatures(likeness.signatures(x.ids(), x.first), x.counts, 0.8)
+            assert sigs.weight(np.array([0]), np.array([1]))[0] < likeness._NONE
 
 
 def test_lines_at_the_threshold_are_linked(spark):
@@ -223,19 +280,6 @@ def test_lines_on_odd_documents(spark):
     assert lines.dedup_lines(no_documents(spark)).count() == 0
 
 
-def test_simhash_is_the_majority_of_bits():
-    ids = common.mix(np.arange(1, 900, dtype=np.uint64))
-    first = np.array([0, 3, 3, 10, 899])
-    ids[5], ids[9], ids[700] = ids[4], ids[4], ids[699]
-    seen, labelled = {}, ids.copy()
-    for i in range(len(ids)):
-        k = (int(np.searchsorted(first, i, "right")), int(ids[i]))
-        labelled[i] = common.mix(ids[i : i + 1] + np.array([seen.get(k, 0)], np.uint64) * np.uint64(0xE7037ED1A0B428DB))[0]
-        seen[k] = seen.get(k, 0) + 1
-    want = [sum(1 << b for b in range(64) if 2 * int(((labelled[a:z] >> np.uint64(b)) & np.uint64(1)).sum()) > z - a) for a, z in zip(first[:-1], first[1:])]
-    assert lines.simhash(ids, first).tolist() == want
-
-
 # ---------------------------------------------------------------- 7: decontamination
 
 
@@ -344,7 +388,7 @@ def test_alignment_distance():
             else:
                 b.insert(r.randint(0, len(b)), r.randint(0, 9))
         d, most = distance(a, b), r.randint(0, 35)
-        assert order_minhash.alignment_distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == (d if d <= most else most + 1)
+        assert likeness.alignment_distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == (d if d <= most else most + 1)
 
 
 def brute_groups(rows, least=0.8):
@@ -395,18 +439,42 @@ def test_near_groups_across_a_common_passage(spark):
     assert got == {d: d % 1000 for d, _ in rows}
 
 
-def test_parities_never_exclude_near_copies():
-    r = random.Random(6)
-    for n in (5, 40, 900, 4000):
-        base = [f"w{r.randrange(900)}" for _ in range(n)]
-        for _ in range(10):
-            w = base[:]
-            for _ in range(n // 5):
-                k = r.randrange(len(w))
-                w[k : k + 1] = r.choice([[], [f"v{r.randrange(90)}"], [f"v{r.randrange(90)}"]])
-            x = common.Words(pa.array([" ".join(base), " ".join(w)]), common.ALNUM)
-            a, b = order_minhash.parities(x, x.ids())
-            assert order_minhash.may_be_copies(a[None], np.array([n]), b, np.array(len(w)))[0]
+def test_documents_at_the_threshold_share_a_key():
+    """Recall at similarity 0.8, edits at random places."""
+    found, r = 0, random.Random(9)
+    for k in range(200):
+        base = prose(7000 + k, 300).split()
+        edited = set(r.sample(range(300), 60))
+        w = ["other" + x if i in edited else x for i, x in enumerate(base)]
+        x = common.Words(pa.array([" ".join(base), " ".join(w)]), common.ALNUM)
+        a, b = order_minhash.sketch(x, x.ids())
+        found += bool(set(a.tolist()) & set(b.tolist()))
+    assert found >= 180
+
+
+def thue_morse(n, flip):
+    s = "a"
+    while len(s) < n:
+        s += "".join("b" if c == "a" else "a" for c in s)
+    return s[:n] if not flip else "".join("b" if c == "a" else "a" for c in s[:n])
+
+
+def test_identities_do_not_collide_by_construction(spark):
+    """Words and documents whose polynomial hashes modulo 2**64 would be equal, whatever the base."""
+    sizes = (8, 9, 64, 300, 1024, 2048, 4096)
+    words = [thue_morse(n, f) for n in sizes for f in (0, 1)]
+    assert len(set(common.Words(pa.array([" ".join(words)]), common.NOT_SPACE).ids().tolist())) == len(words)
+    texts = [" ".join(thue_morse(n, f)) for n in (1024, 2048) for f in (0, 1)]
+    got = order_minhash.near_groups(docs_of(spark, list(enumerate(texts)))).collect()
+    assert len({r.class_id for r in got}) == 4
+    tail = prose(2, 12)
+    rows = [(i, f"{w} {tail}") for i, w in enumerate(words[-6:])]
+    assert as_rows(substrings.repeated_words(docs_of(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+    items = spark.createDataFrame([(1, f"{words[-1]} {prose(2, 9)}")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.summarise(decontaminate.find_items(docs_of(spark, rows), items)).where("contaminated").collect()} == {5}
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    for t, ids in zip(words, encoder.batch(pa.array(words))):
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_near_groups_on_odd_documents(spark):
