@@ -10,13 +10,13 @@ which like sequences share one (how surely, is the caller's choice of keys).
    space counts them: cells can only be counted too high, so that a key that two
    classes share is never dropped, and most others are.
 2. ``near_links``: classes are dealt by shared key.  Within a bucket, pairs are
-   judged by what can't exclude like sequences: word counts, and the parities of
-   word hashes, of which an edit changes two at most.  Of the pairs that remain
+   judged by what can't exclude like sequences: lengths, and counts of words in
+   hashed cells, of which an edit moves two at most.  Of the pairs that remain
    only a least spanning forest, the most similar first, is sent on, so that the
    output is linear in a bucket's classes.  A bucket of more than ``HOT`` classes is
    dealt into cells, each of which holds two of its parts, so that no task holds it.
-3. ``aligned``: the linked sequences' words meet by pair and are aligned in a band
-   around the diagonal, many pairs at once.
+3. ``aligned``: the linked sequences' words meet in blocks of pairs and are aligned in
+   a band around the diagonal, many pairs at once.
 4. ``like_components``: where a link fails that may have stood for others, the
    components which it would have joined are searched again: every member takes
    its most similar members of other components, then ever more of them, until
@@ -42,7 +42,7 @@ HOT, PART = 4096, 2048
 #: log2 of the cells of a shard of the key sketch; key bits that buckets are told apart by.
 CELL_BITS, KEY_BITS = 24, 48
 #: Untried partners that a member takes in the first round of a repeated search, and by what that grows.
-FIRST, MORE = 4, 8
+FIRST, MORE = 4, 64
 _NONE = 1 << 30
 
 
@@ -59,80 +59,118 @@ def _bounds(sorted_place: np.ndarray, n: int) -> np.ndarray:
 
 
 def sig_words(n: np.ndarray) -> np.ndarray:
-    """64-bit words of a signature, by the number of words of its sequence."""
-    return np.where(n <= 80, 2, np.where(n <= 400, 8, 16))
+    """64-bit words of a signature, by the number of words of its sequence: two planes of 64, 256 or 512 cells."""
+    return np.where(n <= 24, 2, np.where(n <= 100, 8, 16))
 
 
 def signatures(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Signatures of the runs [first[i], first[i + 1]) of word identities, one after another: of 1024 values of a word hash (folded to 512 or 128 in shorter runs), which an odd number of words has."""
+    """Signatures of the runs [first[i], first[i + 1]) of word identities, one after another.
+
+    A signature counts words, modulo 4, in cells that a hash of the word names; the
+    low bits of all cells come first, then the high ones.  The fourth occurrence of a
+    word and those after it take other cells, three each, so that a word which
+    repeats is never counted away.
+    """
     n = np.diff(first)
     size = sig_words(n)
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)
-    ids = ids[first[0] : first[-1]]
     begin = first[:-1] - first[0]
-    place = (mix(ids + _U(5)) & _U(1023)).astype(np.int64)
-    small = np.flatnonzero((n > 0) & (n <= 80))
-    if len(small):
-        bit = _U(1) << (place & 63).astype(np.uint64)
-        some = np.flatnonzero(n)
-        for c in range(2):
-            folded = np.zeros(len(n), np.uint64)
-            folded[some] = np.bitwise_xor.reduceat(np.where(place >> 6 & 1 == c, bit, _U(0)), begin[some])
-            out[at[small] + c] = folded[small]
-    large = np.flatnonzero(n > 80)
-    for a in range(0, len(large), 512):
-        rows = large[a : a + 512]
-        words = ranges(begin[rows], n[rows])
-        odd = np.bincount(np.repeat(np.arange(len(rows)) * 1024, n[rows]) + place[words], minlength=len(rows) * 1024) & 1
-        full = np.packbits(odd.astype(np.uint8).reshape(len(rows), 1024), axis=1, bitorder="little").view(np.uint64)
-        mid = full[:, :8] ^ full[:, 8:]
-        for part, values in ((n[rows] <= 400, mid), (n[rows] > 400, full)):
-            if part.any():
-                out[(at[rows[part]][:, None] + np.arange(values.shape[1])).ravel()] = values[part].ravel()
+    ids = ids[first[0] : first[-1]]
+    place = (mix(ids + _U(5)) & _U(511)).astype(np.int64)
+    for words in (2, 8, 16):
+        mine, cells = np.flatnonzero(size == words), 32 * words
+        for a in range(0, len(mine), max(1, (1 << 19) // cells)):
+            rows = mine[a : a + max(1, (1 << 19) // cells)]
+            where, base = ranges(begin[rows], n[rows]), np.repeat(np.arange(len(rows)) * cells, n[rows])
+            cell = place[where]
+            counts = np.bincount(base + (cell & (cells - 1)), minlength=len(rows) * cells)
+            full = np.flatnonzero(np.repeat((counts.reshape(len(rows), cells) > 3).any(1), n[rows]))
+            if len(full):
+                later, at_word = _later(base[full].astype(np.uint64) << _U(32) | ids[where[full]] >> _U(32))
+                again = full[at_word]
+                cell[again] = (mix(ids[where[again]] + _U(5) + later * _U(0xE7037ED1A0B428DB)) & _U(511)).astype(np.int64)
+                counts = np.bincount(base + (cell & (cells - 1)), minlength=len(rows) * cells)
+            counts = counts.astype(np.uint8).reshape(len(rows), cells)
+            planes = [np.packbits(counts >> k & 1, axis=1, bitorder="little").view(np.uint64) for k in (0, 1)]
+            out[(at[rows][:, None] + np.arange(words)).ravel()] = np.concatenate(planes, 1).ravel()
     return out
 
 
+def _later(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which three of its occurrences, from 1, places) of every fourth and later occurrence of a word."""
+    order = np.argsort(words, kind="stable")
+    at = np.flatnonzero(np.append(True, words[order][1:] != words[order][:-1]))
+    many = np.diff(np.append(at, len(words)))
+    often = many > 3
+    nth = ranges(np.zeros(often.sum(), np.int64), many[often])
+    later = nth > 2
+    return (nth[later] // 3).astype(np.uint64), order[ranges(at[often], many[often])[later]]
+
+
+def _folded(low: np.ndarray, high: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Planes with cells added up, modulo 4, of ``parts`` equal parts."""
+    low, high = (x.reshape(len(x), parts, -1) for x in (low, high))
+    a, b = low[:, 0], high[:, 0]
+    for k in range(1, parts):
+        a, b = a ^ low[:, k], b ^ high[:, k] ^ (a & low[:, k])
+    return a, b
+
+
+def _apart(a: tuple[np.ndarray, np.ndarray], i: np.ndarray, b: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
+    """Sum over cells of how far their counts are apart, at least, from counts modulo 4."""
+    odd = a[0][i] ^ b[0][j]
+    return np.bitwise_count(odd).sum(-1, dtype=np.int32) + 2 * np.bitwise_count((a[1][i] ^ b[1][j]) & ~odd).sum(-1, dtype=np.int32)
+
+
 class Signatures:
     """Signatures of many sequences, ready to be compared; n: numbers of words."""
 
     def __init__(self, stream: np.ndarray, n: np.ndarray, least: float) -> None:
-        self.n, self.least = n.astype(np.int64), least
+        self.n, self.least = n.astype(np.int32), least
         size = sig_words(self.n)
         at = np.cumsum(size) - size
         self.tier = np.where(size == 2, 0, np.where(size == 8, 1, 2)).astype(np.int8)
-        self.narrow = np.zeros((len(n), 2), np.uint64)
+        small, mid, full = (np.flatnonzero(size == k) for k in (2, 8, 16))
+        cut_out = lambda rows, k: (stream[at[rows][:, None] + np.arange(k // 2)], stream[at[rows][:, None] + np.arange(k // 2, k)])
+        self.full = cut_out(full, 16)
+        self.mid = tuple(np.concatenate(x) for x in zip(cut_out(mid, 8), _folded(*self.full, 2), strict=True))
         #: row in mid and full of each sequence that has one
         self.row = np.zeros(len(n), np.int64)
-        rows = np.flatnonzero(self.tier == 0)
-        self.narrow[rows] = stream[at[rows][:, None] + np.arange(2)]
-        eight, sixteen = np.flatnonzero(self.tier == 1), np.flatnonzero(self.tier == 2)
-        self.full = stream[at[sixteen][:, None] + np.arange(16)]
-        self.mid = np.concatenate([stream[at[eight][:, None] + np.arange(8)], self.full[:, :8] ^ self.full[:, 8:]])
-        self.row[eight], self.row[sixteen] = np.arange(len(eight)), len(eight) + np.arange(len(sixteen))
-        self.first_full = len(eight)
-        wide = np.concatenate([eight, sixteen])
-        self.narrow[wide] = np.bitwise_xor.reduce(self.mid.reshape(-1, 4, 2), 1)
-
-    def weight(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Differing parities of each pair, or _NONE where it can't be alike; a and b are index arrays that broadcast."""
-        n, m = self.n[a], self.n[b]
+        self.row[mid], self.row[full], self.first_full = np.arange(len(mid)), len(mid) + np.arange(len(full)), len(mid)
+        self.narrow = tuple(np.zeros((len(n), 1), np.uint64) for _ in range(2))
+        for plane, own, wide in zip(self.narrow, cut_out(small, 2), _folded(*self.mid, 4), strict=True):
+            plane[small] = own
+            plane[np.concatenate([mid, full])] = wide
+
+    def gathered(self, idx: np.ndarray) -> list[np.ndarray]:
+        """What a first look at sequences needs, for ``weight``."""
+        return [self.n[idx], self.narrow[0][idx, 0], self.narrow[1][idx, 0]]
+
+    def weight(self, a: np.ndarray, b: np.ndarray, seen: tuple[list, list] | None = None) -> np.ndarray:
+        """Words that one has and the other lacks, at least, and the same the other way; _NONE where the pair can't be alike. a and b are index arrays that broadcast.
+
+        An edit moves two words at most, one if it changes the length; so the sum and
+        the difference in length are at most twice the edits.
+        """
+        (n, low_a, high_a), (m, low_b, high_b) = seen or (self.gathered(a), self.gathered(b))
         longer = np.maximum(n, m)
-        edits = (longer * (1 - self.least) + 1e-9).astype(np.int32)
-        out = np.bitwise_count(self.narrow[a, 0] ^ self.narrow[b, 0]).astype(np.int32) + np.bitwise_count(self.narrow[a, 1] ^ self.narrow[b, 1])
-        possible = (out <= 2 * edits) & (longer - np.minimum(n, m) <= edits)
-        out[~possible] = _NONE
-        both = possible & (self.tier[a] > 0) & (self.tier[b] > 0)
-        where = np.nonzero(both)
-        if len(where[0]):
-            x, y = (np.broadcast_to(v, both.shape)[where] for v in (a, b))
-            limit = 2 * edits[where]
-            d = np.bitwise_count(self.mid[self.row[x]] ^ self.mid[self.row[y]]).sum(1, dtype=np.int32)
-            longest = np.flatnonzero((d <= limit) & (self.tier[x] == 2) & (self.tier[y] == 2))
+        limit = 2 * (longer * (1 - self.least) + 1e-9).astype(np.int32) - np.abs(n - m)
+        odd = low_a ^ low_b
+        out = np.bitwise_count(odd) + 2 * np.bitwise_count((high_a ^ high_b) & ~odd)
+        possible = out <= limit
+        out = np.where(possible, out, np.int32(_NONE))
+        where = np.nonzero(possible)
+        x, y = (np.broadcast_to(v, out.shape)[where] for v in (a, b))
+        wide = np.flatnonzero((self.tier[x] > 0) & (self.tier[y] > 0))
+        if len(wide):
+            where, x, y = tuple(v[wide] for v in where), x[wide], y[wide]
+            most = limit[where]
+            d = _apart(self.mid, self.row[x], self.mid, self.row[y])
+            longest = np.flatnonzero((d <= most) & (self.tier[x] == 2) & (self.tier[y] == 2))
             if len(longest):
-                i, j = self.row[x[longest]] - self.first_full, self.row[y[longest]] - self.first_full
-                d[longest] = np.bitwise_count(self.full[i] ^ self.full[j]).sum(1, dtype=np.int32)
-            out[where] = np.where(d <= limit, d, _NONE)
+                d[longest] = _apart(self.full, self.row[x[longest]] - self.first_full, self.full, self.row[y[longest]] - self.first_full)
+            out[where] = np.where(d <= most, d, _NONE)
         return out
 
 
@@ -394,10 +432,11 @@ def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.n
     safe, done = np.maximum(idx, 0), idx < 0
     best, parent = np.full((b, s), _NONE, np.int32), np.zeros((b, s), np.int64)
     rows, now = np.arange(b), np.zeros(b, np.int64)
+    columns = sigs.gathered(safe)
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for _ in range(s - 1):
         done[rows, now] = True
-        w = sigs.weight(safe[rows, now][:, None], safe)
+        w = sigs.weight(safe[rows, now][:, None], safe, ([c[rows, now][:, None] for c in columns], columns))
         better = (w < best) & ~done
         best = np.where(better, w, best)
         parent = np.where(better, now[:, None], parent)
@@ -413,6 +452,7 @@ def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.n
                 break
             rows_left = np.flatnonzero(going)
             safe, done, best, parent, now = (x[rows_left] for x in (safe, done, best, parent, now))
+            columns = [c[rows_left] for c in columns]
             rows = np.arange(len(rows_left))
     return np.concatenate(one), np.concatenate(two)
 
@@ -445,22 +485,26 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
         root, now = extra["root"], extra["now"]
         found, more = [np.zeros((0, 2), np.int64)], False
         for idx in buckets:
-            s = idx.shape[1]
-            for a in range(0, len(idx), max(1, (1 << 20) // (s * s))):
-                part = idx[a : a + max(1, (1 << 20) // (s * s))]
-                safe = np.maximum(part, 0)
-                part = part[((root[safe] != root[safe][:, :1]) & (part >= 0)).any(1)]
-                for c in range(0, s if len(part) else 0, max(1, (1 << 20) // s)):  # rows of one very large bucket at a time
-                    me = part[:, c : c + max(1, (1 << 20) // s)]
-                    x, y = np.maximum(me, 0)[:, :, None], np.maximum(part, 0)[:, None, :]
-                    w = sigs.weight(x, y)
-                    w[(me < 0)[:, :, None] | (part < 0)[:, None, :] | (root[x] == root[y])] = _NONE
-                    more |= bool((((w < _NONE).sum(2) > hi)).any())
-                    nearest = np.argsort(w, 2, kind="stable")[:, :, lo:hi]
-                    x, y = np.broadcast_to(x, nearest.shape), np.take_along_axis(np.broadcast_to(y, w.shape), nearest, 2)
-                    good = (np.take_along_axis(w, nearest, 2) < _NONE) & (now[x] != now[y])
-                    i, j = x[good], y[good]
-                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+            size = idx.shape[1]
+            own = root[np.where(idx < 0, idx[:, :1], idx)]
+            # a pair across components has an end outside the bucket's usual one, so that only such members need lists
+            usual = np.sort(own, 1)[:, size // 2]
+            bucket, place = np.nonzero((own != usual[:, None]) & (idx >= 0))
+            step = max(1, (1 << 20) // size)
+            for at in range(0, len(bucket), step):
+                x, y = idx[bucket[at : at + step], place[at : at + step]][:, None], idx[bucket[at : at + step]]
+                safe = np.maximum(y, 0)
+                w = sigs.weight(x, safe)
+                w[(y < 0) | (root[x] == root[safe])] = _NONE
+                many = (w < _NONE).sum(1)
+                more |= bool((many > hi).any())
+                some = np.flatnonzero(many > lo)
+                nearest = np.argsort(w[some], 1, kind="stable")[:, lo:hi]
+                y = np.take_along_axis(safe[some], nearest, 1)
+                x = np.broadcast_to(x[some], y.shape)
+                good = (np.take_along_axis(w[some], nearest, 1) < _NONE) & (now[x] != now[y])
+                i, j = x[good], y[good]
+                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         none = [None] * more
         return pa.table({"a": pa.array(pairs[:, 0].tolist() + none, pa.int64()), "b": pa.array(pairs[:, 1].tolist() + none, pa.int64())})
@@ -632,27 +676,34 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.n
     return good
 
 
-def aligned(words: DataFrame, n_pairs: int, least: float) -> DataFrame:
-    """a, b, ok of pairs whose sequences came as words: a, b, side (false: of a), words (packed uint32)."""
-    shards = max(width(words.sparkSession), -(-n_pairs // 20_000))
-
-    def judge(rows: pa.Table) -> pa.Table:
-        a, b, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "side"))
-        order = np.lexsort((side, b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (side[order][1:] != side[order][:-1]))[: len(order)]
-        order = order[new]  # identical rows give a sequence twice
-        at = np.flatnonzero((a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]))
-        column, ok = rows.column("words"), []
-        for lo in range(0, len(at), 2000):
-            part = at[lo : lo + 2000]
-            pairs = [(np.frombuffer(column[int(i)].as_py(), np.uint32), np.frombuffer(column[int(j)].as_py(), np.uint32)) for i, j in zip(order[part], order[part + 1], strict=True)]
-            most = np.array([int(max(len(x), len(y)) * (1 - least) + 1e-9) for x, y in pairs])
-            ok.append(within(pairs, most))
+def aligned(pairs: DataFrame, n: int, fetch: Callable[[DataFrame, int], DataFrame], least: float) -> DataFrame:
+    """a, b, ok of ``n`` pairs (a, b).  ``fetch`` gives block, id, words (packed uint32) of (id, block) rows.
+
+    Pairs are dealt into blocks by both ends, so that a sequence of many pairs travels
+    once per block and not once per pair.
+    """
+    side = max(1, round((n / 4000) ** 0.5))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    pairs = pairs.select("a", "b", (part("a") * side + part("b")).cast("int").alias("block"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "block"), F.struct(F.col("b").alias("id"), "block"))).alias("e")).select("e.*").distinct()
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return result.empty_table()
+        ids, order = np.unique(right.column("id").to_numpy(), return_index=True)  # identical rows give a sequence twice
+        words = right.column("words").combine_chunks()
+        words = [np.frombuffer(words[int(i)].as_buffer(), np.uint32) if len(words[int(i)].as_buffer()) else np.zeros(0, np.uint32) for i in order]
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        x, y, ok = np.searchsorted(ids, a), np.searchsorted(ids, b), []
+        for lo in range(0, len(a), 2000):
+            part = [(words[i], words[j]) for i, j in zip(x[lo : lo + 2000].tolist(), y[lo : lo + 2000].tolist(), strict=True)]
+            ok.append(within(part, np.array([int(max(len(p), len(q)) * (1 - least) + 1e-9) for p, q in part])))
         tidy()
-        return pa.table({"a": a[order[at]], "b": b[order[at]], "ok": pa.array(np.concatenate(ok) if ok else np.zeros(0, bool), pa.bool_())})
+        return pa.table([pa.array(a), pa.array(b), pa.array(np.concatenate(ok))], schema=result)
 
-    dealt = words.withColumn("shard", F.pmod(F.xxhash64("a", "b"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(judge, "a long, b long, ok boolean")
+    found = fetch(ends, n).select("block", "id", "words")
+    return pairs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(judge, "a long, b long, ok boolean")
 
 
 # ---------------------------------------------------------------- all together
@@ -668,8 +719,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], least: float, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of every class that is like another: components of the like pairs within buckets.
 
-    rows: id, n, sig, keys, written already.  ``fetch`` gives for pairs (a, b) and
-    their number the rows that ``aligned`` takes.  known: links (a, b) that hold anyway.
+    rows: id, n, sig, keys, written already.  ``fetch``: see ``aligned``.  known: links (a, b) that hold anyway.
     """
     entries = int(rows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
     shards = max(width(rows.sparkSession), -(-entries // (1 << 18)))
@@ -677,7 +727,7 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         n = pairs.count()
-        return cut(aligned(fetch(pairs, n), n, least)) if n else pairs.withColumn("ok", F.lit(False))
+        return cut(aligned(pairs, n, fetch, least)) if n else pairs.withColumn("ok", F.lit(False))
 
     seen = tried(near_links(rows, shards, least))
     good = seen.where("ok").select("a", "b")

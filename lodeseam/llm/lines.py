@@ -119,31 +119,31 @@ def _line_words(docs: DataFrame, places: DataFrame):
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(picked: list[tuple]) -> pa.RecordBatch:
-            text, side, a, b = (list(c) for c in zip(*picked, strict=True))
+            text, ids, blocks = (list(c) for c in zip(*picked, strict=True))
             w = Words(pa.array(text, pa.large_binary()), ALNUM)
             w.raw = _FOLD[w.raw]
-            ids = (w.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(side, pa.bool_()), pa.array([ids[lo:hi].tobytes() for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["a", "b", "side", "words"])
+            words = (w.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
+            packed = [words[lo:hi].tobytes() for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)]
+            many = [len(x) for x in blocks]
+            return pa.RecordBatch.from_arrays([pa.array([x for one in blocks for x in one], pa.int32()), pa.array(np.repeat(ids, many), pa.int64()), pa.array([x for x, k in zip(packed, many, strict=True) for _ in range(k)], pa.binary())], ["block", "id", "words"])
 
         for whole in batches:
             picked, size = [], 0
             for text, lines in zip(whole.column("text"), whole.column("lines"), strict=True):
                 parts = text.as_py().encode().split(b"\n")
                 for x in lines.as_py():
-                    picked.append((parts[x["line"]], x["side"], x["a"], x["b"]))
-                    size += len(parts[x["line"]])
-                    if size > 1 << 20:
+                    picked.append((parts[x["line"]], x["id"], x["blocks"]))
+                    size += len(parts[x["line"]]) * len(x["blocks"])
+                    if size > 2 << 20:
                         yield flush(picked)
                         picked, size = [], 0
             if picked:
                 yield flush(picked)
 
-    def fetch(pairs: DataFrame, n: int) -> DataFrame:
-        end = lambda c, side: F.struct(F.col(c).alias("id"), "a", "b", F.lit(side).alias("side"))
-        ends = pairs.select(F.explode(F.array(end("a", False), end("b", True))).alias("e")).select("e.*")
-        wanted = ends.join(places, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "side", "a", "b")).alias("lines"))
+    def fetch(ends: DataFrame, n: int) -> DataFrame:
+        wanted = ends.groupBy("id").agg(F.collect_list("block").alias("blocks")).join(places, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id", "blocks")).alias("lines"))
         texts = docs.join(F.broadcast(cut(wanted)) if n <= FEW_PAIRS else wanted, ["doc_id", "row"]).select("text", "lines")
-        return texts.mapInArrow(extract, "a long, b long, side boolean, words binary")
+        return texts.mapInArrow(extract, "block int, id long, words binary")
 
     return fetch
 

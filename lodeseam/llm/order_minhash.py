@@ -103,17 +103,15 @@ def _document_words(docs: DataFrame, places: DataFrame):
             w = Words(batch.column("text"), ALNUM, lower=True)
             ids = (w.ids() & _U(0xFFFFFFFF)).astype(np.uint32)
             for ends, lo, hi in zip(batch.column("ends").to_pylist(), w.first[:-1], w.first[1:], strict=True):
-                words = ids[lo:hi].tobytes()
-                for at in range(0, len(ends), step := max(1, (4 << 20) // (len(words) + 1))):
-                    part = ends[at : at + step]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in part], pa.int64()), pa.array([x["b"] for x in part], pa.int64()), pa.array([x["side"] for x in part], pa.bool_()), pa.array([words] * len(part), pa.binary())], ["a", "b", "side", "words"])
-
-    def fetch(pairs: DataFrame, n: int) -> DataFrame:
-        end = lambda c, side: F.struct(F.col(c).alias("id"), "a", "b", F.lit(side).alias("side"))
-        ends = pairs.select(F.explode(F.array(end("a", False), end("b", True))).alias("e")).select("e.*")
-        wanted = ends.join(places, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("side", "a", "b")).alias("ends"))
+                words, all_ends = ids[lo:hi].tobytes(), [(x["id"], block) for x in ends for block in x["blocks"]]
+                for at in range(0, len(all_ends), step := max(1, (4 << 20) // (len(words) + 1))):
+                    part = all_ends[at : at + step]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int32()), pa.array([x[0] for x in part], pa.int64()), pa.array([words] * len(part), pa.binary())], ["block", "id", "words"])
+
+    def fetch(ends: DataFrame, n: int) -> DataFrame:
+        wanted = ends.groupBy("id").agg(F.collect_list("block").alias("blocks")).join(places, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("id", "blocks")).alias("ends"))
         texts = docs.join(F.broadcast(cut(wanted)) if n <= FEW_PAIRS else wanted, ["doc_id", "row"]).select("text", "ends")
-        return texts.mapInArrow(extract, "a long, b long, side boolean, words binary")
+        return texts.mapInArrow(extract, "block int, id long, words binary")
 
     return fetch
 

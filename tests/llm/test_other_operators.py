@@ -14,7 +14,9 @@ SF, SF_MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # ---------------------------------------------------------------- components
 
 
-def test_components_of_paths_stars_and_cliques(spark):
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_components_of_paths_stars_and_cliques(spark, monkeypatch, piece):
+    monkeypatch.setattr(components, "PIECE", piece)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (202, 200), (300, 300), (None, 5), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200, 300: 300}
