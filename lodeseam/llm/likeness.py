@@ -110,7 +110,7 @@ def _later(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _folded(low: np.ndarray, high: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Planes with cells added up, modulo 4, of ``parts`` equal parts."""
-    low, high = (x.reshape(len(x), parts, -1) for x in (low, high))
+    low, high = (x.reshape(len(x), parts, x.shape[1] // parts) for x in (low, high))
     a, b = low[:, 0], high[:, 0]
     for k in range(1, parts):
         a, b = a ^ low[:, k], b ^ high[:, k] ^ (a & low[:, k])
