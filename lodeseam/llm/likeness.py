@@ -43,6 +43,8 @@ HOT, PART = 4096, 2048
 CELL_BITS, KEY_BITS = 24, 48
 #: Untried partners that a member takes in the first round of a repeated search, and by what that grows.
 FIRST, MORE = 4, 64
+#: Cells of the signatures that repeated searches use.
+WIDE = 4096
 _NONE = 1 << 30
 
 
@@ -362,12 +364,12 @@ def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], list[Batch]], text
 
 # ---------------------------------------------------------------- links within buckets
 
-_KEYED = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("key", "id", "n", "sig", "root", "now"))]
-_KEYED_DDL = "shard int, key binary, id binary, n binary, sig binary, root binary, now binary"
+_KEYED = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("key", "id", "n", "sig", "root", "now", "wide"))]
+_KEYED_DDL = "shard int, key binary, id binary, n binary, sig binary, root binary, now binary, wide binary"
 
 
 def _dealt(rows: DataFrame, shards: int):
-    """Classes (id, n, sig, keys and perhaps root, now), packed, once for each key or cell of a hot one, grouped by shard."""
+    """Classes (id, n, sig, keys and perhaps root, now, wide), packed, once for each key or cell of a hot one, grouped by shard."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
@@ -391,12 +393,12 @@ def _dealt(rows: DataFrame, shards: int):
             owner, keys = owner[order], keys[order]
             size = sig_words(n)
             s_at = np.cumsum(size) - size
-            extra = [batch.column(c).to_numpy() for c in ("root", "now") if c in batch.schema.names]
+            extra = [batch.column("root").to_numpy(), batch.column("now").to_numpy(), _stream(batch.column("wide"), np.uint64).reshape(len(n), -1)] if "wide" in batch.schema.names else []
             out = []
             for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 if a < b:
                     i = owner[a:b]
-                    out.append((s, keys[a:b].tobytes(), ids[i].tobytes(), n[i].astype(np.int32).tobytes(), sig[ranges(s_at[i], size[i])].tobytes(), *(x[i].tobytes() for x in extra), *[b""] * (2 - len(extra))))
+                    out.append((s, keys[a:b].tobytes(), ids[i].tobytes(), n[i].astype(np.int32).tobytes(), sig[ranges(s_at[i], size[i])].tobytes(), *(x[i].tobytes() for x in extra), *[b""] * (3 - len(extra))))
             yield from _table(out, _KEYED).to_batches()
 
     return rows.where("octet_length(keys) > 0").mapInArrow(send, _KEYED_DDL).groupBy("shard")
@@ -405,7 +407,7 @@ def _dealt(rows: DataFrame, shards: int):
 def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
     """Signatures, ids and further columns of a shard's classes, and its buckets as index matrices of like sizes (-1: nothing)."""
     key, ids, n, sig = (_stream(rows.column(c), t) for c, t in (("key", np.uint64), ("id", np.int64), ("n", np.int32), ("sig", np.uint64)))
-    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")}
+    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")} | {"wide": _stream(rows.column("wide"), np.uint64).reshape(-1, 2 * WIDE // 64)}
     sigs = Signatures(sig, n, least)
     order = np.lexsort((ids, key))
     new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
@@ -473,10 +475,41 @@ def near_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
     return _dealt(rows.select("id", "n", "sig", "keys"), shards).applyInArrow(link, "a long, b long").distinct()
 
 
+def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wide: np.ndarray) -> None:
+    """Sets weights to _NONE where wide signatures exclude a pair, and to their more exact count elsewhere."""
+    where = np.nonzero(w < _NONE)
+    half = wide.shape[1] // 2
+    planes = wide[:, :half], wide[:, half:]
+    i, j = (np.broadcast_to(v, w.shape)[where] for v in (x, y))
+    n, m = sigs.n[i], sigs.n[j]
+    limit = 2 * (np.maximum(n, m) * (1 - sigs.least) + 1e-9).astype(np.int32) - np.abs(n - m)
+    d = np.concatenate([np.zeros(0, np.int32), *(_apart(planes, i[a : a + 4096], planes, j[a : a + 4096]) for a in range(0, len(i), 4096))])
+    w[where] = np.where(d <= limit, d, _NONE)
+
+
+def wide_signatures(words: DataFrame) -> DataFrame:
+    """id, wide: as ``signatures`` of sequences (id, words), but of ``WIDE`` cells each, so that few words meet in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("words"):
+                word, many = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
+                counts, k = np.zeros(WIDE, np.int64), 0
+                while len(word):
+                    cell = (mix(word.astype(np.uint64) + _U(5) + _U(k) * _U(0xE7037ED1A0B428DB)) & _U(WIDE - 1)).astype(np.int64)
+                    counts += np.bincount(cell, np.minimum(many, 3), WIDE).astype(np.int64)
+                    word, many, k = word[many > 3], many[many > 3] - 3, k + 1
+                out.append(b"".join(np.packbits((counts >> p & 1).astype(np.uint8), bitorder="little").tobytes() for p in (0, 1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "wide"])
+
+    return words.select("id", "words").mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
+
+
 def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int) -> DataFrame:
     """(a, b), a < b: of each member's possible partners in other components, by similarity, those from rank lo to hi whose components are still apart.
 
-    rows: id, n, sig, keys, root (the component that ranks are counted by), now.  A row
+    rows: id, n, sig, keys, root (the component that ranks are counted by), now, wide.  A row
     of nulls says that some member has more than ``hi``.
     """
 
@@ -496,6 +529,7 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
                 safe = np.maximum(y, 0)
                 w = sigs.weight(x, safe)
                 w[(y < 0) | (root[x] == root[safe])] = _NONE
+                _narrowed(w, x, safe, sigs, extra["wide"])
                 many = (w < _NONE).sum(1)
                 more |= bool((many > hi).any())
                 some = np.flatnonzero(many > lo)
@@ -509,7 +543,7 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
         none = [None] * more
         return pa.table({"a": pa.array(pairs[:, 0].tolist() + none, pa.int64()), "b": pa.array(pairs[:, 1].tolist() + none, pa.int64())})
 
-    return _dealt(rows.select("id", "n", "sig", "keys", "root", "now"), shards).applyInArrow(link, "a long, b long").distinct()
+    return _dealt(rows.select("id", "n", "sig", "keys", "root", "now", "wide"), shards).applyInArrow(link, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- alignment
@@ -740,6 +774,12 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
     rooted = rows.where("octet_length(keys) > 0").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", "keys", F.coalesce("root", "id").alias("root"))
     ends = bad.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     doubtful = cut(rooted.join(rooted.join(ends, "id").select("root").distinct(), "root", "left_semi"))
+    # near the threshold, the small signatures let most pairs pass; these few classes get larger ones
+    n = doubtful.count()
+    few_each = F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4000))).cast("int").alias("block")
+    doubtful = stored(doubtful.join(wide_signatures(fetch(doubtful.select("id", few_each), n)), "id"), "doubtful")
+    entries = int(doubtful.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+    shards = max(width(rows.sparkSession), -(-entries // (1 << 15)))
     now, lo, hi = found, 0, FIRST
     while True:
         state = doubtful.join(now.select(F.col("node").alias("id"), F.col("root").alias("_now")), "id", "left").withColumn("now", F.coalesce("_now", "id"))
