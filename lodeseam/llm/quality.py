@@ -7,9 +7,9 @@ every byte; each chunk keeps its greatest activation of each filter, and a
 document the greatest and the mean over its chunks.  One logistic unit combines
 both into the probability of label 1 (labels weigh alike in learning, however rare one is).
 
-Learning: on the driver, by back-propagation and Adam, from a bounded sample:
-the ``SAMPLE`` labelled rows with the smallest hash, and of each of them up to
-``SAMPLE_CHUNKS`` chunks, spread evenly.  Rows held out (crc32 of doc_id modulo 5
+Learning: on the driver, by back-propagation and Adam, from a bounded sample: the
+whole texts of the ``SAMPLE`` labelled rows with the smallest hash, as far as they
+have no more than ``SAMPLE_BYTES`` together.  Rows held out (crc32 of doc_id modulo 5
 is 0) are never in it.  The same rows give the same network.  Scoring reads
 every byte of every text, in slices of bounded size; it needs no shuffle.
 
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import binary_parts, ranges, slices, table
 
 BLOCK, WIDTH, EMBED, FILTERS = 128, 6, 8, 24
-CHUNK = 2 * BLOCK + WIDTH - 1
-SAMPLE, SAMPLE_CHUNKS = 4000, 10
+#: Labelled rows that are learned from, at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 4000, 24 << 20
+#: Blocks that are worked on at once.
+STEP = 512
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
 THRESHOLD = 0.3
 
@@ -98,45 +100,59 @@ class Network:
         chunks = np.maximum(blocks, np.append(blocks[1:], blocks[:1], 0))[keep]
         return 1 / (1 + np.exp(-self.combine(chunks, first[:-1] - 2 * np.arange(len(first) - 1)).astype(np.float64)))
 
-    def gradients(self, chunks: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean weighted cross entropy; chunks: bytes (n, CHUNK), documents beginning at ``at``."""
-        p, n, docs = self.p, len(chunks), len(label)
-        x = p["embed"][chunks]
-        flat = np.lib.stride_tricks.sliding_window_view(x.reshape(n, -1), WIDTH * EMBED, 1)[:, ::EMBED]
-        z = flat.reshape(-1, WIDTH * EMBED) @ p["filters"]
-        z = z.reshape(n, 2 * BLOCK, FILTERS) + p["shift"]
-        where = z.argmax(1)
-        top = np.take_along_axis(z, where[:, None], 1)[:, 0]
-        act = np.maximum(top, 0)
-        counts = np.diff(np.append(at, n))
+    def _block_maxima(self, data: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """(greatest value of each filter in each block, its first byte's place in ``data``), some blocks at a time."""
+        top, place = np.empty((blocks, FILTERS), self.p["filters"].dtype), np.empty((blocks, FILTERS), np.int64)
+        for a in range(0, blocks, STEP):
+            b = min(blocks, a + STEP)
+            x = self.p["embed"][data[a * BLOCK : b * BLOCK + WIDTH - 1]].ravel()
+            flat = np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED)[::EMBED]
+            z = (flat @ self.p["filters"] + self.p["shift"]).reshape(b - a, BLOCK, FILTERS)
+            where = z.argmax(1)
+            top[a:b] = np.take_along_axis(z, where[:, None], 1)[:, 0]
+            place[a:b] = where + np.arange(a, b)[:, None] * BLOCK
+        return top, place
+
+    def gradients(self, data: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross entropy over whole texts, as ``layout`` gives them."""
+        p, docs, kind = self.p, len(label), self.p["filters"].dtype
+        blocks, place = self._block_maxima(data, int(first[-1]))
+        keep = np.ones(first[-1], bool)
+        keep[first[1:] - 1] = keep[first[1:] - 2] = False
+        begin = np.flatnonzero(keep)
+        second = blocks[begin + 1] > blocks[begin]
+        top, place = np.where(second, blocks[begin + 1], blocks[begin]), np.where(second, place[begin + 1], place[begin])
+        at = first[:-1] - 2 * np.arange(docs)
+        act, counts = np.maximum(top, 0), np.diff(np.append(at, len(begin)))
         doc = np.repeat(np.arange(docs), counts)
         most = np.maximum.reduceat(act, at)
         mean = np.add.reduceat(act, at) / counts[:, None]
         logit = most @ p["most"] + mean @ p["mean"] + p["bias"][0]
-        d = (weight * (1 / (1 + np.exp(-logit)) - label) / docs).astype(np.float32)
-        first_best = act == most[doc]
-        share = np.add.reduceat(first_best.astype(np.float32), at)
-        d_act = (d[doc, None] * p["most"]) * first_best / share[doc] + (d / counts)[doc, None] * p["mean"]
-        d_top = d_act * (top > 0)
-        rows = np.arange(n)[:, None, None]
-        place = where[:, :, None] + np.arange(WIDTH)
-        seen = chunks[rows, place]
-        d_filters = np.einsum("nfk,nf->kf", p["embed"][seen].reshape(n, FILTERS, -1), d_top, optimize=True)
+        d = (weight * (1 / (1 + np.exp(-logit)) - label) / docs).astype(kind)
+        best = act == most[doc]
+        share = np.add.reduceat(best.astype(kind), at)
+        d_top = ((d[doc, None] * p["most"]) * best / share[doc] + (d / counts)[doc, None] * p["mean"]) * (top > 0)
+        d_filters, d_embed = np.zeros_like(p["filters"]), np.zeros_like(p["embed"])
         by_tap = p["filters"].reshape(WIDTH, EMBED, FILTERS).transpose(2, 0, 1)
-        d_embed = np.zeros_like(p["embed"])
-        np.add.at(d_embed, seen.ravel(), (d_top[:, :, None, None] * by_tap[None]).reshape(-1, EMBED))
+        for a in range(0, len(begin), STEP):
+            part = d_top[a : a + STEP]
+            seen = data[place[a : a + STEP, :, None] + np.arange(WIDTH)]
+            d_filters += np.einsum("nfk,nf->kf", p["embed"][seen].reshape(len(part), FILTERS, -1), part, optimize=True)
+            each = (part[:, :, None, None] * by_tap[None]).reshape(-1, EMBED)
+            for e in range(EMBED):
+                d_embed[:, e] += np.bincount(seen.ravel(), each[:, e], 256).astype(kind)
         return {"embed": d_embed, "filters": d_filters, "shift": d_top.sum(0), "most": most.T @ d, "mean": mean.T @ d, "bias": d.sum(keepdims=True)}
 
 
 def learn(samples: list[tuple[bytes, int]], seed: int = 7) -> Network | float:
-    """A network from (chunks, label) rows, or a constant score where there is nothing to tell apart."""
+    """A network from (text, label) rows, or a constant score where there is nothing to tell apart."""
     label = np.array([y for _, y in samples], np.float32)
     if len(label) == 0 or label.min() == label.max():
         return float(label.mean()) if len(label) else 0.5
     net = Network(seed)
     # both labels weigh the same in all, so that the rarer one is learned as well
     weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(np.float32)
-    chunks = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c, _ in samples]
+    texts = [np.frombuffer(t, np.uint8) for t, _ in samples]
     draw = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -145,8 +161,8 @@ def learn(samples: list[tuple[bytes, int]], seed: int = 7) -> Network | float:
         order = draw.permutation(len(label))
         for a in range(0, len(label), BATCH):
             rows = order[a : a + BATCH]
-            counts = [len(chunks[i]) for i in rows]
-            g = net.gradients(np.concatenate([chunks[i] for i in rows]), np.cumsum([0, *counts[:-1]]), label[rows], weight[rows])
+            own = [texts[i] for i in rows]
+            g = net.gradients(*layout(np.concatenate(own), np.cumsum([0, *map(len, own)])), label[rows], weight[rows])
             t += 1
             rate = RATE * 0.5 * (1 + np.cos(np.pi * t / (steps + 1)))
             for k, v in net.p.items():
@@ -157,35 +173,33 @@ def learn(samples: list[tuple[bytes, int]], seed: int = 7) -> Network | float:
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """(chunks, label) of the sample: at most ``sample`` rows of at most SAMPLE_CHUNKS chunks reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """(whole text, label) of the sample: at most ``sample`` rows, of at most ``most`` bytes together, reach the driver."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(sample)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                data, first = layout(*binary_parts(batch.column("text")))
-                out = []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    n = b - a - 2
-                    starts = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(np.int64)) + a
-                    out.append(data[np.minimum(starts[:, None] * BLOCK + np.arange(CHUNK), len(data) - 1)].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the sample is bounded by its parameter, so that it may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(take, "doc_id long, quality int, chunks binary")
-    return [(r.chunks, r.quality) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.quality, r.chunks))]
+    joined = texts.join(F.broadcast(chosen), "doc_id")
+    order = ["_hash", "doc_id", "quality", "_size", "_text"]
+    sizes = joined.select(F.xxhash64("doc_id").alias("_hash"), "doc_id", "quality", F.octet_length("text").cast("long").alias("_size"), F.xxhash64("text").alias("_text"))
+    sizes = sizes.orderBy(*order).limit(sample).toPandas()
+    fits = sizes[(sizes["_size"].cumsum() <= most)]
+    if not len(fits):
+        return []
+    wanted = docs.sparkSession.createDataFrame(fits[["doc_id", "_text"]].drop_duplicates())
+    rows = texts.withColumn("_text", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "_text"]).select("doc_id", "_text", F.col("text").cast("binary").alias("text")).distinct().collect()
+    text = {(r.doc_id, r._text): bytes(r.text) for r in rows}
+    return [(text[d, t], int(q)) for d, t, q in zip(fits["doc_id"], fits["_text"], fits["quality"], strict=True)]
 
 
 def score_quality(docs: DataFrame, model: Network | float) -> DataFrame:
-    """All columns of ``docs`` and score, predicted; ``docs`` must have text and may have any other columns but these two."""
+    """All columns of ``docs`` (text among them) and score, predicted; columns of these names are replaced."""
     spark = docs.sparkSession
+    docs = docs.drop("score", "predicted")
     if not isinstance(model, Network):
         return docs.withColumn("score", F.lit(model)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     sent = spark.sparkContext.broadcast(model)

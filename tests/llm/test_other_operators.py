@@ -35,22 +35,43 @@ def test_quality_learns_and_scores_held_out_rows(spark):
     assert np.mean([p for p, y in held if y == 1]) > 0.95
 
 
-def test_gradients_are_those_of_the_loss():
+def naive_logits(p, texts):
+    """The network by plain loops over chunks of whole texts."""
+    out = []
+    for t in texts:
+        blocks = max(2, -(-(len(t) + quality.WIDTH - 1) // quality.BLOCK))
+        padded = list(t) + [0] * ((blocks + 1) * quality.BLOCK + quality.WIDTH - len(t))
+        acts = []
+        for c in range(blocks - 1):
+            windows = [np.concatenate([p["embed"][b] for b in padded[at : at + quality.WIDTH]]) for at in range(c * quality.BLOCK, (c + 2) * quality.BLOCK)]
+            acts.append(np.maximum((np.array(windows) @ p["filters"] + p["shift"]).max(0), 0))
+        acts = np.array(acts)
+        out.append(acts.max(0) @ p["most"] + acts.mean(0) @ p["mean"] + p["bias"][0])
+    return np.array(out)
+
+
+TEXTS = [prose(1, 90).encode(), b"", "é中🙂 kurz".encode(), prose(2, 20).encode() + b"\xff" * 300, prose(3, 23).encode()]
+
+
+def test_scores_are_those_of_plain_loops():
+    net = quality.Network(5)
+    raw, offsets = np.frombuffer(b"".join(TEXTS), np.uint8), np.cumsum([0, *map(len, TEXTS)])
+    assert net.score(raw, offsets, net.pair_tables()) == pytest.approx(1 / (1 + np.exp(-naive_logits(net.p, TEXTS))), abs=1e-5)
+
+
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    monkeypatch.setattr(quality, "STEP", 2)
     net = quality.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    draw = np.random.default_rng(0)
-    chunks, at, label = draw.integers(0, 256, (5, quality.CHUNK)).astype(np.uint8), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
-    weight = np.array([1.0, 2.0, 0.5])
+    label, weight = np.array([1.0, 0.0, 1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5, 1.0, 1.0])
 
     def loss():
-        x = net.p["embed"][chunks].reshape(5, -1)
-        flat = np.lib.stride_tricks.sliding_window_view(x, quality.WIDTH * quality.EMBED, 1)[:, :: quality.EMBED]
-        top = (flat @ net.p["filters"] + net.p["shift"]).max(1)
-        p = 1 / (1 + np.exp(-net.combine(top, at)))
+        p = 1 / (1 + np.exp(-naive_logits(net.p, TEXTS)))
         return -(weight * (label * np.log(p) + (1 - label) * np.log(1 - p))).mean()
 
-    g = net.gradients(chunks, at, label, weight)
-    for name, where in (("embed", (chunks[0, 3], 2)), ("filters", (5, 1)), ("shift", (2,)), ("most", (1,)), ("mean", (0,)), ("bias", (0,))):
+    data, first = quality.layout(np.frombuffer(b"".join(TEXTS), np.uint8), np.cumsum([0, *map(len, TEXTS)]))
+    g = net.gradients(data, first, label, weight)
+    for name, where in (("embed", (TEXTS[0][3], 2)), ("filters", (5, 1)), ("shift", (2,)), ("most", (1,)), ("mean", (0,)), ("bias", (0,))):
         keep, step = net.p[name][where], 1e-5
         net.p[name][where] = keep + step
         up = loss()
@@ -60,10 +81,21 @@ def test_gradients_are_those_of_the_loss():
         assert g[name][where] == pytest.approx((up - down) / (2 * step), abs=1e-4)
 
 
+def test_the_sample_is_bounded_by_rows_and_bytes(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    every = quality.training_rows(docs, labels)
+    assert quality.training_rows(docs, labels, 5) == every[:5]
+    some = quality.training_rows(docs, labels, most=20_000)
+    assert 0 < len(some) < len(every) and sum(len(t) for t, _ in some) <= 20_000
+    whole = {r.text.encode() for r in docs.collect()}
+    assert all(t in whole for t, _ in every)
+
+
 def test_quality_of_odd_rows(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 0), (7, 0, 1), (7, 0, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.learn(quality.training_rows(docs, labels))
-    scored = quality.score_quality(docs.drop("score"), model)
+    scored = quality.score_quality(docs, model)
+    assert scored.columns == [c for c in docs.columns if c != "score"] + ["score", "predicted"]
     assert scored.count() == 16 and scored.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert scored.where("text = ''").count() == 1 and len({r.score for r in scored.where("text IS NULL OR text = ''").collect()}) == 1
     assert quality.learn(quality.training_rows(docs, labels.where("false"))) == 0.5
