@@ -5,8 +5,9 @@
    neighbours within the sample.  A sample is farther apart than the whole
    table, so that this errs towards more probes.
 2. Every vector is rotated by one random orthogonal matrix and assigned to a
-   list.  Large lists are dealt into several units, and queries into blocks,
-   so that no unit grows with the table.
+   list.  Large lists are dealt into several units, and the queries that probe a list
+   into blocks, so that no unit grows with the table; a vector goes only to the
+   blocks of its own list.
 3. A query probes as many lists, and more if these hold too few vectors for k.
    The sample only sets a floor: the score of its (k + ``SPARE``)-th best among the
    probed lists' members, which the scan is to find again.
@@ -176,7 +177,6 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, eve
     index = Index(sampled.column("vec_id").to_numpy(), _matrix(sampled.column("v"), dim), n, k)
     sent = spark.sparkContext.broadcast(index)
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0) if queries is None else usable(queries)[0].where(F.size("v") == dim)
-    blocks = max(1, -(-asked.count() // UNIT))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,13 +185,9 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, eve
     among_equals = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     searched = rows.withColumn("copy", among_equals).where(F.col("copy") <= k + 1).select("vec_id", "v")
     assigned = cut(searched.mapInArrow(assign, "vec_id long, v array<double>, list int"))
-    units = assigned.groupBy("list").count().select(F.col("list").alias("l"), F.ceil(F.col("count") / F.lit(UNIT)).cast("int").alias("units"))
     sizes = np.zeros(len(index.centres), np.int64)
-    for r in assigned.groupBy("list").count().collect():  # one row per list
+    for r in assigned.groupBy("list").count().collect():  # one row per list, MOST_LISTS at most
         sizes[r["list"]] = r["count"]
-    units = F.broadcast(units)  # one row per list, MOST_LISTS at most
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    base = assigned.join(units, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("vec_id"), "units").cast("int").alias("unit"), "vec_id", "v", spread)
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,8 +200,15 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, eve
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(floor), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "floor", "lists"])
 
     aimed = cut(asked.mapInArrow(aim, "vec_id long, v array<double>, floor double, lists array<int>"))
-    probes = aimed.select("vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode("lists").alias("list"))
-    probes = probes.join(units, F.col("list") == F.col("l")).select("list", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), "block", "vec_id", "v", "floor")
+    # a list's vectors are dealt into units, and the queries that probe it into blocks; each unit meets each block of its own list, and lists that none probes go nowhere
+    asking = np.zeros(len(sizes), np.int64)
+    for r in aimed.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
+        asking[r["list"]] = r["count"]
+    grid = [(i, -(-int(n) // UNIT), -(-int(q) // UNIT)) for i, (n, q) in enumerate(zip(sizes, asking, strict=True)) if n and q]
+    grid = F.broadcast(spark.createDataFrame(grid, "l int, units int, blocks int"))
+    base = assigned.join(grid, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("vec_id"), "units").cast("int").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+    probes = aimed.select("vec_id", "v", "floor", F.explode("lists").alias("list")).join(grid, F.col("list") == F.col("l"))
+    probes = probes.select("list", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "v", "floor")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
