@@ -22,8 +22,11 @@ ever holds a sketch of the whole corpus.
    document lies in the block itself, and cuts the words.
 
 What is sent is about 2.5 bytes a window, and 15 bytes for each that seems to
-repeat; both grow in proportion to the text.  Everything is a function of the
-blocks' rows, so that lost tasks can be repeated.
+repeat.  A block sends messages only to the shards that its windows touch, so that
+there are never more messages than windows; while a block touches most shards (up
+to some TB of text) a message holds many windows.  Windows are compared by 96 bits
+of hash of 64-bit word identities (see ``common.Words.ids``), not by their bytes.
+Everything is a function of the blocks' rows, so that lost tasks can be repeated.
 
 Odd input: null text: no words, digest of the empty text; a null doc_id has no
 order: such a row neither loses words nor takes them from others; rows that
@@ -108,8 +111,10 @@ class _Block:
         return out
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(keys, (np.arange(shards + 1, dtype=np.uint64)) << _U(CELL_BITS))
+def _by_shard(keys: np.ndarray, shards: np.ndarray) -> list[tuple[int, int]]:
+    """Where the cells of each of the shards begin and end."""
+    shards = shards.astype(np.uint64)
+    return list(zip(np.searchsorted(keys, shards << _U(CELL_BITS)).tolist(), np.searchsorted(keys, (shards + _U(1)) << _U(CELL_BITS)).tolist(), strict=True))
 
 
 def _join(parts: list[bytes]) -> bytes:
@@ -137,23 +142,20 @@ def repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     shuffle = width(spark)
     blocks = max(4 * shuffle, -(-total // BLOCK_BYTES))
     shard_bits = max(0, int(np.ceil(np.log2(max(1.0, total / 6 / SHARD_WINDOWS, shuffle)))))
-    shards = 1 << shard_bits
-    dealt = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(shuffle, "blk")
+    dealt = docs.withColumn("blk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))).repartition(shuffle, "blk")
 
     def sketch(rows: pa.Table) -> pa.Table:
         block = _Block(rows, size, shard_bits)
         blk = rows.column("blk")[0].as_py()
         tidy()
         sent = block.sent_cells()
-        cuts = [_by_shard(cells, shards) for cells, _ in sent]
+        touched = np.unique(block.shard)  # both rows of a window's cells lie in its shard
         out = []
-        for s in range(shards):
+        for s, *cuts in zip(touched.tolist(), *(_by_shard(cells, touched) for cells, _ in sent), strict=True):
             parts = []
-            for (cells, twice), c in zip(sent, cuts, strict=True):
-                lo, hi = c[s], c[s + 1]
+            for (cells, twice), (lo, hi) in zip(sent, cuts, strict=True):
                 parts += [pack_sorted(cells[lo:hi] & _U((1 << CELL_BITS) - 1)), np.packbits(twice[lo:hi]).tobytes()]
-            if parts[0]:
-                out.append((blk, s, _join(parts)))
+            out.append((blk, s, _join(parts)))
         return _messages(out)
 
     def merge(rows: pa.Table) -> pa.Table:
@@ -180,19 +182,16 @@ def repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
         given = dict(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True))
         for r, (cells, _) in enumerate(block.sent_cells()):
             hot = np.zeros(len(cells), bool)
-            c = _by_shard(cells, shards)
-            for s, data in given.items():
-                hot[c[s] : c[s + 1]] = np.unpackbits(np.frombuffer(_split(data)[r], np.uint8), count=int(c[s + 1] - c[s]))
+            for data, (lo, hi) in zip(given.values(), _by_shard(cells, np.array(list(given))), strict=True):
+                hot[lo:hi] = np.unpackbits(np.frombuffer(_split(data)[r], np.uint8), count=hi - lo)
             keep &= hot[np.searchsorted(cells, block.rows_of_cells[r])]
         chosen = np.flatnonzero(keep)
         a, b, least = block.a[chosen], (block.b[chosen] >> _U(32)).astype(np.uint32), block.least[chosen]
-        bounds = np.searchsorted(block.shard[chosen], np.arange(shards + 1))
+        touched, begin = np.unique(block.shard[chosen], return_index=True)
         out = []
-        for s in range(shards):
-            lo, hi = bounds[s], bounds[s + 1]
-            if lo < hi:
-                used, place = np.unique(least[lo:hi], return_inverse=True)
-                out.append((blk, s, _join([pack_sorted(chosen[lo:hi]), a[lo:hi].tobytes(), b[lo:hi].tobytes(), pack_sorted(block.doc_ids[used]), place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes()])))
+        for s, lo, hi in zip(touched.tolist(), begin, np.append(begin[1:], len(chosen))[: len(begin)], strict=True):
+            used, place = np.unique(least[lo:hi], return_inverse=True)
+            out.append((blk, s, _join([pack_sorted(chosen[lo:hi]), a[lo:hi].tobytes(), b[lo:hi].tobytes(), pack_sorted(block.doc_ids[used]), place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes()])))
         return _messages(out)
 
     def group(rows: pa.Table) -> pa.Table:
