@@ -311,6 +311,8 @@ def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], list[Batch]], text
         for s, a, b in zip(touched.tolist(), at, np.append(at[1:], len(name))[: len(at)], strict=True):
             packed = pack_sorted(low[a:b])
             out.append((blk, s, len(packed).to_bytes(4, "little") + packed + zlib.compress(np.minimum(counts[a:b], 65535).astype(np.uint16).tobytes(), 1)))
+        del c, cells, counts, low, name
+        tidy()
         return _table(out, _MSG)
 
     def count(rows: pa.Table) -> pa.Table:
@@ -322,9 +324,15 @@ def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], list[Batch]], text
             own = unpack_sorted(data[4 : 4 + n])
             total[own] += np.frombuffer(zlib.decompress(data[4 + n :]), np.uint16)
             sent.append(own)
-        parts = np.where(total <= 1, 0, np.where(total <= HOT, 1, -(-total.astype(np.int64) // PART))).astype(np.uint16)
         shard = rows.column("shard")[0].as_py()
-        return _table([(blk, shard, zlib.compress(parts[own].tobytes(), 1)) for blk, own in zip(rows.column("blk").to_pylist(), sent, strict=True)], _MSG)
+        out = []
+        for blk, own in zip(rows.column("blk").to_pylist(), sent, strict=True):
+            touching = total[own].astype(np.int64)  # of the cells sent alone: a shard has far more
+            parts = np.where(touching <= 1, 0, np.where(touching <= HOT, 1, -(-touching // PART))).astype(np.uint16)
+            out.append((blk, shard, zlib.compress(parts.tobytes(), 1)))
+        del total, sent
+        tidy()
+        return _table(out, _MSG)
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -355,6 +363,8 @@ def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], list[Batch]], text
         for doc, row, line, rep in lost:
             blank, none = pa.nulls(len(doc), pa.binary()), pa.nulls(len(doc), pa.int64())
             out.append(pa.table([pa.array(np.ones(len(doc), bool)), rep[:, 2].copy() if rep.shape[1] > 2 else none, pa.nulls(len(doc), pa.int32()), blank, blank, doc, row, line, rep[:, 0].copy(), rep[:, 1].copy()], schema=_OUT))
+        del c, lost
+        tidy()
         return pa.concat_tables(out)
 
     sent = docs.mapInArrow(send, _SENT_DDL).repartition(width(spark), "shard")
@@ -541,6 +551,7 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
                 found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         none = [None] * more
+        tidy()
         return pa.table({"a": pa.array(pairs[:, 0].tolist() + none, pa.int64()), "b": pa.array(pairs[:, 1].tolist() + none, pa.int64())})
 
     return _dealt(rows.select("id", "n", "sig", "keys", "root", "now", "wide"), shards).applyInArrow(link, "a long, b long").distinct()
