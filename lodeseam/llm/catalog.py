@@ -16,6 +16,7 @@ _QUERIES = [
     ("order_minhash", "op9_near_duplicates", None),
     ("token_counts", "op10_token_counts", None),
     ("chat", "op5_chat_format", "SQL"),
+    ("periodic_runs", "op11_periodic_runs", None),
 ]
 
 
