@@ -17,6 +17,8 @@ _QUERIES = [
     ("token_counts", "op10_token_counts", None),
     ("chat", "op5_chat_format", "SQL"),
     ("periodic_runs", "op11_periodic_runs", None),
+    ("license_scan", "op12_license_scan", None),
+    ("hard_negatives", "op13_hard_negatives", "SQL"),
 ]
 
 
