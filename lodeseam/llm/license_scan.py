@@ -13,7 +13,7 @@
    place in the text): what follows one another on a diagonal is one maximal match.
 4. Maximal matches of at least ``LEAST`` words are chained per template: in order in the text
    and in the template, with at most ``GAP`` other words between.  A chain that covers at
-   least ``SHARE`` of its template is a span.
+   least ``SHARE`` of its template is a span; a span inside one that shares more goes.
 
 One pass over the documents, without a shuffle: no source, phrase or group of copies can be
 hot, and nothing is kept but one batch of about 2 MB.
@@ -270,6 +270,17 @@ class Scanner:
                 yield at[chain[-1]], at[j] + size[j] - 1, best[j]
 
 
+def _outermost(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Spans by first word, without those inside another that shares more of its template (or as much, of the same label)."""
+    out, near = [], []
+    for s in sorted(spans, key=lambda s: (s[1], -s[2], -s[3], s[0])):
+        near = [x for x in near if x[2] >= s[1]]  # the spans that reach this one: few, as templates are
+        if not any(x[2] >= s[2] and (x[3] > s[3] or (x[3] == s[3] and x[0] == s[0])) for x in near):
+            out.append(s)
+            near.append(s)
+    return out
+
+
 _PLACES, _SPANS = "array<struct<word:long,label:string>>", "array<struct<label:string,first:long,last:long,share:double>>"
 _PLACE = pa.struct([("word", pa.int64()), ("label", pa.string())])
 _SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())])
@@ -304,7 +315,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                         spans[d].append((label, w, w + short[n - n_phrases][1] - 1, 1.0))
                 for d, label, a, b, covered in known.spans(matches):
                     spans[d].append((label, int(a - first[d]), int(b - first[d]), covered))
-                found = [[dict(zip(("label", "first", "last", "share"), s, strict=True)) for s in sorted(x, key=lambda s: (s[1], s[2], s[0], s[3]))] for x in spans]
+                found = [[dict(zip(("label", "first", "last", "share"), s, strict=True)) for s in _outermost(x)] for x in spans]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(places, pa.list_(_PLACE)), pa.array(found, pa.list_(_SPAN))], ["doc_id", "n_words", "phrases", "spans"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -82,7 +82,7 @@ def test_highly_periodic_texts_stay_near_linear():
 def test_op11_equals_brute_force(spark):
     got = {tuple(r) for r in periodic_runs.op11_periodic_runs(spark, SF).collect()}
     docs = table(spark, SF, "documents").select("doc_id", "text").collect()
-    expected = {plain_row(*d) for d in docs if len((d.text or "").split()) < 3000}
+    expected = {plain_row(*d) for d in docs if len((d.text or "").split()) < 800}
     assert expected <= got and len(got) == len(docs) and sum(r[1] > 0 for r in expected) > 5
 
 
