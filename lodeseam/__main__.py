@@ -35,7 +35,10 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_parser("tour").add_argument("topic", nargs="?")
     serve = sub.add_parser("serve")
     serve.add_argument("--check", action="store_true")
-    for name in ("bootstrap", "books", "profiles", "connectors", "migrate", "instructions"):
+    sub.add_parser("backup").add_argument("name", nargs="?")
+    for name in ("restore", "drop-backup"):
+        sub.add_parser(name).add_argument("name")
+    for name in ("bootstrap", "books", "profiles", "connectors", "migrate", "instructions", "backups", "compact", "clean"):
         sub.add_parser(name)
     return p
 
@@ -97,10 +100,22 @@ def main(argv: list[str] | None = None, engine=None) -> int:
         case "migrate" | "bootstrap":
             engine.store.bootstrap(engine.config.generation)
             show(engine.doctor()["migrations"])
+        case "backup":
+            show({"backup": engine.store.backup(args.name)})
+        case "backups":
+            show(engine.store.backups())
+        case "restore":
+            show({"snapshot": engine.store.restore(args.name)})
+        case "drop-backup":
+            return int(not engine.store.drop_backup(args.name))
+        case "compact":
+            show({name: engine.store.compact(name) for name in sorted(engine.store.snapshot()["tables"])})
+        case "clean":
+            show(engine.store.clean())
         case "doctor":
             report = engine.doctor()
             show(report)
-            return int(args.strict and not report["serve_ready"])
+            return int(args.strict and bool(report["failures"]))
         case "instructions":
             from .operators.catalog import counts_by_type
 

@@ -90,14 +90,13 @@ def changing(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.where(~same).select(F.col("_id").alias("doc_id"))
 
 
-def merge(stored: DataFrame, batch: DataFrame, now: Column, key: str = "doc_id") -> DataFrame:
-    """The stored rows after the batch: the last row of each key wins, created_at and markdown_path stay as they were first.
+def latest(stored: DataFrame, batch: DataFrame, now: Column, key: str = "doc_id") -> DataFrame:
+    """The batch's documents as they are to be stored: the last row of each key, created_at and markdown_path as they were first.
 
     A batch's rows are reduced to the last of each key and its first path by one
-    aggregate.  Stored rows of other keys pass through an anti-join on the batch's
-    keys, which needs no sort of bodies and no shuffle while the keys are few; the
-    rows replaced lend only created_at and markdown_path.  Sequence numbers order the
-    rows of a batch among themselves, and may be of any sign.
+    aggregate; the stored rows of these keys lend only created_at and markdown_path, so
+    that no stored body is read.  Sequence numbers order the rows of a batch
+    among themselves, and may be of any sign.
     """
     columns = [c for c in stored.columns if c not in ("created_at", "updated_at")]
     row = F.struct(F.col("seq").cast("long").alias("_seq"), *columns)
@@ -107,9 +106,13 @@ def merge(stored: DataFrame, batch: DataFrame, now: Column, key: str = "doc_id")
     kept = {c: F.col(f"_last.{c}") for c in columns} | {"created_at": F.coalesce("_created", now), "updated_at": now}
     if "markdown_path" in columns:
         kept["markdown_path"] = F.when(F.col("_old").isNotNull(), F.col("_path")).otherwise(F.col("_first.markdown_path"))
-    fresh = new.select(*(kept[c].alias(c) for c in stored.columns))
+    return new.select(*(kept[c].alias(c) for c in stored.columns))
+
+
+def merge(stored: DataFrame, batch: DataFrame, now: Column, key: str = "doc_id") -> DataFrame:
+    """The stored rows after the batch.  Rows of other keys pass through an anti-join on the batch's keys, without a sort of bodies, and without a shuffle while the keys are few."""
     rest = stored.join(batch.select(F.col(key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_anti")
-    return rest.select(*stored.columns).unionByName(fresh)
+    return rest.select(*stored.columns).unionByName(latest(stored, batch, now, key))
 
 
 def upsert(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,9 +20,9 @@ from ..functions.embedding import embed_column, service
 from ..operators import catalog, ingest, reconcile
 from ..operators import retrieval as R
 from ..sources import filesystem, testcases
-from .store import Store, append_meta, metas, now
+from .store import RETRIES, Conflict, Store, Write, append_meta, metas, now
 
-#: doc_id is the bucket's key in all of them; frequencies and sizes are partial, per bucket, and added up by queries.
+#: Frequencies and sizes are partial sums, added up by queries.
 _POSTINGS = schemas.StructType([*schemas._s("doc_id"), schemas.StructField("chunk_ix", schemas.IntegerType()), schemas.StructField("dl", schemas.IntegerType()), *schemas._s("token"), schemas.StructField("tf", schemas.LongType())])
 _FREQUENCIES = schemas.StructType([*schemas._s("token"), schemas.StructField("df", schemas.LongType())])
 _SIZES = schemas.StructType([schemas.StructField("n", schemas.LongType()), schemas.StructField("tokens", schemas.LongType())])
@@ -40,6 +40,7 @@ class Engine:
         self.by_id = {p.id: p for p in config.profiles}
         self.embedder = embedder or (lambda profile: service(self.by_id[profile].endpoint, self.by_id[profile].model))
         self.analyse = analysed if stemmed else tokens
+        self._fetched: list[DataFrame] = []
         self.store.bootstrap(config.generation)
 
     # --- state ---------------------------------------------------------------
@@ -69,7 +70,8 @@ class Engine:
         """Merges envelopes (with seq) into the documents; returns counters.
 
         An envelope that breaks a rule fails the whole batch before anything is
-        written.  Only the buckets of documents that change are replaced.
+        written.  Only rows of documents that change are written; if another writer changed
+        their buckets meanwhile, the batch is merged again into what is there then.
         """
         envelopes = envelopes.persist()
         try:
@@ -78,21 +80,31 @@ class Engine:
             if first:
                 raise ValueError(f"envelope '{first[0]['id']}' breaks rule '{first[0]['rule']}'")
             batch = ingest.flatten(envelopes)
-            stored = self.store.table("documents", buckets=self.store.touched("documents", batch.select("doc_id")))
-            report = ingest.counters(ingest.actions(batch, stored.select("doc_id", "content_hash", "deleted"), dry_run)).first().asDict()
-            changing = ingest.changing(batch, stored).persist()
-            touched = [] if dry_run else self.store.touched("documents", changing)
-            if touched:
-                bucket = self.store.bucket_of("documents")
-                batch, stored = batch.join(changing, "doc_id", "left_semi"), self.store.table("documents", buckets=touched)
-                merged = self.store.write("documents", ingest.merge(stored, batch, F.lit(now())), bucket, touched)
-                blobs = merged.where("NOT deleted").select("doc_id", F.col("markdown_path").alias("path"), F.octet_length("markdown").cast("long").alias("size_bytes"), F.col("content_hash").alias("checksum"))
-                self.store.write("blobs", blobs, bucket, touched)
-            changing.unpersist()
-            return report
+            for attempt in range(RETRIES):
+                try:
+                    return self._merge(batch, dry_run)
+                except Conflict:
+                    if attempt == RETRIES - 1:
+                        raise
         finally:
             envelopes.unpersist()
 
+    def _merge(self, batch: DataFrame, dry_run: bool) -> dict:
+        write = self.store.begin()
+        stored = self.store.table("documents", buckets=self.store.touched("documents", batch.select("doc_id"), write.base), at=write.base)
+        report = ingest.counters(ingest.actions(batch, stored.select("doc_id", "content_hash", "deleted"), dry_run)).first().asDict()
+        changing = ingest.changing(batch, stored).persist()
+        try:
+            if not dry_run and changing.limit(1).count():
+                rows = ingest.latest(stored, batch.join(changing, "doc_id", "left_semi"), F.lit(now()))
+                write.upsert("documents", rows)
+                blobs = rows.select("doc_id", "deleted", F.col("markdown_path").alias("path"), F.octet_length("markdown").cast("long").alias("size_bytes"), F.col("content_hash").alias("checksum"))
+                write.upsert("blobs", blobs.where("NOT deleted").drop("deleted"), blobs.where("deleted").select("doc_id"))
+                write.commit()
+        finally:
+            changing.unpersist()
+        return report
+
     def connector(self, spec: dict) -> DataFrame:
         """The envelopes of one configured connector."""
         kind, shared = spec.get("type"), {k: spec[k] for k in ("classification", "doc_type") if k in spec}
@@ -103,24 +115,38 @@ class Engine:
                 read = lambda name, schema: self.spark.read.schema(schema).json(f"{spec['landing']}/{name}")
                 tables = read("cases", schemas.TEST_CASES), read("folders", schemas.FOLDERS), read("statuses", schemas._REF), read("priorities", schemas._REF)
             else:
-                tables = testcases.fetch(self.spark, spec["base_url"], testcases.token_of(spec), spec["project"], spec.get("include_steps", True), spec.get("include_links", True))
+                tables = testcases.fetch(self.spark, spec["base_url"], testcases.token_of(spec), spec["project"], spec.get("include_steps", True), spec.get("include_links", True), self._fetched)
             return testcases.envelopes(*tables, spec["project"], spec.get("folder_path"), **shared)
         raise ValueError(f"unknown connector type '{kind}'")
 
+    def skipped(self, spec: dict, most: int = 1000) -> dict:
+        """{"files": how many a filesystem connector left out, "first": [(path, reason), ...]}, or nothing."""
+        rows = filesystem.skipped(self.spark, spec["root"], tuple(spec.get("extensions", filesystem.TEXT_EXTENSIONS)), spec.get("exclude", [])).persist()
+        try:
+            n = rows.count()
+            return {"files": n, "first": [tuple(r) for r in rows.orderBy("rel_path").limit(most).collect()]} if n else {}
+        finally:
+            rows.unpersist()
+
     def sync(self, wanted: list[str] | None = None, include_disabled: bool = False, dry_run: bool = False, fail_fast: bool = False, index: bool = True) -> dict:
         """Runs connectors one by one, each failure its own; indexes if none failed."""
         chosen = self.config.select_connectors(wanted, include_disabled)
-        report = {"selected": len(chosen), "run": 0, "succeeded": 0, "failed": 0, "skipped": len(self.config.connectors) - len(chosen), "errors": {}, "ingest": {}}
+        report = {"selected": len(chosen), "run": 0, "succeeded": 0, "failed": 0, "skipped": len(self.config.connectors) - len(chosen), "errors": {}, "ingest": {}, "left_out": {}}
         for spec in chosen:
             report["run"] += 1
             try:
                 report["ingest"][spec["id"]] = self.ingest(self.connector(spec), dry_run, {"filesystem": filesystem.PLUGIN, "testcases": testcases.PLUGIN}.get(spec["type"]))
+                if spec["type"] == "filesystem" and (left := self.skipped(spec)):
+                    report["left_out"][spec["id"]] = left
                 report["succeeded"] += 1
             except Exception as e:  # noqa: BLE001  a connector's failure is reported and does not stop the others
                 report["failed"] += 1
                 report["errors"][spec["id"]] = str(e)
                 if fail_fast:
                     break
+            finally:
+                while self._fetched:
+                    self._fetched.pop().unpersist()
         report["index"] = "dry_run" if dry_run else "skipped_due_to_failures" if report["failed"] else self.index() if index else "off"
         return report
 
@@ -135,68 +161,104 @@ class Engine:
     def index(self, force: bool = False) -> dict:
         """Chunks, embeds and indexes what changed.
 
-        Each profile is one plan over its changed documents; chunks, postings and
-        their partial sums are replaced only in the buckets of these documents.
+        Each profile is one plan over its changed documents, and one commit: its chunks,
+        postings, sums and index state as deltas of these documents.  A profile whose postings
+        can't be built keeps its vectors, with a warning, and has them built from all its
+        chunks the next time.  A profile's conflict with another indexer is tried again.
         """
-        routed = reconcile.route(self.documents(), self.policy(), self.config.default_profile)
-        state = self.state()
-        gone = reconcile.stale(state, routed).persist()
-        total = {"indexed": 0, "skipped": 0, "deleted": 0, "chunks": 0}
-        new_state, held = [], [gone]
+        total = {"indexed": 0, "skipped": 0, "deleted": 0, "chunks": 0, "warnings": {}}
+        for profile in sorted(self.by_id):
+            for attempt in range(RETRIES):
+                try:
+                    counts, warning = self._index_profile(profile, force)
+                    break
+                except Conflict:
+                    if attempt == RETRIES - 1:
+                        raise
+            total |= {k: total[k] + n for k, n in counts.items()}
+            if warning:
+                total["warnings"][profile] = warning
+        return total
+
+    def _index_profile(self, profile: str, force: bool) -> tuple[dict, str | None]:
+        write = self.store.begin()
+        at, place = write.base, f"indexes/{self.generation}/{profile}/index_meta.json"
+        meta = self.store.read_json(place) or {}
+        rebuild = force or (bool(meta) and meta.get("schema_version") != reconcile.INDEX_SCHEMA)
+        routed = reconcile.route(self.store.table("documents", at=at), self.policy(), self.config.default_profile)
+        state = self.store.table("index_state", at=at).where(F.col("generation_id") == self.generation)
+        mine = routed.where((F.col("embedding_profile_id") == profile) & ~F.coalesce("deleted", F.lit(False)))
+        todo = reconcile.changed(mine, state, rebuild).select("doc_id", "content_hash", "markdown_path", "markdown").persist()
+        away = reconcile.stale(state, routed).where(F.col("embedding_profile_id") == profile).persist()
+        held = [todo, away]
         try:
-            for profile in sorted(self.by_id):
-                meta = self.store.read_json(f"indexes/{self.generation}/{profile}/index_meta.json")
-                rebuild = force or (meta is not None and meta.get("schema_version") != reconcile.INDEX_SCHEMA)
-                mine = routed.where((F.col("embedding_profile_id") == profile) & ~F.coalesce("deleted", F.lit(False)))
-                todo = reconcile.changed(mine, state, rebuild).select("doc_id", "content_hash", "markdown_path", "markdown").persist()
-                away = gone.where(F.col("embedding_profile_id") == profile)
-                held.append(todo)
-                n_todo, n_away, n_all = todo.count(), away.count(), mine.count()
-                total["skipped"] += n_all - n_todo
-                total["deleted"] += n_away
-                if n_todo or n_away:
-                    n_chunks = self._index_profile(profile, todo.drop("content_hash", "markdown_path"), away.select("doc_id"), rebuild)
-                    new_state += self._states(profile, todo, away)
-                    total["indexed"] += n_todo
-                    total["chunks"] += n_chunks
-                    append_meta(self.store, profile, self.generation, self.by_id[profile].model, chunk_count=n_chunks, file_count=n_all)
-            if new_state:
-                rows = reduce(lambda a, b: a.unionByName(b), new_state)
-                touched = self.store.touched("index_state", rows.select("doc_id"))
-                stored = self.store.table("index_state", buckets=touched)
-                self.store.write("index_state", ingest.upsert(stored, rows, ["doc_id", "generation_id", "embedding_profile_id"]), self.store.bucket_of("index_state"), touched)
+            n_todo, n_away, n_all = todo.count(), away.count(), mine.count()
+            counts, warning = {"indexed": n_todo, "skipped": n_all - n_todo, "deleted": n_away, "chunks": 0}, None
+            if not (n_todo or n_away or meta.get("keyword_stale")):
+                return counts, None
+            parts = chunk_documents(todo.select("doc_id", "markdown"), "markdown", self.config.chunk_size, self.config.chunk_overlap)
+            fresh = parts.select("doc_id", "chunk_ix", F.col("chunk_text").alias("text")).withColumn("vector", embed_column(F.col("text"), self.embedder(profile))).persist()
+            held.append(fresh)  # an embedding is asked for once
+            counts["chunks"] = fresh.count()
+            gone = todo.select("doc_id").unionByName(away.select("doc_id"))
+            if rebuild:
+                write.replace(f"chunks/{self.generation}/{profile}", fresh)
+            else:
+                write.upsert(f"chunks/{self.generation}/{profile}", fresh, gone)
+            try:
+                self._keyword(write, profile, fresh, gone, rebuild or bool(meta.get("keyword_stale")))
+            except Conflict:
+                raise
+            except Exception as e:  # noqa: BLE001  vectors stay usable
+                warning = f"keyword index not built: {e}"
+                for kind in ("postings", "frequencies", "sizes"):
+                    write.staged.pop(f"{kind}/{self.generation}/{profile}", None)
+            per_doc = fresh.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+            rows = reduce(lambda a, b: a.unionByName(b), self._states(profile, todo, away, per_doc))
+            # an upsert replaces a document's rows: those of other profiles and generations go along
+            touched = self.store.touched("index_state", rows.select("doc_id"), at)
+            stored = self.store.table("index_state", buckets=touched, at=at).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+            write.upsert("index_state", ingest.upsert(stored, rows, ["doc_id", "generation_id", "embedding_profile_id"]))
+            write.commit()
+            append_meta(self.store, profile, self.generation, self.by_id[profile].model, chunk_count=counts["chunks"], file_count=n_all, keyword_stale=warning is not None)
+            return counts, warning
         finally:
             for frame in held:
                 frame.unpersist()
-        return total
 
-    def _index_profile(self, profile: str, todo: DataFrame, away: DataFrame, rebuild: bool) -> int:
-        """Replaces the buckets of the documents to index (doc_id, markdown) or to remove; returns the chunks of the former."""
-        name = f"chunks/{self.generation}/{profile}"
-        parts = chunk_documents(todo, "markdown", self.config.chunk_size, self.config.chunk_overlap)
-        fresh = parts.select("doc_id", "chunk_ix", F.col("chunk_text").alias("text")).withColumn("vector", embed_column(F.col("text"), self.embedder(profile)))
-        rewritten = todo.select("doc_id").unionByName(away).distinct()
-        touched = None if rebuild else self.store.touched(name, rewritten)
-        kept = self._chunks(profile).limit(0) if rebuild else self.store.table(name, schemas.CHUNKS, touched).join(rewritten, "doc_id", "left_anti")
-        bucket = self.store.bucket_of(name)
-        written = self.store.write(name, kept.unionByName(fresh), bucket, touched)
-        # within a bucket in the order of tokens, so that a query skips row groups
-        by_token = lambda df: df.repartition("_b").sortWithinPartitions("_b", "token")
-        keys = ["doc_id", "chunk_ix"]
-        index = R.postings(written, keys, "text", self.analyse)
-        postings = self.store.write(f"postings/{self.generation}/{profile}", by_token(index.withColumn("_b", bucket)).drop("_b"), bucket, touched)
-        by_bucket = F.col("_b")
-        frequencies = postings.groupBy(bucket.alias("_b"), "token").agg(F.count("*").alias("df"))
-        self.store.write(f"frequencies/{self.generation}/{profile}", by_token(frequencies), by_bucket, touched)
-        lengths = written.select(bucket.alias("_b"), *keys).join(postings.groupBy(*keys).agg(F.first("dl").alias("dl")), keys, "left")
-        sizes = lengths.groupBy("_b").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
-        self.store.write(f"sizes/{self.generation}/{profile}", sizes, by_bucket, touched)
-        return written.join(todo.select("doc_id"), "doc_id", "left_semi").count()
-
-    def _states(self, profile: str, todo: DataFrame, away: DataFrame) -> list[DataFrame]:
+    def _keyword(self, write: Write, profile: str, fresh: DataFrame, gone: DataFrame, rebuild: bool) -> None:
+        """Stages postings, and as partial sums the terms' frequencies and the number and length of chunks, for what a write does to a profile's chunks."""
+        at, keys = write.base, ["doc_id", "chunk_ix"]
+        postings, frequencies, sizes = (f"{kind}/{self.generation}/{profile}" for kind in ("postings", "frequencies", "sizes"))
+        if rebuild:
+            chunks = f"chunks/{self.generation}/{profile}"
+            whole = fresh if write.staged[chunks][1] and all(how == "base" for how, _ in write.staged[chunks][1].values()) else self.store.table(chunks, schemas.CHUNKS, at=at).join(gone.distinct(), "doc_id", "left_anti").unionByName(fresh)
+            old = old_chunks = None
+        else:
+            whole = fresh
+            old = self.store.table(postings, _POSTINGS, at=at).join(gone.distinct(), "doc_id", "left_semi")
+            old_chunks = self.store.table(f"chunks/{self.generation}/{profile}", schemas.CHUNKS, at=at).join(gone.distinct(), "doc_id", "left_semi").select(*keys)
+        index = R.postings(whole, keys, "text", self.analyse).persist()
+        try:
+            # in the order of tokens, so that a query skips row groups
+            if rebuild:
+                write.replace(postings, index, sort=("token",))
+            else:
+                write.upsert(postings, index, gone, sort=("token",))
+            counts = index.groupBy("token").agg(F.count("*").alias("df"))
+            lengths = lambda rows, of: rows.join(of.groupBy(*keys).agg(F.first("dl").alias("dl")), keys, "left").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
+            size = lengths(whole.select(*keys), index)
+            if not rebuild:
+                counts = counts.unionByName(old.groupBy("token").agg((-F.count("*")).alias("df")))
+                size = size.unionByName(lengths(old_chunks, old).select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens")))
+            write.add(frequencies, counts, ["token"], ["df"], sort=("token",), fresh=rebuild)
+            write.add(sizes, size, [], ["n", "tokens"], fresh=rebuild)
+        finally:
+            index.unpersist()
+
+    def _states(self, profile: str, todo: DataFrame, away: DataFrame, counts: DataFrame) -> list[DataFrame]:
         """Index-state rows of the documents just indexed and of those removed; a blank document is indexed with no chunk."""
-        at, chunks = now(), self._chunks(profile)
-        counts = chunks.join(todo.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+        at = now()
         row = lambda d, status: d.select("doc_id", F.lit(self.generation).alias("generation_id"), F.lit(profile).alias("embedding_profile_id"), F.lit(status).alias("status"), "chunk_count", "indexed_content_hash", "indexed_markdown_path", F.lit(at).alias("embedded_at"), F.lit(at).alias("updated_at"))
         done = todo.join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.col("content_hash").alias("indexed_content_hash"), F.col("markdown_path").alias("indexed_markdown_path"))
         left = away.select("doc_id", F.lit(None).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("indexed_content_hash"), F.col("delete_path").alias("indexed_markdown_path"))
@@ -306,9 +368,16 @@ class Engine:
         issues = {r.profile_id: r.issue for r in self.readiness().collect()}
         startup = self.startup()
         connectors = [{"id": c["id"], "type": c.get("type"), "enabled": c.get("enabled", True), "issues": found, "status": "warn" if found else "ok"} for c in self.config.connectors for found in [connector_issues(c)]]
+        failures = [f"connector {c['id']}: {i}" for c in connectors if c["enabled"] for i in c["issues"]] + [f"{k}: {v}" for k, v in migrations.items() if v != "ok"]
+        try:
+            documents = self.documents().count()
+        except Exception as e:  # noqa: BLE001
+            documents = None
+            failures.append(f"store: {e}")
+        failures += [f"profile {p}: {v['embedder']}" for p, v in profiles.items() if v["embedder"] != "ok"] + ([] if startup["queryable_profiles"] else ["no profile can be served"])
         return {
-            "home": self.config.home, "active_generation": self.generation, "documents": self.documents().count(), "connectors": connectors, "migrations": migrations, "up_to_date": all(s == "ok" for s in migrations.values()),
-            "profiles": {p: issues.get(p) for p in profiles}, "indexes": profiles, "serving": startup, "serve_ready": startup["queryable_profiles"] > 0,
+            "home": self.config.home, "active_generation": self.generation, "documents": documents, "connectors": connectors, "migrations": migrations, "up_to_date": all(s == "ok" for s in migrations.values()),
+            "profiles": {p: issues.get(p) for p in profiles}, "indexes": profiles, "serving": startup, "serve_ready": startup["queryable_profiles"] > 0, "failures": failures,
         }
 
 

@@ -486,7 +486,7 @@ def index_plan_counts(spark: SparkSession, sf: str) -> DataFrame:
     return live.join(todo, "embedding_profile_id", "left").select("embedding_profile_id", n.alias("indexed"), (F.col("a") - n).alias("skipped"))
 
 
-@query(f"WITH {_ROUTED} SELECT r.doc_id, r.title, CAST(coalesce(s.chunk_count, 0) AS BIGINT) AS chunk_count FROM routed r LEFT JOIN state s ON r.doc_id = s.doc_id AND r.profile = s.profile WHERE NOT r.deleted AND doc_type = 'book'")
+@query(f"WITH {_ROUTED} SELECT r.doc_id, r.title, CAST(coalesce(s.chunk_count, 0) AS BIGINT) AS chunk_count, r.external_id AS file FROM routed r LEFT JOIN state s ON r.doc_id = s.doc_id AND r.profile = s.profile WHERE NOT r.deleted AND doc_type = 'book'")
 def list_books(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.list_books(_routed(spark, sf), _state(spark, sf))
 

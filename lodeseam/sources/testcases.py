@@ -19,6 +19,8 @@ from ..operators.folders import find_by_path, folder_paths, subtree
 
 PLUGIN = "testcases"
 PAGE, TIMEOUT = 50, 30
+#: Tasks that requests for single cases are dealt to.
+REQUESTS = 32
 
 
 def pages(fetch: Callable[[str], dict], base: str, path: str) -> Iterator[dict]:
@@ -106,16 +108,20 @@ def _per_case(spark: SparkSession, cases: DataFrame, base: str, token: str, tail
                     continue
                 yield pd.DataFrame({"key": [key] * len(values), "value": [json.dumps(v) for v in values]}, dtype=object)
 
-    return cases.mapInPandas(run, "key string, value string")
+    # a listing comes from one task; requests are dealt to all
+    return cases.repartition(REQUESTS, "key").mapInPandas(run, "key string, value string")
 
 
-def fetch(spark: SparkSession, base: str, token: str, project: str, include_steps: bool = True, include_links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def fetch(spark: SparkSession, base: str, token: str, project: str, include_steps: bool = True, include_links: bool = True, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cases, folders, statuses, priorities) of a project from the service.
 
     Steps are asked for only where a case has none inline, links for every case;
-    cases, statuses and priorities whose lookup fails keep what is known without it.
+    cases, statuses and priorities whose lookup fails keep what is known without it.  The
+    listing is fetched once and cached; ``held`` gets it, for its release.
     """
     raw = read_pages(spark, base, token, [_listing("testcases", project)]).select("value").persist()
+    if held is not None:
+        held.append(raw)
     bare = raw.select(F.get_json_object("value", "$.key").alias("key"), F.get_json_object("value", "$.testScript.steps").alias("inline")).where("key IS NOT NULL")
     steps = _per_case(spark, bare.where("inline IS NULL").select("key"), base, token, f"teststeps?maxResults={PAGE}", False) if include_steps else None
     links = _per_case(spark, bare.select("key"), base, token, "links", True) if include_links else None

@@ -2,7 +2,7 @@ import http.server
 import io
 import json
 import threading
-from pathlib import Path
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from lodeseam.config import Config, ConfigError, Profile, expand, key_value
 from lodeseam.functions.embedding import hashed
 from lodeseam.operators import folders, ingest
 from lodeseam.operators import retrieval as R
+from lodeseam.plans import engine as E
+from lodeseam.plans import store as S
 from lodeseam.plans.engine import Engine, SearchError
 from lodeseam.plans.store import LostPointer
 from lodeseam.serve.jsonrpc import Server
@@ -172,30 +174,145 @@ def test_a_broken_envelope_fails_the_batch(spark, engine):
 
 def test_a_crash_while_writing_loses_nothing(engine, library, monkeypatch):
     engine.sync()
-    before = engine.store.pointer("documents")
-    monkeypatch.setattr(type(engine.store), "_replace", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+    before = engine.store.snapshot()
+    monkeypatch.setattr(type(engine.store), "create_json", lambda *a: (_ for _ in ()).throw(OSError("crash")))
     (library / "three.txt").write_text("changed\n")
     assert engine.sync()["failed"] == 1
     monkeypatch.undo()
-    assert engine.store.pointer("documents") == before and engine.documents().count() == 3
+    assert engine.store.snapshot() == before and engine.documents().count() == 3
     assert engine.sync()["ingest"]["files"]["written"] == 1 and engine.documents().count() == 3
-    (library.parent / "home" / "tables" / "documents.json").unlink()
+    for file in (library.parent / "home" / "log").iterdir():
+        file.unlink()
     with pytest.raises(LostPointer):
         engine.documents()
 
 
-def test_one_change_replaces_one_bucket(engine, library):
+def test_one_change_writes_one_document(spark, engine, library):
     engine.sync()
-    names = ["documents", "index_state", *(f"{kind}/{engine.generation}/p1" for kind in ("chunks", "postings", "frequencies", "sizes"))]
-    before = {n: engine.store.pointer(n)["parts"] for n in names}
+    names = ["documents", "index_state", *(f"{kind}/{engine.generation}/p1" for kind in ("chunks", "postings"))]
+    before = engine.store.snapshot()
     (library / "three.txt").write_text("Now a waterfall.\n")
     engine.sync()
     for n in names:
-        after = engine.store.pointer(n)
-        assert sum(before[n].get(b) != p for b, p in after["parts"].items()) == 1, n
-        assert len(after["retired"]) == 1 and engine.store.exists(after["retired"][0][0])
+        old, new = engine.store.parts(n, before), engine.store.parts(n)
+        changed = [b for b in new if old.get(b) != new[b]]
+        assert len(changed) == 1 and new[changed[0]]["base"] == old.get(changed[0], {"base": None})["base"], n
+        rows = spark.read.parquet(f"{engine.config.home}/{new[changed[0]]['deltas'][-1][1]}")
+        assert {r.doc_id.rsplit(":", 1)[1] for r in rows.collect()} == {"three.txt"}, n
     whole = R.postings(engine._chunks("p1"), ["doc_id", "chunk_ix"], "text", engine.analyse)
-    assert {tuple(r) for r in R.document_frequencies(whole).collect()} == {(r.token, r.df) for r in engine.store.table(names[4], whole.sparkSession.createDataFrame([], "token string, df long").schema).groupBy("token").agg(F.sum("df").alias("df")).collect()}
+    stored = lambda kind, schema: engine.store.table(f"{kind}/{engine.generation}/p1", schema)
+
+    def in_step():
+        df = stored("frequencies", E._FREQUENCIES).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+        assert {tuple(r) for r in R.document_frequencies(whole).collect()} == {tuple(r) for r in df.collect()}
+        assert tuple(stored("sizes", E._SIZES).agg(F.sum("n"), F.sum("tokens")).first()) == tuple(whole.groupBy("doc_id", "chunk_ix").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.sum("dl")).first())
+        assert {tuple(r) for r in engine._postings("p1").select(*whole.columns).collect()} == {tuple(r) for r in whole.collect()}
+
+    in_step()
+    for n in engine.store.snapshot()["tables"]:
+        engine.store.compact(n)
+    assert not any(p["deltas"] for t in engine.store.snapshot()["tables"].values() for p in t["parts"].values())
+    in_step()
+
+
+_KV = "doc_id string, v int"
+
+
+@pytest.fixture
+def keyed(spark, tmp_path, monkeypatch):
+    rows = lambda values: spark.createDataFrame(values, _KV)
+    monkeypatch.setitem(S.TABLES, "t", rows([]).schema)
+    store = S.Store(spark, str(tmp_path / "store"), 4)
+    store.write("t", rows([(str(i), i) for i in range(40)]))
+    return store, rows, lambda: {r.doc_id: r.v for r in store.table("t").collect()}
+
+
+def test_writers_of_other_buckets_both_survive(spark, keyed):
+    store, rows, content = keyed
+    home = {r.doc_id: r.b for r in rows([(str(i), i) for i in range(40)]).select("doc_id", store.bucket_of("t").alias("b")).collect()}
+    here, there, beside = "0", next(k for k in home if home[k] != home["0"]), next(k for k in home if home[k] == home["0"] and k != "0")
+    one, two, three = store.begin(), store.begin(), store.begin()
+    one.upsert("t", rows([(here, 100)]))
+    two.upsert("t", rows([(there, 200)]))
+    three.upsert("t", rows([(beside, 300)]))
+    assert two.commit() < one.commit()
+    with pytest.raises(S.Conflict):
+        three.commit()
+    again = store.begin()
+    again.upsert("t", rows([(beside, 300)]), rows([("7", 0), (beside, 0)]).select("doc_id"))
+    again.commit()
+    assert content() == {str(i): i for i in range(40) if i != 7} | {here: 100, there: 200, beside: 300}
+
+
+def test_racing_writers_lose_no_document(spark, engine, tmp_path):
+    row = lambda i: (1, ("s", "s", i, None), (i, "t", "x " + i, "sha256:" + "0" * 64, "2024-01-01T00:00:00Z", False), ("note", "internal", None, None, None, None))
+    failed = []
+
+    def writer(k):
+        mine = E.Engine(spark, engine.config, engine.embedder)
+        try:
+            for j in range(3):
+                mine.ingest(spark.createDataFrame([row(f"w{k}-{j}")], schemas.ENVELOPE).withColumn("seq", F.lit(0)))
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=writer, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and {r.doc_id for r in engine.documents().collect()} == {f"w{k}-{j}" for k in range(3) for j in range(3)}
+    assert engine.store.table("blobs").count() == 9
+
+
+def test_deltas_are_compacted(keyed):
+    store, rows, content = keyed
+    for k in range(S.MOST_DELTAS + 3):
+        write = store.begin()
+        write.upsert("t", rows([("3", 1000 + k), (f"n{k}", k)]))
+        write.commit()
+    assert max(len(p["deltas"]) for p in store.parts("t").values()) <= S.MOST_DELTAS
+    expected = {str(i): i for i in range(40)} | {f"n{k}": k for k in range(S.MOST_DELTAS + 3)} | {"3": 1000 + S.MOST_DELTAS + 2}
+    assert content() == expected
+    store.compact("t")
+    assert content() == expected and not any(p["deltas"] for p in store.parts("t").values())
+
+
+def test_sums_of_racing_writers_add_up(spark, keyed):
+    store = keyed[0]
+    sums = lambda values: spark.createDataFrame(values, "token string, df long")
+    writes = [store.begin() for _ in range(3)]
+    for k, w in enumerate(writes):
+        w.add("sums", sums([("a", 1), ("a", 1), ("b", k - 1)]), ["token"], ["df"])
+    for w in writes:
+        w.commit()
+    total = lambda: {r[0]: r[1] for r in store.table("sums", sums([]).schema).groupBy("token").agg(F.sum("df")).collect()}
+    assert total() == {"a": 6, "b": 0}
+    store.compact("sums")
+    assert total() == {"a": 6}
+
+
+def test_restore_after_retention(keyed, monkeypatch):
+    store, rows, content = keyed
+    before = content()
+    name = store.backup("kept")
+    with pytest.raises(ValueError, match="exists"):
+        store.backup("kept")
+    monkeypatch.setattr(S, "RETAIN_HOURS", 0)
+    for k in range(3):
+        store.write("t", rows([(str(k), -1)]))
+    time.sleep(1.1)
+    assert store.clean() and content() == {"2": -1}  # the two writes between are gone, what the backup names isn't
+    number = store.restore(name)
+    assert content() == before and store.snapshot()["number"] == number
+    store.write("t", rows([("x", 1)]))
+    assert store.drop_backup(name) and store.backups() == []
+    time.sleep(1.1)
+    store.write("t", rows([("y", 1)]))
+    store.clean()
+    with pytest.raises(ValueError, match="no backup"):
+        store.restore(name)
+    assert content() == {"y": 1}
 
 
 def test_an_empty_vector_skips_the_profile(engine):
@@ -206,15 +323,34 @@ def test_an_empty_vector_skips_the_profile(engine):
     assert engine.search("mill", mode="keyword")
 
 
-def test_migrations_are_backed_up(spark, engine):
+def test_migrations_are_backed_up(spark, engine, capsys):
     engine.sync(index=False)
     manifest = engine.store.read_json("manifest.json")
     engine.store.write_json("manifest.json", manifest | {"versions": {"index": 1, "canonical": 9}, "files": [], "indexed_at": "x"})
     engine.store.bootstrap(engine.generation)
     new = engine.store.read_json("manifest.json")
     assert "files" not in new and new["versions"]["canonical"] == 9 and new["versions"]["index"] == manifest["versions"]["index"] and new["migrations"][-1]["component"]
-    [folder] = [f for f in (Path(engine.config.home) / "backups").iterdir()]
-    assert {f.name for f in folder.iterdir() if f.suffix == ".json" and not f.name.startswith(".")} == {"manifest.json", "documents.json", "blobs.json"}
+    [name] = engine.store.backups()
+    assert set(engine.store.read_json(f"backups/{name}/snapshot.json")["tables"]) == {"documents", "blobs"} and new["updated_at"]
+    assert main(["backup", "mine"], engine) == 0 and main(["restore", "mine"], engine) == 0 and main(["compact"], engine) == 0 and main(["clean"], engine) == 0 and main(["drop-backup", "mine"], engine) == 0
+    assert main(["backups"], engine) == 0 and name in capsys.readouterr().out and engine.documents().count() == 3
+
+
+def test_a_failing_keyword_index_is_a_warning(engine, library, monkeypatch):
+    engine.sync()
+    (library / "three.txt").write_text("A waterfall by the mill.\n")
+    monkeypatch.setattr(E.Engine, "_keyword", lambda *a: (_ for _ in ()).throw(RuntimeError("no space")))
+    report = engine.sync()
+    assert "no space" in report["index"]["warnings"]["p1"] and report["index"]["indexed"] == 1
+    assert engine.search("waterfall mill", mode="semantic", limit=1)[0]["title"] == "three"
+    monkeypatch.undo()
+    assert len(engine.search("mill", mode="keyword", group_by_doc=True)) == 2
+    assert engine.index()["warnings"] == {}
+    assert len(engine.search("mill", mode="keyword", group_by_doc=True)) == 3
+
+
+def test_files_left_out_are_reported(engine):
+    assert engine.sync(index=False)["left_out"] == {"files": {"files": 1, "first": [("bad.md", "not UTF-8")]}}
 
 
 def test_filters_and_modes(spark):
