@@ -83,7 +83,7 @@ def bm25(rows: DataFrame, keys: list[str], text: str, query: str, analyse=tokens
     n = range(len(terms))
     stats = counted(rows).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in n))
     some = rows.where(reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(t)) for t in terms), F.lit(False))) if analyse is tokens else rows
-    parts = [_bm25_term(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("avgdl")) for i in n]
+    parts = [bm25_term(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("avgdl")) for i in n]
     scored = counted(some).crossJoin(F.broadcast(stats)).select(*keys, reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))  # one row
     return scored.where(F.col("score") > 0)
 
@@ -92,7 +92,8 @@ def _occurrences(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def _bm25_term(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
+def bm25_term(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
+    """What one term adds to a row's score; it grows with tf, and falls with dl."""
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
@@ -102,7 +103,7 @@ def bm25_from_index(index: DataFrame, stats: DataFrame, frequencies: DataFrame,
     hits = index.where(F.col("token").isin(terms))
     df = frequencies.where(F.col("token").isin(terms))
     scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # a row per term; one row
-    return scored.groupBy(*keys).agg(F.sum(_bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    return scored.groupBy(*keys).agg(F.sum(bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
 # ---------------------------------------------------------------- semantic
@@ -180,8 +181,8 @@ class SearchFilter:
 
 
 def attach(hits: DataFrame, documents: DataFrame, where: SearchFilter | None = None) -> DataFrame:
-    """Hits with their live documents that pass the filter; at most a few hundred hits, which are broadcast."""
-    return documents.join(F.broadcast(hits), "doc_id").where((where or SearchFilter()).predicate())
+    """Hits with their live documents that pass the filter; hits of a search, of which all are joined (Spark broadcasts them if they are few, as candidates are)."""
+    return documents.join(hits, "doc_id").where((where or SearchFilter()).predicate())
 
 
 def chunk_results(hits: DataFrame, limit: int) -> DataFrame:

@@ -706,9 +706,16 @@ def render_testcase(spark: SparkSession, sf: str) -> DataFrame:
     return testcases.render(testcases.named(cases, empty, empty, spark.createDataFrame([], "id long, path string")), "P").select("key", "title", "markdown")
 
 
+def _registered() -> None:
+    """Modules that register more queries here."""
+    from . import queries_indexed  # noqa: F401
+
+
 def queries() -> dict:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
