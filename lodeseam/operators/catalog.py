@@ -15,13 +15,44 @@ def string_list(json_text: Column) -> Column:
     return F.when(F.forall(kinds, lambda k: k == "STRING"), F.from_json(json_text, "array<string>"))
 
 
+#: Columns whose distinct values are estimated, and the sketches' size (2 ** LG registers: about 1.6 %).
+DISTINCT, LG = {"contents": "content_hash", "sources": "connector_instance", "titles": "title"}, 12
+
+
+def _tags() -> Column:
+    return F.array_distinct(F.filter(F.transform(string_list(F.col("tags_json")), strip), lambda t: t != ""))
+
+
+def topic_counts(documents: DataFrame) -> DataFrame:
+    """classification, tag, n of live documents: partial counts, which add up over any parts of the documents, and subtract."""
+    live = documents.where("NOT coalesce(deleted, false)")
+    return live.select("classification", F.explode(_tags()).alias("tag")).groupBy("classification", "tag").agg(F.count("*").alias("n"))
+
+
+def topics_from_counts(counts: DataFrame, classification: str | None = None) -> DataFrame:
+    """What ``browse_topics`` gives, from partial counts."""
+    rows = counts if classification is None else counts.where(F.col("classification") == classification)
+    return rows.groupBy("tag").agg(F.sum("n").alias("doc_count")).where("doc_count > 0").orderBy(F.desc("doc_count"), "tag")
+
+
+def distinct_sketches(documents: DataFrame, part: Column) -> DataFrame:
+    """part, what, sketch of live documents: sketches of distinct values, which merge over parts."""
+    live = documents.where("NOT coalesce(deleted, false)").withColumn("part", part)
+    each = live.groupBy("part").agg(*(F.hll_sketch_agg(F.coalesce(F.col(c), F.lit("")), LG).alias(what) for what, c in DISTINCT.items()))
+    return each.select("part", F.explode(F.array(*(F.struct(F.lit(w).alias("what"), F.col(w).alias("sketch")) for w in DISTINCT))).alias("s")).select("part", "s.what", "s.sketch")
+
+
+def distinct_counts(sketches: DataFrame) -> DataFrame:
+    """what, n: estimates over all parts."""
+    return sketches.groupBy("what").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def browse_topics(documents: DataFrame, classification: str | None = None) -> DataFrame:
     """tag, doc_count of live documents, most frequent first; a document counts once per tag."""
     live = documents.where("NOT coalesce(deleted, false)")
     if classification is not None:
         live = live.where(F.col("classification") == classification)
-    tags = F.array_distinct(F.filter(F.transform(string_list(F.col("tags_json")), strip), lambda t: t != ""))
-    return live.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("doc_count")).orderBy(F.desc("doc_count"), "tag")
+    return live.select(F.explode(_tags()).alias("tag")).groupBy("tag").agg(F.count("*").alias("doc_count")).orderBy(F.desc("doc_count"), "tag")
 
 
 def list_books(routed: DataFrame, state: DataFrame) -> DataFrame:

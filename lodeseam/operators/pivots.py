@@ -33,7 +33,7 @@ def _distance(a: Column, b: Column) -> Column:
 
 def pivot_table(rows: DataFrame, keys: list[str], vector: str, pivots: list[list[float]]) -> DataFrame:
     """``rows`` with a vector, with pivot (its number) and away (the distance to it), written in their order."""
-    known = F.array(*(F.struct(F.array(*map(F.lit, p)).alias("p"), F.lit(i).alias("i")) for i, p in enumerate(pivots)))
+    known = F.array(*(F.struct(F.array(*map(F.lit, p)).alias("p"), F.lit(i).alias("i")) for i, p in enumerate(pivots))).cast("array<struct<p:array<double>,i:int>>")
     near = F.array_min(F.transform(known, lambda c: F.struct(_distance(F.col(vector), c["p"]).alias("away"), c["i"].alias("pivot"))))
     dealt = rows.where(F.col(vector).isNotNull()).withColumn("_n", near).select(*rows.columns, F.col("_n.pivot").alias("pivot"), F.col("_n.away").alias("away"))
     return written(dealt.repartitionByRange("pivot", "away").sortWithinPartitions("pivot", "away"), "pivots")

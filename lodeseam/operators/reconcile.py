@@ -25,7 +25,7 @@ def route(documents: DataFrame, policy: DataFrame, default_profile: str) -> Data
 
 def routing_violations(policy: DataFrame, profiles: DataFrame) -> DataFrame:
     """classification, profile_id, reason: unknown profiles, and cloud profiles for classes that must stay local."""
-    joined = policy.join(F.broadcast(profiles.select(F.col("id").alias("profile_id"), "locality")), "profile_id", "left")
+    joined = policy.join(profiles.select(F.col("id").alias("profile_id"), "locality"), "profile_id", "left")
     reason = F.when(F.col("locality").isNull(), F.lit("unknown profile")).when(F.col("classification").isin(*LOCAL_ONLY) & (F.col("locality") != "local"), F.lit("must be local"))
     return joined.withColumn("reason", reason).where("reason IS NOT NULL").select("classification", "profile_id", "reason")
 
@@ -58,7 +58,7 @@ def stale(state: DataFrame, documents: DataFrame) -> DataFrame:
 
 def readiness(profiles: DataFrame, meta: DataFrame) -> DataFrame:
     """profile_id, queryable, issue, status. meta: profile_id, schema_version, embedding_model (an index's meta)."""
-    joined = profiles.select(F.col("id").alias("profile_id"), "model").join(F.broadcast(meta.withColumn("_has", F.lit(True))), "profile_id", "left")
+    joined = profiles.select(F.col("id").alias("profile_id"), "model").join(meta.withColumn("_has", F.lit(True)), "profile_id", "left")
     v, m = F.col("schema_version"), F.col("embedding_model")
     issue = (
         F.when(F.col("_has").isNull(), F.lit("index meta missing"))

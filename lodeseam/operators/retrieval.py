@@ -6,6 +6,7 @@ ranking breaks ties by key, so that results don't depend on the partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from enum import Enum
@@ -117,6 +118,25 @@ def distance(vector: Column, query: list[float], metric: str = "l2") -> Column:
     return F.sqrt(squares) if metric == "l2" else squares
 
 
+class SearchError(RuntimeError):
+    pass
+
+
+def query_vector(embed: Callable[[list[str]], list[list[float]]], query: str, mode: Mode) -> list[float] | None:
+    """The query's vector, or null where there is to be none: hybrid search falls back to keywords if the embedder fails.  A reply without a vector is an error of its own."""
+    if mode is Mode.KEYWORD:
+        return None
+    try:
+        vectors = embed([query])
+    except Exception:
+        if mode is Mode.SEMANTIC:
+            raise
+        return None
+    if not len(vectors) or not len(vectors[0]):
+        raise SearchError("the embedder returned an empty vector")
+    return vectors[0]
+
+
 def semantic(rows: DataFrame, keys: list[str], vector: str, query: list[float], metric: str = "l2") -> DataFrame:
     """keys, score = exp(-distance) of every row with a vector."""
     return rows.where(F.col(vector).isNotNull()).select(*keys, F.exp(-distance(F.col(vector), query, metric)).alias("score"))

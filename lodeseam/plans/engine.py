@@ -19,6 +19,7 @@ from ..functions.chunking import chunk_documents
 from ..functions.embedding import embed_column, service
 from ..operators import catalog, ingest, reconcile
 from ..operators import retrieval as R
+from ..operators.retrieval import SearchError
 from ..sources import filesystem, testcases
 from .store import RETRIES, Conflict, Store, Write, append_meta, metas, now
 
@@ -26,12 +27,6 @@ from .store import RETRIES, Conflict, Store, Write, append_meta, metas, now
 _POSTINGS = schemas.StructType([*schemas._s("doc_id"), schemas.StructField("chunk_ix", schemas.IntegerType()), schemas.StructField("dl", schemas.IntegerType()), *schemas._s("token"), schemas.StructField("tf", schemas.LongType())])
 _FREQUENCIES = schemas.StructType([*schemas._s("token"), schemas.StructField("df", schemas.LongType())])
 _SIZES = schemas.StructType([schemas.StructField("n", schemas.LongType()), schemas.StructField("tokens", schemas.LongType())])
-#: What a search takes from a profile whose embedder answers with no vector.
-_SKIPPED = "the embedder returned an empty vector"
-
-
-class SearchError(RuntimeError):
-    pass
 
 
 class Engine:
@@ -100,11 +95,24 @@ class Engine:
                 write.upsert("documents", rows)
                 blobs = rows.select("doc_id", "deleted", F.col("markdown_path").alias("path"), F.octet_length("markdown").cast("long").alias("size_bytes"), F.col("content_hash").alias("checksum"))
                 write.upsert("blobs", blobs.where("NOT deleted").drop("deleted"), blobs.where("deleted").select("doc_id"))
+                self._count(write, stored, rows)
                 write.commit()
         finally:
             changing.unpersist()
         return report
 
+    def _count(self, write: Write, stored: DataFrame, rows: DataFrame) -> None:
+        """Stages what a write of ``rows`` does to the catalogue: tags' counts as differences, sketches anew for the buckets that it touches."""
+        known = stored.join(rows.select("doc_id"), "doc_id", "left_semi")
+        less = catalog.topic_counts(known).withColumn("n", -F.col("n"))
+        write.add("topics", catalog.topic_counts(rows).unionByName(less), ["classification", "tag"], ["n"])
+        touched = self.store.touched("documents", rows.select("doc_id"), write.base)
+        columns = ["doc_id", "deleted", *catalog.DISTINCT.values()]
+        whole = self.store.table("documents", buckets=touched, at=write.base).select(*columns).join(rows.select("doc_id"), "doc_id", "left_anti").unionByName(rows.select(*columns))
+        sketches = catalog.distinct_sketches(whole, self.store.bucket_of("documents", at=write.base).cast("string"))
+        emptied = self.spark.createDataFrame([(str(b),) for b in touched], "part string")
+        write.upsert("sketches", sketches, emptied, key="part")
+
     def connector(self, spec: dict) -> DataFrame:
         """The envelopes of one configured connector."""
         kind, shared = spec.get("type"), {k: spec[k] for k in ("classification", "doc_type") if k in spec}
@@ -273,17 +281,7 @@ class Engine:
         stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
         frequencies = self.store.table(f"frequencies/{self.generation}/{profile}", _FREQUENCIES).where(F.col("token").isin(terms)).groupBy("token").agg(F.sum("df").alias("df"))
         keyword = R.bm25_from_index(self._postings(profile), stats, frequencies, keys, terms)
-        vector = None
-        if mode is not R.Mode.KEYWORD:
-            try:
-                vectors = self.embedder(profile)([query])
-            except Exception:  # noqa: BLE001  hybrid falls back to keyword search
-                if mode is R.Mode.SEMANTIC:
-                    raise
-            else:
-                if not len(vectors) or not len(vectors[0]):
-                    raise SearchError(_SKIPPED)
-                vector = vectors[0]
+        vector = R.query_vector(self.embedder(profile), query, mode)
         if mode is R.Mode.SEMANTIC:
             found = R.top(R.semantic(chunks, keys, "vector", vector), keys, n).where(F.col("score") >= threshold)
         elif vector is None:
@@ -345,7 +343,12 @@ class Engine:
         return [r.asDict() for r in catalog.list_books(routed, self.state()).collect()]
 
     def topics(self, classification: str | None = None) -> list[dict]:
-        return [r.asDict() for r in catalog.browse_topics(self.documents(), classification).collect()]
+        """Tags of live documents from their partial counts, without a look at the documents."""
+        return [r.asDict() for r in catalog.topics_from_counts(self.store.table("topics", schemas.TOPICS), classification).collect()]
+
+    def distinct(self) -> dict[str, int]:
+        """About how many contents, sources and titles the live documents have."""
+        return {r.what: r.n for r in catalog.distinct_counts(self.store.table("sketches", schemas.SKETCHES)).collect()}
 
     def startup(self) -> dict:
         """Whether anything can be served: active generation, profiles that can be queried, and the issues of the others."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import analysis, chunking, diagrams
 from .functions import text as T
+from .functions.embedding import service
 from .functions.frontmatter import scalar_text
 from .operators import catalog, folders, ingest, reconcile
 from .operators import retrieval as R
@@ -314,11 +315,11 @@ def federated_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(score, 4) AS score, 'keyword' AS search_mode FROM hits ORDER BY hits.score DESC, doc_id LIMIT 25")
 def keyword_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Hybrid search whose embedder fails."""
-    try:
-        raise ConnectionError("no embedder")
-    except ConnectionError:
-        return _top(_keyword(spark, sf)).withColumn("search_mode", F.lit("keyword"))
+    """Hybrid search whose embedder can't be reached: the arm of vectors is left out."""
+    vector = R.query_vector(service("http://127.0.0.1:9", "m"), QUERY, R.Mode.HYBRID)
+    keyword = _keyword(spark, sf)
+    fused = keyword if vector is None else R.fuse(keyword, R.semantic(_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), ["doc_id"], "embedding", vector), ["doc_id"], N)
+    return _top(fused).withColumn("search_mode", F.lit("keyword" if vector is None else "hybrid"))
 
 
 # ---------------------------------------------------------------- filters and shapes
@@ -461,10 +462,15 @@ def route_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return _routed(spark, sf).groupBy("embedding_profile_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('confidential', 'cloud', 'must be local'), ('public', 'nowhere', 'unknown profile')) AS v(classification, profile_id, reason)")
+#: Customers as rules: each routes a class to the profile of their nation; nations are profiles, every sixth is missing.
+_RULES = "p AS (SELECT DISTINCT ['restricted', 'confidential', 'internal', 'public'][c_custkey % 4 + 1] AS classification, 'p' || c_nationkey AS profile_id FROM customer), f AS (SELECT 'p' || n_nationkey AS id, CASE WHEN n_regionkey % 2 = 0 THEN 'local' ELSE 'cloud' END AS locality FROM nation WHERE n_nationkey % 6 <> 5)"
+
+
+@query(f"WITH {_RULES} SELECT classification, profile_id, CASE WHEN id IS NULL THEN 'unknown profile' ELSE 'must be local' END AS reason FROM p LEFT JOIN f ON profile_id = id WHERE id IS NULL OR (locality = 'cloud' AND classification IN ('restricted', 'confidential'))")
 def routing_violation(spark: SparkSession, sf: str) -> DataFrame:
-    policy = spark.createDataFrame([("restricted", "local"), ("confidential", "cloud"), ("internal", "cloud"), ("public", "nowhere")], "classification string, profile_id string")
-    return reconcile.routing_violations(policy, spark.createDataFrame([("local", "local"), ("cloud", "cloud")], "id string, locality string"))
+    policy = _table(spark, sf, "customer").select(F.element_at(F.array(*map(F.lit, T.CLASSIFICATIONS)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("classification"), F.concat(F.lit("p"), "c_nationkey").alias("profile_id")).distinct()
+    profiles = _table(spark, sf, "nation").where("n_nationkey % 6 <> 5").select(F.concat(F.lit("p"), "n_nationkey").alias("id"), F.when(F.col("n_regionkey") % 2 == 0, "local").otherwise("cloud").alias("locality"))
+    return reconcile.routing_violations(policy, profiles)
 
 
 @query(f"WITH {_ROUTED} SELECT doc_id, profile AS embedding_profile_id, reason, path AS delete_path FROM stale WHERE reason IS NOT NULL")
@@ -491,15 +497,22 @@ def list_books(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.list_books(_routed(spark, sf), _state(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('a', true, NULL, 'ready'), ('b', false, 'index meta missing', 'not_indexed'), ('c', false, 'index schema outdated', 'outdated(v5, need v6)'), ('d', false, 'embedding model missing', 'ready'), ('e', false, 'embedding model mismatch', 'ready')) AS v(profile_id, queryable, issue, status)")
+#: Suppliers as profiles, most of them with the meta of an index.
+_METAS = "s AS (SELECT 's' || s_suppkey AS profile_id, 'm' || s_nationkey % 3 AS model, s_suppkey % 5 <> 0 AS has, 6 - CAST(s_suppkey % 4 = 1 AS INT) AS v, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 7 = 1 THEN 'other' ELSE 'm' || s_nationkey % 3 END AS known FROM supplier), i AS (SELECT *, CASE WHEN NOT has THEN 'index meta missing' WHEN v <> 6 THEN 'index schema outdated' WHEN known IS NULL THEN 'embedding model missing' WHEN known <> model THEN 'embedding model mismatch' END AS issue FROM s)"
+
+
+@query(f"WITH {_METAS} SELECT profile_id, issue IS NULL AS queryable, issue, CASE WHEN NOT has THEN 'not_indexed' WHEN v <> 6 THEN 'outdated(v' || v || ', need v6)' ELSE 'ready' END AS status FROM i")
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
-    profiles = spark.createDataFrame([(p, "m") for p in "abcde"], "id string, model string")
-    return reconcile.readiness(profiles, spark.createDataFrame([("a", 6, "m"), ("c", 5, "m"), ("d", 6, None), ("e", 6, "other")], "profile_id string, schema_version int, embedding_model string"))
+    key, model = F.col("s_suppkey"), F.concat(F.lit("m"), (F.col("s_nationkey") % 3).cast("string"))
+    known = _table(spark, sf, "supplier").select(F.concat(F.lit("s"), key).alias("id"), model.alias("model"), (6 - (key % 4 == 1).cast("int")).alias("schema_version"), F.when(key % 7 == 1, "other").when(key % 7 != 0, model).alias("embedding_model"), (key % 5 != 0).alias("has"))
+    return reconcile.readiness(known.select("id", "model"), known.where("has").select(F.col("id").alias("profile_id"), "schema_version", "embedding_model"))
 
 
-@query("SELECT * FROM (VALUES ('index', 'pending(v5 -> v6)'), ('canonical', 'ok'), ('metadata', 'pending(missing -> v1)')) AS v(component, status)")
+@query("SELECT 'c' || p_partkey AS component, CASE WHEN p_size % 10 = 0 THEN 'pending(missing -> v25)' WHEN p_size < 25 THEN 'pending(v' || p_size || ' -> v25)' ELSE 'ok' END AS status FROM part")
 def migration_status(spark: SparkSession, sf: str) -> DataFrame:
-    return reconcile.migration_status(spark.createDataFrame([("index", 5, 6), ("canonical", 1, 1), ("metadata", None, 1)], "component string, current int, target int"))
+    """Parts as components at the version of their size."""
+    found = _table(spark, sf, "part").select(F.concat(F.lit("c"), "p_partkey").alias("component"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("current"), F.lit(25).alias("target"))
+    return reconcile.migration_status(found)
 
 
 # --- ingest: a batch made of the documents, with doc_ids that repeat
@@ -589,7 +602,10 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(_paragraphed(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 
-@query()
+_CHUNKED = "chunked AS (SELECT doc_id * 100000 + ix AS doc_id, substr(t, 1 + length(replace(substr(m, 1, start), chr(2), '')), length(replace(substr(m, 1, stop), chr(2), '')) - length(replace(substr(m, 1, start), chr(2), ''))) AS text FROM step JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END AS t FROM documents) USING (doc_id) WHERE stop >= 0)"
+
+
+@query(f"WITH {_CHUNKS}, {_CHUNKED}, {bm25_sql(TERMS, 'chunked')} SELECT doc_id // 100000 AS doc_id, CAST(doc_id % 100000 AS INTEGER) AS chunk_ix, round(score, 4) AS score FROM hits ORDER BY hits.score DESC, hits.doc_id LIMIT 25")
 def chunk_keyword(spark: SparkSession, sf: str) -> DataFrame:
     parts = chunking.chunk_documents(_paragraphed(spark, sf))
     hits = R.bm25(parts, ["doc_id", "chunk_ix"], "chunk_text", QUERY)
@@ -654,9 +670,14 @@ def _judged(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     """
     e = _table(spark, sf, "embeddings")
     counts = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n_rel"))
+    shards = max(1, -(-e.count() // 8192))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql")).join(counts, "ql", "left")
-    d = F.aggregate(F.zip_with("embedding", "qv", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.join(q, F.col("vec_id") != F.col("query")).select("query", "n_rel", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), d.alias("d"))
+    # blocks of queries visit every shard of rows: neither side grows in one place
+    blocks = q.groupBy(F.pmod(F.xxhash64("query"), F.ceil(F.lit(shards) / 2)).alias("blk")).agg(F.collect_list(F.struct("query", "qv", "ql", "n_rel")).alias("qs"))
+    visits = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "qs")
+    d = F.aggregate(F.zip_with("embedding", "q.qv", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    met = e.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")).join(visits.hint("shuffle_hash"), "shard").select("vec_id", "embedding", "label", F.explode("qs").alias("q")).where(F.col("vec_id") != F.col("q.query"))
+    pairs = met.select("q.query", "q.n_rel", "vec_id", (F.col("label") == F.col("q.ql")).cast("int").alias("rel"), d.alias("d"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -685,14 +706,22 @@ def ndcg(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- rendering (checked in the tests)
 
 
-@query()
+@query(rf"""SELECT n_nationkey, '# x' || chr(10) || '```plantuml' || chr(10) || 'actor ' || n_name || chr(10) || n_name || ' --> ' || r_name || ' : is in' || chr(10) || '```' || chr(10) || chr(10) || '{diagrams.OPEN}' || chr(10) || '{diagrams.TITLE}' || chr(10)
+ || 'Entities: ' || array_to_string(list_sort([n_name, split_part(r_name, ' ', 1)]), ', ') || chr(10) || 'Relations:' || chr(10) || '- ' || n_name || ' --> ' || split_part(r_name, ' ', 1) || ': is in' || chr(10) || '{diagrams.CLOSE}' || chr(10) AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def diagram_summary(spark: SparkSession, sf: str) -> DataFrame:
     n = _table(spark, sf, "nation").alias("n").join(F.broadcast(_table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     source = F.concat(F.lit("# x\n```plantuml\nactor "), "n_name", F.lit("\n"), "n_name", F.lit(" --> "), "r_name", F.lit(" : is in\n```\n"))
     return n.select("n_nationkey", diagrams.enrich_column(source).alias("markdown"))
 
 
-@query()
+_RENDERED = (
+    "---\nkey: {k}\nname: {n}\nproject: P\nfolder: (unfiled)\nstatus: Unknown\npriority: Unknown\nowner: \nlabels: [{b}]\ncreated_on: \nupdated_on: \n---\n\n# {k}: {n}\n\n## Objective\n\n{t}\n\n## Test Steps\n"
+    "\n### Step 1 (Index 1)\n\n**Description**\n{n}\n\n**Expected Result**\n**{b}**\n\n**Custom Fields**\n- `size`: {z}\n\n### Step 2 (Index 2)\n\n**Description**\n{t}\n\n**Expected Result**\n**{b}**\n\n**Custom Fields**\n- `size`: {z}\n"
+)
+
+
+@query(f"""SELECT 'P-' || p_partkey AS key, 'P-' || p_partkey || ': ' || p_name AS title,
+ replace(replace(replace(replace(replace(replace('{_RENDERED.replace(chr(10), "~")}', '~', chr(10)), '{{k}}', 'P-' || p_partkey), '{{n}}', p_name), '{{b}}', p_brand), '{{t}}', p_type), '{{z}}', CAST(p_size AS VARCHAR)) AS markdown FROM part""")
 def render_testcase(spark: SparkSession, sf: str) -> DataFrame:
     p = _table(spark, sf, "part")
     none = F.lit(None).cast("string")

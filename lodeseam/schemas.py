@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 
 def _s(*names: str) -> list[StructField]:
@@ -34,6 +34,10 @@ INDEX_STATE = StructType([*_s("doc_id", "generation_id", "embedding_profile_id",
 
 CHUNKS = StructType([*_s("doc_id"), StructField("chunk_ix", IntegerType()), *_s("text"), StructField("vector", ArrayType(FloatType()))])
 
+#: Partial counts of tags, and sketches of distinct values per bucket of documents.
+TOPICS = StructType([*_s("classification", "tag"), StructField("n", LongType())])
+SKETCHES = StructType([*_s("part", "what"), StructField("sketch", BinaryType())])
+
 PROFILES = StructType(_s("id", "provider", "endpoint", "model", "locality"))
 
 FOLDERS = StructType([StructField("id", LongType()), *_s("name"), StructField("parent_id", LongType())])

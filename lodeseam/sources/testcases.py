@@ -11,8 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import content_hash, html_to_md, yaml_scalar
 from ..operators.folders import find_by_path, folder_paths, subtree
@@ -43,7 +43,9 @@ class RestSource(DataSource):
     """``spark.read.format("rest_pages")`` with options base, token, paths (``;`` between them): path, value (JSON).
 
     Option ``whole``: a path is one object rather than pages of values.  Option
-    ``lenient``: a path that can't be fetched has no values.
+    ``lenient``: a path that can't be fetched has no values.  A filter on ``path`` reaches the
+    source (with ``spark.sql.python.filterPushdown.enabled``): other paths are not requested.
+
     """
 
     @classmethod
@@ -56,12 +58,23 @@ class RestSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _RestReader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _RestStream(self.options)
+
 
 class _RestReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.base, self.token, self.paths = options["base"], options.get("token", ""), options["paths"].split(";")
         self.whole, self.lenient = options.get("whole") == "true", options.get("lenient") == "true"
 
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("path",) else set(f.value) if isinstance(f, In) and f.attribute == ("path",) else None
+            if wanted is None:
+                yield f
+            else:
+                self.paths = [p for p in self.paths if p in wanted]
+
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
@@ -76,6 +89,82 @@ class _RestReader(DataSourceReader):
                 raise
 
 
+class _Page(InputPartition):
+    def __init__(self, path: str, first: int, count: int) -> None:
+        super().__init__((path, first, count))
+
+
+class _RestStream(DataSourceStreamReader):
+    """Values of listings that only grow at their end.
+
+    Offsets count the values of each path that were given; a batch is fetched page by page, each page by a task of its own.
+
+    What a batch holds follows from its offsets alone, so that a batch that is run again after a
+    restart holds the same values, none twice and none left out.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.base, self.token, self.paths = options["base"], options.get("token", ""), options["paths"].split(";")
+
+    def _page(self, path: str, first: int, count: int) -> dict:
+        return _fetch(f"{self.base.rstrip('/')}/{path.lstrip('/')}{'&' if '?' in path else '?'}startAt={first}&maxResults={count}", self.token)
+
+    def initialOffset(self) -> dict:
+        return {p: 0 for p in self.paths}
+
+    def latestOffset(self) -> dict:
+        """How many values each path has now: as the service counts them, else by its pages."""
+        out = {}
+        for path in self.paths:
+            page = self._page(path, 0, 1)
+            if page.get("total") is not None:
+                out[path] = int(page["total"])
+                continue
+            at = 0
+            while True:
+                page = self._page(path, at, PAGE)
+                at += len(page.get("values") or [])
+                if page.get("isLast", True) or not page.get("values"):
+                    break
+            out[path] = at
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Page(p, at, min(PAGE, end[p] - at)) for p in self.paths for at in range(start.get(p, 0), end.get(p, 0), PAGE)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        path, first, count = partition.value
+        at, stop = first, first + count
+        while at < stop:  # a service may give fewer than asked for
+            values = (self._page(path, at, stop - at).get("values") or [])[: stop - at]
+            if not values:
+                raise RuntimeError(f"{path}: values {at} to {stop} are gone")
+            for value in values:
+                yield path, at, json.dumps(value)
+                at += 1
+
+
+class RestStreamSource(RestSource):
+    @classmethod
+    def name(cls) -> str:
+        return "rest_values"
+
+    def schema(self) -> StructType:
+        return StructType([StructField("path", StringType()), StructField("at", LongType()), StructField("value", StringType())])
+
+
+def stream_values(spark: SparkSession, base: str, token: str, paths: list[str]) -> DataFrame:
+    """path, at, value of growing listings, as a stream."""
+    spark.dataSource.register(RestStreamSource)
+    return spark.readStream.format("rest_values").option("base", base).option("token", token).option("paths", ";".join(paths)).load()
+
+
+def stream_cases(spark: SparkSession, base: str, token: str, projects: list[str]) -> DataFrame:
+    """path, at and the fields of the test cases of projects, as a stream: each case once."""
+    values = stream_values(spark, base, token, [f"testcases?projectKey={urllib.parse.quote(p)}" for p in projects])
+    return parse_cases(values, keep=("path", "at"))
+
+
 def read_pages(spark: SparkSession, base: str, token: str, paths: list[str], whole: bool = False, lenient: bool = False) -> DataFrame:
     spark.dataSource.register(RestSource)
     reader = spark.read.format("rest_pages").option("base", base).option("token", token).option("paths", ";".join(paths))
@@ -165,14 +254,15 @@ def _steps(steps: Column) -> Column:
     return F.transform(steps, lambda s: F.struct(s["index"].alias("index"), s["description"].alias("description"), s["testData"].alias("test_data"), s["expectedResult"].alias("expected_result"), fields(s).alias("custom_fields")))
 
 
-def parse_cases(raw: DataFrame, steps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+def parse_cases(raw: DataFrame, steps: DataFrame | None = None, links: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Test cases (schemas.TEST_CASES) from JSON values as the service sends them.
 
     raw: value; steps: key, value (a page's wrapped step) for cases whose steps are not
     inline; links: key, value (issueLinks, webLinks).  Cases without either keep none.
+    ``keep``: columns of raw that come before those of a case.
     """
     owner = owner_text(F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.owner", "variant")))
-    out = raw.select(F.from_json("value", _CASE).alias("c"), owner.alias("owner_id")).where("c.key IS NOT NULL").select("c.*", "owner_id")
+    out = raw.select(*keep, F.from_json("value", _CASE).alias("c"), owner.alias("owner_id")).where("c.key IS NOT NULL").select(*keep, "c.*", "owner_id")
     if steps is not None:
         wrapped = steps.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.from_json("value", f"struct<inline:{_STEP}>")).alias("_w"))
         out = out.join(wrapped, F.col("key") == F.col("_k"), "left").drop("_k")
@@ -184,7 +274,7 @@ def parse_cases(raw: DataFrame, steps: DataFrame | None = None, links: DataFrame
     else:
         out = out.withColumn("_links", F.lit(None).cast("array<struct<issue_key:string,url:string>>"))
     return out.select(
-        "id", "key", "name", "folder", "status", "priority", F.col("owner_id").alias("owner"), "objective", "precondition", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
+        *keep, "id", "key", "name", "folder", "status", "priority", F.col("owner_id").alias("owner"), "objective", "precondition", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
         _steps(F.coalesce("testScript.steps", inline_steps(F.col("_w")))).alias("steps"), F.col("testScript.text").alias("script_text"), F.col("testScript").isNotNull().alias("has_script"), F.col("_links").alias("links"),
         F.col("createdOn").alias("created_on"), F.col("updatedOn").alias("updated_on"),
     )

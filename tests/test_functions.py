@@ -120,18 +120,24 @@ def test_stems(word, want):
     assert analysis.stem(word) == want
 
 
-def test_diagram_parsing():
-    entities, relations = diagrams.parse_diagram("@startuml\n' no: A -> B\nparticipant \"User\" as U\nactor 'Bob'\nU --> Server : asks\nServer <-- Db\nA ..> B\nA -|> C\n")
-    assert entities == ["A", "B", "Bob", "C", "Db", "Server", "User"]
-    assert relations == ["User --> Server: asks", "Server <-- Db", "A ..> B", "A -|> C"]
-
-
-def test_diagram_enrichment_replaces_and_is_stable():
+def test_diagram_parsing(spark):
+    read = lambda text: one(spark, diagrams.diagram_column, text)
+    found = read("@startuml\n' no: A -> B\nparticipant \"User\" as U\nactor 'Bob'\nU --> Server : asks\nServer <-- Db\nA ..> B\nA -|> C\n")
+    assert found.entities == ["A", "B", "Bob", "C", "Db", "Server", "User"]
+    assert found.relations == ["User --> Server: asks", "Server <-- Db", "A ..> B", "A -|> C"]
+    late = read("a -> b\nx as a\na -> b\ny as a\na->b:\n-> c\n")
+    assert late.relations == ["a -> b", "x -> b", "y -> b"] and late.entities == ["a", "b", "x", "y"]
+    assert read("").entities == [] and read(None).entities == []
+
+
+def test_diagram_enrichment_replaces_and_is_stable(spark):
+    enrich = lambda text: one(spark, diagrams.enrich_column, text)
     text = "# t\n```puml\nA -> B\n```\nend  \n\n"
-    once = diagrams.enrich(text)
+    once = enrich(text)
     assert "Entities: A, B" in once and "- A -> B" in once and once.endswith("end\n")
-    again = diagrams.enrich(once)
+    again = enrich(once)
     assert again.count(diagrams.TITLE) == 1
-    assert diagrams.enrich("no diagram \n\n") == "no diagram\n"
+    assert enrich("no diagram \n\n") == "no diagram\n" and enrich(None) is None and enrich("") == "\n"
     many = "```plantuml\n" + "\n".join(f"A -> B{i}" for i in range(60)) + "\n```"
-    assert diagrams.enrich(many).count("\n- ") == 50
+    assert enrich(many).count("\n- ") == 50
+    assert enrich("a\r\n```puml\r\nA -> B").endswith("- A -> B\n" + diagrams.CLOSE + "\n") and enrich(f"a\n{diagrams.OPEN}\nlost") == "a\n"
