@@ -53,8 +53,10 @@ def _table(rows: list[tuple], fields: list[pa.Field]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
 
-def _bounds(sorted_place: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(sorted_place, np.arange(n + 1))
+def _touched(sorted_place: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of the shards that sorted places name: no others are looked at, however many there are."""
+    at = np.flatnonzero(np.append(True, sorted_place[1:] != sorted_place[:-1])[: len(sorted_place)])
+    return list(zip(sorted_place[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_place)], strict=True))
 
 
 # ---------------------------------------------------------------- signatures
@@ -239,20 +241,19 @@ class Batch:
         own = self.take(first)
         place = (mix(own.hi) % _U(shards)).astype(np.int32)
         order = np.argsort(place, kind="stable")
-        own, at = own.take(order), _bounds(place[order], shards)
+        own = own.take(order)
         s_at = np.concatenate([[0], np.cumsum(sig_words(own.n))])
         k_at = np.concatenate([[0], np.cumsum(own.many.astype(np.int64))])
         out = [
             (s, own.hi[a:b].tobytes(), own.lo[a:b].tobytes(), own.n[a:b].astype(np.int32).tobytes(), own.sig[s_at[a] : s_at[b]].tobytes(), own.many[a:b].astype(np.uint8).tobytes(), _six(own.keys[k_at[a] : k_at[b]]), own.doc[a:b].tobytes(), own.row[a:b].tobytes(), own.line[a:b].tobytes())
-            for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))
-            if a < b
+            for s, a, b in _touched(place[order])
         ]
         if len(rest):
             place = (mix(self.doc[rest].view(np.uint64)) % _U(shards)).astype(np.int32)
             order = np.argsort(place, kind="stable")
-            rest, head, at = rest[order], head[order], _bounds(place[order], shards)
+            rest, head = rest[order], head[order]
             reps = np.stack([self.doc[head], self.row[head]], 1)
-            out += [(s, b"", b"", b"", reps[a:b].tobytes(), b"", b"", self.doc[rest[a:b]].tobytes(), self.row[rest[a:b]].tobytes(), self.line[rest[a:b]].tobytes()) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+            out += [(s, b"", b"", b"", reps[a:b].tobytes(), b"", b"", self.doc[rest[a:b]].tobytes(), self.row[rest[a:b]].tobytes(), self.line[rest[a:b]].tobytes()) for s, a, b in _touched(place[order])]
         return out
 
 
@@ -399,16 +400,19 @@ def _dealt(rows: DataFrame, shards: int):
                 keys = np.where(parts > 1, mix(keys + cell * _U(0x9E3779B97F4A7C15)), keys)
             place = (mix(keys) % _U(shards)).astype(np.int32)
             order = np.argsort(place, kind="stable")
-            at = _bounds(place[order], shards)
+            touched = _touched(place[order])
             owner, keys = owner[order], keys[order]
             size = sig_words(n)
             s_at = np.cumsum(size) - size
-            extra = [batch.column("root").to_numpy(), batch.column("now").to_numpy(), _stream(batch.column("wide"), np.uint64).reshape(len(n), -1)] if "wide" in batch.schema.names else []
+            wide = batch.column("wide").to_pylist() if "wide" in batch.schema.names else None
+            ends = [batch.column("root").to_numpy(), batch.column("now").to_numpy()] if wide else []
             out = []
-            for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if a < b:
-                    i = owner[a:b]
-                    out.append((s, keys[a:b].tobytes(), ids[i].tobytes(), n[i].astype(np.int32).tobytes(), sig[ranges(s_at[i], size[i])].tobytes(), *(x[i].tobytes() for x in extra), *[b""] * (3 - len(extra))))
+            for s, a, b in touched:
+                i = owner[a:b]
+                # a class's large signature goes to a shard once, whatever the number of its keys there
+                once = zip(*np.unique(ids[i], return_index=True), strict=True) if wide else ()
+                large = b"".join(int(c).to_bytes(8, "little", signed=True) + len(wide[i[k]]).to_bytes(4, "little") + wide[i[k]] for c, k in once)
+                out.append((s, keys[a:b].tobytes(), ids[i].tobytes(), n[i].astype(np.int32).tobytes(), sig[ranges(s_at[i], size[i])].tobytes(), *(x[i].tobytes() for x in ends), *[b""] * (2 - len(ends)), large))
             yield from _table(out, _KEYED).to_batches()
 
     return rows.where("octet_length(keys) > 0").mapInArrow(send, _KEYED_DDL).groupBy("shard")
@@ -417,7 +421,7 @@ def _dealt(rows: DataFrame, shards: int):
 def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
     """Signatures, ids and further columns of a shard's classes, and its buckets as index matrices of like sizes (-1: nothing)."""
     key, ids, n, sig = (_stream(rows.column(c), t) for c, t in (("key", np.uint64), ("id", np.int64), ("n", np.int32), ("sig", np.uint64)))
-    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")} | {"wide": _stream(rows.column("wide"), np.uint64).reshape(-1, 2 * WIDE // 64)}
+    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")}
     sigs = Signatures(sig, n, least)
     order = np.lexsort((ids, key))
     new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
@@ -485,32 +489,50 @@ def near_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
     return _dealt(rows.select("id", "n", "sig", "keys"), shards).applyInArrow(link, "a long, b long").distinct()
 
 
-def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wide: np.ndarray) -> None:
+class Wide:
+    """Large signatures of a shard's classes, one for each id; ``of`` is the row of each entry."""
+
+    def __init__(self, blobs: list[bytes], ids: np.ndarray) -> None:
+        cells: dict[int, bytes] = {}
+        for data in blobs:
+            at = 0
+            while at < len(data):
+                c, size = int.from_bytes(data[at : at + 8], "little", signed=True), int.from_bytes(data[at + 8 : at + 12], "little")
+                cells[c] = data[at + 12 : at + 12 + size]
+                at += 12 + size
+        known = np.array(sorted(cells), np.int64)
+        self.planes = tuple(np.zeros((len(known), WIDE // 64), np.uint64) for _ in range(2))
+        for i, c in enumerate(known.tolist()):
+            counts = np.bincount(np.frombuffer(cells.pop(c), np.uint16), minlength=WIDE)
+            for k, plane in enumerate(self.planes):
+                plane[i] = np.packbits((counts >> k & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+        self.of = np.searchsorted(known, ids)
+
+
+def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wide: Wide) -> None:
     """Sets weights to _NONE where wide signatures exclude a pair, and to their more exact count elsewhere."""
     where = np.nonzero(w < _NONE)
-    half = wide.shape[1] // 2
-    planes = wide[:, :half], wide[:, half:]
     i, j = (np.broadcast_to(v, w.shape)[where] for v in (x, y))
     n, m = sigs.n[i], sigs.n[j]
     limit = 2 * (np.maximum(n, m) * (1 - sigs.least) + 1e-9).astype(np.int32) - np.abs(n - m)
-    d = np.concatenate([np.zeros(0, np.int32), *(_apart(planes, i[a : a + 4096], planes, j[a : a + 4096]) for a in range(0, len(i), 4096))])
+    d = np.concatenate([np.zeros(0, np.int32), *(_apart(wide.planes, wide.of[i[a : a + 4096]], wide.planes, wide.of[j[a : a + 4096]]) for a in range(0, len(i), 4096))])
     w[where] = np.where(d <= limit, d, _NONE)
 
 
 def wide_signatures(words: DataFrame) -> DataFrame:
-    """id, wide: as ``signatures`` of sequences (id, words), but of ``WIDE`` cells each, so that few words meet in one."""
+    """id, wide: as ``signatures`` of sequences (id, words), but of ``WIDE`` cells each, so that few words meet in one; the cells of the words are listed, as there are fewer words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.column("words"):
                 word, many = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
-                counts, k = np.zeros(WIDE, np.int64), 0
+                cells, k = [np.zeros(0, np.uint16)], 0
                 while len(word):
-                    cell = (mix(word.astype(np.uint64) + _U(5) + _U(k) * _U(0xE7037ED1A0B428DB)) & _U(WIDE - 1)).astype(np.int64)
-                    counts += np.bincount(cell, np.minimum(many, 3), WIDE).astype(np.int64)
+                    cell = mix(word.astype(np.uint64) + _U(5 + k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)) & _U(WIDE - 1)
+                    cells.append(np.repeat(cell.astype(np.uint16), np.minimum(many, 3)))
                     word, many, k = word[many > 3], many[many > 3] - 3, k + 1
-                out.append(b"".join(np.packbits((counts >> p & 1).astype(np.uint8), bitorder="little").tobytes() for p in (0, 1)))
+                out.append(np.concatenate(cells).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "wide"])
 
     return words.select("id", "words").mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
@@ -525,7 +547,7 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
 
     def link(rows: pa.Table) -> pa.Table:
         sigs, ids, extra, buckets = _buckets(rows, least)
-        root, now = extra["root"], extra["now"]
+        root, now, wide = extra["root"], extra["now"], Wide(rows.column("wide").to_pylist(), ids)
         found, more = [np.zeros((0, 2), np.int64)], False
         for idx in buckets:
             size = idx.shape[1]
@@ -539,7 +561,7 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
                 safe = np.maximum(y, 0)
                 w = sigs.weight(x, safe)
                 w[(y < 0) | (root[x] == root[safe])] = _NONE
-                _narrowed(w, x, safe, sigs, extra["wide"])
+                _narrowed(w, x, safe, sigs, wide)
                 many = (w < _NONE).sum(1)
                 more |= bool((many > hi).any())
                 some = np.flatnonzero(many > lo)

@@ -174,7 +174,11 @@ def learn(samples: list[tuple[bytes, int]], seed: int = 7) -> Network | float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
-    """(whole text, label) of the sample: at most ``sample`` rows, of at most ``most`` bytes together, reach the driver."""
+    """(whole text, label) of the sample: at most ``sample`` rows, of at most ``most`` bytes together, reach the driver.
+
+    A text that doesn't fit any more is passed over, and those after it have their turn; texts of more
+    than a sixteenth of ``most`` come last, so that one of them never takes the room of many.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -187,7 +191,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most
     order = ["_hash", "doc_id", "quality", "_size", "_text"]
     sizes = joined.select(F.xxhash64("doc_id").alias("_hash"), "doc_id", "quality", F.octet_length("text").cast("long").alias("_size"), F.xxhash64("text").alias("_text"))
     sizes = sizes.orderBy(*order).limit(sample).toPandas()
-    fits = sizes[(sizes["_size"].cumsum() <= most)]
+    room, fit = most, []
+    for long in (False, True):
+        for i, size in enumerate(sizes["_size"].tolist()):
+            if (size > most // 16) == long and size <= room:
+                room -= size
+                fit.append(i)
+    fits = sizes.iloc[sorted(fit)]
     if not len(fits):
         return []
     wanted = docs.sparkSession.createDataFrame(fits[["doc_id", "_text"]].drop_duplicates())
