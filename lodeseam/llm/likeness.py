@@ -20,13 +20,15 @@ which like sequences share one (how surely, is the caller's choice of keys).
 4. ``like_components``: where a link fails that may have stood for others, the
    components which it would have joined are searched again: every member takes
    its most similar members of other components, then ever more of them, until
-   none is untried.  So the components are those of all pairs within buckets.
+   none is untried.  Large buckets, as of lines from one template, are split by their
+   members' rarest words first, so that pairs that share the template alone are not met.  So the components are those of all pairs within buckets.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ HOT, PART = 4096, 2048
 CELL_BITS, KEY_BITS = 24, 48
 #: Untried partners that a member takes in the first round of a repeated search, and by what that grows.
 FIRST, MORE = 4, 64
-#: Cells of the signatures that repeated searches use.
-WIDE = 4096
+#: Cells of the signatures that repeated searches use, and members of a bucket that these split first.
+WIDE, LARGE = 4096, 64
 _NONE = 1 << 30
 
 
@@ -56,7 +58,7 @@ def _table(rows: list[tuple], fields: list[pa.Field]) -> pa.Table:
 def _touched(sorted_place: np.ndarray) -> list[tuple[int, int, int]]:
     """(shard, from, to) of the shards that sorted places name: no others are looked at, however many there are."""
     at = np.flatnonzero(np.append(True, sorted_place[1:] != sorted_place[:-1])[: len(sorted_place)])
-    return list(zip(sorted_place[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_place)], strict=True))
+    return list(zip(sorted_place[at].tolist(), at.tolist(), np.append(at[1:], len(sorted_place))[: len(at)].tolist(), strict=True))
 
 
 # ---------------------------------------------------------------- signatures
@@ -418,15 +420,8 @@ def _dealt(rows: DataFrame, shards: int):
     return rows.where("octet_length(keys) > 0").mapInArrow(send, _KEYED_DDL).groupBy("shard")
 
 
-def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
-    """Signatures, ids and further columns of a shard's classes, and its buckets as index matrices of like sizes (-1: nothing)."""
-    key, ids, n, sig = (_stream(rows.column(c), t) for c, t in (("key", np.uint64), ("id", np.int64), ("n", np.int32), ("sig", np.uint64)))
-    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")}
-    sigs = Signatures(sig, n, least)
-    order = np.lexsort((ids, key))
-    new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(key)))
+def _matrices(order: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Groups order[at[i] : at[i] + count[i]] of two and more as index matrices of like sizes (-1: nothing)."""
     steps = [2]
     while steps[-1] < (count.max() if len(count) else 0):
         steps.append(max(steps[-1] + 1, steps[-1] * 9 // 8))
@@ -439,7 +434,19 @@ def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict
             column = np.arange(size)
             idx = order[np.minimum(at[r][:, None] + column, len(order) - 1)]
             out.append(np.where(column < count[r][:, None], idx, -1))
-    return sigs, ids, extra, out
+    return out
+
+
+def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
+    """Signatures, ids and further columns of a shard's classes, and its buckets as index matrices of like sizes (-1: nothing)."""
+    key, ids, n, sig = (_stream(rows.column(c), t) for c, t in (("key", np.uint64), ("id", np.int64), ("n", np.int32), ("sig", np.uint64)))
+    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")}
+    sigs = Signatures(sig, n, least)
+    order = np.lexsort((ids, key))
+    new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(key)))
+    return sigs, ids, extra, _matrices(order, at, count)
 
 
 def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -502,12 +509,37 @@ class Wide:
                 at += 12 + size
         known = np.array(sorted(cells), np.int64)
         self.planes = tuple(np.zeros((len(known), WIDE // 64), np.uint64) for _ in range(2))
-        for i, c in enumerate(known.tolist()):
-            counts = np.bincount(np.frombuffer(cells.pop(c), np.uint16), minlength=WIDE)
+        listed = [np.sort(np.frombuffer(cells[c], np.uint16)) for c in known.tolist()]
+        #: cells of every class in order, one after another, and where each begins
+        self.cells, self.first = np.concatenate([np.zeros(0, np.uint16), *listed]), np.cumsum([0, *map(len, listed)])
+        for i, own in enumerate(listed):
+            counts = np.bincount(own, minlength=WIDE)
             for k, plane in enumerate(self.planes):
                 plane[i] = np.packbits((counts >> k & 1).astype(np.uint8), bitorder="little").view(np.uint64)
         self.of = np.searchsorted(known, ids)
 
+    def finer(self, members: np.ndarray, least: float) -> list[np.ndarray]:
+        """Groups of a bucket's members that hold every pair which can be alike.
+
+        Like sequences of n and m words share all but a fifth of the longer one's (at 0.8), so that of the cells of
+        either, in order of their rarity in the bucket, the first fifth and one more hold one of the other's.
+        Repeats of a cell count as cells of their own.
+        """
+        row = self.of[members]
+        size = self.first[row + 1] - self.first[row]
+        owner = np.repeat(np.arange(len(members)), size)
+        cell = self.cells[ranges(self.first[row], size)].astype(np.int64)
+        new = np.append(True, (cell[1:] != cell[:-1]) | (owner[1:] != owner[:-1]))[: len(cell)]
+        run = np.flatnonzero(new)
+        cell = cell << 32 | (np.arange(len(cell)) - run[np.cumsum(new) - 1])
+        _, name, often = np.unique(cell, return_inverse=True, return_counts=True)
+        order = np.lexsort((name, often[name], owner))
+        rank = np.arange(len(order)) - (np.cumsum(size) - size)[owner]  # owners keep their places
+        kept = order[rank <= (size * (1 - least) + 1e-9).astype(np.int64)[owner]]
+        kept = kept[np.argsort(name[kept], kind="stable")]
+        at = np.flatnonzero(np.append(True, np.diff(name[kept]) != 0))[: len(kept)]
+        return _matrices(members[owner[kept]], at, np.diff(np.append(at, len(kept))))
+
 
 def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wide: Wide) -> None:
     """Sets weights to _NONE where wide signatures exclude a pair, and to their more exact count elsewhere."""
@@ -519,23 +551,24 @@ def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wid
     w[where] = np.where(d <= limit, d, _NONE)
 
 
-def wide_signatures(words: DataFrame) -> DataFrame:
-    """id, wide: as ``signatures`` of sequences (id, words), but of ``WIDE`` cells each, so that few words meet in one; the cells of the words are listed, as there are fewer words."""
+def wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, wide of sequences (id, words): the cells, of ``WIDE``, that their words are counted in, as ``signatures`` counts them."""
+    for batch in batches:
+        out = []
+        for x in batch.column("words"):
+            word, many = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
+            cells, k = [np.zeros(0, np.uint16)], 0
+            while len(word):
+                cell = mix(word.astype(np.uint64) + _U(5 + k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)) & _U(WIDE - 1)
+                cells.append(np.repeat(cell.astype(np.uint16), np.minimum(many, 3)))
+                word, many, k = word[many > 3], many[many > 3] - 3, k + 1
+            out.append(np.concatenate(cells).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "wide"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column("words"):
-                word, many = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
-                cells, k = [np.zeros(0, np.uint16)], 0
-                while len(word):
-                    cell = mix(word.astype(np.uint64) + _U(5 + k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)) & _U(WIDE - 1)
-                    cells.append(np.repeat(cell.astype(np.uint16), np.minimum(many, 3)))
-                    word, many, k = word[many > 3], many[many > 3] - 3, k + 1
-                out.append(np.concatenate(cells).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "wide"])
 
-    return words.select("id", "words").mapInArrow(run, "id long, wide binary").dropDuplicates(["id"])
+def wide_signatures(words: DataFrame) -> DataFrame:
+    """id, wide of sequences (id, words), each once: so many cells that few words meet in one."""
+    return words.select("id", "words").mapInArrow(wide_cells, "id long, wide binary").dropDuplicates(["id"])
 
 
 def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int) -> DataFrame:
@@ -549,7 +582,8 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
         sigs, ids, extra, buckets = _buckets(rows, least)
         root, now, wide = extra["root"], extra["now"], Wide(rows.column("wide").to_pylist(), ids)
         found, more = [np.zeros((0, 2), np.int64)], False
-        for idx in buckets:
+        small, large = [x for x in buckets if x.shape[1] <= LARGE], [x for x in buckets if x.shape[1] > LARGE]
+        for idx in chain(small, (part for x in large for bucket in x for part in wide.finer(bucket[bucket >= 0], least))):
             size = idx.shape[1]
             own = root[np.where(idx < 0, idx[:, :1], idx)]
             # a pair across components has an end outside the bucket's usual one, so that only such members need lists

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -162,6 +163,53 @@ def test_lines_in_large_buckets_lose_no_link(spark, monkeypatch, hot):
     assert got == brute_lines(rows)
 
 
+def templated(n, common, own, seed=1):
+    """Lines that share ``common`` words and have ``own`` words each."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    shared, out = [word() for _ in range(common)], []
+    for _ in range(n):
+        line = list(shared)
+        for _ in range(own):
+            line.insert(draw.randint(0, len(line)), word())
+        out.append(" ".join(line))
+    return out
+
+
+def test_templated_lines_stay_cheap(spark):
+    """Lines of one template, each as unlike the others as the threshold forbids, are neither lost nor compared all with all."""
+    texts = templated(4000, 15, 5)
+    texts += [texts[0], " ".join(["other", *texts[1].split()[1:]])]
+    docs = spark.createDataFrame([(i, "\n".join(texts[i * 10 : i * 10 + 10])) for i in range(401)], "doc_id long, text string")
+    began = time.time()
+    assert lines.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] == 2
+    assert time.time() - began < 150
+
+
+def test_split_buckets_hold_every_like_pair():
+    draw = np.random.default_rng(8)
+    many = []
+    for _ in range(150):
+        base = draw.integers(0, 40, int(draw.integers(4, 40)))
+        for _ in range(3):
+            other = base.copy()
+            other[draw.random(len(base)) < 0.12] = draw.integers(0, 40)
+            many.append(np.append(other, draw.integers(0, 40, int(draw.integers(0, 3)))).astype(np.uint32))
+    ids = np.arange(len(many), dtype=np.int64) * 7 - 50
+    blobs = []
+    for batch in (pa.record_batch([pa.array(ids), pa.array([m.tobytes() for m in many], pa.binary())], ["id", "words"]),):
+        for out in likeness.wide_cells(iter([batch])):
+            blobs += [int(i).to_bytes(8, "little", signed=True) + len(x).to_bytes(4, "little") + x for i, x in zip(out.column("id").to_pylist(), out.column("wide").to_pylist(), strict=True)]
+    wide = likeness.Wide(blobs, ids)
+    met = set()
+    for idx in wide.finer(np.arange(len(many)), 0.8):
+        for row in idx:
+            row = row[row >= 0].tolist()
+            met |= {(a, b) for a in row for b in row if a < b}
+    like = {(a, b) for a in range(len(many)) for b in range(a + 1, len(many)) if likeness.alignment_distance(many[a], many[b], most := int(max(len(many[a]), len(many[b])) * 0.2 + 1e-9)) <= most}
+    assert len(like) > 100 and like <= met and len(met) < len(many) ** 2 / 3
+
+
 def test_forests_span_what_signatures_allow():
     r = random.Random(5)
     texts = [" ".join(r.choice(["a", "b", "c", "d", "e", "f", "g", "h"]) + str(r.randrange(3)) for _ in range(n)) for n in (6, 6, 7, 30, 31, 100, 101, 500, 510) for _ in range(9)]
@@ -459,6 +507,24 @@ def thue_morse(n, flip):
     return s[:n] if not flip else "".join("b" if c == "a" else "a" for c in s[:n])
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 50, 100, 159, 161, 300])
+def test_short_documents_at_the_threshold_share_a_key(n):
+    draw = random.Random(n)
+    words = [f"w{i}" for i in range(4000)]
+    left, right = [], []
+    for _ in range(60):
+        x = draw.choices(words, k=n)
+        y = list(x)
+        for i in draw.sample(range(n), n // 5):
+            y[i] = "other" + draw.choice(words)
+        left.append(" ".join(x))
+        right.append(" ".join(y))
+    b = order_minhash.document_batch(pa.record_batch([pa.array(range(120)), pa.array(range(120)), pa.array(left + right)], ["doc_id", "row", "text"]))
+    at = np.cumsum([0, *b.many.astype(int)])
+    keys = [set(b.keys[lo:hi].tolist()) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+    assert np.mean([bool(keys[i] & keys[60 + i]) for i in range(60)]) >= 0.9
+
+
 def test_identities_do_not_collide_by_construction(spark):
     """Words and documents whose polynomial hashes modulo 2**64 would be equal, whatever the base."""
     sizes = (8, 9, 64, 300, 1024, 2048, 4096)
