@@ -47,6 +47,8 @@ CELL_BITS, KEY_BITS = 24, 48
 FIRST, MORE = 4, 64
 #: Cells of the signatures that repeated searches use, and members of a bucket that these split first.
 WIDE, LARGE = 4096, 64
+#: Sequences and keys that a task holds before it sends them.
+SENT = 1 << 20
 _NONE = 1 << 30
 
 
@@ -277,10 +279,10 @@ def _sketch_shape(keys: float, least_shards: int) -> tuple[int, int]:
     return bits, max(bits - CELL_BITS, min(bits, int(np.ceil(np.log2(max(1, least_shards))))))
 
 
-def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], list[Batch]], text_size: int, keys_per_byte: float) -> DataFrame:
+def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Batch]], text_size: int, keys_per_byte: float) -> DataFrame:
     """lost, id, n, sig, keys, doc_id, row, line, rep_doc, rep_row of every occurrence of a sequence.
 
-    ``read`` makes Batches of a record batch.  The first occurrence of each class is
+    ``read`` makes Batches of a record batch, one after another.  The first occurrence of each class is
     not lost and has its signature and those of its keys that other classes seem to
     share, with the number of parts to deal such a bucket into in the top 16 bits
     (no signature if there is none).  rep_doc and rep_row name the class's first row;
@@ -293,9 +295,16 @@ def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], list[Batch]], text
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            parts = read(whole)
-            if parts:
-                yield from _table(Batch.joined(parts).messages(shards), _SENT).to_batches()
+            held, size = [], 0
+            for part in read(whole):
+                held.append(part)
+                size += len(part.hi) + len(part.keys)
+                if size >= SENT:
+                    yield from _table(Batch.joined(held).messages(shards), _SENT).to_batches()
+                    held, size = [], 0
+            if held:
+                yield from _table(Batch.joined(held).messages(shards), _SENT).to_batches()
+            del held
             tidy()
 
     def cells_of(c: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -151,7 +151,7 @@ def _line_words(docs: DataFrame, places: DataFrame):
 def lost_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, row, lines: numbers, from 0, of the lines that each document loses. docs: doc_id, row, text."""
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = stored(classes(named, lambda whole: [line_batch(part, min_words) for part in slices(whole, "text")], text_bytes(named, "text"), 1 / 16), "lines")
+    rows = stored(classes(named, lambda whole: (line_batch(part, min_words) for part in slices(whole, "text", 1 << 20)), text_bytes(named, "text"), 1 / 16), "lines")
     first = rows.where("NOT lost")
     found = like_components(first.select("id", "n", "sig", "keys"), _line_words(named, first.select("id", "doc_id", "row", "line")), least)
     grouped = first.join(found.withColumnRenamed("node", "id"), "id").select("root", F.struct("doc_id", "row", "line").alias("at"))
@@ -173,7 +173,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = LEAS
     joined = docs.select(F.col("text").cast("string").alias("text"), F.struct(*own).alias("own"), "row").join(lost, (F.col("own.doc_id").cast("long") == F.col("_doc")) & (F.col("row") == F.col("_text")), "left").select("own", "text", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 19)):
             texts, total, removed = [], [], []
             for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 parts = text.split("\n") if text is not None else []

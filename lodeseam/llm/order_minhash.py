@@ -127,7 +127,7 @@ def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (least doc_id of the same words), group_id (least doc_id of the near-copy group), kept: one row per doc_id, and one for each null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
-    rows = stored(classes(named.where("text IS NOT NULL"), lambda whole: [document_batch(part) for part in slices(whole, "text", 1 << 19)], text_bytes(named, "text"), HASHES / 1500), "documents")
+    rows = stored(classes(named.where("text IS NOT NULL"), lambda whole: (document_batch(part) for part in slices(whole, "text", 1 << 19)), text_bytes(named, "text"), HASHES / 1500), "documents")
     first = rows.where("NOT lost")
     known = rows.where("id IS NOT NULL").select("doc_id", "row", "id", F.col("rep_doc").alias("class_id"))
     dropped = rows.where("id IS NULL").select("doc_id", "rep_doc", "rep_row")
