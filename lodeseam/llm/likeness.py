@@ -458,14 +458,14 @@ def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict
     return sigs, ids, extra, _matrices(order, at, count)
 
 
-def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a least spanning forest of each row's possible pairs, all rows at once (Prim's way)."""
+def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of a least spanning forest of each row's possible pairs, and their weights, all rows at once (Prim's way)."""
     b, s = idx.shape
     safe, done = np.maximum(idx, 0), idx < 0
     best, parent = np.full((b, s), _NONE, np.int32), np.zeros((b, s), np.int64)
     rows, now = np.arange(b), np.zeros(b, np.int64)
     columns = sigs.gathered(safe)
-    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    one, two, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for _ in range(s - 1):
         done[rows, now] = True
         w = sigs.weight(safe[rows, now][:, None], safe, ([c[rows, now][:, None] for c in columns], columns))
@@ -478,6 +478,7 @@ def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.n
         linked = np.flatnonzero(value < _NONE)
         one.append(safe[linked, now[linked]])
         two.append(safe[linked, parent[linked, now[linked]]])
+        weights.append(value[linked].astype(np.int32))
         going = value <= _NONE
         if not going.all():
             if not going.any():
@@ -486,23 +487,69 @@ def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.n
             safe, done, best, parent, now = (x[rows_left] for x in (safe, done, best, parent, now))
             columns = [c[rows_left] for c in columns]
             rows = np.arange(len(rows_left))
-    return np.concatenate(one), np.concatenate(two)
+    return np.concatenate(one), np.concatenate(two), np.concatenate(weights)
+
+
+def lightest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which links are a least spanning forest of all of them (Kruskal's way): as many as there are nodes, at most."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)].tolist(), ends[len(a) :].tolist()
+    root, kept = list(range(len(nodes))), []
+    for i in np.lexsort((b, a, w)).tolist():
+        p, q = x[i], y[i]
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def forest(links: DataFrame, piece: int = 1 << 18) -> DataFrame:
+    """(a, b) of links (a, b, w): of what buckets found, in pieces, a least spanning forest.
+
+    Copies share many buckets, each with links of its own; one forest stands for them all.  If one of its links fails,
+    the components that it would have joined are searched again, as those of any failed link.
+    """
+    links = cut(links)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, b, w = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b", "w"))
+            i = lightest(a, b, w)
+            return pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= piece:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return links.repartition(max(1, -(-links.count() // piece)), "a").mapInArrow(thin, "a long, b long")
 
 
 def near_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
-    """(a, b), a < b: a spanning forest of each bucket's possible pairs. rows: id, n, sig, keys."""
+    """(a, b, w), a < b: a spanning forest of each bucket's possible pairs, with what they are apart at least. rows: id, n, sig, keys."""
 
     def link(rows: pa.Table) -> pa.Table:
         sigs, ids, _, buckets = _buckets(rows, least)
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros((0, 3), np.int64)]
         for idx in buckets:
-            i, j = spanning_forest(sigs, idx)
-            found.append(np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
+            i, j, w = spanning_forest(sigs, idx)
+            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), w], 1))
+        links = np.concatenate(found)
+        links = links[lightest(*links.T)]
         tidy()
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+        return pa.table({"a": links[:, 0].copy(), "b": links[:, 1].copy(), "w": links[:, 2].astype(np.int32)})
 
-    return _dealt(rows.select("id", "n", "sig", "keys"), shards).applyInArrow(link, "a long, b long").distinct()
+    return _dealt(rows.select("id", "n", "sig", "keys"), shards).applyInArrow(link, "a long, b long, w int")
 
 
 class Wide:
@@ -839,7 +886,7 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
         n = pairs.count()
         return cut(aligned(pairs, n, fetch, least)) if n else pairs.withColumn("ok", F.lit(False))
 
-    seen = tried(near_links(rows, shards, least))
+    seen = tried(forest(near_links(rows, shards, least)))
     good = seen.where("ok").select("a", "b")
     if known is not None:
         good = good.unionByName(known)

@@ -218,7 +218,7 @@ def test_forests_span_what_signatures_allow():
     sigs = likeness.Signatures(likeness.signatures(ids, w.first), n, 0.8)
     idx = np.full((3, 40), -1)
     idx[0, :40], idx[1, :11], idx[2, :30] = np.arange(40), np.arange(40, 51), np.arange(51, 81)
-    i, j = likeness.spanning_forest(sigs, idx)
+    i, j, _ = likeness.spanning_forest(sigs, idx)
 
     def parts(pairs):
         root = list(range(len(texts)))
