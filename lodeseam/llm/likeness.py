@@ -507,7 +507,7 @@ def lightest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def forest(links: DataFrame, piece: int = 1 << 18) -> DataFrame:
+def forest(links: DataFrame, piece: int = 1 << 19) -> DataFrame:
     """(a, b) of links (a, b, w): of what buckets found, in pieces, a least spanning forest.
 
     Copies share many buckets, each with links of its own; one forest stands for them all.  If one of its links fails,
@@ -532,7 +532,7 @@ def forest(links: DataFrame, piece: int = 1 << 18) -> DataFrame:
         if held:
             yield flush()
 
-    return links.repartition(max(1, -(-links.count() // piece)), "a").mapInArrow(thin, "a long, b long")
+    return links.coalesce(max(1, -(-links.count() // piece))).mapInArrow(thin, "a long, b long")
 
 
 def near_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
