@@ -879,7 +879,7 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
     rows: id, n, sig, keys, written already.  ``fetch``: see ``aligned``.  known: links (a, b) that hold anyway.
     """
     entries = int(rows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-    shards = max(width(rows.sparkSession), -(-entries // (1 << 18)))
+    shards = max(1, -(-entries // (1 << 17)))  # as few as memory allows: every shard of a group of copies has a forest of it
 
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
