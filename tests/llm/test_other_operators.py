@@ -50,6 +50,16 @@ def naive_logits(p, texts):
     return np.array(out)
 
 
+def test_one_long_text_takes_no_other_from_the_sample(spark):
+    """A text beyond the sample's bytes, first by its hash, is passed over; one of over a sixteenth of them has its turn last."""
+    first = spark.range(200).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(2).collect()
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") == first[0].id, F.repeat(F.lit("x"), 5000)).when(F.col("id") == first[1].id, F.repeat(F.lit("y"), 400)).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    n = labels.where(~quality.held_out(F.col("doc_id"))).count()
+    assert {len(t) for t, _ in quality.training_rows(docs, labels, most=4000)} >= {400} and len(quality.training_rows(docs, labels, most=4000)) == n - 1
+    assert len(quality.training_rows(docs, labels, most=n * 8 + 100)) >= n - 2 and len(quality.training_rows(docs, labels, most=0)) == 0
+
+
 TEXTS = [prose(1, 90).encode(), b"", "é中🙂 kurz".encode(), prose(2, 20).encode() + b"\xff" * 300, prose(3, 23).encode()]
 
 
