@@ -281,7 +281,7 @@ class Engine:
         stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
         frequencies = self.store.table(f"frequencies/{self.generation}/{profile}", _FREQUENCIES).where(F.col("token").isin(terms)).groupBy("token").agg(F.sum("df").alias("df"))
         keyword = R.bm25_from_index(self._postings(profile), stats, frequencies, keys, terms)
-        vector = R.query_vector(self.embedder(profile), query, mode)
+        vector = R.query_vector(lambda texts: self.embedder(profile)(texts), query, mode)
         if mode is R.Mode.SEMANTIC:
             found = R.top(R.semantic(chunks, keys, "vector", vector), keys, n).where(F.col("score") >= threshold)
         elif vector is None:

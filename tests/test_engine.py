@@ -331,7 +331,7 @@ def test_migrations_are_backed_up(spark, engine, capsys):
     new = engine.store.read_json("manifest.json")
     assert "files" not in new and new["versions"]["canonical"] == 9 and new["versions"]["index"] == manifest["versions"]["index"] and new["migrations"][-1]["component"]
     [name] = engine.store.backups()
-    assert set(engine.store.read_json(f"backups/{name}/snapshot.json")["tables"]) == {"documents", "blobs"} and new["updated_at"]
+    assert set(engine.store.read_json(f"backups/{name}/snapshot.json")["tables"]) == {"documents", "blobs", "topics", "sketches"} and new["updated_at"]
     assert main(["backup", "mine"], engine) == 0 and main(["restore", "mine"], engine) == 0 and main(["compact"], engine) == 0 and main(["clean"], engine) == 0 and main(["drop-backup", "mine"], engine) == 0
     assert main(["backups"], engine) == 0 and name in capsys.readouterr().out and engine.documents().count() == 3
 
