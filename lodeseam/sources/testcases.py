@@ -56,7 +56,8 @@ class RestSource(DataSource):
         return StructType([StructField("path", StringType()), StructField("value", StringType())])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _RestReader(self.options)
+        # Spark refuses a reader that takes filters where the session doesn't push them
+        return _PushedReader(self.options) if self.options.get("pushed") == "true" else _RestReader(self.options)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _RestStream(self.options)
@@ -67,14 +68,6 @@ class _RestReader(DataSourceReader):
         self.base, self.token, self.paths = options["base"], options.get("token", ""), options["paths"].split(";")
         self.whole, self.lenient = options.get("whole") == "true", options.get("lenient") == "true"
 
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("path",) else set(f.value) if isinstance(f, In) and f.attribute == ("path",) else None
-            if wanted is None:
-                yield f
-            else:
-                self.paths = [p for p in self.paths if p in wanted]
-
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
@@ -89,6 +82,16 @@ class _RestReader(DataSourceReader):
                 raise
 
 
+class _PushedReader(_RestReader):
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("path",) else set(f.value) if isinstance(f, In) and f.attribute == ("path",) else None
+            if wanted is None:
+                yield f
+            else:
+                self.paths = [p for p in self.paths if p in wanted]
+
+
 class _Page(InputPartition):
     def __init__(self, path: str, first: int, count: int) -> None:
         super().__init__((path, first, count))
@@ -167,7 +170,8 @@ def stream_cases(spark: SparkSession, base: str, token: str, projects: list[str]
 
 def read_pages(spark: SparkSession, base: str, token: str, paths: list[str], whole: bool = False, lenient: bool = False) -> DataFrame:
     spark.dataSource.register(RestSource)
-    reader = spark.read.format("rest_pages").option("base", base).option("token", token).option("paths", ";".join(paths))
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("rest_pages").option("pushed", pushed).option("base", base).option("token", token).option("paths", ";".join(paths))
     return reader.option("whole", str(whole).lower()).option("lenient", str(lenient).lower()).load()
 
 
