@@ -11,7 +11,9 @@
    non-negative least squares finds how often to use each so that the slots
    used match the histogram.  Repeat counts are rounded down, which never uses
    more remainders than there are.
-4. Residuals.  Remainders without a slot are laid end to end in windows and cut
+4. Residuals.  What rounding leaves of the histogram is packed greedily, largest
+   slots first, as long as a window is filled but for ``SLACK`` grid steps.  Sizes
+   that nothing left can complete are laid end to end in windows and cut
    where a window ends, so that these windows have no padding at all.  The last
    one is split into sequences of powers of two, which need no padding either.
 5. Assignment.  A remainder's rank among those of its slot size picks its
@@ -19,7 +21,8 @@
    totals, so that no length is ever ranked in one task.
 
 What the driver holds is bounded by the grid: the histogram, the plan and the
-bucket totals (at most ``window / grid`` x ``BUCKETS`` numbers).
+bucket totals (at most ``window / grid`` numbers a bucket, of which there are
+``BUCKETS``, and one for every ``PER_BUCKET`` documents beyond).
 
 Odd input: null text: empty, and a document is then only the end id; null
 doc_id stays null; repeated rows are packed as often as they stand; an empty
@@ -40,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, Words, ranges, scratch, slices, table, width
 
 WINDOW, GRID, END_ID = 4096, 16, 2
-BUCKETS = 64
+BUCKETS, PER_BUCKET = 64, 1 << 22
+#: Grid steps of a window that greedy packing may leave empty.
+SLACK = 2
 #: Words that a worker remembers at once; a word that was forgotten is encoded again.
 REMEMBERED = 1_600_000
 _PUNCTUATION = b",.;:!?%$&*#()[]{}\"-/\\+=_~^`@"
@@ -222,15 +227,39 @@ def solve(combinations: np.ndarray, histogram: np.ndarray, rounds: int = 400) ->
     return counts
 
 
+def greedy(left: np.ndarray, whole: int, slack: int) -> list[tuple[np.ndarray, int]]:
+    """(times that a window takes each slot size, windows), largest slots first; slots that can't fill a window but for ``slack`` steps stay over.
+
+    A window repeats until one of its sizes runs short, so that the rounds depend on the grid and not on the histogram's counts.
+    """
+    left, out = left.copy(), []
+    left[0] = 0
+    while len(have := np.flatnonzero(left)):
+        need, room = np.zeros(len(left), np.int64), whole
+        for slot in have[::-1]:
+            need[slot] = min(int(left[slot]), room // int(slot))
+            room -= int(need[slot] * slot)
+        if room > slack:
+            left[have[-1]] = 0
+            continue
+        n = int((left[need > 0] // need[need > 0]).min())
+        left -= n * need
+        out.append((need, n))
+    return out
+
+
 def _places(histogram: np.ndarray, whole: int) -> tuple[dict[str, np.ndarray], int, np.ndarray]:
     """Runs of slots: (slot, rank of the first, count, sequence of the first, position in the combination), sequences used, slots used by size."""
     combos = fill(histogram, whole)
     counts = solve(combos, histogram)
+    used = np.bincount(combos.ravel(), weights=np.repeat(counts, 3), minlength=whole + 1).astype(np.int64)
+    windows = [(combo[combo > 0], n) for combo, n in zip(combos, counts, strict=True)]
+    windows += [(np.repeat(np.arange(whole + 1), need), n) for need, n in greedy(histogram - used, whole, min(SLACK, whole // 64))]
     rank = np.zeros(whole + 1, np.int64)
     rows, sequence = [], 0
-    for combo, n in zip(combos, counts, strict=True):
+    for combo, n in windows:
         if n:
-            mine = combo[combo > 0][::-1]
+            mine = combo[::-1]
             for place, slot in enumerate(mine):
                 rows.append((slot, rank[slot], n, sequence, place))
                 rank[slot] += n
@@ -246,17 +275,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, gr
     spark = docs.sparkSession
     tokens = tokenize(docs, tokenizer or default_tokenizer(), end_id)
     whole = window // grid
+    buckets = max(BUCKETS, tokens.count() // PER_BUCKET)
     rows = tokens.select(
         "row_no", (F.col("n_tokens") % window).alias("rest"), F.expr(f"n_tokens div {window}").alias("full"), F.ceil((F.col("n_tokens") % window) / F.lit(grid)).cast("int").alias("slot"),
-        F.pmod(F.xxhash64("row_no"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("row_no"), F.lit(buckets)).cast("int").alias("bucket"),
     )
     # totals by slot and bucket: the histogram, and where each bucket's ranks begin
     totals = rows.groupBy("slot", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toPandas()
     histogram = np.bincount(totals["slot"], weights=totals["n"], minlength=whole + 1).astype(np.int64)
     histogram[0] = 0
     runs, sequences, used = _places(histogram, whole)
-    counts = np.zeros((whole + 1, BUCKETS), np.int64)
-    fulls = np.zeros((whole + 1, BUCKETS), np.int64)
+    counts = np.zeros((whole + 1, buckets), np.int64)
+    fulls = np.zeros((whole + 1, buckets), np.int64)
     counts[totals["slot"], totals["bucket"]] = totals["n"]
     fulls[totals["slot"], totals["bucket"]] = totals["full"]
     before = np.cumsum(counts, 1) - counts
@@ -287,7 +317,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, gr
     inside = Window.partitionBy("sequence").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     slotted = placed.where("sequence >= 0").withColumn("at", F.coalesce(F.sum("rest").over(inside), F.lit(0)).cast("long"))
     # residuals, end to end: running totals within finer buckets, and of the buckets
-    fine = max(BUCKETS, 4 * width(spark))
+    fine = max(buckets, 4 * width(spark))
     loose = placed.where("sequence < 0").withColumn("bucket", F.pmod(F.xxhash64("row_no", F.lit(1)), F.lit(fine)))
     along = Window.partitionBy("bucket").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     loose = loose.withColumn("at", F.coalesce(F.sum("rest").over(along), F.lit(0)).cast("long"))

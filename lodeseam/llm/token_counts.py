@@ -1,8 +1,11 @@
 """Edit-aware token counts: segment trees of pre-tokens.
 
 A document is cut into leaves of whole pre-tokens, of about ``LEAF`` characters.
-A cut is safe before a single space between two letters or digits: no pre-token
-reaches across it, and what lies beyond can't change a pre-token on this side.
+A cut is safe where the two characters beside it alone make a boundary of pre-tokens:
+before white space that follows anything else, and where letters, numbers and other
+characters meet, but for an apostrophe before a letter.  No pre-token reaches across,
+and what lies beyond can't change one on this side.  So a leaf is long only where a
+single pre-token is (with white space before it), as in a script without spaces.
 A binary tree over the leaves holds the characters and tokens of every subtree.
 
 An edit (start, deleted, inserted; in characters of the text as it then is) finds
@@ -18,23 +21,31 @@ Odd input: null text: empty; an edit beyond the text is moved to its end, and it
 deletes at most what is there; null start: 0; null deleted: 0; null inserted:
 empty; null edits: none; edits of a document apply in order of seq, ties by
 (start, deleted, inserted); edits of unknown or null doc_ids have no effect; rows
-that repeat a doc_id are edited alike; a text without a safe cut is one leaf.
+that repeat a doc_id are edited alike; a single pre-token, however long, is one leaf.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
 
 LEAF = 384
-_SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+#: Places between two characters that no pre-token reaches across: of letters (L), numbers (N), white space (W) and others.
+_SAFE = regex.compile(
+    r"""(?V1)(?<=\P{White_Space})(?=\p{White_Space})
+    |(?<=\p{L})(?=[^\p{L}\p{White_Space}])
+    |(?<=\p{N})(?=[^\p{N}\p{White_Space}])
+    |(?<=[^\p{L}\p{N}\p{White_Space}'])(?=\p{L})
+    |(?<=[^\p{L}\p{N}\p{White_Space}])(?=\p{N})""",
+    regex.VERBOSE,
+)
 
 
 def default_ranks() -> str:
@@ -58,6 +69,11 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+def safe(left: str, right: str) -> bool:
+    """Whether a cut between two texts is safe; never at the end of an empty one."""
+    return bool(left and right) and _SAFE.match(left[-1] + right[0], 1) is not None
+
+
 def leaves(text: str) -> list[str]:
     out, at = [], 0
     while True:
@@ -133,9 +149,9 @@ class CountTree:
         first, offset = self._find(start)
         last, end = self._find(start + deleted) if deleted else (first, offset)
         region = self.parts[first][:offset] + inserted + self.parts[last][end:]
-        while (left := self._beside(first, -1)) is not None and not (region[:1] == " " and region[1:2].isalnum() and self.parts[left][-1].isalnum()):
+        while (left := self._beside(first, -1)) is not None and not safe(self.parts[left], region):
             first, region = left, self.parts[left] + region
-        while (right := self._beside(last, 1)) is not None and not (region[-1:].isalnum() and self.parts[right][:1] == " " and self.parts[right][1:2].isalnum()):
+        while (right := self._beside(last, 1)) is not None and not safe(region, self.parts[right]):
             last, region = right, region + self.parts[right]
         for i in range(first + 1, last + 1):
             if self.parts[i]:

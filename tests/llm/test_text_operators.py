@@ -419,6 +419,27 @@ def test_least_squares_never_overuses_a_slot():
     assert (used <= histogram).all() and used.sum() > 0.9 * histogram.sum()
 
 
+def test_greedy_windows_use_no_slot_twice_and_are_full():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        left = r.integers(0, r.choice([2, 5, 2000]), 65) * (r.random(65) < r.choice([0.05, 0.5, 1.0]))
+        windows = packing.greedy(left, 64, 1)
+        used = sum((need * n for need, n in windows), np.zeros(65, np.int64))
+        assert (used[1:] <= left[1:]).all() and used[0] == 0
+        assert all(n > 0 and 63 <= (need * np.arange(65)).sum() <= 64 for need, n in windows)
+        assert len(windows) < 65 * 12
+    # each size by itself: those that divide a window are packed, the others stay over
+    assert [int(n) for _, n in packing.greedy(np.bincount([32] * 9, minlength=65), 64, 0)] == [4]
+    assert packing.greedy(np.bincount([40] * 9, minlength=65), 64, 0) == []
+
+
+def test_few_documents_are_cut(spark):
+    docs = docs_of(spark, [(i, prose(i, 20 + i * 37 % 400)) for i in range(1500)])
+    pieces = packing.pack(docs, window=512, grid=4, with_ids=False)
+    whole = pieces.where("doc_tokens < 512").groupBy("doc_id").count()
+    assert whole.where("count > 1").count() < 0.05 * whole.count()
+
+
 # ---------------------------------------------------------------- 9: near duplicates
 
 
@@ -572,6 +593,33 @@ def test_trees_follow_edits():
             assert tree.text == text and tree.total == len(encode(text))
 
 
+def test_cuts_are_safe_between_any_two_characters():
+    encode = token_counts.encoding(token_counts.default_ranks()).encode_ordinary
+    r = random.Random(12)
+    letters = "aBé汉ー한'’s tmdlrev12½٣ \t\n\r\x0b\x1c\x85\xa0\u3000.,!?、。_-🙂́"
+    cuts = 0
+    for _ in range(6000):
+        text = "".join(r.choice(letters) for _ in range(r.randint(2, 14)))
+        at = r.randint(1, len(text) - 1)
+        if token_counts.safe(text[:at], text[at:]):
+            cuts += 1
+            assert encode(text) == encode(text[:at]) + encode(text[at:]), (text, at)
+    assert cuts > 2000
+
+
+@pytest.mark.parametrize("unit", ["汉字汉字，没有空格的文字。", "a_b-c.d(e)[f]", "don't\n", "1a2b3c4d", "x\t\t\ny"])
+def test_texts_without_spaces_have_small_leaves(unit):
+    encode = token_counts.encoding(token_counts.default_ranks()).encode_ordinary
+    text = unit * (200_000 // len(unit))
+    parts = token_counts.leaves(text)
+    assert "".join(parts) == text and max(map(len, parts)) <= token_counts.LEAF + 16
+    tree = token_counts.CountTree(parts, None, encode)
+    tree.encoded = 0
+    for start, deleted, inserted in [(0, 0, "字"), (100_000, 7, "x'"), (50_000, 3000, ""), (len(text), 0, " s")]:
+        tree.edit(start, deleted, inserted)
+    assert tree.total == len(encode(tree.text)) and tree.encoded < 16 * token_counts.LEAF
+
+
 def test_small_edits_encode_little_and_trees_are_kept(spark):
     encode = token_counts.encoding(token_counts.default_ranks()).encode_ordinary
     rows = [(1, prose(1, 4000)), (2, "short"), (3, None), (None, "x y")]
