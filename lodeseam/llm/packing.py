@@ -45,7 +45,7 @@ from .common import NOT_SPACE, Words, ranges, scratch, slices, table, width
 WINDOW, GRID, END_ID = 4096, 16, 2
 BUCKETS, PER_BUCKET = 64, 1 << 22
 #: Grid steps of a window that greedy packing may leave empty.
-SLACK = 2
+SLACK = 0
 #: Words that a worker remembers at once; a word that was forgotten is encoded again.
 REMEMBERED = 1_600_000
 _PUNCTUATION = b",.;:!?%$&*#()[]{}\"-/\\+=_~^`@"
