@@ -70,3 +70,12 @@ def test_near_stage_keeps_rows_without_an_id(spark):
     docs = odd_documents(spark)
     kept = corpus_pipeline.near_stage(spark, docs, SF)
     assert kept.where("doc_id IS NULL").count() == 2 and order_minhash.near_groups(docs).where("doc_id IS NULL").count() == 2
+
+
+def test_null_texts_stay_null_and_are_packed(spark):
+    docs = odd_documents(spark).where("text IS NULL")
+    n = docs.count()
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert n == out.count() == out.where("text IS NULL").count() > 0
+    assert [r.length for r in corpus_pipeline.packing_stage(spark, docs, SF).collect()] == [1] * n
