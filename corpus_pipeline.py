@@ -11,6 +11,11 @@ last return the columns of ``documents`` (doc_id, text, lang, source, n_chars).
 4. benchmark decontamination: documents that hold a benchmark window go.
 5. packing: the rest become sequences of at most 4096 tokens; one row per piece,
    with its token ids.
+
+Odd input: a null text has no words, goes only if the classifier rejects it, stays null
+up to packing, and is packed as its end id; a null doc_id is compared with none by stages
+2 and 3 and kept; ties and repeated rows: as each stage's operator states; an empty table
+gives no row; further columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -57,7 +62,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No SQL: a learned network, SimHash links and a tokenizer are beyond it; tests/llm has a brute-force version.
+#: No SQL: a learned network, links of like lines and documents, and a tokenizer are beyond it; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
