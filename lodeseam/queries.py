@@ -11,7 +11,7 @@ from .functions import analysis, chunking, diagrams
 from .functions import text as T
 from .functions.embedding import service
 from .functions.frontmatter import scalar_text
-from .operators import catalog, folders, ingest, reconcile
+from .operators import catalog, folders, ingest, nearest, reconcile
 from .operators import retrieval as R
 from .sources import testcases
 
@@ -665,21 +665,13 @@ def lookup_names(spark: SparkSession, sf: str) -> DataFrame:
 def _judged(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     """The k nearest of the vectors whose id is divisible by 100, with their relevance (the same label) and n_rel, all that are relevant.
 
-    The relevant are counted by label, not in pairs; and as the rank is the only
-    window, each task keeps its own k best of a query before anything is shuffled.
+    The relevant are counted by label, not in pairs; each shard of rows gives a query's k
+    best alone, so that no pair is ever a row.
     """
     e = _table(spark, sf, "embeddings")
-    counts = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n_rel"))
-    shards = max(1, -(-e.count() // 8192))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql")).join(counts, "ql", "left")
-    # blocks of queries visit every shard of rows: neither side grows in one place
-    blocks = q.groupBy(F.pmod(F.xxhash64("query"), F.ceil(F.lit(shards) / 2)).alias("blk")).agg(F.collect_list(F.struct("query", "qv", "ql", "n_rel")).alias("qs"))
-    visits = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "qs")
-    d = F.aggregate(F.zip_with("embedding", "q.qv", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    met = e.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")).join(visits.hint("shuffle_hash"), "shard").select("vec_id", "embedding", "label", F.explode("qs").alias("q")).where(F.col("vec_id") != F.col("q.query"))
-    pairs = met.select("q.query", "q.n_rel", "vec_id", (F.col("label") == F.col("q.ql")).cast("int").alias("rel"), d.alias("d"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    counts = e.groupBy(F.col("label").cast("long").alias("ql")).agg((F.count("*") - 1).alias("n_rel"))
+    found = nearest.nearest(e, F.col("vec_id") % 100 == 0, k).join(counts, "ql", "left")
+    return found.select("query", "n_rel", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), "d", "rank")
 
 
 _EVAL = "p AS (SELECT q.vec_id AS query, e.vec_id, CAST(e.label = q.label AS INT) AS rel, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS d FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), j AS (SELECT *, sum(rel) OVER (PARTITION BY query) AS n_rel, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM p QUALIFY rank <= 10)"
