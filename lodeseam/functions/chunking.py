@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces
+
 # --- fixed values -------------------------------------------------------------
 SIZE, OVERLAP = 3000, 200
 MOST = 16000
@@ -69,18 +71,35 @@ def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[in
     return out
 
 
+def chunk_array(texts: pa.Array, size: int = SIZE, overlap: int = OVERLAP) -> pa.Array:
+    """The chunks of each text as a list of structs; none of a null."""
+    first, found = [0], []
+    for text in texts:
+        if text.is_valid:
+            found += chunks(text.as_py(), size, overlap)
+        first.append(len(found))
+    start, end, part = zip(*found, strict=True) if found else ((), (), ())
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(part, pa.string())], ["start", "end", "text"]))
+
+
 def chunk_column(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """array<struct<start, end, text>> of each text's chunks."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
-    def split(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: [] if t is None else [dict(zip(("start", "end", "text"), c, strict=True)) for c in chunks(t, size, overlap)])
+    @F.arrow_udf("array<struct<start:int,end:int,text:string>>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in pieces(batch):
+                yield chunk_array(texts, size, overlap)
 
     return split(text)
 
 
 def chunk_documents(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """The rows of ``docs``, once per chunk, with chunk_ix, start, end and chunk_text."""
+    """The rows of ``docs``, once per chunk, with chunk_ix, start, end and chunk_text.
+
+    The outer form of the generator, as Catalyst would put a filter on the array's size
+    below the plain one, and cut every text a second time for it.
+    """
     parts = docs.withColumn("_chunks", chunk_column(F.col(text), size, overlap))
-    return parts.select(*docs.columns, F.posexplode("_chunks").alias("chunk_ix", "_c")).select(*docs.columns, "chunk_ix", F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), F.col("_c.text").alias("chunk_text"))
+    parts = parts.select(*docs.columns, F.posexplode_outer("_chunks").alias("chunk_ix", "_c")).where("chunk_ix IS NOT NULL")
+    return parts.select(*docs.columns, "chunk_ix", F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), F.col("_c.text").alias("chunk_text"))
