@@ -19,20 +19,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
 from . import retrieval as R
 
 #: Documents of a range, and length bands per doubling.
 SIZE, BANDS = 64, 4
 
 
-def block_index(index: DataFrame, lengths: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
+def row_words(rows: DataFrame, keys: list[str], text: str, analyse=R.tokens, terms: list[str] | None = None) -> DataFrame:
+    """keys, dl, words: the length of every row in tokens, and its tokens (of ``terms`` alone, if given). Whoever reads it more than once writes it."""
+    split = rows.select(*keys, analyse(F.col(text)).alias("_w"))
+    held = F.col("_w") if terms is None else F.filter("_w", lambda t: t.isin(terms))
+    return split.select(*keys, F.size("_w").alias("dl"), held.alias("words"))
+
+
+def block_index(words: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
     """token, range, max_tf, min_dl, n, postings (keys, tf, dl), in the order of tokens and ranges.
 
-    index: keys, token, tf, dl; lengths: keys, dl of every row.  The counts of bands, which the
-    driver collects, are at most some BANDS * 64.
+    words: keys, dl, words of every row (``row_words``), written already.  Rows are shuffled once, by their
+    range: counts of tokens and their blocks need no other exchange, as each row lies whole in its range.
+    The counts of bands, which the driver collects, are at most some BANDS * 64.
     """
     band = F.when(F.col("dl") > 0, F.floor(F.log2("dl") * BANDS)).otherwise(-1).cast("int")
-    counts = {r.band: r.n for r in lengths.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
+    counts = {r.band: r.n for r in words.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
     first, parts, at = {}, {}, 0
     for b in sorted(counts):
         first[b], parts[b] = at, max(1, math.ceil(counts[b] / size))
@@ -41,8 +50,21 @@ def block_index(index: DataFrame, lengths: DataFrame, keys: list[str], size: int
         first, parts = {0: 0}, {0: 1}
     look = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))[band]
     place = (look(first) + F.pmod(F.xxhash64(*keys), look(parts)).cast("int")).alias("range")
-    blocks = index.groupBy("token", place).agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.collect_list(F.struct(*keys, "tf", "dl")).alias("postings"))
-    return blocks.repartitionByRange("token", "range").sortWithinPartitions("token", "range")
+    dealt = words.where(F.size("words") > 0).select(*keys, "dl", "words", place).repartition("range")
+    counted = dealt.select("range", *keys, "dl", F.explode("words").alias("token")).groupBy("range", *keys, "dl", "token").agg(F.count("*").alias("tf"))
+    blocks = counted.groupBy("token", "range").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.collect_list(F.struct(*keys, "tf", "dl")).alias("postings"))
+    # the bounds of a range partitioning are sampled from its input, which would be aggregated twice if it weren't written
+    return written(blocks, "unsorted").repartitionByRange("token", "range").sortWithinPartitions("token", "range")
+
+
+def corpus(words: DataFrame) -> DataFrame:
+    """n, avgdl: one row, of what ``row_words`` counted."""
+    return words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def frequencies_of(blocks: DataFrame) -> DataFrame:
+    """token, df; postings are not read."""
+    return blocks.groupBy("token").agg(F.sum("n").alias("df"))
 
 
 def _weighted(blocks: DataFrame, stats: DataFrame, frequencies: DataFrame, terms: list[str]) -> DataFrame:
