@@ -18,9 +18,10 @@ which like sequences share one (how surely, is the caller's choice of keys).
 3. ``aligned``: the linked sequences' words meet in blocks of pairs and are aligned in
    a band around the diagonal, many pairs at once.
 4. ``like_components``: where a link fails that may have stood for others, the
-   components which it would have joined are searched again: every member takes
-   its most similar members of other components, then ever more of them, until
-   none is untried.  Large buckets, as of lines from one template, are split by their
+   components which it would have joined are searched again, once: their members meet
+   in their buckets with all their words, and pairs of components that are still apart are
+   aligned there, the most similar first, until none is untried.  What an alignment joins
+   needs no other, and only links that join are sent on.  Large buckets, as of lines from one template, are split by their
    members' rarest words first, so that pairs that share the template alone are not met.  So the components are those of all pairs within buckets.
 """
 
@@ -43,8 +44,8 @@ _U = np.uint64
 HOT, PART = 4096, 2048
 #: log2 of the cells of a shard of the key sketch; key bits that buckets are told apart by.
 CELL_BITS, KEY_BITS = 24, 48
-#: Untried partners that a member takes in the first round of a repeated search, and by what that grows.
-FIRST, MORE = 4, 64
+#: Pairs that a repeated search aligns at once at first, by what that grows, and at most.
+FIRST, MORE, MOST = 4, 64, 4096
 #: Cells of the signatures that repeated searches use, and members of a bucket that these split first.
 WIDE, LARGE = 4096, 64
 #: Sequences and keys that a task holds before it sends them.
@@ -386,12 +387,12 @@ def classes(docs: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Batch]],
 
 # ---------------------------------------------------------------- links within buckets
 
-_KEYED = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("key", "id", "n", "sig", "root", "now", "wide"))]
-_KEYED_DDL = "shard int, key binary, id binary, n binary, sig binary, root binary, now binary, wide binary"
+_KEYED = [pa.field("shard", pa.int32()), *(pa.field(c, pa.binary()) for c in ("key", "id", "n", "sig", "root", "words"))]
+_KEYED_DDL = "shard int, key binary, id binary, n binary, sig binary, root binary, words binary"
 
 
 def _dealt(rows: DataFrame, shards: int):
-    """Classes (id, n, sig, keys and perhaps root, now, wide), packed, once for each key or cell of a hot one, grouped by shard."""
+    """Classes (id, n, sig, keys and perhaps root, words), packed, once for each key or cell of a hot one, grouped by shard."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
@@ -415,15 +416,15 @@ def _dealt(rows: DataFrame, shards: int):
             owner, keys = owner[order], keys[order]
             size = sig_words(n)
             s_at = np.cumsum(size) - size
-            wide = batch.column("wide").to_pylist() if "wide" in batch.schema.names else None
-            ends = [batch.column("root").to_numpy(), batch.column("now").to_numpy()] if wide else []
+            words = [len(k).to_bytes(4, "little") + k + w for k, w in zip(batch.column("keys").to_pylist(), batch.column("words").to_pylist(), strict=True)] if "words" in batch.schema.names else None
+            root = batch.column("root").to_numpy() if words else None
             out = []
             for s, a, b in touched:
                 i = owner[a:b]
-                # a class's large signature goes to a shard once, whatever the number of its keys there
-                once = zip(*np.unique(ids[i], return_index=True), strict=True) if wide else ()
-                large = b"".join(int(c).to_bytes(8, "little", signed=True) + len(wide[i[k]]).to_bytes(4, "little") + wide[i[k]] for c, k in once)
-                out.append((s, keys[a:b].tobytes(), ids[i].tobytes(), n[i].astype(np.int32).tobytes(), sig[ranges(s_at[i], size[i])].tobytes(), *(x[i].tobytes() for x in ends), *[b""] * (2 - len(ends)), large))
+                # a class's keys and words go to a shard once, whatever the number of its keys there
+                once = zip(*np.unique(ids[i], return_index=True), strict=True) if words else ()
+                large = b"".join(int(c).to_bytes(8, "little", signed=True) + len(words[i[k]]).to_bytes(4, "little") + words[i[k]] for c, k in once)
+                out.append((s, keys[a:b].tobytes(), ids[i].tobytes(), n[i].astype(np.int32).tobytes(), sig[ranges(s_at[i], size[i])].tobytes(), root[i].tobytes() if words else b"", large))
             yield from _table(out, _KEYED).to_batches()
 
     return rows.where("octet_length(keys) > 0").mapInArrow(send, _KEYED_DDL).groupBy("shard")
@@ -446,16 +447,16 @@ def _matrices(order: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[np.n
     return out
 
 
-def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
-    """Signatures, ids and further columns of a shard's classes, and its buckets as index matrices of like sizes (-1: nothing)."""
+def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Signatures, ids and components (if sent) of a shard's classes, and its buckets as index matrices of like sizes (-1: nothing)."""
     key, ids, n, sig = (_stream(rows.column(c), t) for c, t in (("key", np.uint64), ("id", np.int64), ("n", np.int32), ("sig", np.uint64)))
-    extra = {c: _stream(rows.column(c), np.int64) for c in ("root", "now")}
+    root = _stream(rows.column("root"), np.int64)
     sigs = Signatures(sig, n, least)
     order = np.lexsort((ids, key))
     new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(key)))
-    return sigs, ids, extra, _matrices(order, at, count)
+    return sigs, ids, root, _matrices(order, at, count)
 
 
 def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -552,17 +553,23 @@ def near_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
     return _dealt(rows.select("id", "n", "sig", "keys"), shards).applyInArrow(link, "a long, b long, w int")
 
 
+def _unpacked(blobs: list[bytes]) -> dict[int, bytes]:
+    """What was sent once of each id: 8 bytes of it, 4 of a length, and so many bytes."""
+    out: dict[int, bytes] = {}
+    for data in blobs:
+        at = 0
+        while at < len(data):
+            c, size = int.from_bytes(data[at : at + 8], "little", signed=True), int.from_bytes(data[at + 8 : at + 12], "little")
+            out[c] = data[at + 12 : at + 12 + size]
+            at += 12 + size
+    return out
+
+
 class Wide:
     """Large signatures of a shard's classes, one for each id; ``of`` is the row of each entry."""
 
-    def __init__(self, blobs: list[bytes], ids: np.ndarray) -> None:
-        cells: dict[int, bytes] = {}
-        for data in blobs:
-            at = 0
-            while at < len(data):
-                c, size = int.from_bytes(data[at : at + 8], "little", signed=True), int.from_bytes(data[at + 8 : at + 12], "little")
-                cells[c] = data[at + 12 : at + 12 + size]
-                at += 12 + size
+    def __init__(self, blobs: list[bytes] | dict[int, bytes], ids: np.ndarray) -> None:
+        cells = blobs if isinstance(blobs, dict) else _unpacked(blobs)
         known = np.array(sorted(cells), np.int64)
         self.planes = tuple(np.zeros((len(known), WIDE // 64), np.uint64) for _ in range(2))
         listed = [np.sort(np.frombuffer(cells[c], np.uint16)) for c in known.tolist()]
@@ -607,41 +614,112 @@ def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wid
     w[where] = np.where(d <= limit, d, _NONE)
 
 
-def wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, wide of sequences (id, words): the cells, of ``WIDE``, that their words are counted in, as ``signatures`` counts them."""
-    for batch in batches:
-        out = []
-        for x in batch.column("words"):
-            word, many = np.unique(np.frombuffer(x.as_py(), np.uint32), return_counts=True)
-            cells, k = [np.zeros(0, np.uint16)], 0
-            while len(word):
-                cell = mix(word.astype(np.uint64) + _U(5 + k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)) & _U(WIDE - 1)
-                cells.append(np.repeat(cell.astype(np.uint16), np.minimum(many, 3)))
-                word, many, k = word[many > 3], many[many > 3] - 3, k + 1
-            out.append(np.concatenate(cells).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "wide"])
+def cells_of_words(words: bytes) -> bytes:
+    """The cells, of ``WIDE``, that packed words are counted in, as ``signatures`` counts them."""
+    word, many = np.unique(np.frombuffer(words, np.uint32), return_counts=True)
+    cells, k = [np.zeros(0, np.uint16)], 0
+    while len(word):
+        cell = mix(word.astype(np.uint64) + _U(5 + k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)) & _U(WIDE - 1)
+        cells.append(np.repeat(cell.astype(np.uint16), np.minimum(many, 3)))
+        word, many, k = word[many > 3], many[many > 3] - 3, k + 1
+    return np.concatenate(cells).tobytes()
 
 
-def wide_signatures(words: DataFrame) -> DataFrame:
-    """id, wide of sequences (id, words), each once: so many cells that few words meet in one."""
-    return words.select("id", "words").mapInArrow(wide_cells, "id long, wide binary").dropDuplicates(["id"])
+def wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, wide of sequences (id, words): so many cells that few words meet in one."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([cells_of_words(x.as_py()) for x in batch.column("words")], pa.binary())], ["id", "wide"])
+
+
+class Joined:
+    """Components of a shard's classes while links are found."""
+
+    def __init__(self, root: np.ndarray) -> None:
+        known, self.of = np.unique(root, return_inverse=True)
+        self.top = np.arange(len(known))
+
+    def label(self, i: np.ndarray) -> np.ndarray:
+        return self.top[self.of[i]]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the links join what was apart, one after another."""
+        new = np.zeros(len(i), bool)
+        root = self.top.tolist()
+        for k, (p, q) in enumerate(zip(self.label(i).tolist(), self.label(j).tolist(), strict=True)):
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[max(p, q)], new[k] = min(p, q), True
+        self.top = np.array(root, np.int64)
+        while (self.top != (higher := self.top[self.top])).any():
+            self.top = higher
+        return new
+
+
+class Turn:
+    """Of the keys that a pair shares, which one's bucket is to align it: a hash of the pair says, so that each pair has one turn."""
+
+    def __init__(self, members: np.ndarray, own: int, keys: dict[int, np.ndarray], ids: np.ndarray) -> None:
+        self.ids, self.members = ids, np.sort(members)
+        many = np.array([len(keys[i]) for i in self.members])
+        known, column, often = np.unique(np.concatenate([keys[i] for i in self.members]), return_inverse=True, return_counts=True)
+        #: a cell of a hot bucket is no key of its members, and aligns all that it holds
+        self.whole = own not in known
+        shared = often > 1
+        place = np.cumsum(shared) - 1
+        size = -(-max(1, int(shared.sum())) // 64) * 64
+        bits = np.zeros((len(members), size), np.uint8)
+        kept = shared[column]
+        bits[np.repeat(np.arange(len(members)), many)[kept], place[column[kept]]] = 1
+        self.bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        less = np.zeros((1, size), np.uint8)
+        less[0, : int((shared & (known < _U(own))).sum())] = 1
+        self.less = np.packbits(less, axis=1, bitorder="little").view(np.uint64)
+
+    def here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of entries have their turn."""
+        out = np.ones(len(i), bool)
+        for a in range(0, 0 if self.whole else len(i), 1 << 16):
+            x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+            both = self.bits[np.searchsorted(self.members, x)] & self.bits[np.searchsorted(self.members, y)]
+            shared, less = (np.bitwise_count(v).sum(1, dtype=np.uint64) for v in (both, both & self.less))
+            one, two = self.ids[x], self.ids[y]
+            number = mix(mix(np.minimum(one, two).view(np.uint64)) + np.maximum(one, two).view(np.uint64))
+            out[a : a + (1 << 16)] = number % shared == less
+        return out
 
 
-def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int) -> DataFrame:
-    """(a, b), a < b: of each member's possible partners in other components, by similarity, those from rank lo to hi whose components are still apart.
+def untried_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
+    """(a, b), a < b: like pairs of members of different components, as many as join all components that a bucket's like pairs join.
 
-    rows: id, n, sig, keys, root (the component that ranks are counted by), now, wide.  A row
-    of nulls says that some member has more than ``hi``.
+    rows: id, n, sig, keys, root (the component), words (packed uint32).  Every possible pair of a bucket whose ends are
+    still apart is aligned, the most similar first; of large buckets that share it, by one (``Turn``).
     """
 
     def link(rows: pa.Table) -> pa.Table:
-        sigs, ids, extra, buckets = _buckets(rows, least)
-        root, now, wide = extra["root"], extra["now"], Wide(rows.column("wide").to_pylist(), ids)
-        found, more = [np.zeros((0, 2), np.int64)], False
+        sigs, ids, root, buckets = _buckets(rows, least)
+        key, words = _stream(rows.column("key"), np.uint64), _unpacked(rows.column("words").to_pylist())
+        split = {c: 4 + int.from_bytes(x[:4], "little") for c, x in words.items()}
+        keys_of = [np.frombuffer(words[c][4 : split[c]], np.uint64) & _U((1 << KEY_BITS) - 1) for c in sorted(words)]
+        words = {c: x[split[c] :] for c, x in words.items()}
+        wide, joined = Wide({c: cells_of_words(x) for c, x in words.items()}, ids), Joined(root)
+        sequence = [np.frombuffer(words[c], np.uint32) for c in sorted(words)]
+        classes_, found, tried = len(sequence), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
+        entry = np.zeros(classes_, np.int64)
+        entry[wide.of] = np.arange(len(ids))  # one of the entries of each class
         small, large = [x for x in buckets if x.shape[1] <= LARGE], [x for x in buckets if x.shape[1] > LARGE]
-        for idx in chain(small, (part for x in large for bucket in x for part in wide.finer(bucket[bucket >= 0], least))):
+
+        def finer() -> Iterator[tuple[np.ndarray, Turn]]:
+            for bucket in (row[row >= 0] for x in large for row in x):
+                own_keys = dict(zip(bucket.tolist(), (keys_of[c] for c in wide.of[bucket].tolist()), strict=True))
+                turn = Turn(bucket, int(key[bucket[0]]), own_keys, ids)
+                yield from ((part, turn) for part in wide.finer(bucket, least))
+
+        for idx, turn in chain(((x, None) for x in small), finer()):
             size = idx.shape[1]
-            own = root[np.where(idx < 0, idx[:, :1], idx)]
+            own = joined.label(np.where(idx < 0, idx[:, :1], idx))
             # a pair across components has an end outside the bucket's usual one, so that only such members need lists
             usual = np.sort(own, 1)[:, size // 2]
             bucket, place = np.nonzero((own != usual[:, None]) & (idx >= 0))
@@ -650,23 +728,35 @@ def untried_links(rows: DataFrame, shards: int, least: float, lo: int, hi: int)
                 x, y = idx[bucket[at : at + step], place[at : at + step]][:, None], idx[bucket[at : at + step]]
                 safe = np.maximum(y, 0)
                 w = sigs.weight(x, safe)
-                w[(y < 0) | (root[x] == root[safe])] = _NONE
+                w[(y < 0) | (joined.label(x) == joined.label(safe))] = _NONE
                 _narrowed(w, x, safe, sigs, wide)
-                many = (w < _NONE).sum(1)
-                more |= bool((many > hi).any())
-                some = np.flatnonzero(many > lo)
-                nearest = np.argsort(w[some], 1, kind="stable")[:, lo:hi]
-                y = np.take_along_axis(safe[some], nearest, 1)
-                x = np.broadcast_to(x[some], y.shape)
-                good = (np.take_along_axis(w[some], nearest, 1) < _NONE) & (now[x] != now[y])
-                i, j = x[good], y[good]
-                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        none = [None] * more
+                where = np.nonzero(w < _NONE)
+                i, j = (np.broadcast_to(v, w.shape)[where] for v in (x, safe))
+                if turn:
+                    mine = turn.here(i, j)
+                    i, j, where = i[mine], j[mine], tuple(v[mine] for v in where)
+                i, j = wide.of[i], wide.of[j]
+                pair, once = np.unique(np.minimum(i, j) * classes_ + np.maximum(i, j), return_index=True)
+                fresh = ~np.isin(pair, tried)
+                pair, weight = pair[fresh], w[where][once][fresh]
+                pair, lo, many = pair[np.argsort(weight, kind="stable")], 0, FIRST
+                while lo < len(pair):
+                    i, j = np.divmod(pair[lo : lo + many], classes_)
+                    lo, many = lo + many, min(MOST, many * MORE)
+                    apart = joined.label(entry[i]) != joined.label(entry[j])
+                    i, j = i[apart], j[apart]
+                    both = [(sequence[p], sequence[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+                    ok = within(both, np.array([int(max(len(p), len(q)) * (1 - least) + 1e-9) for p, q in both]))
+                    tried = np.append(tried, i[~ok] * classes_ + j[~ok])
+                    i, j = i[ok], j[ok]
+                    new = joined.join(entry[i], entry[j])
+                    ends = ids[entry[i[new]]], ids[entry[j[new]]]
+                    found.append(np.stack([np.minimum(*ends), np.maximum(*ends)], 1))
+        pairs = np.concatenate(found)
         tidy()
-        return pa.table({"a": pa.array(pairs[:, 0].tolist() + none, pa.int64()), "b": pa.array(pairs[:, 1].tolist() + none, pa.int64())})
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
-    return _dealt(rows.select("id", "n", "sig", "keys", "root", "now", "wide"), shards).applyInArrow(link, "a long, b long").distinct()
+    return _dealt(rows.select("id", "n", "sig", "keys", "root", "words"), shards).applyInArrow(link, "a long, b long")
 
 
 # ---------------------------------------------------------------- alignment
@@ -897,22 +987,11 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
     rooted = rows.where("octet_length(keys) > 0").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", "keys", F.coalesce("root", "id").alias("root"))
     ends = bad.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     doubtful = cut(rooted.join(rooted.join(ends, "id").select("root").distinct(), "root", "left_semi"))
-    # near the threshold, the small signatures let most pairs pass; these few classes get larger ones
+    # in a bucket of these few classes, pairs are aligned where they meet
     n = doubtful.count()
     few_each = F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4000))).cast("int").alias("block")
-    doubtful = stored(doubtful.join(wide_signatures(fetch(doubtful.select("id", few_each), n)), "id"), "doubtful")
+    words = fetch(doubtful.select("id", few_each), n).select("id", "words").dropDuplicates(["id"])
+    doubtful = stored(doubtful.join(words, "id"), "doubtful")
     entries = int(doubtful.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
     shards = max(width(rows.sparkSession), -(-entries // (1 << 15)))
-    now, lo, hi = found, 0, FIRST
-    while True:
-        state = doubtful.join(now.select(F.col("node").alias("id"), F.col("root").alias("_now")), "id", "left").withColumn("now", F.coalesce("_now", "id"))
-        links = cut(untried_links(state, shards, least, lo, hi))
-        pairs = links.where("a IS NOT NULL").join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        judged = tried(pairs)
-        more = judged.where("ok").select("a", "b")
-        if more.limit(1).count():
-            good = good.unionByName(more)
-            now = components(good)
-        if not links.where("a IS NULL").limit(1).count():
-            return now
-        seen, lo, hi = seen.unionByName(judged.select("a", "b", "ok")), hi, hi * MORE
+    return components(good.unionByName(untried_links(doubtful, shards, least)))
