@@ -29,11 +29,8 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first())
 
 
-def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, the least node of each one's component) of the edges."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    root = np.arange(len(nodes))
+def joined_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least node of each one's component, where ``root`` has those of the components before edges (x, y)."""
     while len(x):
         # each tree's root goes below the least root across an edge, then all paths are shortened
         one, two = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
@@ -42,6 +39,14 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(root, two[apart], one[apart])
         while (root != (higher := root[root])).any():
             root = higher
+    return root
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's component) of the edges."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = joined_roots(np.arange(len(nodes)), x, y)
     return nodes, nodes[root]
 
 

@@ -12,8 +12,9 @@ which like sequences share one (how surely, is the caller's choice of keys).
 2. ``near_links``: classes are dealt by shared key.  Within a bucket, pairs are
    judged by what can't exclude like sequences: lengths, and counts of words in
    hashed cells, of which an edit moves two at most.  Of the pairs that remain
-   only a least spanning forest, the most similar first, is sent on, so that the
-   output is linear in a bucket's classes.  A bucket of more than ``HOT`` classes is
+   only a spanning forest, the most similar first, is sent on, so that the
+   output is linear in a bucket's classes; crowds of near copies are linked to a pivot
+   and not compared with each other.  A bucket of more than ``HOT`` classes is
    dealt into cells, each of which holds two of its parts, so that no task holds it.
 3. ``aligned``: the linked sequences' words meet in blocks of pairs and are aligned in
    a band around the diagonal, many pairs at once.
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, pack_sorted, ranges, scratch, tidy, unpack_sorted, width
-from .components import components
+from .components import components, joined_roots
 
 _U = np.uint64
 #: Classes of a bucket that one task compares with each other, and classes of a part of a larger one.
@@ -48,6 +49,10 @@ CELL_BITS, KEY_BITS = 24, 48
 FIRST, MORE, MOST = 4, 64, 4096
 #: Cells of the signatures that repeated searches use, and members of a bucket that these split first.
 WIDE, LARGE = 4096, 64
+#: Pivots that a bucket of more than ``LARGE`` is tried with at once, least members of a crowd around one, and members that others are compared with for a closer link.
+PIVOTS, CROWD, NEARBY = 16, 16, 64
+#: Shards that few keys are dealt into at most: a crowd that shares many keys has links in each of them.
+SHARDS = 64
 #: Sequences and keys that a task holds before it sends them.
 SENT = 1 << 20
 _NONE = 1 << 30
@@ -156,6 +161,19 @@ class Signatures:
         """What a first look at sequences needs, for ``weight``."""
         return [self.n[idx], self.narrow[0][idx, 0], self.narrow[1][idx, 0]]
 
+    def limit(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """What like sequences of n and m words are apart at most; negative if none can be alike."""
+        edits, longer = (np.maximum(n, m) * (1 - self.least) + 1e-9).astype(np.int32), np.abs(n - m)
+        return np.where(longer <= edits, 2 * edits - longer, np.int32(-1))
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What sequences are apart at least, however far that is: a metric among those whose finest shared signatures have one size."""
+        out = _apart(self.narrow, a, self.narrow, b)
+        for tier, planes, shift in ((1, self.mid, 0), (2, self.full, self.first_full)):
+            both = np.flatnonzero((self.tier[a] >= tier) & (self.tier[b] >= tier))
+            out[both] = _apart(planes, self.row[a[both]] - shift, planes, self.row[b[both]] - shift)
+        return out
+
     def weight(self, a: np.ndarray, b: np.ndarray, seen: tuple[list, list] | None = None) -> np.ndarray:
         """Words that one has and the other lacks, at least, and the same the other way; _NONE where the pair can't be alike. a and b are index arrays that broadcast.
 
@@ -163,8 +181,7 @@ class Signatures:
         the difference in length are at most twice the edits.
         """
         (n, low_a, high_a), (m, low_b, high_b) = seen or (self.gathered(a), self.gathered(b))
-        longer = np.maximum(n, m)
-        limit = 2 * (longer * (1 - self.least) + 1e-9).astype(np.int32) - np.abs(n - m)
+        limit = self.limit(n, m)
         odd = low_a ^ low_b
         out = np.bitwise_count(odd) + 2 * np.bitwise_count((high_a ^ high_b) & ~odd)
         possible = out <= limit
@@ -459,53 +476,115 @@ def _buckets(rows: pa.Table, least: float) -> tuple[Signatures, np.ndarray, np.n
     return sigs, ids, root, _matrices(order, at, count)
 
 
+def _around_pivots(sigs: Signatures, b: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Links that stand for all possible pairs of the crowds in a bucket, and which members are in no crowd: their pairs among themselves are left.
+
+    A crowd is a pivot and what is so near to it that they are alike, most likely; its members are linked to the
+    pivot and not compared.  Others are compared with a crowd until they have such a link, or one of any kind and
+    ``NEARBY`` members are tried.  What is too far from the pivot is too far from all of the crowd.
+    """
+    rest, found, crowds, n = np.arange(len(b)), [], [], sigs.n[b]
+    while len(rest) > LARGE:
+        x, y = b[rest[np.linspace(0, len(rest) - 1, PIVOTS).astype(np.int64)]][:, None], b[rest][None]
+        w = sigs.weight(x, y)
+        near = w <= sigs.limit(sigs.n[x], sigs.n[y]) // 2
+        free = np.ones(len(rest), bool)
+        for k in np.argsort(-near.sum(1), kind="stable"):
+            mine = np.flatnonzero(near[k] & free)
+            if len(mine) >= CROWD:
+                free[mine] = False
+                crowds.append((x[k, 0], rest[mine], w[k, mine]))
+        taken = len(rest) - int(free.sum())
+        rest = rest[free]
+        if taken < max(CROWD, (len(rest) + taken) // 8):
+            break
+    open_ = np.ones(len(b), bool)
+    for pivot, members, radius in crowds:
+        own = b[members] != pivot
+        found.append((np.full(own.sum(), pivot), b[members[own]], radius[own]))
+        open_[members] = False
+        y = np.flatnonzero(open_)
+        far = sigs.distance(np.full(len(y), pivot), b[y]) - radius.max()
+        # a pivot's coarser signature says nothing of what a member's still coarser one shows
+        sound = sigs.tier[b[members]].min() >= np.minimum(sigs.tier[pivot], sigs.tier[b[y]])
+        y = y[~sound | (far <= 2 * (np.maximum(n[y], n[members].max()) * (1 - sigs.least) + 1e-9).astype(np.int64))]
+        members = members[np.argsort(radius, kind="stable")]
+        best, link = np.full(len(y), _NONE, np.int64), np.zeros(len(y), np.int64)
+        left, lo, many = np.arange(len(y)), 0, NEARBY // 4
+        while lo < len(members) and len(left):
+            some = members[lo : lo + min(many, max(1, (1 << 18) // len(left)))]
+            w = sigs.weight(b[some][:, None], b[y[left]][None])
+            first = w.argmin(0)
+            w = w[first, np.arange(len(left))]
+            better = np.flatnonzero(w < best[left])
+            best[left[better]], link[left[better]] = w[better], b[some[first[better]]]
+            lo, many = lo + len(some), many * 2
+            done = best[left] <= sigs.limit(sigs.n[link[left]], n[y[left]]) // 2
+            left = left[~(done | (best[left] < _NONE) & (lo >= NEARBY))]
+        linked = best < _NONE
+        found.append((link[linked], b[y[linked]], best[linked]))
+    alone = np.zeros(len(b), bool)
+    alone[rest] = True
+    return found, alone
+
+
 def spanning_forest(sigs: Signatures, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of a least spanning forest of each row's possible pairs, and their weights, all rows at once (Prim's way)."""
-    b, s = idx.shape
-    safe, done = np.maximum(idx, 0), idx < 0
-    best, parent = np.full((b, s), _NONE, np.int32), np.zeros((b, s), np.int64)
-    rows, now = np.arange(b), np.zeros(b, np.int64)
-    columns = sigs.gathered(safe)
-    one, two, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for _ in range(s - 1):
-        done[rows, now] = True
-        w = sigs.weight(safe[rows, now][:, None], safe, ([c[rows, now][:, None] for c in columns], columns))
-        better = (w < best) & ~done
-        best = np.where(better, w, best)
-        parent = np.where(better, now[:, None], parent)
-        open_ = np.where(done, _NONE + 1, best)
-        now = open_.argmin(1)
-        value = open_[rows, now]
-        linked = np.flatnonzero(value < _NONE)
-        one.append(safe[linked, now[linked]])
-        two.append(safe[linked, parent[linked, now[linked]]])
-        weights.append(value[linked].astype(np.int32))
-        going = value <= _NONE
-        if not going.all():
-            if not going.any():
-                break
-            rows_left = np.flatnonzero(going)
-            safe, done, best, parent, now = (x[rows_left] for x in (safe, done, best, parent, now))
-            columns = [c[rows_left] for c in columns]
-            rows = np.arange(len(rows_left))
-    return np.concatenate(one), np.concatenate(two), np.concatenate(weights)
+    """Index pairs of a spanning forest of each row's possible pairs, light ones first, and their weights, all rows at once.
+
+    Members are compared with those of a row that are longer, but not by too much: others can't be alike.
+    """
+    row, place = np.nonzero(idx >= 0)
+    member = idx[row, place]
+    order = np.lexsort((sigs.n[member], row))
+    row, member = row[order], member[order]
+    found, held = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)], 0
+    if idx.shape[1] > LARGE:
+        first, alone = np.searchsorted(row, np.arange(len(idx) + 1)), np.ones(len(row), bool)
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            links, alone[lo:hi] = _around_pivots(sigs, member[lo:hi])
+            found += links
+        row, member = row[alone], member[alone]
+    n = sigs.n[member].astype(np.int64)
+    at = np.arange(len(member))
+    many = np.searchsorted(row << 32 | n, row << 32 | ((n + 1e-6) / sigs.least).astype(np.int64), "right") - at - 1
+    total = np.concatenate([[0], np.cumsum(many)])
+    lo = 0
+    while lo < len(member):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 17), "right")) - 1)
+        i, j = np.repeat(member[lo:hi], many[lo:hi]), member[ranges(at[lo:hi] + 1, many[lo:hi])]
+        w = sigs.weight(i, j)
+        possible = np.flatnonzero(w < _NONE)
+        found.append((i[possible], j[possible], w[possible]))
+        held, lo = held + len(possible), hi
+        if held > 1 << 19:
+            found, held = [_thinned(found)], 0
+    return _thinned(found)
+
+
+def _thinned(links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all links, a least spanning forest."""
+    a, b, w = (np.concatenate(c) for c in zip(*links, strict=True))
+    kept = lightest(a, b, w)
+    return a[kept], b[kept], w[kept]
 
 
 def lightest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Which links are a least spanning forest of all of them (Kruskal's way): as many as there are nodes, at most."""
+    """Which links are a least spanning forest of all of them (Boruvka's way): as many as there are nodes, at most."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)].tolist(), ends[len(a) :].tolist()
-    root, kept = list(range(len(nodes))), []
-    for i in np.lexsort((b, a, w)).tolist():
-        p, q = x[i], y[i]
-        while root[p] != p:
-            root[p] = p = root[root[p]]
-        while root[q] != q:
-            root[q] = q = root[root[q]]
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            kept.append(i)
-    return np.array(kept, np.int64)
+    order = np.lexsort((b, a, w))
+    x, y = ends[: len(a)][order], ends[len(a) :][order]
+    root, left, kept = np.arange(len(nodes)), np.arange(len(order)), [np.zeros(0, np.int64)]
+    while len(left):
+        p, q = root[x[left]], root[y[left]]
+        left, p, q = (v[p != q] for v in (left, p, q))
+        # each component's first link, in that order, is in the forest
+        best = np.full((2, len(nodes)), len(order))
+        best[0, p[::-1]], best[1, q[::-1]] = left[::-1], left[::-1]
+        best = best.min(0)
+        chosen = np.unique(best[best < len(order)])
+        kept.append(chosen)
+        root = joined_roots(root, x[chosen], y[chosen])
+    return order[np.sort(np.concatenate(kept))]
 
 
 def forest(links: DataFrame, piece: int = 1 << 19) -> DataFrame:
@@ -614,21 +693,28 @@ def _narrowed(w: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: Signatures, wid
     w[where] = np.where(d <= limit, d, _NONE)
 
 
-def cells_of_words(words: bytes) -> bytes:
-    """The cells, of ``WIDE``, that packed words are counted in, as ``signatures`` counts them."""
-    word, many = np.unique(np.frombuffer(words, np.uint32), return_counts=True)
-    cells, k = [np.zeros(0, np.uint16)], 0
-    while len(word):
-        cell = mix(word.astype(np.uint64) + _U(5 + k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)) & _U(WIDE - 1)
-        cells.append(np.repeat(cell.astype(np.uint16), np.minimum(many, 3)))
-        word, many, k = word[many > 3], many[many > 3] - 3, k + 1
-    return np.concatenate(cells).tobytes()
+def cells_of(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The cells, of ``WIDE``, that each sequence's words are counted in, as ``signatures`` counts them, in order; many sequences at once."""
+    size, out, lo = np.array([len(x) for x in words], np.int64), [], 0
+    total = np.concatenate([[0], np.cumsum(size)])
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 19), "right")) - 1)
+        owner = np.repeat(np.arange(hi - lo, dtype=np.uint64) << _U(32), size[lo:hi])
+        both = np.sort(owner | np.concatenate(words[lo:hi]).astype(np.uint64))
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        nth = np.arange(len(both)) - np.repeat(at, np.diff(np.append(at, len(both))))
+        cell = mix((both & _U(0xFFFFFFFF)) + _U(5) + (nth // 3).astype(np.uint64) * _U(0xE7037ED1A0B428DB)) & _U(WIDE - 1)
+        cells = (np.sort(owner | cell) & _U(WIDE - 1)).astype(np.uint16)  # owners keep their places
+        out += np.split(cells, (total[lo + 1 : hi] - total[lo]))
+        lo = hi
+    return out
 
 
 def wide_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, wide of sequences (id, words): so many cells that few words meet in one."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([cells_of_words(x.as_py()) for x in batch.column("words")], pa.binary())], ["id", "wide"])
+        cells = cells_of([np.frombuffer(x.as_py(), np.uint32) for x in batch.column("words")])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in cells], pa.binary())], ["id", "wide"])
 
 
 class Joined:
@@ -691,11 +777,39 @@ class Turn:
         return out
 
 
+class Turns:
+    """``Turn`` for pairs of any classes of a shard, of which each has few keys."""
+
+    def __init__(self, keys: list[np.ndarray], ids: np.ndarray) -> None:
+        self.ids = ids
+        self.known, rank = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        #: keys of every class in order, one after another, each with its class, and where those of a class begin
+        self.held = np.unique(np.repeat(np.arange(len(keys)), [len(k) for k in keys]) * len(self.known) + rank)
+        self.first = np.searchsorted(self.held, np.arange(len(keys) + 1) * len(self.known))
+
+    def here(self, i: np.ndarray, j: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which pairs of classes have their turn in the buckets ``own``."""
+        out = np.ones(len(i), bool)
+        for a in range(0, len(i), 1 << 12):
+            x, y, bucket = i[a : a + (1 << 12)], j[a : a + (1 << 12)], own[a : a + (1 << 12)]
+            many = self.first[x + 1] - self.first[x]
+            pair, rank = np.repeat(np.arange(len(x)), many), self.held[ranges(self.first[x], many)] % len(self.known)
+            wanted = y[pair] * len(self.known) + rank
+            both = self.held[np.minimum(np.searchsorted(self.held, wanted), len(self.held) - 1)] == wanted
+            pair, key = pair[both], self.known[rank[both]]
+            shared, less, named = (np.bincount(pair[v], minlength=len(x)).astype(np.uint64) for v in (slice(None), key < bucket[pair], key == bucket[pair]))
+            one, two = self.ids[x], self.ids[y]
+            number = mix(mix(np.minimum(one, two).view(np.uint64)) + np.maximum(one, two).view(np.uint64))
+            # a cell of a hot bucket is no key of its members, and aligns all that it holds
+            out[a : a + (1 << 12)] = (named == 0) | (number % np.maximum(shared, _U(1)) == less)
+        return out
+
+
 def untried_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
     """(a, b), a < b: like pairs of members of different components, as many as join all components that a bucket's like pairs join.
 
     rows: id, n, sig, keys, root (the component), words (packed uint32).  Every possible pair of a bucket whose ends are
-    still apart is aligned, the most similar first; of large buckets that share it, by one (``Turn``).
+    still apart is aligned, the most similar first; of buckets that share it, by one (``Turn``, ``Turns``).
     """
 
     def link(rows: pa.Table) -> pa.Table:
@@ -704,8 +818,9 @@ def untried_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
         split = {c: 4 + int.from_bytes(x[:4], "little") for c, x in words.items()}
         keys_of = [np.frombuffer(words[c][4 : split[c]], np.uint64) & _U((1 << KEY_BITS) - 1) for c in sorted(words)]
         words = {c: x[split[c] :] for c, x in words.items()}
-        wide, joined = Wide({c: cells_of_words(x) for c, x in words.items()}, ids), Joined(root)
         sequence = [np.frombuffer(words[c], np.uint32) for c in sorted(words)]
+        wide, joined = Wide({c: x.tobytes() for c, x in zip(sorted(words), cells_of(sequence), strict=True)}, ids), Joined(root)
+        turns = Turns(keys_of, np.array(sorted(words), np.int64))
         classes_, found, tried = len(sequence), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
         entry = np.zeros(classes_, np.int64)
         entry[wide.of] = np.arange(len(ids))  # one of the entries of each class
@@ -732,9 +847,8 @@ def untried_links(rows: DataFrame, shards: int, least: float) -> DataFrame:
                 _narrowed(w, x, safe, sigs, wide)
                 where = np.nonzero(w < _NONE)
                 i, j = (np.broadcast_to(v, w.shape)[where] for v in (x, safe))
-                if turn:
-                    mine = turn.here(i, j)
-                    i, j, where = i[mine], j[mine], tuple(v[mine] for v in where)
+                mine = turn.here(i, j) if turn else turns.here(wide.of[i], wide.of[j], key[i])
+                i, j, where = i[mine], j[mine], tuple(v[mine] for v in where)
                 i, j = wide.of[i], wide.of[j]
                 pair, once = np.unique(np.minimum(i, j) * classes_ + np.maximum(i, j), return_index=True)
                 fresh = ~np.isin(pair, tried)
@@ -851,7 +965,7 @@ def _banded_many(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarr
         y = y[: high + k]
         b[r, k : k + len(y)] = y
     step = np.arange(size, dtype=np.int16)
-    far = np.int16(1 << 13)
+    far = np.int16(1 << 12)
     row = np.where(step >= k, step - k, far).astype(np.int16)[None].repeat(len(order), 0)
     out = np.full(len(order), k + 1, np.int64)
     for i in range(1, high + 1):
@@ -969,7 +1083,7 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
     rows: id, n, sig, keys, written already.  ``fetch``: see ``aligned``.  known: links (a, b) that hold anyway.
     """
     entries = int(rows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-    shards = max(width(rows.sparkSession), -(-entries // (1 << 18)))
+    shards = max(min(width(rows.sparkSession), SHARDS), -(-entries // (1 << 18)))
 
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
