@@ -909,6 +909,13 @@ def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (b, a) if len(a) > len(b) else (a, b)
 
 
+def _one_shift(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of the best alignment (a is not longer) that inserts words in one place alone: never fewer than the distance."""
+    more = len(b) - len(a)
+    straight, shifted = np.cumsum(a != b[: len(a)]), np.cumsum(a != b[more:])
+    return min(int(shifted[-1]), int((straight - shifted).min() + shifted[-1])) + more
+
+
 def _banded(masks: dict[int, int], m: int, text: list[int], k: int) -> int:
     """Edit distance through cells at most ``k`` off the diagonal; exact if it is at most ``k``.
 
@@ -1009,6 +1016,8 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.n
         a, b = _trimmed(*pairs[i])
         if len(a) == 0 or len(b) <= most[i]:
             good[i] = len(b) <= most[i]
+        elif _one_shift(a, b) <= most[i]:
+            good[i] = True
         elif most[i] > _WIDEST:
             good[i] = alignment_distance(a, b, int(most[i])) <= most[i]
         else:
