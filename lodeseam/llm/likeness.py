@@ -52,7 +52,7 @@ WIDE, LARGE = 4096, 64
 #: Pivots that a bucket of more than ``LARGE`` is tried with at once, least members of a crowd around one, and members that others are compared with for a closer link.
 PIVOTS, CROWD, NEARBY = 16, 16, 64
 #: Shards that few keys are dealt into at most: a crowd that shares many keys has links in each of them.
-SHARDS = 64
+SHARDS = 24
 #: Sequences and keys that a task holds before it sends them.
 SENT = 1 << 20
 _NONE = 1 << 30
@@ -1092,7 +1092,7 @@ def like_components(rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame
     rows: id, n, sig, keys, written already.  ``fetch``: see ``aligned``.  known: links (a, b) that hold anyway.
     """
     entries = int(rows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-    shards = max(min(width(rows.sparkSession), SHARDS), -(-entries // (1 << 18)))
+    shards = max(min(width(rows.sparkSession), max(SHARDS, entries >> 16)), -(-entries // (1 << 18)))
 
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
